@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import exact_dedup, sharding
-from evalloom.llm.common import table
+from evalloom.llm import exact_dedup, sharding, toxicity, warc
+from evalloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels of folds 0 and 2 of 3 and scores every document."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 3) != 1)
+    return toxicity.classify(docs, toxicity.train(docs, labels)).withColumn("held_out", fold_of("doc_id", 3) == 1)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,7 +27,16 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES: dict[str, Query] = {"op3_exact_dedup": op3_exact_dedup, "op6_hilbert_shards": op6_hilbert_shards}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_warc": op7_warc,
+}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """

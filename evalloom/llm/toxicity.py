@@ -140,7 +140,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return max(0.0, float(w[0])), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8000, max_entries: int = 4000, min_texts: int = 4, min_g2: float = 16.0, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8000, max_entries: int = 4000, min_texts: int = 5, min_g2: float = 22.0, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicityModel:
     """Learns lexicon and curve from at most ``max_per_class`` labelled rows a class.
 
     Without labels of both classes the seed lexicon and a default curve stand. Only texts and labels are read.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import exact_dedup, sharding, toxicity, warc
+from evalloom.llm import exact_dedup, ppm, sharding, toxicity, warc
 from evalloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from folds other than 2 of 7 and scores every document."""
+    held_out = fold_of("doc_id", 7) == 2
+    return ppm.score_texts(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -34,6 +40,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_ppm": op5_ppm,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_warc": op7_warc,
 }

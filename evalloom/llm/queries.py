@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import exact_dedup, ppm, sharding, toxicity, warc
+from evalloom.llm import exact_dedup, ppm, sharding, simhash, toxicity, warc
 from evalloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from folds other than 2 of 7 and scores every document."""
     held_out = fold_of("doc_id", 7) == 2
@@ -40,6 +44,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
     "op5_ppm": op5_ppm,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_warc": op7_warc,

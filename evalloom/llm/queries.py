@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import exact_dedup, ppm, sharding, simhash, toxicity, warc
+from evalloom.llm import decontamination, exact_dedup, packing, ppm, sharding, simhash, toxicity, warc
 from evalloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), buckets=8, token_budget=16_384)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
@@ -48,6 +56,8 @@ QUERIES: dict[str, Query] = {
     "op5_ppm": op5_ppm,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_warc": op7_warc,
+    "op9_packing": op9_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {

@@ -35,3 +35,13 @@ def words_of(column: Column) -> Column:
 def fold(identifier: object, folds: int) -> int:
     """``fold_of`` for one Python value."""
     return 0 if identifier is None else zlib.crc32(str(identifier).encode()) % folds
+
+
+def labelled_ids(labels: DataFrame, label: str, max_per_class: int) -> DataFrame:
+    """_id and y (0 or 1) of at most ``max_per_class`` labelled rows a class: those with the smallest id hashes.
+
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts with its largest label.
+    """
+    clean = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
+    picked = [clean.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for y in (0, 1)]
+    return picked[0].unionByName(picked[1])

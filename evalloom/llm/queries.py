@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import decontamination, exact_dedup, packing, ppm, sharding, simhash, toxicity, warc
+from evalloom.llm import decontamination, exact_dedup, packing, ppm, quality, sharding, simhash, toxicity, warc
 from evalloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from folds 0 and 2 of 3 (labelled and unlabelled rows) and scores every document."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 3) == 1
+    model = quality.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return quality.classify(docs, model).withColumn("held_out", held_out)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), buckets=8, token_budget=16_384)
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_ppm": op5_ppm,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }

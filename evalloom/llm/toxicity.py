@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from evalloom.llm.common import text_of
+from evalloom.llm.common import labelled_ids, text_of
 from evalloom.plans.staging import staged
 
 # Look-alike letters of Cyrillic and Greek and the Latin letter each is folded to.
@@ -91,14 +91,9 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Texts of at most ``max_per_class`` labelled rows a class (the smallest id hashes), staged.
-
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts with its largest label.
-    """
-    clean = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
-    picked = [clean.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for y in (0, 1)]
-    rows = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("text"))
-    return staged(rows.join(F.broadcast(picked[0].unionByName(picked[1])), "_id"), f"{label}-sample")  # 2 x max_per_class ids
+    """Texts of the rows that ``labelled_ids`` picks, staged."""
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("text"))
+    return staged(rows.join(F.broadcast(labelled_ids(labels, label, max_per_class)), "_id"), f"{label}-sample")  # 2 x max_per_class ids
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import decontamination, exact_dedup, packing, ppm, quality, sharding, simhash, toxicity, warc
+from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, toxicity, warc
 from evalloom.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, labels)).withColumn("held_out", fold_of("doc_id", 3) == 1)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_ppm": op5_ppm,
@@ -69,6 +74,24 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     line AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM split),
+     word AS (SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS k FROM line),
+     class AS (SELECT k, len(k) AS n, row_number() OVER (ORDER BY min(doc_id::HUGEINT * 1000000000 + pos)) AS id, min(doc_id::HUGEINT * 1000000000 + pos) AS o
+               FROM word WHERE len(k) > 0 GROUP BY k),
+     token AS (SELECT id, n, unnest(k) AS tok FROM class),
+     df AS (SELECT tok, count(*) AS df FROM token GROUP BY tok),
+     ranked AS (SELECT id, n, tok, row_number() OVER (PARTITION BY id ORDER BY df, tok) AS i FROM token JOIN df USING (tok)),
+     prefix AS (SELECT * FROM ranked WHERE i <= n - (80 * n + 99) // 100 + 1),
+     pair AS (SELECT DISTINCT x.id AS x, y.id AS y FROM prefix x JOIN prefix y ON x.tok = y.tok AND y.id < x.id AND least(x.n, y.n) * 100 >= 80 * greatest(x.n, y.n)),
+     near AS (SELECT DISTINCT x FROM pair JOIN class a ON a.id = x JOIN class b ON b.id = y WHERE len(list_intersect(a.k, b.k)) * 180 >= 80 * (a.n + b.n)),
+     judged AS (SELECT w.doc_id, w.pos, coalesce(c.o <> w.doc_id::HUGEINT * 1000000000 + w.pos OR s.x IS NOT NULL, false) AS removed
+                FROM word w LEFT JOIN class c ON c.k = w.k LEFT JOIN near s ON s.x = c.id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT removed) AS n_kept, count(*) FILTER (removed) AS n_removed,
+       coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (removed), '') AS removed_lines
+FROM judged GROUP BY doc_id
+""",
     "op3_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, toxicity, warc
 from evalloom.llm.common import fold_of, table
 
@@ -71,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {

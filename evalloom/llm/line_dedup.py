@@ -5,10 +5,12 @@ the length or the positional filter do not leave the join; the rest are verified
 if an earlier line, kept or not, has that similarity with it; lines are ordered by doc_id, then place.
 
 * Equal sets collapse to one class with its first occurrence before anything is joined.
+* Similar sets share two words of their prefixes at least, if a prefix is one word longer than for one shared word; so a single
+  word in common, however rare, makes no candidate.
 * Rarity comes from counts in a fixed number of hash buckets over all words; any fixed order gives the same result, a
   better one only smaller postings.
 * Hot groups of near-equal lines: each class is first compared with the earliest class in the postings of its few rarest words
-  (one pair a word, verified). What that decides takes no further part as the later line, so a group of variants is settled in linear work, and
+  (one pair for two words, verified). What that decides takes no further part as the later line, so a group of variants is settled in linear work, and
   the full join is left with lines that differ from their group's first.
 * Word sets are not kept in the shuffles: only classes in candidate pairs have theirs read again from the texts, picked by a bitmap of
   fixed size.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import SPACE, text_of
 from evalloom.plans.staging import staged
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 BITS = 1 << 23
 
 
@@ -60,7 +62,7 @@ def line_table(docs: DataFrame, percent: int, classes: bytes) -> DataFrame:
     """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), prefix (words to join on). Staged."""
     table = exploded(docs).withColumn("codes", codes(F.col("line"), classes))
     n = F.size("codes")
-    prefix = F.transform(F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.transform(F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 2), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return staged(
         table.select("row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), F.when(n > 3, prefix).otherwise(F.array().cast("array<int>")).alias("prefix")), "lines"
     )
@@ -83,8 +85,8 @@ def picked(needed: DataFrame, docs: DataFrame, classes: bytes) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: bytes, percent: int) -> DataFrame:
-    """c of the later class of every pair (c, d) whose sets have the similarity. Staged, distinct."""
-    pairs = staged(pairs.distinct(), "line-pairs")
+    """c of the later class of every one of the different pairs (c, d) whose sets have the similarity. Staged, distinct."""
+    pairs = staged(pairs, "line-pairs")
     used = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct()
     needed = staged(classes.join(used, "c", "left_semi").select("c", "text_hash", "pos", "h1", "h2"), "needed-lines")
     sets = staged(picked(needed, docs, ranks), "line-sets")
@@ -93,7 +95,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: bytes
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
     ``percent`` is the least Jaccard similarity. A null text is one blank line; blank lines (no words) are never removed. A null doc_id
@@ -116,16 +118,17 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, id_c
     star = postings(every, F.slice("prefix", 1, star_words))
     center = star.groupBy("word").agg(F.min(F.struct("o", "pos", "c", "n")).alias("y"), F.count("*").alias("m")).where("m > 1").select("word", F.col("y.c").alias("d"), F.col("y.n").alias("n_d"))
     size = (F.least("n", "n_d") * 100 >= percent * F.greatest("n", "n_d")) & (F.col("c") != F.col("d"))
-    near = verified(star.join(center, "word").where(size).select("c", "d"), classes, rows, ranks, percent)
+    twice = lambda found: found.groupBy("c", "d").agg(F.count("*").alias("m")).where("m > 1").select("c", "d")
+    near = verified(twice(star.join(center, "word").where(size)), classes, rows, ranks, percent)
 
     open_classes = classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
     x = postings(open_classes, F.col("prefix"))
     y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "i")], "word")
     least = F.ceil((F.col("n") + F.col("n_d")) * percent / F.lit(100.0 + percent) - 1e-9)
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
-    room = 1 + F.least(F.col("n") - F.col("i"), F.col("n_d") - F.col("i_d")) - 1 >= least
+    room = F.least(F.col("n") - F.col("i"), F.col("n_d") - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
     pairs = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & F.col("open") & earlier & (F.least("n", "n_d") * 100 >= percent * F.greatest("n", "n_d")) & room)
-    similar = near.unionByName(verified(pairs.select("c", F.col("c_d").alias("d")), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
+    similar = near.unionByName(verified(twice(pairs.select("c", F.col("c_d").alias("d"))), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))
     own = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("o_1")) & (F.col("pos") == F.col("pos_1")) & (F.col("text_hash") == F.col("hash_1"))

@@ -7,6 +7,7 @@ no pass depends on blocks kept by one machine.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,8 +35,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors delete the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage, which a driver with a large heap seldom does; until then the files of every finished
+    pass fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back from there."""
+    """``df`` written once to the shared folder and read back from there; earlier passes' shuffle files are released."""
+    release(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

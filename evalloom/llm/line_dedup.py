@@ -112,22 +112,23 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_c
     )
 
     def postings(frame: DataFrame, words: Column) -> DataFrame:
-        return frame.select("o", "pos", "c", "n", "open", F.posexplode(words).alias("i", "word"))
+        return frame.select("o", "pos", "c", "n", F.posexplode(words).alias("i", "word"))
 
-    every = classes.withColumn("open", F.lit(True))
-    star = postings(every, F.slice("prefix", 1, star_words))
+    star = postings(classes, F.slice("prefix", 1, star_words))
     center = star.groupBy("word").agg(F.min(F.struct("o", "pos", "c", "n")).alias("y"), F.count("*").alias("m")).where("m > 1").select("word", F.col("y.c").alias("d"), F.col("y.n").alias("n_d"))
     size = (F.least("n", "n_d") * 100 >= percent * F.greatest("n", "n_d")) & (F.col("c") != F.col("d"))
     twice = lambda found: found.groupBy("c", "d").agg(F.count("*").alias("m")).where("m > 1").select("c", "d")
     near = verified(twice(star.join(center, "word").where(size)), classes, rows, ranks, percent)
 
-    open_classes = classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-    x = postings(open_classes, F.col("prefix"))
-    y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "i")], "word")
-    least = F.ceil((F.col("n") + F.col("n_d")) * percent / F.lit(100.0 + percent) - 1e-9)
+    # A settled class has a negative size: both sides of the self-join then read the same columns, and one exchange serves both.
+    settled = classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
+    x = postings(settled, F.col("prefix"))
+    y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "i", "word")])
+    n, n_d = F.col("n"), F.abs("n_d")
+    least = F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
-    room = F.least(F.col("n") - F.col("i"), F.col("n_d") - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & F.col("open") & earlier & (F.least("n", "n_d") * 100 >= percent * F.greatest("n", "n_d")) & room)
+    room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
+    pairs = x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & room)
     similar = near.unionByName(verified(twice(pairs.select("c", F.col("c_d").alias("d"))), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))

@@ -7,6 +7,8 @@ if an earlier line, kept or not, has that similarity with it; lines are ordered
 * Equal sets collapse to one class with its first occurrence before anything is joined.
 * Similar sets share two words of their prefixes at least, if a prefix is one word longer than for one shared word; so a single
   word in common, however rare, makes no candidate.
+* A 64-bit parity signature travels with each posting: every word flips one bit, so two sets differ in as many words at least as their
+  signatures differ in bits. Pairs that differ in more than the threshold allows do not leave the join.
 * Rarity comes from counts in a fixed number of hash buckets over all words; any fixed order gives the same result, a
   better one only smaller postings.
 * Hot groups of near-equal lines: each class is first compared with the earliest class in the postings of its few rarest words
@@ -58,13 +60,18 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def parity(codes: Column) -> Column:
+    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(codes, F.lit(0).cast("long"), flip)
+
+
 def line_table(docs: DataFrame, percent: int, classes: bytes) -> DataFrame:
-    """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), prefix (words to join on). Staged."""
+    """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), parity, prefix (words to join on). Staged."""
     table = exploded(docs).withColumn("codes", codes(F.col("line"), classes))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 2), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return staged(
-        table.select("row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), F.when(n > 3, prefix).otherwise(F.array().cast("array<int>")).alias("prefix")), "lines"
+        table.select("row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), parity(F.col("codes")).alias("parity"), F.when(n > 3, prefix).otherwise(F.array().cast("array<int>")).alias("prefix")), "lines"
     )
 
 
@@ -108,27 +115,34 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_c
     lines = line_table(rows, percent, ranks)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), "pos", "text_hash")).alias("first")
     classes = staged(
-        lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, F.first("prefix").alias("prefix")).select("h1", "h2", "n", "first.*", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes"
+        lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).select("h1", "h2", "n", "first.*", "parity", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes"
     )
 
     def postings(frame: DataFrame, words: Column) -> DataFrame:
-        return frame.select("o", "pos", "c", "n", F.posexplode(words).alias("i", "word"))
+        return frame.select("o", "pos", "c", "n", "parity", F.posexplode(words).alias("i", "word"))
 
     star = postings(classes, F.slice("prefix", 1, star_words))
-    center = star.groupBy("word").agg(F.min(F.struct("o", "pos", "c", "n")).alias("y"), F.count("*").alias("m")).where("m > 1").select("word", F.col("y.c").alias("d"), F.col("y.n").alias("n_d"))
-    size = (F.least("n", "n_d") * 100 >= percent * F.greatest("n", "n_d")) & (F.col("c") != F.col("d"))
+    center = star.groupBy("word").agg(F.min(F.struct("o", "pos", "c", "n", "parity")).alias("y"), F.count("*").alias("m")).where("m > 1").select("word", F.col("y.c").alias("d"), F.col("y.n").alias("n_d"), F.col("y.parity").alias("parity_d"))
+
+    def may(n: Column, n_d: Column, least: Column) -> Column:
+        """Whether sizes and signatures leave room for the similarity, which needs ``least`` shared words."""
+        apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_d")))
+        return (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & (apart <= n + n_d - 2 * least)
+
+    shared = lambda n, n_d: F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)
+    size = may(F.col("n"), F.col("n_d"), shared(F.col("n"), F.col("n_d"))) & (F.col("c") != F.col("d"))
     twice = lambda found: found.groupBy("c", "d").agg(F.count("*").alias("m")).where("m > 1").select("c", "d")
     near = verified(twice(star.join(center, "word").where(size)), classes, rows, ranks, percent)
 
     # A settled class has a negative size: both sides of the self-join then read the same columns, and one exchange serves both.
     settled = classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
     x = postings(settled, F.col("prefix"))
-    y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "i", "word")])
+    y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "parity", "i", "word")])
     n, n_d = F.col("n"), F.abs("n_d")
-    least = F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)
+    least = shared(n, n_d)
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
     room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
-    pairs = x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & room)
+    pairs = x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & room & may(n, n_d, least))
     similar = near.unionByName(verified(twice(pairs.select("c", F.col("c_d").alias("d"))), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))

@@ -35,6 +35,12 @@ NUMBER, NAME, UNIT = "\x01N", "\x01A", "\x01U"
 _TOKEN = regex.compile(r"\d+(?:[.,:/]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?]|[$€£%°]")
 
 
+#: Lower-case words seen that are neither numbers nor units, and hashes of template words; both are emptied when they have grown.
+_PLAIN: set[str] = set()
+_HASHES: dict[str, int] = {}
+_REMEMBERED = 400_000
+
+
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """Template words and, in step, the lower-cased values they stand for.
 
@@ -44,7 +50,14 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     template: list[str] = []
     values: list[str] = []
     fresh = True
+    if len(_PLAIN) > _REMEMBERED:
+        _PLAIN.clear()
     for token in _TOKEN.findall(text):
+        if token in _PLAIN:
+            template.append(token)
+            values.append(token)
+            fresh = False
+            continue
         if token in ".!?":
             fresh = True
             continue
@@ -61,6 +74,8 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
             kind = NAME
         else:
             kind = low
+            if token == low and low not in UNITS:
+                _PLAIN.add(token)
         template.append(kind)
         values.append(low)
         fresh = False
@@ -71,9 +86,15 @@ def window_hashes(template: list[str], window: int, min_words: int) -> tuple[np.
     """Places and 64-bit hashes of the windows that have enough words; a shorter template is one window."""
     if not template:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    seen: dict[str, int] = {}
-    words = np.array([seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(w)) for w in template], np.uint64)
-    plain = np.array([w[0] != "\x01" for w in template], np.int64)
+    if len(_HASHES) > _REMEMBERED:
+        _HASHES.clear()
+    for w in set(template):
+        if w not in _HASHES:
+            _HASHES[w] = xxhash.xxh64_intdigest(w) >> 1
+    words = np.fromiter(map(_HASHES.__getitem__, template), np.int64, len(template)).astype(np.uint64)
+    plain = np.ones(len(words), np.int64)
+    for kind in (NUMBER, NAME, UNIT):
+        plain[words == np.uint64(xxhash.xxh64_intdigest(kind) >> 1)] = 0
     size = min(window, len(template))
     n = len(template) - size + 1
     out = np.full(n, size, np.uint64)

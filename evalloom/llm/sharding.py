@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.common import text_of
 from evalloom.plans.ranking import global_rank
+from evalloom.plans.staging import staged
 
 
 def quantised_name(column: Column, bits: int) -> Column:
@@ -99,7 +100,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5, id_column:
         *[F.col(c).cast("string").alias(f"name_{i}") for i, c in enumerate(names)],
     )
     key = ["text_hash", "size", "text_crc32"]
-    groups = rows.groupBy(*key).agg(*[F.min(f"name_{i}").alias(f"group_{i}") for i in range(len(names))])
+    groups = staged(rows.groupBy(*key).agg(*[F.min(f"name_{i}").alias(f"group_{i}") for i in range(len(names))]), "text-groups")  # so that the join can split a hot text's rows
     cells = [f"{c}_cell" for c in names] + ["size_cell"]
     placed = rows.join(groups, key).select(
         "doc_id", *key, *[quantised_name(F.col(f"group_{i}"), bits).alias(c) for i, c in enumerate(cells[:-1])], quantised_size(F.col("size"), bits).alias(cells[-1])

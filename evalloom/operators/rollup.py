@@ -10,17 +10,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.plans.staging import staged
+
 
 def expand_groups(edges: DataFrame, max_depth: int = 16) -> DataFrame:
     """parent, child, depth: every node that a group reaches, with the shortest way; edges (parent, child) may repeat or form cycles.
 
-    One join a level; a pair that was reached before is not followed again, so cycles end.
+    One join a level; a pair that was reached before is not followed again, so cycles end. Memberships and each level are staged, since later
+    levels read them again.
     """
-    direct = edges.select("parent", "child").distinct()
+    direct = staged(edges.select("parent", "child").distinct(), "memberships")
     reached, frontier = direct.withColumn("depth", F.lit(1)), direct
     for depth in range(2, max_depth + 1):
         step = frontier.alias("a").join(direct.alias("b"), F.col("a.child") == F.col("b.parent")).select(F.col("a.parent").alias("parent"), F.col("b.child").alias("child")).distinct()
-        frontier = step.join(reached, ["parent", "child"], "left_anti").persist()
+        frontier = staged(step.join(reached, ["parent", "child"], "left_anti"), "reached")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
@@ -58,17 +61,18 @@ def roll_up(results: DataFrame, edges: DataFrame, spec: DataFrame, max_depth: in
     """
     columns = ["model", "task", "filter", "metric", "value", "n"]
     wanted = spec.select(F.col("group").alias("parent"), F.col("metric").alias("m"), F.coalesce("weight_by_size", F.lit(True)).alias("weighted"), "filters")
-    once = edges.select("parent", "child").dropDuplicates(["parent", "child"])
+    once = staged(edges.select("parent", "child").dropDuplicates(["parent", "child"]), "memberships")
+    wanted = staged(wanted, "group-spec")
     height = once.select(F.col("parent").alias("node")).distinct().withColumn("h", F.lit(1))
     nested = expand_groups(once, max_depth).join(height.select(F.col("node").alias("child")), "child").groupBy(F.col("parent").alias("node")).agg((F.max("depth") + 1).alias("h"))
-    height = height.join(nested.withColumnRenamed("h", "deeper"), "node", "left").select("node", F.coalesce("deeper", "h").alias("h")).persist()
+    height = staged(height.join(nested.withColumnRenamed("h", "deeper"), "node", "left").select("node", F.coalesce("deeper", "h").alias("h")), "heights")
     levels = height.agg(F.max("h")).first()[0] or 0
-    done, out = results.select(*columns), None
+    done, out = staged(results.select(*columns), "results"), None
     for level in range(1, min(levels, max_depth) + 1):
         now = once.join(height.where(F.col("h") == level).select(F.col("node").alias("parent")), "parent").join(wanted, "parent")
         rows = now.join(done, (F.col("child") == F.col("task")) & (F.col("m") == F.col("metric"))).where(F.col("value").isNotNull() & (F.col("filters").isNull() | F.array_contains("filters", F.col("filter"))))
         value = F.when(F.first("weighted"), F.sum(F.col("value") * F.col("n")) / F.sum("n")).otherwise(F.avg("value"))
-        made = rows.groupBy("model", "parent", "filter", "metric").agg(value.alias("value"), F.sum("n").alias("n")).withColumnRenamed("parent", "task").select(*columns)
+        made = staged(rows.groupBy("model", "parent", "filter", "metric").agg(value.alias("value"), F.sum("n").alias("n")).withColumnRenamed("parent", "task").select(*columns), "group-results")
         done, out = done.unionByName(made), made if out is None else out.unionByName(made)
     return (out if out is not None else done.where(F.lit(False))).withColumnRenamed("task", "group")
 

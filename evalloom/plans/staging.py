@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two requests to release shuffle files, and when the last one was made.
+RELEASE_EVERY = 4.0
+_released = float("-inf")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
@@ -39,10 +44,14 @@ def release(spark: SparkSession) -> None:
     """Lets the executors delete the shuffle files of plans that nothing refers to any more.
 
     Spark does so when the driver collects its garbage, which a driver with a large heap seldom does; until then the files of every finished
-    pass fill the executors' disks.
+    pass fill the executors' disks. Calls within a few seconds of the last one do nothing: short passes leave little behind.
     """
+    global _released
+    if time.monotonic() - _released < RELEASE_EVERY:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

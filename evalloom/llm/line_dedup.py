@@ -11,9 +11,9 @@ if an earlier line, kept or not, has that similarity with it; lines are ordered
   signatures differ in bits. Pairs that differ in more than the threshold allows do not leave the join.
 * Rarity comes from counts in a fixed number of hash buckets over all words; any fixed order gives the same result, a
   better one only smaller postings.
-* Hot groups of near-equal lines: each class is first compared with the earliest class in the postings of its few rarest words
-  (one pair for two words, verified). What that decides takes no further part as the later line, so a group of variants is settled in linear work, and
-  the full join is left with lines that differ from their group's first.
+* Hot groups of near-equal lines: each class is first compared with a few centers of the postings of its rarest words, namely the earliest
+  class in each of ``centers`` hash parts of a posting. A line that resembles an earlier center is settled and takes no further part as
+  the later line. That is linear work; the full join is left with lines that resemble few others of their group.
 * Word sets are not kept in the shuffles: only classes in candidate pairs have theirs read again from the texts, picked by a bitmap of
   fixed size.
 """
@@ -102,7 +102,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: bytes
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, centers: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
     ``percent`` is the least Jaccard similarity. A null text is one blank line; blank lines (no words) are never removed. A null doc_id
@@ -122,7 +122,10 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_c
         return frame.select("o", "pos", "c", "n", "parity", F.posexplode(words).alias("i", "word"))
 
     star = postings(classes, F.slice("prefix", 1, star_words))
-    center = star.groupBy("word").agg(F.min(F.struct("o", "pos", "c", "n", "parity")).alias("y"), F.count("*").alias("m")).where("m > 1").select("word", F.col("y.c").alias("d"), F.col("y.n").alias("n_d"), F.col("y.parity").alias("parity_d"))
+    part = F.pmod(F.xxhash64("c"), F.lit(centers)).alias("part")
+    first_of = F.min(F.struct("o", "pos", "c", "n", "parity")).alias("y")
+    center = star.groupBy("word", part).agg(first_of).select(F.col("word").alias("word_d"), *[F.col(f"y.{k}").alias(f"{k}_d") for k in ("o", "pos", "c", "n", "parity")])
+    earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
 
     def may(n: Column, n_d: Column, least: Column) -> Column:
         """Whether sizes and signatures leave room for the similarity, which needs ``least`` shared words."""
@@ -130,9 +133,9 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_c
         return (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & (apart <= n + n_d - 2 * least)
 
     shared = lambda n, n_d: F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)
-    size = may(F.col("n"), F.col("n_d"), shared(F.col("n"), F.col("n_d"))) & (F.col("c") != F.col("d"))
-    twice = lambda found: found.groupBy("c", "d").agg(F.count("*").alias("m")).where("m > 1").select("c", "d")
-    near = verified(twice(star.join(center, "word").where(size)), classes, rows, ranks, percent)
+    fits = may(F.col("n"), F.col("n_d"), shared(F.col("n"), F.col("n_d")))
+    twice = lambda found: found.groupBy("c", F.col("c_d").alias("d")).agg(F.count("*").alias("m")).where("m > 1").select("c", "d")
+    near = verified(twice(star.join(center, (F.col("word") == F.col("word_d")) & earlier & fits)), classes, rows, ranks, percent)
 
     # A settled class has a negative size: both sides of the self-join then read the same columns, and one exchange serves both.
     settled = classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
@@ -140,10 +143,9 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, id_c
     y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "parity", "i", "word")])
     n, n_d = F.col("n"), F.abs("n_d")
     least = shared(n, n_d)
-    earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
     room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
     pairs = x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & room & may(n, n_d, least))
-    similar = near.unionByName(verified(twice(pairs.select("c", F.col("c_d").alias("d"))), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
+    similar = near.unionByName(verified(twice(pairs), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))
     own = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("o_1")) & (F.col("pos") == F.col("pos_1")) & (F.col("text_hash") == F.col("hash_1"))

@@ -20,6 +20,9 @@ if an earlier line, kept or not, has that similarity with it; lines are ordered
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,10 +105,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: bytes
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, centers: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, centers: int = 8, passes: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
-    ``percent`` is the least Jaccard similarity. A null text is one blank line; blank lines (no words) are never removed. A null doc_id
+    ``percent`` is the least Jaccard similarity. Postings are joined in ``passes`` parts, by hash of the word, so that the disk holds the shuffle of one
+    part at a time. A null text is one blank line; blank lines (no words) are never removed. A null doc_id
     comes before all others. Rows that repeat an id and its text are one document here: they get equal decisions, and one does not
     remove the other's lines.
     """
@@ -118,13 +122,16 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, cent
         lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).select("h1", "h2", "n", "first.*", "parity", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes"
     )
 
-    def postings(frame: DataFrame, words: Column) -> DataFrame:
-        return frame.select("o", "pos", "c", "n", "parity", F.posexplode(words).alias("i", "word"))
+    def postings(frame: DataFrame, words: Column, part: int) -> DataFrame:
+        return frame.select("o", "pos", "c", "n", "parity", F.posexplode(words).alias("i", "word")).where(F.pmod("word", F.lit(passes)) == part)
+
+    def sharing_two(pairs_of: Callable[[int], DataFrame]) -> DataFrame:
+        """Pairs (c, d) that meet in two words at least, over all parts."""
+        counted = [staged(pairs_of(k).groupBy("c", F.col("c_d").alias("d")).agg(F.count("*").alias("m")), "line-meetings") for k in range(passes)]
+        return reduce(DataFrame.unionByName, counted).groupBy("c", "d").agg(F.sum("m").alias("m")).where("m > 1").select("c", "d")
 
-    star = postings(classes, F.slice("prefix", 1, star_words))
     part = F.pmod(F.xxhash64("c"), F.lit(centers)).alias("part")
     first_of = F.min(F.struct("o", "pos", "c", "n", "parity")).alias("y")
-    center = star.groupBy("word", part).agg(first_of).select(F.col("word").alias("word_d"), *[F.col(f"y.{k}").alias(f"{k}_d") for k in ("o", "pos", "c", "n", "parity")])
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
 
     def may(n: Column, n_d: Column, least: Column) -> Column:
@@ -134,18 +141,26 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, cent
 
     shared = lambda n, n_d: F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)
     fits = may(F.col("n"), F.col("n_d"), shared(F.col("n"), F.col("n_d")))
-    twice = lambda found: found.groupBy("c", F.col("c_d").alias("d")).agg(F.count("*").alias("m")).where("m > 1").select("c", "d")
-    near = verified(twice(star.join(center, (F.col("word") == F.col("word_d")) & earlier & fits)), classes, rows, ranks, percent)
+
+    def to_centers(k: int) -> DataFrame:
+        star = postings(classes, F.slice("prefix", 1, star_words), k)
+        center = star.groupBy("word", part).agg(first_of).select(F.col("word").alias("word_d"), *[F.col(f"y.{c}").alias(f"{c}_d") for c in ("o", "pos", "c", "n", "parity")])
+        return star.join(center, (F.col("word") == F.col("word_d")) & earlier & fits)
+
+    near = verified(sharing_two(to_centers), classes, rows, ranks, percent)
 
     # A settled class has a negative size: both sides of the self-join then read the same columns, and one exchange serves both.
-    settled = classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
-    x = postings(settled, F.col("prefix"))
-    y = x.select(*[F.col(k).alias(f"{k}_d") for k in ("o", "pos", "c", "n", "parity", "i", "word")])
+    settled = staged(classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n"))).drop("gone"), "settled-lines")
     n, n_d = F.col("n"), F.abs("n_d")
     least = shared(n, n_d)
     room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
-    pairs = x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & room & may(n, n_d, least))
-    similar = near.unionByName(verified(twice(pairs), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
+
+    def to_all(k: int) -> DataFrame:
+        x = postings(settled, F.col("prefix"), k)
+        y = x.select(*[F.col(c).alias(f"{c}_d") for c in ("o", "pos", "c", "n", "parity", "i", "word")])
+        return x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & room & may(n, n_d, least))
+
+    similar = near.unionByName(verified(sharing_two(to_all), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))
     own = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("o_1")) & (F.col("pos") == F.col("pos_1")) & (F.col("text_hash") == F.col("hash_1"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Seconds between two requests to release shuffle files, and when the last one was made.
 RELEASE_EVERY = 4.0
 _released = float("-inf")
+#: Temporary folders of applications in one process that name no shared folder.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found and context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        found = tempfile.mkdtemp(prefix="evalloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="evalloom-")
+        found = _LOCAL[context.applicationId]
     if not found:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")

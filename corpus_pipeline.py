@@ -25,7 +25,7 @@ def similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints over five-word shingles agree in 0.8 of the bits or more."""
+    """One document of each group whose sets of five-word shingles have Jaccard similarity of 0.8 or more."""
     return simhash.drop_near_duplicates(docs, width=5, similarity=0.8)
 
 

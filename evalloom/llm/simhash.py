@@ -10,13 +10,15 @@ A tile above ``tile_rows`` is split by fingerprint hash into even parts and its
 holds more than two parts. A task reports a spanning forest of the links it found instead of all of them; this keeps every
 connected component and grows with the fingerprints, not with their pairs. Components come from
 alternating large-star and small-star steps on the forest edges.
+
+``drop_near_duplicates`` takes such components as candidates only: inside each, exact Jaccard similarity of the shingle sets decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
-from math import log
+from math import acos, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -67,23 +69,32 @@ def fingerprint(hashes: Iterator[np.ndarray] | list[np.ndarray], lanes: int = 1)
 def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int, lanes: int = 1, distinct: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lane_0 .. (signed 64-bit words), n (shingles counted), the long columns ``keep``. Staged.
 
-    A null text is empty. ``distinct`` counts each different shingle once.
+    A null text is empty. ``distinct`` counts each different shingle once and adds ``shingles``, a hash of the whole set.
     """
     names = [f"lane_{i}" for i in range(lanes)]
+    more = ["shingles"] if distinct else []
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes = [], []
+            prints, sizes, sets = [], [], []
             for value in batch.column("text"):
-                parts = list(shingle_hashes((value.as_py() or "").encode("utf-8", "surrogatepass"), width))
-                parts = [np.unique(np.concatenate(parts))] if distinct and parts else parts
+                if distinct:
+                    parts = [shingle_set(value.as_py(), width)]
+                    sets.append(xxhash.xxh64_intdigest(parts[0].tobytes(), SEED))
+                else:
+                    parts = list(shingle_hashes((value.as_py() or "").encode("utf-8", "surrogatepass"), width))
                 prints.append(fingerprint(parts, lanes))
                 sizes.append(sum(map(len, parts)))
             lanes_of = np.array(prints, np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(lanes_of[:, i].copy()) for i in range(lanes)], pa.array(sizes, pa.int64()), *map(batch.column, keep)], ["doc_id", *names, "n", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(lanes_of[:, i].copy()) for i in range(lanes)], pa.array(sizes, pa.int64()), *[pa.array(np.array(sets, np.uint64).view(np.int64)) for _ in more], *map(batch.column, keep)], ["doc_id", *names, "n", *more, *keep])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *keep)
-    return staged(rows.mapInArrow(compute, ", ".join(f"{x} long" for x in ("doc_id", *names, "n", *keep))), "fingerprints")
+    return staged(rows.mapInArrow(compute, ", ".join(f"{x} long" for x in ("doc_id", *names, "n", *more, *keep))), "fingerprints")
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Ascending hashes of a text's different shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes((text or "").encode("utf-8", "surrogatepass"), width)]))
 
 
 class _Forest:
@@ -129,13 +140,11 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, most: in
         part = left[i : i + strip]
         first = i + 1 if inside else 0
         far = np.bitwise_count(part[:, None, 0] ^ right[None, first:, 0])
-        x, y = np.nonzero(far <= radius)
-        if len(x) and part.shape[1] > 1:
-            gap = far[x, y].astype(np.int64)
+        if part.shape[1] > 1:
+            far = far.astype(np.uint16)
             for lane in range(1, part.shape[1]):
-                gap += np.bitwise_count(part[x, lane] ^ right[first + y, lane])
-                near = gap <= radius
-                x, y, gap = x[near], y[near], gap[near]
+                far += np.bitwise_count(part[:, None, lane] ^ right[None, first:, lane])
+        x, y = np.nonzero(far <= radius)
         x, y = x + i, y + first
         if inside:
             x, y = x[y > x], y[y > x]
@@ -248,17 +257,103 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, segment
     return near_groups(prints, 1, radius, segments, tile_rows).select("doc_id", F.lower(F.lpad(F.hex("lane_0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidate_radius(similarity: float, bits: int) -> int:
+    """The gap that a pair of Jaccard similarity ``similarity`` has on average, and six standard deviations."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + 6 * sqrt(bits * p * (1 - p)))
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (row numbers) of the pairs of ``sets`` with Jaccard similarity ``similarity`` or more.
+
+    A row is compared with all others at once through postings of its elements. Rows of the largest tree so far are not: every
+    pair with an end outside it is judged from that end, and pairs inside it are connected already.
+    """
+    k = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, k)
+    forest, done = _Forest(k), np.zeros(k, bool)
+    ends = np.cumsum(sizes)
+    _, element = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    held = np.bincount(element)
+    starts = np.cumsum(held) - held
+    owner = np.repeat(np.arange(k), sizes)[np.argsort(element, kind="stable")]
+    largest = 0
+    while True:
+        todo = np.flatnonzero(~done & (forest.label != largest))
+        if not len(todo):
+            return np.array(forest.a, np.int64), np.array(forest.b, np.int64)
+        i = todo[0]
+        done[i] = True
+        mine = element[ends[i] - sizes[i] : ends[i]]
+        lengths = held[mine]
+        at = np.repeat(starts[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        common = np.bincount(owner[at], minlength=k)
+        near = np.flatnonzero((common > 0) & (common + 1e-9 >= similarity * (sizes[i] + sizes - common)))
+        before = len(forest.a)
+        forest.add(np.full(len(near), i), near)
+        if len(forest.a) > before:
+            largest = int(np.bincount(forest.label).argmax())
+
+
+def exact_links(docs: DataFrame, members: DataFrame, width: int, similarity: float, text_column: str, most: int = 1 << 20) -> DataFrame:
+    """Forest edges a, b between ``members`` (_key, _hash, node, root, n) of one root whose texts' shingle sets have ``similarity``.
+
+    Every pair under one root is judged exactly, except pairs that judged pairs connect. A root whose sets sum to over ``most`` shingles is split by
+    node into even parts and its parts are compared pairwise, so a task holds two parts at most.
+    """
+    large = members.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") > most)
+    large = large.select("root", F.ceil(2 * F.col("size") / most).cast("int").alias("parts"))  # at most the corpus' shingles / most rows
+    other = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    dealt = members.join(F.broadcast(large), "root", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "parts").cast("int"), F.lit(0)))
+    texts = docs.select("_key", "_hash", F.col(text_column).alias("text")).join(dealt, ["_key", "_hash"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("root", "node", "part", "parts")), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "part", "parts", "elements"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged() -> pa.RecordBatch:
+            nodes = np.array(list(block), np.int64)
+            a, b = jaccard_forest(list(block.values()), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+        block: dict[int, np.ndarray] = {}  # a row that repeats an identifier and its text repeats its node
+        now = None
+        for batch in batches:
+            elements = batch.column("elements")
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "x", "y")), strict=True)):
+                if key != now and block:
+                    yield judged()
+                    block = {}
+                now = key
+                block[batch.column("node")[i].as_py()] = elements[i].values.to_numpy().view(np.uint64)
+        if block:
+            yield judged()
+
+    sets = texts.select("root", "node", "part", "parts", "text").mapInArrow(cut, "root long, node long, part int, parts int, elements array<long>")
+    blocks = sets.withColumn("other", F.explode(other)).where("parts IS NULL OR part <> other")
+    blocks = blocks.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "elements")
+    return blocks.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, tile_rows: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, one document of each group of near-duplicates.
 
-    Fingerprints of ``lanes`` x 64 bits over distinct shingles; documents link when at least ``similarity`` of the bits agree and
-    their numbers of shingles differ by that ratio at most (a Jaccard similarity of ``similarity`` implies the latter,
-    and an expected agreement of 0.85 of the bits at 0.8). Of a group the row with the smallest doc_id stays; documents without
+    Documents link when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Fingerprints of ``lanes`` x 64 bits
+    over distinct shingles find the candidates, with a radius that misses a pair at the threshold about once in a billion; the
+    sets of each candidate component are then compared exactly. Of a group the row with the smallest doc_id stays; documents without
     words are one group. Rows that repeat a kept identifier collapse to one.
     """
-    radius = int((1 - similarity) * 64 * lanes + 1e-9)
+    names = [f"lane_{i}" for i in range(lanes)]
     far = F.lit((1 << 63) - 1)
     keyed = docs.withColumn("_key", F.coalesce(F.col(id_column).cast("long"), far)).withColumn("_hash", F.xxhash64(text_of(text_column)))
     prints = fingerprints(keyed, id_column, text_column, width, lanes, distinct=True, keep=("_key", "_hash"))
-    kept = near_groups(prints, lanes, radius, 1, tile_rows, similarity).groupBy("root").agg(F.min(F.struct("_key", "_hash")).alias("k")).select("k.*")
+    sets = prints.groupBy(*names, "n", "shingles").agg(F.min(F.struct("_key", "_hash")).alias("first"))
+    entries = staged(sets.withColumn("node", F.monotonically_increasing_id()), "entries")
+    near = components(links(entries, lanes, candidate_radius(similarity, 64 * lanes), 1, tile_rows, similarity))
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    members = staged(entries.join(near, "node").select("first.*", "node", "root", "n"), "members")
+    roots = components(exact_links(keyed, members, width, similarity, text_column))
+    kept = entries.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("k")).select("k.*")
     return keyed.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")

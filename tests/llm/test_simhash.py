@@ -102,3 +102,31 @@ def test_pipeline_form_keeps_one_of_each_group(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([3 * g for g in range(30)] + [500, 502])
     assert simhash.drop_near_duplicates(df.where(F.lit(False))).collect() == []
+
+
+def brute_jaccard(texts, similarity):
+    sets = [{h for part in simhash.shingle_hashes((t or "").encode(), 5) for h in part.tolist()} for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b) - 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [400, 1 << 20])
+def test_near_duplicates_are_exact(spark, most, monkeypatch):
+    random.seed(10)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one", "one two", "a b c d e f g h", "a b c d e f g h i"]
+    for _ in range(40):
+        base = random.choices(words, k=random.randrange(40, 300))
+        texts.append(" ".join(base))
+        for cut in (0.3, 0.2, 0.12, 0.08, 0.04):  # similarities of about 0.5 to 0.95
+            texts.append(" ".join(base[int(cut * len(base)) :] + random.choices(words, k=random.randrange(3))))
+    exact = getattr(simhash, "exact_links", None)
+    monkeypatch.setattr(simhash, "exact_links", lambda *args: exact(*args, most), raising=False)
+    df = spark.createDataFrame([(i, t, 0, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect())
+    assert got == [i for i, r in enumerate(brute_jaccard(texts, 0.8)) if i == r]

@@ -6,6 +6,9 @@ hash-joined with the windows of all documents. For each (document, item) the hit
 must line up (same distance between the places in item and document), and along the line-up a value of the item must always
 stand for the same value of the document. An item is found in a document when enough of its windows line up consistently.
 
+A capitalised word that begins a sentence may be a name or an ordinary word, so windows with such words are hashed in two readings:
+as they stand, and with each of them as a name.
+
 A window needs ``min_words`` words that are not placeholders, so that "name number unit" says nothing by itself.
 """
 
@@ -47,8 +50,14 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     Numbers are digits or number words; units are unit words and signs right after or before a number; names are capitalised
     words elsewhere than at a sentence's beginning, neighbours each on their own.
     """
+    return _read(text)[:2]
+
+
+def _read(text: str) -> tuple[list[str], list[str], list[int]]:
+    """``canonical`` and the places of capitalised words that begin a sentence."""
     template: list[str] = []
     values: list[str] = []
+    begins: list[int] = []
     fresh = True
     if len(_PLAIN) > _REMEMBERED:
         _PLAIN.clear()
@@ -76,10 +85,12 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
             kind = low
             if token == low and low not in UNITS:
                 _PLAIN.add(token)
+            elif fresh and token[0].isupper():
+                begins.append(len(template))
         template.append(kind)
         values.append(low)
         fresh = False
-    return template, values
+    return template, values, begins
 
 
 def window_hashes(template: list[str], window: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,22 +117,38 @@ def window_hashes(template: list[str], window: int, min_words: int) -> tuple[np.
     return places, out[places].view(np.int64)
 
 
+def second_reading(template: list[str], begins: list[int], window: int, min_words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The template with the words at ``begins`` as names; places and hashes of its usable windows that hold one of them."""
+    if not begins:
+        return template, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    other, held = list(template), np.zeros(len(template) + 1, np.int64)
+    for i in begins:
+        other[i] = NAME
+        held[i + 1] = 1
+    places, hashes = window_hashes(other, window, min_words)
+    upto = np.cumsum(held)
+    here = upto[np.minimum(places + window, len(template))] > upto[places]
+    return other, places[here], hashes[here]
+
+
 def item_windows(items: DataFrame, window: int, min_words: int, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """item, place, hash, values (of the window), windows (usable windows of the item). Staged."""
+    """item, place, hash, values (of the window), windows (usable windows of the item), second (read with names at sentence beginnings). Staged."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                template, values = canonical(text)
+                template, values, begins = _read(text)
                 places, hashes = window_hashes(template, window, min_words)
-                rows += [(item, p, h, values[p : p + window], template[p : p + window], len(places)) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "place", "hash", "item_values", "item_template", "windows"])
+                other, *more = second_reading(template, begins, window, min_words)
+                for words, at, found, second in ((template, places, hashes, False), (other, *more, True)):
+                    rows += [(item, p, h, values[p : p + window], words[p : p + window], len(places), second) for p, h in zip(at.tolist(), found.tolist(), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "place", "hash", "item_values", "item_template", "windows", "second"])
 
     rows = items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("item"), text_of(text_column).alias("text"))
-    return staged(rows.mapInArrow(cut, "item long, place long, hash long, item_values array<string>, item_template array<string>, windows long"), "item-windows")
+    return staged(rows.mapInArrow(cut, "item long, place long, hash long, item_values array<string>, item_template array<string>, windows long, second boolean"), "item-windows")
 
 
 def find_items(
@@ -144,8 +171,10 @@ def find_items(
         for batch in batches:
             rows = []
             for row, doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")), batch.column("text"), strict=True):
-                template, values = canonical(text.as_py())
+                template, values, begins = _read(text.as_py())
                 places, found = window_hashes(template, window, min_words)
+                _, *more = second_reading(template, begins, window, min_words)
+                places, found = np.concatenate([places, more[0]]), np.concatenate([found, more[1]])
                 if keep is not None and len(found):
                     at = np.minimum(np.searchsorted(keep, found), max(0, len(keep) - 1))
                     here = keep[at] == found if len(keep) else np.zeros(len(found), bool)
@@ -161,6 +190,8 @@ def find_items(
     documents, windows = read.where("hash IS NULL").select("row", "doc_id", "text_hash"), read.where("hash IS NOT NULL").select("row", "at", "hash", "doc_values")
     hits = windows.join(cut_items, "hash").withColumn("line", F.col("at") - F.col("place"))
     slots = F.filter(F.arrays_zip("item_template", "item_values", "doc_values"), lambda s: s["item_template"].startswith("\x01"))
+    # a line-up is judged on the first reading alone and on both: a name that fails in the second does not undo the first
+    hits = hits.withColumn("line", F.explode(F.when(F.col("second"), F.array(F.struct("line", F.lit(True).alias("both")))).otherwise(F.array(*[F.struct("line", F.lit(x).alias("both")) for x in (False, True)]))))
     lines = hits.select("row", "item", "line", "place", "windows", F.transform(slots, lambda s: F.struct(F.concat(s["item_template"], s["item_values"]).alias("ours"), s["doc_values"].alias("theirs"))).alias("slots"))
     found = lines.groupBy("row", "item", "line", "windows").agg(F.countDistinct("place").alias("hits"))
     found = found.where(F.col("hits") >= F.ceil(F.col("windows") * F.lit(coverage)))

@@ -75,3 +75,13 @@ def test_empty_tables(spark, docs):
     df = spark.createDataFrame(docs, SCHEMA)
     assert not any(r.contaminated for r in d.decontaminate(df, items).collect())
     assert d.decontaminate(df.limit(0), items).collect() == []
+
+
+def test_names_at_sentence_beginnings(spark):
+    item = "Natalia has 4 red crates with pens inside them. Natalia gives 2 crates to Ben after the lunch. Natalia buys 6 more crates in the town. How many crates does Natalia have now?"
+    asked = item.replace("Natalia", "Maria").replace("4", "5")
+    texts = [item, asked, f"We saw it in May. {asked} The end.", "", "Maria has 5 red crates. The rest is about other things in the town."]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x", 1, "r") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.contaminated for r in d.decontaminate(df, items).collect()}
+    assert [got[i] for i in (0, 1, 2, 4)] == [True, True, True, False]

@@ -5,9 +5,7 @@ the length or the positional filter do not leave the join; the rest are verified
 if an earlier line, kept or not, has that similarity with it; lines are ordered by doc_id, then place.
 
 * Equal sets collapse to one class with its first occurrence before anything is joined.
-* Similar sets share two words of their prefixes at least, if a prefix is one word longer than for one shared word; so a single
-  word in common, however rare, makes no candidate.
-* A 64-bit parity signature travels with each posting: every word flips one bit, so two sets differ in as many words at least as their
+* A 128-bit parity signature travels with each posting: every word flips one bit, so two sets differ in as many words at least as their
   signatures differ in bits. Pairs that differ in more than the threshold allows do not leave the join.
 * Rarity comes from counts in a fixed number of hash buckets over all words; any fixed order gives the same result, a
   better one only smaller postings.
@@ -20,65 +18,76 @@ if an earlier line, kept or not, has that similarity with it; lines are ordered
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import SPACE, text_of
+from evalloom.llm.common import text_of
 from evalloom.plans.staging import staged
 
 BUCKETS = 1 << 18
 BITS = 1 << 23
+#: White space besides space and line feed; it separates words too.
+BLANKS = "\t\x0b\f\r"
 
 
-def word_set(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), SPACE), lambda w: w != ""))
+def plain_blanks(text: Column) -> Column:
+    """The text with every blank but the line feed as a space. Most texts have no other and are passed on as they are."""
+    return F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in BLANKS)), F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """A rarity class (0 rarest, 127 at most) for each of BUCKETS hash buckets of words, from counts over all of them."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("id"))
+def rarity(docs: DataFrame) -> Column:
+    """A literal array: a rarity class (0 rarest, 127 at most) for each of BUCKETS hash buckets of words, from counts over all of them."""
+    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("id"))
     counts = words.groupBy("id").agg(F.least(F.lit(127), F.floor(3 * F.log2(F.count("*") + 1))).cast("int").alias("class"))
-    classes = bytearray(BUCKETS)
+    classes = ["0"] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
-        classes[row["id"]] = row["class"]
-    return bytes(classes)
+        classes[row["id"]] = str(row["class"])
+    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def codes(line: Column, classes: bytes) -> Column:
-    """A line's words as sorted integers: rarity class in the high bits, 56 bits of the hash below."""
-    table = F.lit(classes)
+def codes(line: Column, classes: Column) -> Column:
+    """A line's different words as sorted integers: rarity class in the high bits, 56 bits of the hash below."""
+    hashes = F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rare = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+    def code(h: Column) -> Column:
+        rare = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(rare.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(word_set(line), code))
+    return F.sort_array(F.transform(F.array_distinct(hashes), code))
 
 
 def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def parity(codes: Column) -> Column:
-    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))
-    return F.aggregate(codes, F.lit(0).cast("long"), flip)
+def parity(codes: Column) -> tuple[Column, Column]:
+    """Two 64-bit words; each word of the line flips a bit of the one that its own bit 6 chooses."""
+    flip = lambda a, chosen, c: a.bitwiseXOR(F.call_function("shiftleft", chosen.bitwiseAND(F.lit(1)), c.bitwiseAND(F.lit(63)).cast("int")))
+    none = F.lit(0).cast("long")
+    return F.aggregate(codes, none, lambda a, c: flip(a, F.shiftright(c, 6), c)), F.aggregate(codes, none, lambda a, c: flip(a, F.shiftright(F.bitwise_not(c), 6), c))
 
 
-def line_table(docs: DataFrame, percent: int, classes: bytes) -> DataFrame:
-    """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), parity, prefix (words to join on). Staged."""
+def line_table(docs: DataFrame, percent: int, classes: Column) -> DataFrame:
+    """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), even, odd (parity), prefix (words to join on). Staged.
+
+    A set of n words can resemble a different one only if n / (n + 1) reaches the threshold; smaller sets have no prefix.
+    """
     table = exploded(docs).withColumn("codes", codes(F.col("line"), classes))
     n = F.size("codes")
-    prefix = F.transform(F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 2), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.transform(F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    even, odd = parity(F.col("codes"))
     return staged(
-        table.select("row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), parity(F.col("codes")).alias("parity"), F.when(n > 3, prefix).otherwise(F.array().cast("array<int>")).alias("prefix")), "lines"
-    )
+        table.select(
+            "row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), even.alias("even"), odd.alias("odd"),
+            F.when(n * (100 - percent) >= percent, prefix).otherwise(F.array().cast("array<int>")).alias("prefix"),
+        ),
+        "lines",
+    )
 
 
-def picked(needed: DataFrame, docs: DataFrame, classes: bytes) -> DataFrame:
+def picked(needed: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     """c and codes of the classes in ``needed`` (c, text_hash, pos, h1, h2), read again from the texts.
 
     A bitmap of BITS bits (1 MB) over the places of needed lines is broadcast; lines that are surely not needed are dropped before
@@ -94,7 +103,7 @@ def picked(needed: DataFrame, docs: DataFrame, classes: bytes) -> DataFrame:
     return sets.join(needed.select("c", "h1", "h2"), ["h1", "h2"]).groupBy("c").agg(F.first("codes").alias("codes"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: bytes, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """c of the later class of every one of the different pairs (c, d) whose sets have the similarity. Staged, distinct."""
     pairs = staged(pairs, "line-pairs")
     used = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct()
@@ -105,66 +114,52 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: bytes
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 5, centers: int = 8, passes: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, centers: int = 8, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
-    ``percent`` is the least Jaccard similarity. Postings are joined in ``passes`` parts, by hash of the word, so that the disk holds the shuffle of one
+    ``percent`` is the least Jaccard similarity, from 1 to 100. Postings are joined in ``passes`` parts, by hash of the word, so that the disk holds the shuffle of one
     part at a time. A null text is one blank line; blank lines (no words) are never removed. A null doc_id
     comes before all others. Rows that repeat an id and its text are one document here: they get equal decisions, and one does not
     remove the other's lines.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     text = text_of(text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), plain_blanks(text).alias("text"), F.xxhash64(text).alias("text_hash")).withColumn("row", F.monotonically_increasing_id())
     ranks = rarity(rows)
     lines = line_table(rows, percent, ranks)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), "pos", "text_hash")).alias("first")
-    classes = staged(
-        lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).select("h1", "h2", "n", "first.*", "parity", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes"
-    )
+    grouped = lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, *[F.first(x).alias(x) for x in ("even", "odd", "prefix")])
+    classes = staged(grouped.select("h1", "h2", "n", "first.*", "even", "odd", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes")
+    held = ("o", "pos", "c", "n", "even", "odd")
 
-    def postings(frame: DataFrame, words: Column, part: int) -> DataFrame:
-        return frame.select("o", "pos", "c", "n", "parity", F.posexplode(words).alias("i", "word")).where(F.pmod("word", F.lit(passes)) == part)
+    def postings(frame: DataFrame, words: Column, suffix: str = "") -> DataFrame:
+        return frame.select(*[F.col(x).alias(x + suffix) for x in held], F.posexplode(words).alias(f"i{suffix}", f"word{suffix}"))
 
-    def sharing_two(pairs_of: Callable[[int], DataFrame]) -> DataFrame:
-        """Pairs (c, d) that meet in two words at least, over all parts."""
-        counted = [staged(pairs_of(k).groupBy("c", F.col("c_d").alias("d")).agg(F.count("*").alias("m")), "line-meetings") for k in range(passes)]
-        return reduce(DataFrame.unionByName, counted).groupBy("c", "d").agg(F.sum("m").alias("m")).where("m > 1").select("c", "d")
-
-    part = F.pmod(F.xxhash64("c"), F.lit(centers)).alias("part")
-    first_of = F.min(F.struct("o", "pos", "c", "n", "parity")).alias("y")
+    n, n_d = F.col("n"), F.col("n_d")
+    least = F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)  # words that sets of these sizes must share
+    apart = F.bit_count(F.col("even").bitwiseXOR(F.col("even_d"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("odd_d")))
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
+    fits = (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & (apart <= n + n_d - 2 * least) & earlier
 
-    def may(n: Column, n_d: Column, least: Column) -> Column:
-        """Whether sizes and signatures leave room for the similarity, which needs ``least`` shared words."""
-        apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_d")))
-        return (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & (apart <= n + n_d - 2 * least)
-
-    shared = lambda n, n_d: F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)
-    fits = may(F.col("n"), F.col("n_d"), shared(F.col("n"), F.col("n_d")))
-
-    def to_centers(k: int) -> DataFrame:
-        star = postings(classes, F.slice("prefix", 1, star_words), k)
-        center = star.groupBy("word", part).agg(first_of).select(F.col("word").alias("word_d"), *[F.col(f"y.{c}").alias(f"{c}_d") for c in ("o", "pos", "c", "n", "parity")])
-        return star.join(center, (F.col("word") == F.col("word_d")) & earlier & fits)
-
-    near = verified(sharing_two(to_centers), classes, rows, ranks, percent)
-
-    # A settled class has a negative size: both sides of the self-join then read the same columns, and one exchange serves both.
-    settled = staged(classes.join(near.withColumn("gone", F.lit(True)), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n"))).drop("gone"), "settled-lines")
-    n, n_d = F.col("n"), F.abs("n_d")
-    least = shared(n, n_d)
-    room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least - 1  # the first of the shared words may be behind
-
-    def to_all(k: int) -> DataFrame:
-        x = postings(settled, F.col("prefix"), k)
-        y = x.select(*[F.col(c).alias(f"{c}_d") for c in ("o", "pos", "c", "n", "parity", "i", "word")])
-        return x.join(y, (F.col("word") == F.col("word_d")) & (n > 0) & earlier & room & may(n, n_d, least))
-
-    similar = near.unionByName(verified(sharing_two(to_all), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
+    star = postings(classes, F.slice("prefix", 1, star_words))
+    part = F.pmod(F.xxhash64("c"), F.lit(centers)).alias("part")
+    center = star.groupBy("word", part).agg(F.min(F.struct(*held)).alias("y")).select(F.col("word").alias("word_d"), *[F.col(f"y.{x}").alias(f"{x}_d") for x in held])
+    nearest = star.join(center, (F.col("word") == F.col("word_d")) & fits).groupBy("c").agg(F.min(F.struct(apart.alias("apart"), F.col("c_d").alias("d"))).alias("y"))
+    near = verified(nearest.select("c", "y.d"), classes, rows, ranks, percent)
+
+    unsettled = staged(classes.where(F.size("prefix") > 0).join(near, "c", "left_anti"), "unsettled-lines")
+    room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least  # of the shared words the first is the one they meet in
+    met = []
+    for k in range(passes):
+        of_part = lambda frame, word: frame.where(F.pmod(word, F.lit(passes)) == k)  # noqa: B023, E731
+        x, y = of_part(postings(unsettled, F.col("prefix")), F.col("word")), of_part(postings(classes, F.col("prefix"), "_d"), F.col("word_d"))
+        met.append(staged(x.join(y, (F.col("word") == F.col("word_d")) & fits & room).groupBy("c", F.col("c_d").alias("d")).agg(F.lit(1).alias("m")).select("c", "d"), "line-meetings"))
+    similar = near.unionByName(verified(reduce(DataFrame.unionByName, met).distinct(), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))
     own = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("o_1")) & (F.col("pos") == F.col("pos_1")) & (F.col("text_hash") == F.col("hash_1"))
-    joined = lines.drop("prefix").join(staged(judged, "judged-lines"), ["h1", "h2", "n"], "left")
+    joined = lines.select("row", "doc_id", "text_hash", "pos", "h1", "h2", "n").join(staged(judged, "judged-lines"), ["h1", "h2", "n"], "left")
     return joined.select("row", "doc_id", "text_hash", "pos", "n", F.coalesce(F.col("similar") | ~own, F.lit(False)).alias("removed"))
 
 
@@ -185,12 +180,13 @@ def line_dedup(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", te
 def drop_similar_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with removed lines cut out of the text (a document without lines left has an empty text).
 
-    A null text stays null.
+    A null text stays null. Columns may have any names. Ties and repeated rows: see ``line_decisions``; an empty table stays empty.
     """
     marked = line_decisions(docs, percent, id_column=id_column, text_column=text_column).where("removed")
-    gone = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_gone"))
-    keyed = docs.withColumn("_hash", F.xxhash64(text_of(text_column)))
-    same = (keyed["_hash"] == gone["_hash"]) & keyed[id_column].cast("long").eqNullSafe(gone["_id"])
-    spots = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda p: F.lit(True)))
-    left = F.array_join(F.filter(F.split(F.col(text_column), "\n"), lambda line, i: F.element_at(spots, i).isNull()), "\n")
-    return keyed.join(gone, same, "left").withColumn(text_column, F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(left)).select(*docs.columns)
+    gone = marked.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    keyed = docs.select(F.struct("*").alias("held"), F.col(id_column).cast("long").alias("own_id"), F.xxhash64(text_of(text_column)).alias("own_hash"))
+    spots = F.map_from_arrays(F.col("gone"), F.transform("gone", lambda p: F.lit(True)))
+    body = F.col("held").getField(text_column)
+    left = F.array_join(F.filter(F.split(body, "\n"), lambda line, i: F.element_at(spots, i).isNull()), "\n")
+    joined = keyed.join(gone, (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
+    return joined.select(F.when(F.col("gone").isNull(), F.col("held")).otherwise(F.col("held").withField(text_column, left)).alias("held")).select("held.*")

@@ -3,9 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import evalloom.llm.line_dedup as line_module
 from evalloom.llm.line_dedup import drop_similar_lines, line_dedup
 
-SCHEMA = "doc_id long, text string, pos string, row int, line string"
+SCHEMA = "doc_id long, text string, pos string, row int, line string, _gone int, gone int, held int"
 
 
 def brute(rows, percent=80):
@@ -41,22 +42,55 @@ def rows():
     return [*out, out[3], (None, "x y z w v"), (300, "x y z w v q")]
 
 
-def test_matches_brute_force(spark, rows):
-    want = brute(rows)
-    docs = spark.createDataFrame([(*r, "p", 1, "l") for r in rows], SCHEMA).repartition(5)
-    got = sorted(((r.doc_id, r.n_lines, r.n_kept, r.n_removed, r.removed_lines) for r in line_dedup(docs).collect()), key=str)
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_matches_brute_force(spark, rows, percent):
+    want = brute(rows, percent)
+    docs = spark.createDataFrame([(*r, "p", 1, "l", 2, 3, 4) for r in rows], SCHEMA).repartition(5)
+    got = sorted(((r.doc_id, r.n_lines, r.n_kept, r.n_removed, r.removed_lines) for r in line_dedup(docs, percent).collect()), key=str)
     expected = []
     for i, t in rows:
         g, n = want[i, t or ""], (t or "").count("\n") + 1
         expected.append((i, n, n - len(g), len(g), ",".join(map(str, g))))
     assert got == sorted(expected, key=str)
+    if percent != 80:
+        return
     cut = drop_similar_lines(docs)
-    assert cut.columns == docs.columns
+    assert cut.columns == docs.columns and cut.drop("text").distinct().count() == len({r[0] for r in rows})
     after = sorted(((r.doc_id, r.text) for r in cut.collect()), key=str)
     text = lambda i, t: t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i, t])
     assert after == sorted(((i, text(i, t)) for i, t in rows), key=str)
 
 
+def test_small_sets_and_bad_thresholds(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "a b c d")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup(docs, 50).collect()} == {1: 0, 2: 1, 3: 1}
+    assert {r.doc_id: r.n_removed for r in line_dedup(docs, 75).collect()} == {1: 0, 2: 0, 3: 1}
+    with pytest.raises(ValueError, match="percent"):
+        line_dedup(docs, 0)
+
+
+def test_work_in_a_hot_group_is_linear(spark, monkeypatch):
+    """Five times as many near copies of a line make about five times as many pairs, not twenty-five times."""
+
+    def pairs(copies):
+        rng, made = random.Random(5), []
+        base = [f"b{i}" for i in range(40)]
+        rows = [(0, " ".join(base))]
+        for i in range(1, copies):
+            line = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                line[rng.randrange(40)] = f"n{rng.randrange(10**6)}"
+            rows.append((i, " ".join(line)))
+        original = line_module.staged
+        monkeypatch.setattr(line_module, "staged", lambda df, name: (made.append((name, original(df, name))), made[-1][1])[1])
+        line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count()
+        monkeypatch.setattr(line_module, "staged", original)
+        return sum(df.count() for name, df in made if name in ("line-pairs", "line-meetings"))
+
+    few, many = pairs(300), pairs(1500)
+    assert many <= 6 * few
+
+
 def test_empty_table(spark):
-    docs = spark.createDataFrame([(1, "a", "p", 1, "l")], SCHEMA).where(F.lit(False))
+    docs = spark.createDataFrame([(1, "a", "p", 1, "l", 2, 3, 4)], SCHEMA).where(F.lit(False))
     assert line_dedup(docs).collect() == [] and drop_similar_lines(docs).collect() == []

@@ -9,7 +9,7 @@ if an earlier line, kept or not, has that similarity with it; lines are ordered
   signatures differ in bits. Pairs that differ in more than the threshold allows do not leave the join.
 * Rarity comes from counts in a fixed number of hash buckets over all words; any fixed order gives the same result, a
   better one only smaller postings.
-* Hot groups of near-equal lines: each class is first compared with a few centers of the postings of its rarest words, namely the earliest
+* Hot groups of near-equal lines: each class is first compared with a few centers of the postings of some of its prefix words (those with the smallest hashes, so that similar lines choose alike), namely the earliest
   class in each of ``centers`` hash parts of a posting. A line that resembles an earlier center is settled and takes no further part as
   the later line. That is linear work; the full join is left with lines that resemble few others of their group.
 * Word sets are not kept in the shuffles: only classes in candidate pairs have theirs read again from the texts, picked by a bitmap of
@@ -114,7 +114,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Colum
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, centers: int = 8, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, centers: int = 8, tried: int = 3, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
     ``percent`` is the least Jaccard similarity, from 1 to 100. Postings are joined in ``passes`` parts, by hash of the word, so that the disk holds the shuffle of one
@@ -142,11 +142,12 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, cent
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
     fits = (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & (apart <= n + n_d - 2 * least) & earlier
 
-    star = postings(classes, F.slice("prefix", 1, star_words))
+    star = postings(classes.where(F.size("prefix") > 0), F.slice(F.sort_array("prefix"), 1, star_words))
     part = F.pmod(F.xxhash64("c"), F.lit(centers)).alias("part")
     center = star.groupBy("word", part).agg(F.min(F.struct(*held)).alias("y")).select(F.col("word").alias("word_d"), *[F.col(f"y.{x}").alias(f"{x}_d") for x in held])
-    nearest = star.join(center, (F.col("word") == F.col("word_d")) & fits).groupBy("c").agg(F.min(F.struct(apart.alias("apart"), F.col("c_d").alias("d"))).alias("y"))
-    near = verified(nearest.select("c", "y.d"), classes, rows, ranks, percent)
+    met_centers = F.collect_set(F.struct(apart.alias("apart"), F.col("c_d").alias("d")))  # star_words x centers at most
+    nearest = star.join(center, (F.col("word") == F.col("word_d")) & fits).groupBy("c").agg(F.slice(F.sort_array(met_centers), 1, tried).alias("y"))
+    near = verified(nearest.select("c", F.explode("y.d").alias("d")), classes, rows, ranks, percent)
 
     unsettled = staged(classes.where(F.size("prefix") > 0).join(near, "c", "left_anti"), "unsettled-lines")
     room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least  # of the shared words the first is the one they meet in

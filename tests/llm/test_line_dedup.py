@@ -87,7 +87,7 @@ def test_work_in_a_hot_group_is_linear(spark, monkeypatch):
         monkeypatch.setattr(line_module, "staged", original)
         return sum(df.count() for name, df in made if name in ("line-pairs", "line-meetings"))
 
-    few, many = pairs(300), pairs(1500)
+    few, many = pairs(200), pairs(1000)
     assert many <= 6 * few
 
 

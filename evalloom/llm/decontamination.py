@@ -1,25 +1,28 @@
 """Benchmark decontamination by template canonicalisation.
 
-Benchmark items and documents become sequences of words in which numbers, names and units are replaced with typed placeholders,
-so a question asked with other values has the same template. Every window of ``window`` template words of an item is
-hash-joined with the windows of all documents. For each (document, item) the hits are then checked for consistency: they
-must line up (same distance between the places in item and document), and along the line-up a value of the item must always
-stand for the same value of the document. An item is found in a document when enough of its windows line up consistently.
-
-A capitalised word that begins a sentence may be a name or an ordinary word, so windows with such words are hashed in two readings:
-as they stand, and with each of them as a name.
-
-A window needs ``min_words`` words that are not placeholders, so that "name number unit" says nothing by itself.
+Benchmark items and documents become sequences of words in which numbers, names and units are replaced with typed placeholders
+(neighbours of one type in a sentence are one placeholder), so a question asked with other values has the same template. Every window of ``window``
+template words of an item is hash-joined with the windows of all documents. For each (document, item) the hits are then checked
+for consistency: they must lie at about the same distance from the item's places (within ``drift`` words), and there a value of the item
+must always stand for the same value of the document. An item is found in a document when enough of its windows are hit so.
+
+Capitals do not tell names for certain, so texts are read in three ways: capitalised words are names except at the beginning of a
+sentence; there too; nowhere (which finds items retyped in other case). A window needs ``min_words`` words that are not placeholders, so
+that "name number unit" says nothing by itself. An item without usable windows, or shorter than a window, is looked for literally: its
+windows, or the one window as long as the item, hold the words and values themselves.
+
+Texts are cut into words with numpy, over many texts at once: code points are classified by a table, and words are hashed by their code points.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,178 +36,301 @@ UNITS = frozenset(
 )
 # Number words.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-# Placeholders; no word of a text has a control character in it.
-NUMBER, NAME, UNIT = "\x01N", "\x01A", "\x01U"
-_TOKEN = regex.compile(r"\d+(?:[.,:/]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?]|[$€£%°]")
+# Signs of currencies and units.
+BEFORE, AFTER = "$€£", "%°"
+PLAIN, NUMBER, NAME, UNIT = range(4)
+#: Readings of a text: names inside sentences, names at their beginnings too, no names, no placeholders at all.
+INSIDE, EVERYWHERE, NOWHERE, LITERAL = range(1, 5)
+#: Code points worked on at once, and the words that two pieces of one long text share.
+PIECE, SHARED = 1 << 18, 64
+#: Literal items of fewer words are looked for as whole texts only.
+LEAST_LITERAL = 4
+_LETTER, _DIGIT, _APOSTROPHE, _JOINER, _END, _SIGN, _UPPER = 1, 2, 4, 8, 16, 32, 64
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class bits and lower-case form of every code point."""
+    kinds = np.array([unicodedata.category(chr(i)) for i in range(0x110000)], "U2")
+    letter = np.isin(kinds.view("U1")[::2], ["L", "M"])
+    bits = letter * np.uint8(_LETTER) | (kinds == "Lu") * np.uint8(_UPPER) | (kinds == "Nd") * np.uint8(_DIGIT)
+    low = np.arange(0x110000, dtype=np.uint32)
+    for i in np.flatnonzero(np.isin(kinds, ["Lu", "Lt"])).tolist():
+        if len(c := chr(i).lower()) == 1:
+            low[i] = ord(c)
+    for signs, bit in (("'’", _APOSTROPHE), (".,:/", _JOINER), (".!?", _END), (BEFORE + AFTER, _SIGN)):
+        for c in signs:
+            bits[ord(c)] |= bit
+    low[ord("’")] = ord("'")
+    return bits, low
+
+
+@cache
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[1], np.full(n - 1, 0xD6E8FEB86659FD93, np.uint64)]).astype(np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def _summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of each run of ``values`` (which begin at ``starts`` and fill the array), its order included."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = np.diff(np.append(starts, len(values)))
+    inside = np.arange(len(values)) - np.repeat(starts, lengths)
+    return _mixed(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * _powers(1 << int(lengths.max()).bit_length())[inside], starts))
+
+
+@dataclass
+class Words:
+    """The words of several texts, one after the other."""
+
+    text: np.ndarray  #: which text a word is of
+    place: np.ndarray  #: its number in the text
+    start: np.ndarray  #: where it begins in the joined texts
+    low: np.ndarray  #: hash of its lower-cased form
+    kind: np.ndarray  #: PLAIN, NUMBER or UNIT
+    upper: np.ndarray  #: begins with a capital
+    fresh: np.ndarray  #: begins a sentence
+
+
+def _hash_of(words: str | frozenset[str]) -> np.ndarray:
+    """Sorted hashes of words as ``read`` makes them."""
+    parts = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
+    return np.sort(np.concatenate([_summed(p, np.zeros(1, np.int64)) for p in parts]))
+
+
+@cache
+def _known() -> tuple[np.ndarray, ...]:
+    return tuple(map(_hash_of, (NUMBER_WORDS, UNITS, BEFORE, AFTER)))
+
+
+def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+
+
+def read(texts: list[str]) -> Words:
+    """Words are runs of letters and marks (apostrophes inside), runs of digits (points, commas, colons, slashes inside), and signs."""
+    bits, lower = _tables()
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    cls = bits[points]
+    letter, digit = (cls & _LETTER) > 0, (cls & _DIGIT) > 0
+
+    def between(mark: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Marks with ``of`` on both sides."""
+        out = np.zeros(len(mark), bool)
+        out[1:-1] = mark[1:-1] & of[:-2] & of[2:]
+        return out
+
+    word, number = letter | between((cls & _APOSTROPHE) > 0, letter), digit | between((cls & _JOINER) > 0, digit)
+    end, sign = ((cls & _END) > 0) & ~number, (cls & _SIGN) > 0
+    new = lambda run: run & np.concatenate([[True], ~run[:-1]])
+    start = np.flatnonzero(new(word) | new(number) | end | sign) if len(points) else np.zeros(0, np.int64)
+    ends = end[start]
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    text = np.searchsorted(first, start, "right") - 1
+    fresh = np.concatenate([[True], ends[:-1] | (text[1:] != text[:-1])]) if len(start) else np.zeros(0, bool)
+    start, text, fresh = start[~ends], text[~ends], fresh[~ends]
+    held = word | number | sign
+    owner = np.cumsum(np.bincount(start, minlength=len(points)))[held] if len(start) else np.zeros(0, np.int64)
+    low = _summed(lower[points[held]], np.flatnonzero(np.diff(owner, prepend=0))) if len(start) else np.zeros(0, np.uint64)
+    numbers, units, before, after = _known()
+    is_number = digit[start] | _among(low, numbers)
+    same = np.concatenate([text[1:] == text[:-1], [False]]) if len(text) else np.zeros(0, bool)  # the next word is of the same text
+    after_number = np.concatenate([[False], (is_number & same)[:-1]]) if len(text) else same
+    before_number = np.concatenate([(is_number[1:] & same[:-1]), [False]]) if len(text) else same
+    unit = ~is_number & ((after_number & (_among(low, units) | _among(low, after))) | (before_number & _among(low, before)))
+    begins = np.searchsorted(text, np.arange(len(texts)))
+    return Words(text, np.arange(len(text)) - begins[text], start, low, np.where(is_number, NUMBER, np.where(unit, UNIT, PLAIN)), (cls[start] & _UPPER) > 0, fresh)
+
+
+@dataclass
+class Windows:
+    text: np.ndarray
+    place: np.ndarray  #: of the first word
+    hash: np.ndarray
+    check: np.ndarray  #: a second hash
+    usable: np.ndarray  #: has words enough that are not placeholders
+    first: np.ndarray  #: number of its first template word
+    size: int
+    kinds: np.ndarray  #: of all template words
+    values: np.ndarray  #: of all template words
+
+
+def windows(words: Words, reading: int, size: int, min_words: int) -> Windows:
+    """All windows of ``size`` template words of a reading, none across two texts."""
+    kind = words.kind
+    if reading == LITERAL:
+        kind = np.zeros_like(kind)
+    elif reading != NOWHERE:
+        kind = np.where((kind == PLAIN) & words.upper & (~words.fresh | (reading == EVERYWHERE)), NAME, kind)
+    begin = np.ones(len(kind), bool)
+    begin[1:] = (kind[1:] == PLAIN) | (kind[1:] != kind[:-1]) | words.fresh[1:]
+    at = np.flatnonzero(begin)
+    kinds, text, place = kind[at], words.text[at], words.place[at]
+    values = words.low[at] if len(at) == len(kind) else _summed(words.low, at)
+    shown = np.where(kinds == PLAIN, words.low[at], _mixed(kinds.astype(np.uint64) + _OTHER))
+    n = max(0, len(at) - size + 1)
+    whole = text[:n] == text[size - 1 :] if n else np.zeros(0, bool)
+    h, check, plain = np.full(n, size, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for k in range(size):
+        part = shown[k : k + n]
+        h = _mixed(h ^ part)
+        check = (check + part) * _OTHER
+        plain += kinds[k : k + n] == PLAIN
+    first = np.flatnonzero(whole)
+    return Windows(text[first], place[first], h[first].view(np.int64), check[first].view(np.int64), plain[first] >= min_words, first, size, kinds, values.view(np.int64))
 
 
-#: Lower-case words seen that are neither numbers nor units, and hashes of template words; both are emptied when they have grown.
-_PLAIN: set[str] = set()
-_HASHES: dict[str, int] = {}
-_REMEMBERED = 400_000
+def _rows(w: Windows, chosen: np.ndarray) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
+    """text, place, hash, check, kinds and values of the chosen windows."""
+    slots = w.first[chosen][:, None] + np.arange(w.size)
+    return zip(w.text[chosen].tolist(), w.place[chosen].tolist(), w.hash[chosen].tolist(), w.check[chosen].tolist(), w.kinds[slots].tolist(), w.values[slots].tolist(), strict=True)
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """Template words and, in step, the lower-cased values they stand for.
+def item_windows(items: DataFrame, window: int, min_words: int, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """item, reading, size, place, hash, check, kinds, ours (values), windows (of the item in that reading), whole. Staged.
 
-    Numbers are digits or number words; units are unit words and signs right after or before a number; names are capitalised
-    words elsewhere than at a sentence's beginning, neighbours each on their own.
+    ``whole`` marks items of fewer than LEAST_LITERAL words, which only equal a whole text. Items without words have no windows.
     """
-    return _read(text)[:2]
-
-
-def _read(text: str) -> tuple[list[str], list[str], list[int]]:
-    """``canonical`` and the places of capitalised words that begin a sentence."""
-    template: list[str] = []
-    values: list[str] = []
-    begins: list[int] = []
-    fresh = True
-    if len(_PLAIN) > _REMEMBERED:
-        _PLAIN.clear()
-    for token in _TOKEN.findall(text):
-        if token in _PLAIN:
-            template.append(token)
-            values.append(token)
-            fresh = False
-            continue
-        if token in ".!?":
-            fresh = True
-            continue
-        low = token.lower()
-        if token[0].isdigit() or low in NUMBER_WORDS:
-            kind = NUMBER
-            if template and template[-1] in "$€£":
-                template[-1] = UNIT
-        elif (low in UNITS or token in "%°") and template and template[-1] == NUMBER:
-            kind = UNIT
-        elif token in "$€£%°":
-            kind = token
-        elif not fresh and token[0].isupper():
-            kind = NAME
-        else:
-            kind = low
-            if token == low and low not in UNITS:
-                _PLAIN.add(token)
-            elif fresh and token[0].isupper():
-                begins.append(len(template))
-        template.append(kind)
-        values.append(low)
-        fresh = False
-    return template, values, begins
-
-
-def window_hashes(template: list[str], window: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 64-bit hashes of the windows that have enough words; a shorter template is one window."""
-    if not template:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(_HASHES) > _REMEMBERED:
-        _HASHES.clear()
-    for w in set(template):
-        if w not in _HASHES:
-            _HASHES[w] = xxhash.xxh64_intdigest(w) >> 1
-    words = np.fromiter(map(_HASHES.__getitem__, template), np.int64, len(template)).astype(np.uint64)
-    plain = np.ones(len(words), np.int64)
-    for kind in (NUMBER, NAME, UNIT):
-        plain[words == np.uint64(xxhash.xxh64_intdigest(kind) >> 1)] = 0
-    size = min(window, len(template))
-    n = len(template) - size + 1
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    counts = np.convolve(plain, np.ones(size, np.int64), "valid")
-    places = np.flatnonzero(counts >= min(min_words, size))
-    return places, out[places].view(np.int64)
-
-
-def second_reading(template: list[str], begins: list[int], window: int, min_words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The template with the words at ``begins`` as names; places and hashes of its usable windows that hold one of them."""
-    if not begins:
-        return template, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    other, held = list(template), np.zeros(len(template) + 1, np.int64)
-    for i in begins:
-        other[i] = NAME
-        held[i + 1] = 1
-    places, hashes = window_hashes(other, window, min_words)
-    upto = np.cumsum(held)
-    here = upto[np.minimum(places + window, len(template))] > upto[places]
-    return other, places[here], hashes[here]
-
-
-def item_windows(items: DataFrame, window: int, min_words: int, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """item, place, hash, values (of the window), windows (usable windows of the item), second (read with names at sentence beginnings). Staged."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                template, values, begins = _read(text)
-                places, hashes = window_hashes(template, window, min_words)
-                other, *more = second_reading(template, begins, window, min_words)
-                for words, at, found, second in ((template, places, hashes, False), (other, *more, True)):
-                    rows += [(item, p, h, values[p : p + window], words[p : p + window], len(places), second) for p, h in zip(at.tolist(), found.tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "place", "hash", "item_values", "item_template", "windows", "second"])
+                words, found = read([text]), False
+                for reading in (INSIDE, EVERYWHERE, NOWHERE):
+                    w = windows(words, reading, window, min_words)
+                    chosen = np.flatnonzero(w.usable)
+                    found |= reading == INSIDE and len(chosen) > 0
+                    rows += [(item, reading, window, p, h, c, k, v, len(chosen), False) for _, p, h, c, k, v in _rows(w, chosen)]
+                if not found and len(words.low):
+                    size = min(window, len(words.low))
+                    w = windows(words, LITERAL, size, 0)
+                    rows += [(item, LITERAL, size, p, h, c, k, v, len(w.text), size < LEAST_LITERAL) for _, p, h, c, k, v in _rows(w, np.arange(len(w.text)))]
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "reading", "size", "place", "hash", "check", "kinds", "ours", "windows", "whole"])
 
     rows = items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("item"), text_of(text_column).alias("text"))
-    return staged(rows.mapInArrow(cut, "item long, place long, hash long, item_values array<string>, item_template array<string>, windows long, second boolean"), "item-windows")
+    schema = "item long, reading long, size long, place long, hash long, check long, kinds array<long>, ours array<long>, windows long, whole boolean"
+    return staged(rows.mapInArrow(cut, schema), "item-windows")
+
+
+@dataclass
+class _Filter:
+    """Sorted hashes, and a table of bits that tells most others apart at once."""
+
+    keys: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> _Filter:
+        bits = np.zeros(1 << max(16, int(len(keys) * 64).bit_length()), bool)
+        bits[keys & (len(bits) - 1)] = True
+        return cls(np.sort(keys), bits)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.bits[h & (len(self.bits) - 1)])
+        return maybe[_among(h[maybe], self.keys)]
+
+
+def document_windows(texts: list[str], shapes: list[tuple[int, int]], min_words: int, wanted: _Filter | None) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
+    """text, place, hash, check, reading, values, words (of the text) of all windows that may be wanted."""
+
+    def found(words: Words, base: int, owner: int | None, total: np.ndarray) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
+        for reading, size in shapes:
+            w = windows(words, reading, size, 0 if reading == LITERAL else min_words)
+            chosen = np.flatnonzero(w.usable) if wanted is None else wanted.places(w.hash)
+            chosen = chosen[w.usable[chosen]]
+            for i, p, h, c, _, v in _rows(w, chosen):
+                yield (i if owner is None else owner), p + base, h, c, reading, v, int(total[i])
+
+    held: list[str] = []
+    first, size = 0, 0
+    for i, text in enumerate([*texts, None]):
+        if held and (text is None or size + len(text) > PIECE):
+            words = read(held)
+            for x in found(words, 0, None, np.bincount(words.text, minlength=len(held))):
+                yield (x[0] + first, *x[1:])
+            held, size = [], 0
+        if text is None:
+            return
+        if len(text) <= PIECE:
+            first = first if held else i
+            held.append(text)
+            size += len(text) + 1
+            continue
+        base, a = 0, 0
+        while a < len(text):
+            b = min(len(text), a + PIECE)
+            if b < len(text):  # between two words, if there is a gap
+                b = max(text.rfind(" ", a + PIECE // 2, b), text.rfind("\n", a + PIECE // 2, b)) + 1 or b
+            words = read([text[a:b]])
+            yield from found(words, base, i, np.array([len(words.low) + PIECE]))
+            if b == len(text):
+                break
+            back = max(0, len(words.start) - SHARED)
+            step = int(words.start[back]) if 0 < back else b - a
+            base, a = base + (back if 0 < back else len(words.start)), a + step
 
 
 def find_items(
-    docs: DataFrame, items: DataFrame, window: int = 8, min_words: int = 5, coverage: float = 0.5, max_filter: int = 4_000_000, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, items: DataFrame, window: int = 8, min_words: int = 5, coverage: float = 0.5, drift: int = 8, max_filter: int = 4_000_000, id_column: str = "doc_id", text_column: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents (row, doc_id, text_hash) and pairs row, item, hits (item windows that line up), windows.
+    """Documents (row, doc_id, text_hash, size) and pairs row, item, hits (item windows that line up), windows.
 
-    ``row`` numbers the input rows. A pair counts when ``coverage`` of the item's windows are hit on one consistent line-up. If the
+    ``row`` numbers the input rows. A pair counts when ``coverage`` of the item's windows, in one reading or in all together, are hit on a consistent
+    line-up: the distance of the places in document and item varies by ``drift`` words at most. If the
     items have at most ``max_filter`` different hashes these are broadcast, and a document's other windows are left out
-    before the join; with more, all windows are joined. Items without usable windows are never found.
+    before the join; with more, all windows are joined. Items without any word are never found.
     """
     spark = docs.sparkSession
     cut_items = item_windows(items, window, min_words)
     hashes = cut_items.select("hash").distinct()
+    shapes = sorted((r.reading, r.size) for r in cut_items.select("reading", "size").distinct().collect())  # three, and one for each literal size
     few = hashes.limit(max_filter + 1).count() <= max_filter
-    wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["hash"].to_numpy(np.int64)) if few else None)
+    wanted = spark.sparkContext.broadcast(_Filter.of(hashes.toPandas()["hash"].to_numpy(np.int64)) if few else None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = wanted.value
         for batch in batches:
-            rows = []
-            for row, doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text_hash")), batch.column("text"), strict=True):
-                template, values, begins = _read(text.as_py())
-                places, found = window_hashes(template, window, min_words)
-                _, *more = second_reading(template, begins, window, min_words)
-                places, found = np.concatenate([places, more[0]]), np.concatenate([found, more[1]])
-                if keep is not None and len(found):
-                    at = np.minimum(np.searchsorted(keep, found), max(0, len(keep) - 1))
-                    here = keep[at] == found if len(keep) else np.zeros(len(found), bool)
-                    places, found = places[here], found[here]
-                rows.append((row, doc_id, key, None, None, None))  # the document itself
-                rows += [(row, None, None, p, h, values[p : p + window]) for p, h in zip(places.tolist(), found.tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "text_hash", "at", "hash", "doc_values"])
-
-    numbered = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    read = staged(numbered.mapInArrow(cut, "row long, doc_id long, text_hash long, at long, hash long, doc_values array<string>"), "doc-windows")
-    documents, windows = read.where("hash IS NULL").select("row", "doc_id", "text_hash"), read.where("hash IS NOT NULL").select("row", "at", "hash", "doc_values")
-    hits = windows.join(cut_items, "hash").withColumn("line", F.col("at") - F.col("place"))
-    slots = F.filter(F.arrays_zip("item_template", "item_values", "doc_values"), lambda s: s["item_template"].startswith("\x01"))
-    # a line-up is judged on the first reading alone and on both: a name that fails in the second does not undo the first
-    hits = hits.withColumn("line", F.explode(F.when(F.col("second"), F.array(F.struct("line", F.lit(True).alias("both")))).otherwise(F.array(*[F.struct("line", F.lit(x).alias("both")) for x in (False, True)]))))
-    lines = hits.select("row", "item", "line", "place", "windows", F.transform(slots, lambda s: F.struct(F.concat(s["item_template"], s["item_values"]).alias("ours"), s["doc_values"].alias("theirs"))).alias("slots"))
-    found = lines.groupBy("row", "item", "line", "windows").agg(F.countDistinct("place").alias("hits"))
-    found = found.where(F.col("hits") >= F.ceil(F.col("windows") * F.lit(coverage)))
+            numbers, ids, keys, sizes = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text_hash", "size"))
+            rows = [(*document, None, None, None, None, None, None) for document in zip(numbers, ids, keys, sizes, strict=True)]  # the documents themselves
+            rows += [(numbers[i], None, None, words, p, h, c, reading, v, True) for i, p, h, c, reading, v, words in document_windows(batch.column("text").to_pylist(), shapes, min_words, wanted.value)]
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [pa.int64()] * 8 + [pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "doc_id", "text_hash", "size", "at", "hash", "check", "reading", "theirs", "window"])
+
+    text = text_of(text_column)
+    numbered = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text")).withColumns({"text_hash": F.xxhash64("text"), "size": F.octet_length("text").cast("long"), "row": F.monotonically_increasing_id()})
+    schema = "row long, doc_id long, text_hash long, size long, at long, hash long, check long, reading long, theirs array<long>, window boolean"
+    cut_docs = staged(numbered.mapInArrow(cut, schema), "doc-windows")
+    documents = cut_docs.where("window IS NULL").select("row", "doc_id", "text_hash", "size")
+    held = cut_docs.where("window").select("row", F.col("size").alias("words"), "at", "hash", "check", "reading", "theirs")
+    hits = held.join(cut_items, ["hash", "check", "reading"]).where("NOT whole OR words = size")
+    most = cut_items.groupBy("item").agg(F.max("windows").alias("most"))
+    line = F.floor((F.col("at") - F.col("place")) / drift)  # a line-up lies in one band of twice the drift at least
+    hits = hits.join(F.broadcast(most), "item") if few else hits.join(most, "item")
+    judged = F.array(F.struct("reading", "windows"), F.struct(F.lit(0).cast("long").alias("reading"), F.col("most").alias("windows")))
+    slots = F.filter(F.arrays_zip("kinds", "ours", "theirs"), lambda s: s["kinds"] > 0)
+    lines = hits.select("row", "item", "place", slots.alias("slots"), F.explode(F.array(line, line + 1)).alias("band"), judged.alias("judged"))
+    lines = lines.select("row", "item", "place", "slots", "band", F.explode("judged").alias("j")).select("row", "item", "place", "slots", "band", "j.*")
+    key = ["row", "item", "band", "reading"]
+    found = lines.groupBy(*key, "windows").agg(F.countDistinct("place").alias("hits")).where(F.col("hits") >= F.ceil(F.col("windows") * F.lit(coverage)))
     clash = (  # a value of the item that stands for two values of the document on one line-up
-        lines.join(found.select("row", "item", "line"), ["row", "item", "line"], "left_semi")
-        .select("row", "item", "line", F.explode("slots").alias("s"))
-        .groupBy("row", "item", "line", "s.ours")
+        lines.join(found.select(*key), key, "left_semi")
+        .select(*key, F.explode("slots").alias("s"))
+        .groupBy(*key, "s.kinds", "s.ours")
         .agg(F.min("s.theirs").alias("least"), F.max("s.theirs").alias("most"))
         .where("least <> most")
-        .select("row", "item", "line")
+        .select(*key)
         .distinct()
     )
-    return documents, found.join(clash, ["row", "item", "line"], "left_anti").groupBy("row", "item", "windows").agg(F.max("hits").alias("hits"))
+    return documents, found.join(clash, key, "left_anti").groupBy("row", "item").agg(F.max("hits").alias("hits"), F.max("windows").alias("windows"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: float) -> DataFrame:
@@ -225,7 +351,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: float) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    Null and empty texts are clean and stay; equal texts stay or go together, repeated rows as often as they occur. An empty table stays empty.
+    Columns may have any names.
+    """
     documents, pairs = find_items(docs, items, id_column=id_column, text_column=text_column, **options)
-    found = documents.join(pairs.select("row").distinct(), "row", "left_semi").select("text_hash").distinct()
-    return docs.withColumn("_hash", F.xxhash64(text_of(text_column))).join(found, F.col("_hash") == F.col("text_hash"), "left_anti").drop("_hash")
+    found = documents.join(pairs.select("row").distinct(), "row", "left_semi").select("text_hash", "size").distinct()
+    text = text_of(text_column)
+    keyed = docs.select(F.struct("*").alias("held"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("long").alias("size"))
+    return keyed.join(found, ["text_hash", "size"], "left_anti").select("held.*")

@@ -1,44 +1,100 @@
 import random
 
 import pytest
+import regex
 
 from evalloom.llm import decontamination as d
 
-SCHEMA = "doc_id long, text string, item string, hash long, row string"
+SCHEMA = "doc_id long, text string, item string, hash long, row string, _hash int, text_hash int, size int, held int"
+MORE = ("x", 1, "r", 2, 3, 4, 5)
 ITEMS = [
     (1, "Tom has 3 apples and buys 4 more apples. How many apples does Tom have after he eats 3 of them today?"),
     (2, "A train runs at $5 per km for 12 miles towards the big town near Paris and then stops there."),
     (3, None),
     (4, "short item"),
+    (5, "Who wrote War and Peace in 1869"),
+    (6, "Add 12 and 15 and 18 and 21 and 24"),
     (None, "an item without any identifier at all is never looked for in here"),
 ]
+TOKEN = regex.compile(r"\d+(?:[.,:/]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?]|[$€£%°]")
+KINDS = {d.PLAIN: "", d.NUMBER: "<number>", d.NAME: "<name>", d.UNIT: "<unit>"}
 
 
-def test_templates():
-    template, values = d.canonical("Then Ann paid $3.50 for two kg. And Bob? 5% of it")
-    assert template == ["then", d.NAME, "paid", d.UNIT, d.NUMBER, "for", d.NUMBER, d.UNIT, "and", d.NAME, d.NUMBER, d.UNIT, "of", "it"]
-    assert values == ["then", "ann", "paid", "$", "3.50", "for", "two", "kg", "and", "bob", "5", "%", "of", "it"]
-    assert d.canonical("") == ([], [])
+def template(text, reading):
+    """Words one by one: (place, kind, word or joined values)."""
+    found, fresh = [], True
+    for token in TOKEN.findall(text):
+        if token in ".!?":
+            fresh = True
+            continue
+        found.append([token, token.lower().replace("’", "'"), fresh])
+        fresh = False
+    number = [t[0].isdigit() or low in d.NUMBER_WORDS for t, low, _ in found]
+    out = []
+    for i, (token, low, fresh) in enumerate(found):
+        kind = d.PLAIN
+        if reading == d.LITERAL:
+            pass
+        elif number[i]:
+            kind = d.NUMBER
+        elif (i and number[i - 1] and (low in d.UNITS or low in "%°")) or (i + 1 < len(found) and number[i + 1] and low in "$€£"):
+            kind = d.UNIT
+        elif reading != d.NOWHERE and token[0].isupper() and (reading == d.EVERYWHERE or not fresh):
+            kind = d.NAME
+        if out and kind != d.PLAIN and out[-1][1] == kind and not fresh:
+            out[-1] = (out[-1][0], kind, f"{out[-1][2]} {low}")
+        else:
+            out.append((i, kind, low))
+    return out, len(found)
+
 
+def cut(text, reading, size, least):
+    words, n = template(text, reading)
+    for i in range(len(words) - size + 1):
+        part = words[i : i + size]
+        if sum(k == d.PLAIN for _, k, _ in part) >= least:
+            yield part[0][0], tuple(KINDS[k] or v for _, k, v in part), [(k, v) for _, k, v in part]
 
-def brute(text, window=8, min_words=5, coverage=0.5):
-    found = []
-    template, values = d.canonical(text or "")
-    for item, body in ITEMS:
-        if item is None:
+
+def brute(text, items, window=8, min_words=5, coverage=0.5, drift=8):
+    text, found = text or "", []
+    for item, body in items:
+        if item is None or not body:
             continue
-        ours, mine = d.canonical(body or "")
-        size = min(window, len(ours))
-        usable = [i for i in range(len(ours) - size + 1) if size and sum(w[0] != "\x01" for w in ours[i : i + size]) >= min(min_words, size)]
-        for line in range(-len(ours), len(template)):
-            hits = [i for i in usable if i + line >= 0 and (template[i + line : i + line + size] == ours[i : i + size]) and (size == window or len(template) == size)]
-            if not usable or len(hits) < max(1, -(-len(usable) * coverage // 1)):
+        ours = {r: list(cut(body, r, window, min_words)) for r in (1, 2, 3)}
+        size, least = window, min_words
+        if not ours[1]:
+            n = template(body, d.LITERAL)[1]
+            ours[d.LITERAL] = list(cut(body, d.LITERAL, size := min(window, n), 0))
+            if size < d.LEAST_LITERAL and template(text, d.LITERAL)[1] != size:
                 continue
-            pairs = {(ours[i + k], mine[i + k], values[i + line + k]) for i in hits for k in range(size) if ours[i + k][0] == "\x01"}
-            if len({p[:2] for p in pairs}) == len(pairs):
-                found.append(item)
-                break
-    return sorted(found)
+        hits = []
+        for r, mine in ours.items():
+            theirs = list(cut(text, r, size if r == d.LITERAL else window, 0 if r == d.LITERAL else least))
+            hits += [(r, p, (q - p) // drift, list(zip(v, w, strict=True))) for p, k, v in mine for q, j, w in theirs if j == k]
+        need = {r: len(mine) for r, mine in ours.items() if mine}
+        for reading, n in [*need.items(), (0, max(need.values(), default=0))]:
+            for band in {b + e for _, _, b, _ in hits for e in (0, 1)}:
+                own = [h for h in hits if reading in (0, h[0]) and band in (h[2], h[2] + 1)]
+                pairs = {(a, b) for h in own for (a, b) in h[3] if a[0] != d.PLAIN}
+                if n and len({h[1] for h in own}) >= -(-n * coverage // 1) and len({a for a, _ in pairs}) == len(pairs):
+                    found.append(item)
+    return sorted(set(found))
+
+
+@pytest.mark.parametrize("reading", [1, 2, 3, 4])
+def test_templates(reading):
+    text = "Then Ann Lee paid $3.50 for two kg. And Bob’s? 5% of it, ÉTÉ x1y 1,000.5. ǅ"
+    words = d.read([text, "", "and so on. Zed 3 km"])
+    want = [[*template(text, reading)[0]], [], [*template("and so on. Zed 3 km", reading)[0]]]
+    w = d.windows(words, reading, 1, 0)
+    for i, rows in enumerate(want):
+        own = w.text == i
+        assert w.place[own].tolist() == [r[0] for r in rows]
+        assert w.kinds[w.first[own]].tolist() == [r[1] for r in rows]
+    shown = [KINDS[k] or v for rows in want for _, k, v in rows]
+    assert len(set(zip(w.hash.tolist(), shown))) == len(set(shown)) == len(set(w.hash.tolist()))
+    assert len(d.windows(d.read([""]), reading, 8, 5).text) == 0
 
 
 @pytest.fixture(scope="module")
@@ -53,21 +109,37 @@ def docs():
         "A TRAIN runs at €9 per km for 44 miles towards the big town near Rome and then stops there.",
         fill(400), "", None, "short item", "Short item!", "a short item indeed", f"{ITEMS[0][1]} {ITEMS[1][1]}",
         f"{fill(60_000)} . {ITEMS[1][1]}",
+        ITEMS[1][1].replace("12", "twenty five").replace("Paris", "New York"),
+        ITEMS[1][1].replace("towards", "straight towards"),
+        ITEMS[0][1].lower(), ITEMS[1][1].upper(), f"Do you know who wrote war and peace in 1869, {fill(9)}", f"{fill(9)} add 12 and 15 and 18 and 21 and 24 {fill(9)}", "add 1 and 2 and 3 and 4 and 5",
     ]
-    return [(i, t, "x", 1, "r") for i, t in enumerate(texts)] + [(0, texts[4], "x", 1, "r"), (0, texts[0], "x", 1, "r"), (None, texts[1], "x", 1, "r")]
+    return [(i, t, *MORE) for i, t in enumerate(texts)] + [(0, texts[4], *MORE), (0, texts[0], *MORE), (None, texts[1], *MORE)]
 
 
 @pytest.mark.parametrize("max_filter", [0, 1000])
 def test_matches_brute_force(spark, docs, max_filter):
     items = spark.createDataFrame([(*x, "a", 1) for x in ITEMS] + [(1, ITEMS[0][1], "a", 1)], "item_id long, text string, doc_id string, row long")
     df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    want = {r[1]: brute(r[1], ITEMS) for r in docs}
     got = sorted(((r.doc_id, r.contaminated, r.kept, r.n_items, list(r.item_ids)) for r in d.decontaminate(df, items, max_filter=max_filter).collect()), key=str)
-    want = [(r[0], bool(f := brute(r[1])), not f, len(f), f) for r in docs]
-    assert got == sorted(want, key=str)
-    assert brute(docs[1][1]) == [1] and brute(docs[2][1]) == [] and brute(docs[3][1]) == [2] and brute(docs[7][1]) == [4]
+    assert got == sorted(((r[0], bool(f := want[r[1]]), not f, len(f), f) for r in docs), key=str)
+    found = [want[r[1]] for r in docs]
+    assert [found[i] for i in (1, 2, 3, 7, 9, 11)] == [[1], [], [2], [4], [], [2]]
+    assert [found[i] for i in (12, 13, 14, 15, 16, 17, 18)] == [[2], [2], [1], [2], [5], [6], []]
     kept = d.drop_contaminated(df, items, max_filter=max_filter)
     assert kept.columns == df.columns
-    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if not brute(r.text))
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if not want[r.text])
+
+
+def test_a_long_text_is_cut_into_pieces_that_share_words(monkeypatch):
+    random.seed(3)
+    text = " ".join(random.choices(["alpha", "Beta", "12", "km", "gamma.", "délta"], k=3000))
+    shapes = [(1, 8), (2, 8), (3, 8)]
+    whole = {(r, p, h, c) for _, p, h, c, r, _, _ in d.document_windows([text], shapes, 5, None)}
+    monkeypatch.setattr(d, "PIECE", 2000)
+    parts = {(r, p, h, c) for _, p, h, c, r, _, _ in d.document_windows(["x", text, "y"], shapes, 5, None)}
+    assert whole <= parts and len(parts - whole) < 0.02 * len(whole)
+    assert list(d.document_windows(["a" * 9000, ""], shapes, 5, None)) == []
 
 
 def test_empty_tables(spark, docs):
@@ -82,6 +154,6 @@ def test_names_at_sentence_beginnings(spark):
     asked = item.replace("Natalia", "Maria").replace("4", "5")
     texts = [item, asked, f"We saw it in May. {asked} The end.", "", "Maria has 5 red crates. The rest is about other things in the town."]
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    df = spark.createDataFrame([(i, t, "x", 1, "r") for i, t in enumerate(texts)], SCHEMA)
+    df = spark.createDataFrame([(i, t, *MORE) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.contaminated for r in d.decontaminate(df, items).collect()}
     assert [got[i] for i in (0, 1, 2, 4)] == [True, True, True, False]

@@ -6,9 +6,10 @@ likely as the number of different bytes seen there) and is coded one context sho
 longer context are excluded. Below order 0 the bytes left over are equally likely.
 
 Counting runs on Spark: tasks emit sums for their rows, and one aggregation adds them up, so what it gathers grows
-with the corpus. The trie is pretrained and fixed while scoring, so all its probabilities are looked up for
-whole batches at once. It has a memory bound in nodes, like every PPM: when a corpus has more, the rarest
-nodes are left out, which shortens contexts but leaves every text scored in full.
+with the corpus. The trie is pretrained, fixed while scoring, and kept whole as tables: nodes (context, byte) and contexts of every
+order. The most frequent nodes of the longest contexts are broadcast with their probabilities, a bounded number; the workers score
+most bytes with them at once. Bytes not among them (rare nodes, and all that need an escape) leave as (row, code) with
+the times they occur; each different code is looked up in the tables by joins, order by order, so no node is lost at any size.
 
 Words and one end a text are the events: the bytes scored are those of the words, lower-cased in A-Z, joined by
 spaces, with a line feed as end. A text's probability is thus comparable with that of a unigram model.
@@ -110,75 +111,9 @@ class Index:
         return found
 
 
-@dataclass
-class _Level:
-    """Nodes of one order: counts of (context, byte), and per context its total, its number of bytes, and the
-    total that those bytes have one order below (what exclusion takes away there)."""
-
-    nodes: Index
-    count: np.ndarray
-    direct: np.ndarray
-    contexts: Index
-    total: np.ndarray
-    kinds: np.ndarray
-    excluded: np.ndarray
-
-
-class PPM:
-    def __init__(self, order: int, nodes: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """nodes: for each order from 0 on, codes of (context, byte) and their counts. A node's shorter form
-        must be there too, with a count as large at least."""
-        self.order, self.levels = order, []
-        for k in range(order + 1):
-            codes, counts = nodes.get(k, (np.zeros(0, _DTYPE), np.zeros(0, np.int64)))
-            codes = codes.astype(_DTYPE)
-            contexts, place = np.unique(codes >> np.uint64(8), return_inverse=True)
-            total = np.bincount(place, weights=counts, minlength=len(contexts))
-            kinds = np.bincount(place, minlength=len(contexts)).astype(float)
-            excluded = np.zeros(len(contexts))
-            if k:
-                below = self.levels[-1]
-                excluded = np.bincount(place, weights=below.count[below.nodes.find(codes & self._mask(k - 1))], minlength=len(contexts))
-            direct = np.log10(counts / (total + kinds)[place]) if len(codes) else np.zeros(0)
-            self.levels.append(_Level(Index(codes), counts.astype(float), direct, Index(contexts), total, kinds, excluded))
-
-    @staticmethod
-    def _mask(k: int) -> np.uint64:
-        return np.uint64((1 << 8 * (k + 1)) - 1)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each code after the bytes before it."""
-        out = np.zeros(len(codes))
-        top = self.levels[self.order]
-        node = top.nodes.find(codes)
-        hit = node >= 0
-        out[hit] = top.direct[node[hit]]
-        left = np.flatnonzero(~hit)
-        codes = codes[left]
-        gone, gone_kinds = np.zeros(len(left)), np.zeros(len(left))
-        for k in range(self.order, -1, -1):
-            level, code = self.levels[k], codes & self._mask(k)
-            if k < self.order:
-                node = level.nodes.find(code)
-            else:
-                node = np.full(len(left), -1)
-            context = level.contexts.find(code >> np.uint64(8))
-            seen = context >= 0
-            rest = np.where(seen, level.total[context] - gone + level.kinds[context] - gone_kinds, 0.0) if len(level.total) else np.zeros(len(left))
-            hit = (node >= 0) & seen
-            out[left[hit]] += np.log10(level.count[node[hit]] / rest[hit])
-            miss = seen & ~hit & (rest > 0)
-            out[left[miss]] += np.log10((level.kinds[context[miss]] - gone_kinds[miss]) / rest[miss])
-            gone[seen], gone_kinds[seen] = level.excluded[context[seen]], level.kinds[context[seen]]
-            stay = ~hit
-            left, codes, gone, gone_kinds = left[stay], codes[stay], gone[stay], gone_kinds[stay]
-        out[left] -= np.log10(np.maximum(256 - gone_kinds, 1))
-        return out
-
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        codes, sizes = events(texts, self.order)
-        return np.add.reduceat(self.log10(codes), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)) if len(texts) else np.zeros(0)
+def mask(k: int) -> int:
+    """Bits of a code's last ``k`` context bytes and its byte."""
+    return (1 << 8 * (k + 1)) - 1
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -237,32 +172,60 @@ def count_cut(df: DataFrame, limit: int) -> int:
     return 1
 
 
-def nodes_of(counted: DataFrame, order: int, max_nodes: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The trie's nodes: every order's sums (worked out on the cluster), at most ``max_nodes`` brought together."""
+@dataclass
+class Trie:
+    """Tables of all orders k. nodes: k, code, n, direct (log10 probability in its own context). contexts: k, context, total (of its bytes'
+    counts), kinds (different bytes), excluded (what those bytes have one order below)."""
+
+    order: int
+    nodes: DataFrame
+    contexts: DataFrame
+
+    def log10(self, codes: DataFrame) -> DataFrame:
+        """code, log: log10 probability of the last byte of each different ``code`` after the bytes before it."""
+        left = codes.select("code", *[F.lit(0.0).alias(x) for x in ("log", "gone", "gone_kinds")], F.lit(False).alias("done"))
+        for k in range(self.order, -1, -1):
+            short = F.col("code").bitwiseAND(F.lit(mask(k)))
+            nodes = self.nodes.where(F.col("k") == k).select(F.col("code").alias("short"), "n")
+            contexts = self.contexts.where(F.col("k") == k).select("context", "total", "kinds", "excluded")
+            left = left.withColumn("short", short).withColumn("context", F.shiftright("short", 8)).join(contexts, "context", "left").join(nodes, "short", "left")
+            seen, hit = F.col("total").isNotNull() & ~F.col("done"), F.col("n").isNotNull() & ~F.col("done")
+            rest = F.col("total") - F.col("gone") + F.col("kinds") - F.col("gone_kinds")
+            step = F.when(hit, F.log10(F.col("n") / rest)).when(seen & (rest > 0), F.log10((F.col("kinds") - F.col("gone_kinds")) / rest)).otherwise(F.lit(0.0))
+            after = lambda own, held: F.when(seen, F.col(own)).otherwise(F.col(held))  # noqa: B023, E731
+            left = left.select("code", (F.col("log") + step).alias("log"), after("excluded", "gone").alias("gone"), after("kinds", "gone_kinds").alias("gone_kinds"), (F.col("done") | hit).alias("done"))
+        return left.select("code", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") - F.log10(F.greatest(256 - F.col("gone_kinds"), F.lit(1.0)))).alias("log"))
+
+
+def trie_of(counted: DataFrame, order: int) -> Trie:
+    """All nodes and contexts, from the sums of the longest codes. Staged."""
     top = counted.where("kind = 0")
     levels = None
     for k in range(order + 1):
-        level = top if k == order else top.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+        level = top if k == order else top.groupBy(F.col("code").bitwiseAND(F.lit(mask(k))).alias("code")).agg(F.sum("n").alias("n"))
         level = level.select(F.lit(k).alias("k"), "code", "n")
         levels = level if levels is None else levels.unionByName(level)
     levels = staged(levels, "ppm-levels")
-    found = levels.where(F.col("n") >= count_cut(levels, max_nodes)).toArrow()
-    k, code, n = (found.column(c).to_numpy() for c in ("k", "code", "n"))
-    return {i: (code[k == i].astype(_DTYPE), n[k == i]) for i in range(order + 1)}
+    cut_by = F.element_at(F.array(*[F.lit(mask(k)) for k in range(order + 1)]), F.greatest(F.col("k"), F.lit(1)))  # the mask one order below
+    below = levels.select((F.col("k") + 1).alias("k"), F.col("code").alias("short"), F.col("n").alias("n_below"))
+    joined = levels.withColumn("short", F.col("code").bitwiseAND(cut_by)).join(below, ["k", "short"], "left")
+    sums = [F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("kinds"), F.coalesce(F.sum("n_below"), F.lit(0)).cast("double").alias("excluded")]
+    contexts = staged(joined.groupBy("k", F.shiftright("code", 8).alias("context")).agg(*sums), "ppm-contexts")
+    return Trie(order, levels, contexts)
 
 
-#: The model this process built last, under the name of its broadcast; a worker runs many tasks.
-_BUILT: dict[str, tuple[PPM, Index]] = {}
+#: The head this process built last, under the name of its broadcast; a worker runs many tasks.
+_BUILT: dict[str, tuple[Index, Index]] = {}
 
 
-def built(name: str, order: int, nodes: dict[int, tuple[np.ndarray, np.ndarray]], words: np.ndarray) -> tuple[PPM, Index]:
+def built(name: str, codes: np.ndarray, words: np.ndarray) -> tuple[Index, Index]:
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = PPM(order, nodes), Index(words)
+        _BUILT[name] = Index(codes), Index(words)
     return _BUILT[name]
 
 
-def score_texts(docs: DataFrame, train: Column, order: int = 5, max_nodes: int = 4_000_000, head_words: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, order: int = 5, head_nodes: int = 2_000_000, head_words: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` (a boolean column) picks the rows that model and unigram counts are learned from; all their bytes
@@ -270,9 +233,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = 5, max_nodes: int =
     unigram's: sum over tokens of log10((c + 1) / (N + V + 1)). A null text is empty: one token, the end. Repeated rows
     are learned from and scored as often as they occur. Words are told apart by 64-bit hashes.
 
-    Two things are broadcast, both bounded: the trie (``max_nodes`` nodes) and the counts of the ``head_words`` most
-    frequent words. Counts of rarer words are joined, a row for each document and rare word. No training rows:
-    bytes are equally likely and every word is new. Other columns are not read.
+    Two things are broadcast, both bounded: probabilities of the ``head_nodes`` most frequent nodes of the longest contexts, and counts of the
+    ``head_words`` most frequent words. The rest is joined: a row for each document and rare word, or rare code; results do not depend on
+    either number. No training rows: bytes are equally likely and every word is new. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -282,14 +245,20 @@ def score_texts(docs: DataFrame, train: Column, order: int = 5, max_nodes: int =
     n_all, kinds = totals.n or 0, totals.v
     cut = count_cut(vocabulary, head_words)
     head = vocabulary.where(F.col("n") >= cut).toArrow()
+    trie = trie_of(counted, order)
+    top = counted.where("kind = 0").select("code", "n")
+    own = trie.contexts.where(F.col("k") == order).select("context", "total", "kinds")
+    frequent = top.where(F.col("n") >= count_cut(top, head_nodes)).withColumn("context", F.shiftright("code", 8)).join(own, "context")
+    nodes = frequent.select("code", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("direct")).toArrow()
     name = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((nodes_of(counted, order, max_nodes), head.column("word").to_numpy().astype(_DTYPE), head.column("n").to_numpy()))
+    shared = spark.sparkContext.broadcast((nodes.column("code").to_numpy().astype(_DTYPE), nodes.column("direct").to_numpy(), head.column("word").to_numpy().astype(_DTYPE), head.column("n").to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, head_words, head_counts = shared.value
-        model, index = built(name, order, nodes, head_words)
+        head_codes, direct, head_keys, head_counts = shared.value
+        codes_at, words_at = built(name, head_codes, head_keys)
         for batch in batches:
             for first, texts in pieces(batch, "text", SCORE_PIECE):
+                n = len(texts)
                 keys: dict[bytes, int] = {}
                 owner, key, times = [], [], []
                 for i, tokens in enumerate(texts):
@@ -299,36 +268,46 @@ def score_texts(docs: DataFrame, train: Column, order: int = 5, max_nodes: int =
                     times += bag.values()
                     key += [keys[w] if w in keys else keys.setdefault(w, word_key(w)) for w in bag]
                 owner, key, times = np.array(owner), np.array(key, np.int64), np.array(times, np.int64)
-                at = index.find(key.astype(_DTYPE))
+                at = words_at.find(key.astype(_DTYPE))
                 known = at >= 0
-                log = np.bincount(owner[known], weights=times[known] * np.log10(head_counts[at[known]] + 1.0), minlength=len(texts))
-                held = np.bincount(owner[known], weights=times[known], minlength=len(texts)).astype(np.int64)
-                ends = np.cumsum(np.bincount(owner[~known], minlength=len(texts)))
-                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                columns = {
-                    "doc_id": batch.column("doc_id").slice(first, len(texts)),
-                    "n_tokens": pa.array([len(t) + 1 for t in texts], pa.int64()),
-                    "head_known": pa.array(held),
-                    "head_log": pa.array(log.astype(float)),
-                    "score": pa.array(model.score(texts)),
-                    "tail": pa.ListArray.from_arrays(offsets, pa.array(key[~known])),
-                    "times": pa.ListArray.from_arrays(offsets, pa.array(times[~known])),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    schema = "doc_id long, n_tokens long, head_known long, head_log double, score double, tail array<long>, times array<long>"
+                codes, sizes = events(texts, order)
+                whose = np.repeat(np.arange(n), sizes)
+                place = codes_at.find(codes)
+                hit = place >= 0
+                rare, rare_times = np.unique(np.stack([whose[~hit].astype(_DTYPE), codes[~hit]], 1), axis=0, return_counts=True)
+
+                def lists(owners: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owners.astype(np.int64), minlength=n))]), pa.int32())  # noqa: B023
+                    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+                columns = [
+                    batch.column("doc_id").slice(first, n),
+                    pa.array([len(t) + 1 for t in texts], pa.int64()),
+                    pa.array(np.bincount(owner[known], weights=times[known], minlength=n).astype(np.int64)),
+                    pa.array(np.bincount(owner[known], weights=times[known] * np.log10(head_counts[at[known]] + 1.0), minlength=n).astype(float)),
+                    pa.array(np.bincount(whose[hit], weights=direct[place[hit]], minlength=n).astype(float)),
+                    *lists(owner[~known], key[~known], times[~known]),
+                    *lists(rare[:, 0], rare[:, 1].astype(np.int64), rare_times.astype(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
+
+    schema = "doc_id long, n_tokens long, head_known long, head_log double, head_score double, tail array<long>, times array<long>, codes array<long>, code_times array<long>"
     scored = staged(rows.select("doc_id", "text").mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "ppm-scores")
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     rare = tail.join(vocabulary.where(F.col("n") < cut), "word").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_log"))
+    codes = scored.select("row", F.explode(F.arrays_zip("codes", "code_times")).alias("t")).select("row", F.col("t.codes").alias("code"), F.col("t.code_times").alias("times"))
+    escaped = staged(trie.log10(codes.select("code").distinct()), "ppm-codes")
+    more = codes.join(escaped, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("code_score"))
     return (
-        scored.drop("tail", "times")
+        scored.drop("tail", "times", "codes", "code_times")
         .join(rare, "row", "left")
+        .join(more, "row", "left")
         .select(
             "doc_id",
             "n_tokens",
             (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
             F.lit(n_all).cast("long").alias("train_tokens"),
             (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n_all + kinds + 1))).alias("base_score"),
-            "score",
+            (F.col("head_score") + F.coalesce("code_score", F.lit(0.0))).alias("score"),
         )
     )

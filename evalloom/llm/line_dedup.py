@@ -5,7 +5,7 @@ the length or the positional filter do not leave the join; the rest are verified
 if an earlier line, kept or not, has that similarity with it; lines are ordered by doc_id, then place.
 
 * Equal sets collapse to one class with its first occurrence before anything is joined.
-* A 128-bit parity signature travels with each posting: every word flips one bit, so two sets differ in as many words at least as their
+* A 64-bit parity signature travels with each posting: every word flips one bit, so two sets differ in as many words at least as their
   signatures differ in bits. Pairs that differ in more than the threshold allows do not leave the join.
 * Rarity comes from counts in a fixed number of hash buckets over all words; any fixed order gives the same result, a
   better one only smaller postings.
@@ -62,43 +62,50 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def parity(codes: Column) -> tuple[Column, Column]:
-    """Two 64-bit words; each word of the line flips a bit of the one that its own bit 6 chooses."""
-    flip = lambda a, chosen, c: a.bitwiseXOR(F.call_function("shiftleft", chosen.bitwiseAND(F.lit(1)), c.bitwiseAND(F.lit(63)).cast("int")))
-    none = F.lit(0).cast("long")
-    return F.aggregate(codes, none, lambda a, c: flip(a, F.shiftright(c, 6), c)), F.aggregate(codes, none, lambda a, c: flip(a, F.shiftright(F.bitwise_not(c), 6), c))
+def parity(codes: Column) -> Column:
+    """64 bits; each word flips one."""
+    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(codes, F.lit(0).cast("long"), flip)
 
 
 def line_table(docs: DataFrame, percent: int, classes: Column) -> DataFrame:
-    """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), even, odd (parity), prefix (words to join on). Staged.
+    """Every line: row, doc_id, text_hash, pos, h1, h2 (which name its word set), n (size), parity, prefix (words to join on). Staged.
 
     A set of n words can resemble a different one only if n / (n + 1) reaches the threshold; smaller sets have no prefix.
     """
     table = exploded(docs).withColumn("codes", codes(F.col("line"), classes))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", F.lit(1), n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    even, odd = parity(F.col("codes"))
     return staged(
         table.select(
-            "row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), even.alias("even"), odd.alias("odd"),
+            "row", "doc_id", "text_hash", "pos", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"), n.alias("n"), parity(F.col("codes")).alias("parity"),
             F.when(n * (100 - percent) >= percent, prefix).otherwise(F.array().cast("array<int>")).alias("prefix"),
         ),
         "lines",
     )
 
 
+def marked(rows: DataFrame, slot: Column) -> DataFrame:
+    """b, map: a bitmap of BITS bits (1 MB) of the ``slot`` of all rows, in parts; small enough to broadcast."""
+    return rows.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
+
+
+def in_bitmap(rows: DataFrame, slot: Column, maps: DataFrame) -> DataFrame:
+    """The rows whose slot is marked."""
+    found = rows.withColumn("s", slot).withColumn("b", F.bitmap_bucket_number("s")).join(F.broadcast(maps), "b")
+    at = F.bitmap_bit_position("s").cast("int")
+    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def picked(needed: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     """c and codes of the classes in ``needed`` (c, text_hash, pos, h1, h2), read again from the texts.
 
-    A bitmap of BITS bits (1 MB) over the places of needed lines is broadcast; lines that are surely not needed are dropped before
+    Bitmaps over the texts and the places of needed lines are broadcast; texts and lines that are surely not needed are dropped before
     their words are split. What passes by chance falls in the join on h1 and h2.
     """
-    slot = F.pmod(F.xxhash64("text_hash", "pos"), F.lit(BITS))
-    maps = needed.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
-    lines = exploded(docs).withColumn("s", slot).withColumn("b", F.bitmap_bucket_number("s")).join(F.broadcast(maps), "b")
-    at = F.bitmap_bit_position("s").cast("int")
-    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    lines = lines.where(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
+    of_text, of_line = F.pmod("text_hash", F.lit(BITS)), F.pmod(F.xxhash64("text_hash", "pos"), F.lit(BITS))
+    lines = in_bitmap(exploded(in_bitmap(docs, of_text, marked(needed, of_text))), of_line, marked(needed, of_line))
     sets = lines.select(codes(F.col("line"), classes).alias("codes")).select("codes", F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"))
     return sets.join(needed.select("c", "h1", "h2"), ["h1", "h2"]).groupBy("c").agg(F.first("codes").alias("codes"))
 
@@ -114,7 +121,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Colum
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, centers: int = 8, tried: int = 3, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, centers: int = 8, tried: int = 3, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
     ``percent`` is the least Jaccard similarity, from 1 to 100. Postings are joined in ``passes`` parts, by hash of the word, so that the disk holds the shuffle of one
@@ -129,16 +136,16 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, cent
     ranks = rarity(rows)
     lines = line_table(rows, percent, ranks)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), "pos", "text_hash")).alias("first")
-    grouped = lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, *[F.first(x).alias(x) for x in ("even", "odd", "prefix")])
-    classes = staged(grouped.select("h1", "h2", "n", "first.*", "even", "odd", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes")
-    held = ("o", "pos", "c", "n", "even", "odd")
+    grouped = lines.where("n > 0").groupBy("h1", "h2", "n").agg(first, *[F.first(x).alias(x) for x in ("parity", "prefix")])
+    classes = staged(grouped.select("h1", "h2", "n", "first.*", "parity", "prefix").withColumn("c", F.monotonically_increasing_id()), "line-classes")
+    held = ("o", "pos", "c", "n", "parity")
 
     def postings(frame: DataFrame, words: Column, suffix: str = "") -> DataFrame:
         return frame.select(*[F.col(x).alias(x + suffix) for x in held], F.posexplode(words).alias(f"i{suffix}", f"word{suffix}"))
 
     n, n_d = F.col("n"), F.col("n_d")
     least = F.ceil((n + n_d) * percent / F.lit(100.0 + percent) - 1e-9)  # words that sets of these sizes must share
-    apart = F.bit_count(F.col("even").bitwiseXOR(F.col("even_d"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("odd_d")))
+    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_d")))
     earlier = F.struct("o_d", "pos_d", "c_d") < F.struct("o", "pos", "c")
     fits = (F.least(n, n_d) * 100 >= percent * F.greatest(n, n_d)) & (apart <= n + n_d - 2 * least) & earlier
 
@@ -146,7 +153,7 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, cent
     part = F.pmod(F.xxhash64("c"), F.lit(centers)).alias("part")
     center = star.groupBy("word", part).agg(F.min(F.struct(*held)).alias("y")).select(F.col("word").alias("word_d"), *[F.col(f"y.{x}").alias(f"{x}_d") for x in held])
     met_centers = F.collect_set(F.struct(apart.alias("apart"), F.col("c_d").alias("d")))  # star_words x centers at most
-    nearest = star.join(center, (F.col("word") == F.col("word_d")) & fits).groupBy("c").agg(F.slice(F.sort_array(met_centers), 1, tried).alias("y"))
+    nearest = star.join(center.hint("shuffle_hash"), (F.col("word") == F.col("word_d")) & fits).groupBy("c").agg(F.slice(F.sort_array(met_centers), 1, tried).alias("y"))
     near = verified(nearest.select("c", F.explode("y.d").alias("d")), classes, rows, ranks, percent)
 
     unsettled = staged(classes.where(F.size("prefix") > 0).join(near, "c", "left_anti"), "unsettled-lines")
@@ -155,7 +162,7 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 4, cent
     for k in range(passes):
         of_part = lambda frame, word: frame.where(F.pmod(word, F.lit(passes)) == k)  # noqa: B023, E731
         x, y = of_part(postings(unsettled, F.col("prefix")), F.col("word")), of_part(postings(classes, F.col("prefix"), "_d"), F.col("word_d"))
-        met.append(staged(x.join(y, (F.col("word") == F.col("word_d")) & fits & room).groupBy("c", F.col("c_d").alias("d")).agg(F.lit(1).alias("m")).select("c", "d"), "line-meetings"))
+        met.append(staged(x.join(y.hint("shuffle_hash"), (F.col("word") == F.col("word_d")) & fits & room).groupBy("c", F.col("c_d").alias("d")).agg(F.lit(1).alias("m")).select("c", "d"), "line-meetings"))
     similar = near.unionByName(verified(reduce(DataFrame.unionByName, met).distinct(), classes, rows, ranks, percent)).withColumn("similar", F.lit(True))
 
     judged = classes.join(similar, "c", "left").select("h1", "h2", "n", F.col("o").alias("o_1"), F.col("pos").alias("pos_1"), F.col("text_hash").alias("hash_1"), F.col("similar").isNotNull().alias("similar"))

@@ -20,10 +20,23 @@ def test_boundaries_are_optimal():
         lengths = [random.randrange(0, 30) for _ in range(random.randrange(1, 40))]
         k = random.randrange(1, 6)
         tops, counts = np.unique(lengths, return_counts=True)
-        ends = optimal_boundaries(tops, counts, tops * counts, k)
+        ends = optimal_boundaries(tops, counts, k)
         best = min(padding(lengths, [*c, max(lengths)]) for n in range(k) for c in combinations(sorted(set(lengths)), n))
         assert len(ends) <= k and ends[-1] == max(lengths) and padding(lengths, ends) == best
-    assert optimal_boundaries(np.zeros(0), np.zeros(0), np.zeros(0), 3) == []
+    assert optimal_boundaries(np.zeros(0, np.int64), np.zeros(0, np.int64), 3) == []
+
+
+def test_long_lengths_are_exact_too():
+    """Every pair of cuts tried, over lengths up to 20,000."""
+    rng = np.random.default_rng(3)
+    tops = np.sort(rng.choice(20_000, 120, replace=False)) + 1
+    counts = rng.integers(1, 50, 120)
+    lengths = np.repeat(tops, counts)
+    cost = lambda ends: int((np.array(ends)[np.searchsorted(ends, lengths)] - lengths).sum())
+    best = min(cost([int(a), int(b), int(tops[-1])]) for a, b in combinations(tops[:-1], 2))
+    assert cost(optimal_boundaries(tops, counts, 3)) == best
+    huge = optimal_boundaries(tops, counts.astype(np.int64) * 2**50, 3)
+    assert cost(huge) == best
 
 
 def test_batches_respect_the_budget(spark):

@@ -33,7 +33,7 @@ RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI; a bare path is local."""
+    """File system and path of a URI; a bare path is local (``archive_pages`` puts Spark's default file system before it)."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
@@ -192,7 +192,8 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                     [pa.array([archive.uri] * n, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(range(n), pa.int64())], ["path", "offset", "length", "record_no"]
                 )
 
-    return staged(files.select("path").repartition("path").mapInArrow(rewrite, INDEX_SCHEMA), "warc-index")
+    n = max(1, files.count())  # a task for each archive, which adaptive execution does not put together again
+    return staged(files.select("path").repartitionByRange(n, "path").mapInArrow(rewrite, INDEX_SCHEMA), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -217,7 +218,8 @@ def read_records(index: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
-    return index.repartitionByRange("path", "record_no").sortWithinPartitions("path", "record_no").mapInArrow(read, RECORD_SCHEMA)
+    n = max(1, index.select("path").distinct().count())
+    return index.repartitionByRange(n, "path", "record_no").sortWithinPartitions("path", "record_no").mapInArrow(read, RECORD_SCHEMA)
 
 
 def plan_records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -243,7 +245,7 @@ def delete_archives(files: DataFrame) -> None:
     files.select("path").mapInArrow(remove, "path string").count()
 
 
-def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
+def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None, min_bytes: int = 0, roll_bytes: int = 256 << 20) -> DataFrame:
     """Writes ``pages`` to archives, normalises them, reads them back: one row per page.
 
     Columns: page_id, payload_bytes, payload_digest (base32 SHA-1 of the whole payload), record_type,
@@ -252,7 +254,9 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = No
     no file and gives an empty result. The monolithic files are deleted once their rewrite is whole.
     """
     folder = folder or fresh_path(spark, "warc")
-    files = write_archives(plan_records(pages, min_bytes=min_bytes), f"{folder}/mono")
+    if ":" not in folder.split("/")[0]:
+        folder = spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + folder
+    files = write_archives(plan_records(pages, min_bytes=min_bytes), f"{folder}/mono", roll_bytes)
     index = normalise(files, f"{folder}/members")
     delete_archives(files)
     return read_records(index)

@@ -57,3 +57,14 @@ def test_small_payloads_are_not_revisits(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert warc.archive_pages(spark, spark.createDataFrame([], SCHEMA), str(tmp_path / "w")).collect() == []
+
+
+def test_archives_roll_and_each_has_a_task(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", f"{i}" * 3000, "p", 1) for i in range(60)]
+    made = []
+    original = warc.staged
+    monkeypatch.setattr(warc, "staged", lambda df, name: (made.append((name, df.rdd.getNumPartitions())), original(df, name))[1])
+    got = warc.archive_pages(spark, spark.createDataFrame(rows, SCHEMA).repartition(2), str(tmp_path / "w"), roll_bytes=20_000)
+    assert sorted(r.page_id for r in got.collect()) == list(range(60)) and all(r.verified for r in got.collect())
+    archives = len(list((tmp_path / "w" / "members").glob("*.warc.gz")))
+    assert archives > 5 and dict(made)["warc-index"] == archives

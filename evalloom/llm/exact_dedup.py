@@ -1,6 +1,6 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every input partition makes one run: its rows' SHA-256 digests in order, equal ones merged. In each round
+Every input partition makes one run: its rows' SHA-256 digests in order, equal ones merged, written to the shared folder. In each round
 ``fan_in`` runs meet and are merged in one pass over sorted rows. A merged run is spread over as many digest
 slices as runs went into it, so a task holds the same share of rows in every round and no round gathers a
 whole run in one place. After the last round one run is left, in slices; a digest stands in exactly one.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import text_of
+from evalloom.plans.staging import staged
 
 RUN_SCHEMA = "digest binary, size long, check long, keep_id long, n long, run long"
 KEY = ["digest", "size", "check"]
@@ -61,12 +62,13 @@ def digests(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def merged_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", fan_in: int = 8) -> DataFrame:
     """One row per distinct text: digest, size, check, keep_id (largest identifier), n (rows)."""
     rows = digests(docs, id_column, text_column)
-    runs = rows.rdd.getNumPartitions()
     level = (
         rows.select(*KEY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.spark_partition_id().cast("long").alias("run"))
         .sortWithinPartitions("run", *KEY)
         .mapInArrow(merge_sorted, RUN_SCHEMA)
     )
+    level = staged(level, "digest-runs")
+    runs = (level.agg(F.max("run")).first()[0] or 0) + 1  # as they were written, whatever plan made them
     slices = 1
     while slices < runs:
         slices *= fan_in

@@ -1,16 +1,18 @@
 """Quality classification by co-training two views of a document.
 
 The text view is the distribution of hashed byte trigrams of the whole text; the metadata view is language, source and size class.
-Each view has a logistic classifier. In every round each classifier labels the unlabelled documents it is surest of and hands them to
-the other one as training rows; then both are fitted again. On labelled rows set aside, each view's margin is calibrated and the two
-are combined by a logistic curve, which scores all documents.
+Each view has a logistic classifier. In every round each classifier labels the unlabelled documents it is sure of, all of them in the
+corpus, and hands them to the other one; then both take a Newton step over the labelled rows and what they were handed. The tasks
+add up the gradients and Hessians of their rows, so the exchange has no bound in rows, and a tree of sums brings them together. Rows
+handed over weigh in sum at most HANDED_WEIGHT times the labelled rows of their class.
+On labelled rows set aside, each view's margin is calibrated and the two are combined by a logistic curve, which scores all documents.
 
-Fitting uses a bounded sample (``max_per_class`` labelled rows a class, ``max_pool`` unlabelled ones); scoring reads every text.
+Labelled rows are a bounded sample (``max_per_class`` a class); every other row is unlabelled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ from evalloom.plans.staging import staged
 
 TEXT_DIMS, META_DIMS = 512, 256
 _STEP = 1 << 22
+HANDED_WEIGHT = 10.0
 META = ("lang", "source", "n_chars")
 
 
@@ -68,6 +71,10 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def chance(m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(m, -40, 40)))
+
+
 @dataclass(frozen=True)
 class QualityModel:
     text: np.ndarray
@@ -76,39 +83,94 @@ class QualityModel:
     exchanged: tuple[int, int] = (0, 0)
 
     def probability(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        both = np.stack([margin(text, self.text), margin(meta, self.meta)], 1)
-        return 1 / (1 + np.exp(-np.clip(margin(both, self.combine), -40, 40)))
+        return chance(margin(np.stack([margin(text, self.text), margin(meta, self.meta)], 1), self.combine))
+
+
+Weights = list[np.ndarray]
+Views = tuple[np.ndarray, np.ndarray]
+
+
+def handed_over(views: Views, weights: Weights, confidence: float) -> np.ndarray:
+    """What both views are handed, in one array that adds up over rows: for each taking view and label 0 and 1 the
+    number of rows, the gradient, and the upper triangle of the Hessian of the logistic loss at the taker's weights."""
+    parts = []
+    for taker in (0, 1):
+        p = chance(margin(views[1 - taker], weights[1 - taker]))
+        for label in (0, 1):
+            x = views[taker][(p if label else 1 - p) >= confidence]
+            x = np.hstack([x, np.ones((len(x), 1))])
+            q = chance(x @ weights[taker])
+            parts += [[len(x)], x.T @ (q - label), ((x * (q * (1 - q))[:, None]).T @ x)[np.triu_indices(x.shape[1])]]
+    return np.concatenate(parts)
+
+
+def taken(sums: np.ndarray, sizes: list[int]) -> list[list[tuple[float, np.ndarray, np.ndarray]]]:
+    """``handed_over`` apart again, for views of ``sizes`` weights: per view and label the rows, the gradient, the Hessian."""
+    out, at = [], 0
+    for d in sizes:
+        out.append([])
+        for _ in (0, 1):
+            half = np.zeros((d, d))
+            half[np.triu_indices(d)] = sums[at + 1 + d : at + 1 + d + d * (d + 1) // 2]
+            out[-1].append((sums[at], sums[at + 1 : at + 1 + d], half + np.triu(half, 1).T))
+            at += 1 + d + d * (d + 1) // 2
+    return out
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, per_round: int = 200, confidence: float = 0.97, ridge: float = 0.1) -> QualityModel:
-    """Fits both views on four fifths of the rows with ``rounds`` exchanges, and their combination on the last fifth.
+def newton_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, handed: list[tuple[float, np.ndarray, np.ndarray]], ridge: float) -> np.ndarray:
+    """One step from ``w`` over labelled rows and rows handed over, the latter scaled to HANDED_WEIGHT times the labelled rows of their class at most."""
+    design, penalty = np.hstack([x, np.ones((len(x), 1))]), np.full(len(w), ridge)
+    penalty[-1] = 1e-6
+    p = chance(design @ w)
+    gradient, hessian = design.T @ (p - y) + penalty * w, (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(penalty)
+    for label, (n, g, h) in enumerate(handed):
+        scale = min(1.0, HANDED_WEIGHT * (y == label).sum() / n) if n else 0.0
+        gradient, hessian = gradient + scale * g, hessian + scale * h
+    move = np.linalg.solve(hessian, gradient)
+    return w - move * min(1.0, 8.0 / max(np.abs(design @ move).max(), 1e-12))
 
-    In a round a view hands over at most ``per_round`` pool rows a class, those with a probability of ``confidence`` at least.
+
+def cotrain(views: Views, y: np.ndarray, gather: Callable[[Weights], np.ndarray], rounds: int = 4, ridge: float = 0.1) -> QualityModel:
+    """Fits both views on four fifths of the rows, exchanges ``rounds`` times, fits the combination on the last fifth.
+
+    ``gather`` sums ``handed_over`` over all unlabelled rows.
     """
     aside = np.arange(len(y)) % 5 == 4
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(y), bool)
-    own = [[(v[~aside], y[~aside])] for v in views]
-    free = np.ones(len(pool[0]), bool)
-    handed = [0, 0]
-    weights = [fit_logistic(*own[k][0], ridge) for k in (0, 1)]
+    weights = [fit_logistic(v[~aside], y[~aside], ridge) for v in views]
+    exchanged = (0, 0)
     for _ in range(rounds):
-        moved = 0
-        for giver, taker in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(margin(pool[giver], weights[giver]), -40, 40)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                chosen = order[free[order] & (sure[order] >= confidence)][:per_round]
-                free[chosen] = False
-                own[taker].append((pool[taker][chosen], np.full(len(chosen), label)))
-                moved += len(chosen)
-                handed[giver] += len(chosen)
-        if not moved:
+        handed = taken(gather(weights), [len(w) for w in weights])
+        if not any(n for view in handed for n, _, _ in view):
             break
-        weights = [fit_logistic(np.vstack([x for x, _ in rows]), np.concatenate([t for _, t in rows]), ridge) for rows in own]
+        exchanged = (int(sum(n for n, _, _ in handed[1])), int(sum(n for n, _, _ in handed[0])))
+        weights = [newton_step(w, v[~aside], y[~aside], h, ridge) for w, v, h in zip(weights, views, handed, strict=True)]
     held = aside if aside.any() else ~aside
     margins = np.stack([margin(v[held], w) for v, w in zip(views, weights, strict=True)], 1)
-    return QualityModel(weights[0], weights[1], fit_logistic(margins, y[held], 1.0, center=1.0), (handed[0], handed[1]))
+    return QualityModel(weights[0], weights[1], fit_logistic(margins, y[held], 1.0, center=1.0), exchanged)
+
+
+def views_of(batch: pa.RecordBatch, step: int = 1024) -> Iterator[Views]:
+    """Both views of the rows, some rows at a time."""
+    metas = list(zip(*(batch.column(c).to_pylist() for c in META), strict=True))
+    for i in range(0, batch.num_rows, step):
+        yield np.array([text_view(t.as_py()) for t in batch.column("text").slice(i, step)]), np.array([meta_view(*m) for m in metas[i : i + step]])
+
+
+def gathered(pool: DataFrame, weights: Weights, confidence: float) -> np.ndarray:
+    """``handed_over`` summed over all rows of ``pool``: an array a partition, added up in a tree of tasks."""
+    shared = pool.sparkSession.sparkContext.broadcast(weights)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = handed_over((np.zeros((0, TEXT_DIMS)), np.zeros((0, META_DIMS))), shared.value, confidence)
+        for batch in batches:
+            for views in views_of(batch):
+                total += handed_over(views, shared.value, confidence)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    none = handed_over((np.zeros((0, TEXT_DIMS)), np.zeros((0, META_DIMS))), weights, confidence)
+    return pool.select("text", *META).mapInArrow(add, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).treeAggregate(none, np.add, np.add, 3)
 
 
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,24 +184,24 @@ def _columns(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_pool: int = 4000, id_column: str = "doc_id", text_column: str = "text", **options: float) -> QualityModel | None:
-    """Co-trains on ``labels.quality``; the pool is the unlabelled rows of ``docs`` with the smallest id hashes.
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000, rounds: int = 4, confidence: float = 0.97, ridge: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> QualityModel | None:
+    """Co-trains on ``labels.quality`` and all rows of ``docs``. None where the labels do not hold both classes.
 
-    None where the labels do not hold both classes.
+    Of rows that repeat a labelled identifier the one with the smallest text hash is the labelled one.
     """
     rows = _columns(docs, id_column, text_column)
     known = labelled_ids(labels, "quality", max_per_class)
-    pool = rows.select("_id").where("_id IS NOT NULL").join(labels.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(max_pool)
-    picked = known.unionByName(pool.distinct().select("_id", F.lit(-1).alias("y")))
-    sample = rows.join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).select("_id", "y", "text", *META)  # 2 x max_per_class + max_pool ids
-    found = staged(sample.orderBy("_id").drop("_id").mapInArrow(_view_rows, "y int, text_view binary, meta_view binary"), "quality-views").toArrow()
+    first = F.min(F.struct(F.xxhash64("text").alias("order"), "text", *META)).alias("row")
+    sample = rows.join(F.broadcast(known), "_id").groupBy("_id", "y").agg(first).select("y", "row.*")  # 2 x max_per_class ids
+    found = staged(sample.select("y", "text", *META).mapInArrow(_view_rows, "y int, text_view binary, meta_view binary"), "quality-views").toArrow()
     y = found.column("y").to_numpy()
-    views = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(len(y), -1).astype(float) if len(y) else np.zeros((0, d)) for c, d in (("text_view", TEXT_DIMS), ("meta_view", META_DIMS))]
-    if len(set(y[y >= 0])) < 2:
+    if len(set(y.tolist())) < 2:
         return None
-    order = np.argsort([xxhash.xxh32_intdigest(found.column("text_view")[i].as_py()) for i in range(len(y))], kind="stable")  # deals classes and sources evenly
-    y, views = y[order], [v[order] for v in views]
-    return cotrain((views[0][y >= 0], views[1][y >= 0]), y[y >= 0], (views[0][y < 0], views[1][y < 0]), **options)
+    texts, metas = ([bytes(x) for x in found.column(c).to_pylist()] for c in ("text_view", "meta_view"))
+    order = sorted(range(len(y)), key=lambda i: (xxhash.xxh32_intdigest(texts[i]), texts[i], metas[i], y[i]))  # deals classes and sources evenly
+    views = tuple(np.frombuffer(b"".join(part[i] for i in order), np.float32).reshape(len(y), -1).astype(float) for part in (texts, metas))
+    pool = rows.join(F.broadcast(known), "_id", "left_anti")
+    return cotrain(views, y[order], lambda weights: gathered(pool, weights, confidence), rounds, ridge)
 
 
 def classify(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -152,11 +214,8 @@ def classify(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(batch.num_rows, 0.5)
-            if model is not None:
-                metas = list(zip(*(batch.column(c).to_pylist() for c in META), strict=True))
-                for i in range(0, batch.num_rows, 2048):
-                    texts = np.array([text_view(t.as_py()) for t in batch.column("text").slice(i, 2048)])
-                    out[i : i + 2048] = model.probability(texts, np.array([meta_view(*m) for m in metas[i : i + 2048]]))
+            if model is not None and batch.num_rows:
+                out = np.concatenate([model.probability(*views) for views in views_of(batch)])
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out)], ["doc_id", "score"])
 
     scored = _columns(docs, id_column, text_column).mapInArrow(score, "doc_id long, score double")

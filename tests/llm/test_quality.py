@@ -24,7 +24,7 @@ def test_views_teach_each_other():
     a[:, 0] += 2.5 * (2 * y - 1)
     b[:, 0] += 2.5 * (2 * y - 1)
     few, rest = slice(0, 40), slice(40, 2040)
-    model = quality.cotrain((a[few], b[few]), y[few], (a[rest], b[rest]), rounds=6, ridge=1.0)
+    model = quality.cotrain((a[few], b[few]), y[few], lambda w: quality.handed_over((a[rest], b[rest]), w, 0.97), rounds=6, ridge=1.0)
     alone = quality.fit_logistic(b[few], y[few], 1.0)
     right = lambda p: ((p > 0.5) == y[rest]).mean()
     assert min(model.exchanged) > 100
@@ -33,6 +33,24 @@ def test_views_teach_each_other():
     assert right(quality.margin(b[rest], model.meta) + 0.5) >= right(quality.margin(b[rest], alone) + 0.5)
 
 
+def test_sums_add_up_and_match_plain_loops():
+    rng = np.random.default_rng(2)
+    views, w = (rng.normal(size=(60, 3)), rng.normal(size=(60, 2))), [rng.normal(size=4) * 2, rng.normal(size=3) * 2]
+    whole = quality.handed_over(views, w, 0.8)
+    assert np.allclose(whole, sum(quality.handed_over((views[0][i : i + 7], views[1][i : i + 7]), w, 0.8) for i in range(0, 60, 7)))
+    for taker, view in enumerate(quality.taken(whole, [4, 3])):
+        for label, (n, g, h) in enumerate(view):
+            own = []
+            for i in range(60):
+                p = 1 / (1 + np.exp(-(views[1 - taker][i] @ w[1 - taker][:-1] + w[1 - taker][-1])))
+                if (p if label else 1 - p) >= 0.8:
+                    own.append(np.append(views[taker][i], 1))
+            q = [1 / (1 + np.exp(-(x @ w[taker]))) for x in own]
+            assert n == len(own) > 0
+            assert np.allclose(g, sum((c - label) * x for c, x in zip(q, own, strict=True)))
+            assert np.allclose(h, sum(c * (1 - c) * np.outer(x, x) for c, x in zip(q, own, strict=True)))
+
+
 @pytest.fixture(scope="module")
 def rows():
     random.seed(6)
@@ -51,5 +69,15 @@ def test_held_out_accuracy(spark, rows):
     assert np.mean([got[i].predicted == (i % 4 != 0) for i in range(300, 500)]) > 0.95
     assert got[901].kept and all(0 <= r.score <= 1 for r in got.values()) and None in got
     assert quality.train(docs, labels.limit(0)) is None
+    # the exchange over Spark equals the one over all rows in memory, however the rows are dealt out
+    views = lambda part: (np.array([quality.text_view(r[1]) for r in part]), np.array([quality.meta_view(*r[2:5]) for r in part]))
+    w = [np.full(quality.TEXT_DIMS + 1, 0.3), np.full(quality.META_DIMS + 1, 0.8)]
+    want = quality.handed_over(views(rows), w, 0.9)
+    for parts in (1, 7):
+        some = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        assert np.allclose(quality.gathered(some, w, 0.9), want)
+    assert not quality.gathered(some.limit(0), w, 0.9).any()
+    model, again = quality.train(docs, labels), quality.train(docs.repartition(5), labels)
+    assert np.allclose(model.text, again.text) and model.exchanged == again.exchanged and min(model.exchanged) >= 0
     assert quality.classify(docs.limit(0), None).collect() == []
     assert {r.score for r in quality.classify(docs, None).collect()} == {0.5}

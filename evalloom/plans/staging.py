@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds between two requests to release shuffle files, and when the last one was made.
-RELEASE_EVERY = 4.0
+RELEASE_EVERY = 1.0
 _released = float("-inf")
 #: Temporary folders of applications in one process that name no shared folder.
 _LOCAL: dict[str, str] = {}
@@ -53,7 +53,9 @@ def release(spark: SparkSession) -> None:
     if time.monotonic() - _released < RELEASE_EVERY:
         return
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
     _released = time.monotonic()
 
 

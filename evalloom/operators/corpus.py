@@ -16,23 +16,25 @@ def normal_words(text: Column) -> Column:
 
 
 def gram_rows(rows: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """id, pos, gram (the words), h (their hash): every run of ``n`` words. Shorter texts have none."""
-    words = rows.select(F.col(id_column).alias("id"), normal_words(F.col(text_column)).alias("w")).where(F.size("w") >= n)
-    starts = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos"))
-    grams = starts.select("id", "pos", F.array_join(F.slice("w", F.col("pos") + 1, F.lit(n)), " ").alias("gram"))
-    return grams.withColumn("h", F.xxhash64("gram"))
+    """id, pos, h, check (two hashes): every run of ``n`` words. Shorter texts have none.
+
+    Words are hashed once each and runs are hashes of word hashes, so no string is built for a run, and the words are not carried along.
+    """
+    words = rows.select(F.col(id_column).alias("id"), F.transform(normal_words(F.col(text_column)), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n)
+    run = lambda i: F.slice("w", i + 1, F.lit(n))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), F.hash(run(i)).alias("check")))
+    return words.select("id", F.posexplode(runs).alias("pos", "g")).select("id", "pos", "g.*")
 
 
 def contamination_hits(corpus: DataFrame, items: DataFrame, n: int = 13, max_broadcast: int = 2_000_000, doc_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """doc_id, item_id, pos: places in documents of word n-grams that items have too.
 
     Items' n-grams are counted first; up to ``max_broadcast`` of them go to all tasks, so the corpus is filtered before any
-    shuffle. With more, both sides are shuffled on the hash. Equal hashes are verified by the words.
+    shuffle (a row is 24 bytes). With more, both sides are shuffled on the hash. A 64-bit and a 32-bit hash of the words must be equal.
     """
-    ours = staged(gram_rows(items, item_column, text_column, n).select(F.col("id").alias("item_id"), "h", "gram").distinct(), "item-grams")
+    ours = staged(gram_rows(items, item_column, text_column, n).select(F.col("id").alias("item_id"), "h", "check").distinct(), "item-grams")
     side = F.broadcast(ours) if ours.count() <= max_broadcast else ours
-    theirs = gram_rows(corpus, doc_column, text_column, n)
-    return theirs.join(side.withColumnRenamed("gram", "_g"), "h").where(F.col("gram") == F.col("_g")).select(F.col("id").alias("doc_id"), "item_id", "pos")
+    return gram_rows(corpus, doc_column, text_column, n).join(side, ["h", "check"]).select(F.col("id").alias("doc_id"), "item_id", "pos")
 
 
 def contaminated_items(hits: DataFrame, items: DataFrame, item_column: str = "item_id") -> DataFrame:
@@ -55,7 +57,9 @@ def mask_corpus(corpus: DataFrame, hits: DataFrame, mode: str = "drop", n: int =
     """The corpus without contaminated documents (``drop``), or with the words of shared n-grams cut out (``cut``).
 
     A cut document is its remaining normalised words; documents without hits keep their text. Identifiers must be unique.
+    The hits are staged, since both the documents and the places to cut are read from them.
     """
+    hits = staged(hits.select("doc_id", "pos"), "hits")
     docs = hits.select(F.col("doc_id").alias(doc_column)).distinct()
     if mode == "drop":
         return corpus.join(docs, doc_column, "left_anti")
@@ -68,8 +72,12 @@ def mask_corpus(corpus: DataFrame, hits: DataFrame, mode: str = "drop", n: int =
 
 
 def haystacks(docs: DataFrame, bucket: Column, length: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """bucket, haystack: in each bucket the first documents by id, joined by spaces and cut at ``length`` characters."""
+    """bucket, haystack: in each bucket the first documents by id, joined by spaces and cut at ``length`` characters.
+
+    Each document adds a character at least, so the first ``length`` of a bucket are enough; each task passes on no more than these.
+    """
     rows = docs.select(bucket.alias("bucket"), F.col(id_column).alias("id"), F.substring(text_column, 1, length).alias("text"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("place") <= length)
     before = F.sum(F.length("text") + 1).over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     used = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < length)
     joined = used.groupBy("bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]), " ").alias("h"))
@@ -125,12 +133,13 @@ def frequent_words_dataset(docs: DataFrame, by: str, words: int = 60, most: int
     return _word_list(ranked, by, F.greatest(F.floor(most / F.pow(F.col("place"), F.lit(alpha))), F.lit(1)), answers)
 
 
-def distractor_qa_dataset(items: DataFrame, corpus: DataFrame, k: int, buckets: int = 64, item_column: str = "item_id", doc_column: str = "doc_id", text_column: str = "text", length: int = 200) -> DataFrame:
+def distractor_qa_dataset(items: DataFrame, corpus: DataFrame, k: int, buckets: int = 64, item_column: str = "item_id", doc_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """item_id, prompt, gold_place: each item's passage among ``k`` distractors of its bucket, in hash order, never the row with its own id.
 
-    Each bucket of documents is cut to its first k + 1 by hash before items join it, so the join has at most (k + 1) rows an item.
+    Passages are whole, the gold one and the distractors. Each bucket of documents is cut to its first k + 1 by hash before items join it, so the
+    join has at most (k + 1) rows an item.
     """
-    hashed = corpus.select(F.col(doc_column).alias("id"), F.substring(text_column, 1, length).alias("passage"), F.md5(F.col(doc_column).cast("string")).alias("m"))
+    hashed = corpus.select(F.col(doc_column).alias("id"), F.col(text_column).alias("passage"), F.md5(F.col(doc_column).cast("string")).alias("m"))
     placed = hashed.withColumn("bucket", F.pmod("id", F.lit(buckets))).withColumn("p", F.row_number().over(Window.partitionBy("bucket").orderBy("m", "id"))).where(F.col("p") <= k + 1)
     pool = items.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("gold"), F.pmod(item_column, F.lit(buckets)).alias("bucket"))
     near = pool.join(placed, "bucket").where(F.col("item_id") != F.col("id"))

@@ -19,10 +19,23 @@ def mean_stderr(value: str) -> Column:
     return F.when(F.count(value) > 1, F.stddev_samp(value) / F.sqrt(F.count(value)))
 
 
+def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """A Poisson(1) weight for each key and replicate: hashed to a number from 0 to 1, of which the distribution is inverted."""
+    z = keys[:, None] ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    for add in (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95), np.uint64(0)):
+        z = z + add
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(odd)
+        z = z ^ (z >> np.uint64(31))
+    upto = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 20.0)])))
+    return np.searchsorted(upto, (z >> np.uint64(11)) / 2.0**53, "right").astype(float)
+
+
 def bootstrap_stderr(scores: DataFrame, by: Sequence[str], value: str = "value", key: str = "doc_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
     """by, stderr, n: standard error of the mean by a Poisson bootstrap.
 
-    Every row draws its own Poisson(1) weights for all replicates from (seed, its key), so the result does not depend on the partitioning. Tasks add
+    Every row draws its own Poisson(1) weights for all replicates from a hash of (seed, its key, the replicate), so the result does not depend on the
+    partitioning; weights of many rows are drawn as one matrix. Tasks add
     up weights and weighted values per group and replicate; only these sums are shuffled. Null values are left out; the spread of
     the replicates' means is their population standard deviation.
     """
@@ -33,10 +46,11 @@ def bootstrap_stderr(scores: DataFrame, by: Sequence[str], value: str = "value",
         for batch in batches:
             for group, rows in batch.groupby(names, dropna=False, sort=False):
                 held = sums.setdefault(group, np.zeros((2, replicates)))
-                for k, x in zip(rows["_key"], rows["_x"], strict=True):
-                    weights = np.random.Generator(np.random.Philox(key=[seed, k % (1 << 64)])).poisson(1.0, replicates)
-                    held[0] += weights
-                    held[1] += weights * x
+                keys, x, step = rows["_key"].to_numpy().astype(np.uint64), rows["_x"].to_numpy(), max(1, (1 << 20) // replicates)
+                for i in range(0, len(keys), step):
+                    weights = poisson_weights(keys[i : i + step], replicates, seed)
+                    held[0] += weights.sum(0)
+                    held[1] += x[i : i + step] @ weights
         for group, held in sums.items():
             yield pd.DataFrame({**dict(zip(names, group, strict=True)), "replicate": np.arange(replicates), "w": held[0], "wx": held[1]})
 
@@ -101,11 +115,18 @@ def perplexities() -> list[Column]:
     return [F.exp(-ll / words).alias("word_perplexity"), F.exp(-ll / octets).alias("byte_perplexity"), (-ll / (octets * F.log(F.lit(2.0)))).alias("bits_per_byte")]
 
 
-def pass_at_k(attempts: DataFrame, k: int, problem: str, passed: str) -> DataFrame:
-    """problem, n, c, pass_at_k: 1 - C(n - c, k) / C(n, k), as a product; null with fewer than k attempts."""
+def pass_at_k(attempts: DataFrame, k: int | Sequence[int], problem: str, passed: str) -> DataFrame:
+    """problem, n, c, pass_at_k: 1 - C(n - c, k) / C(n, k), as a product; null with fewer than k attempts.
+
+    Several k give columns pass_at_<k> from one aggregation.
+    """
     counts = attempts.groupBy(problem).agg(F.count("*").alias("n"), F.sum(F.col(passed).cast("long")).alias("c"))
-    miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda a, i: a * F.greatest(F.col("n") - F.col("c") - i, F.lit(0)) / (F.col("n") - i))
-    return counts.withColumn("pass_at_k", F.when(F.col("n") >= k, 1 - miss))
+
+    def at(k: int) -> Column:
+        miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda a, i: a * F.greatest(F.col("n") - F.col("c") - i, F.lit(0)) / (F.col("n") - i))
+        return F.when(F.col("n") >= k, 1 - miss)
+
+    return counts.withColumn("pass_at_k", at(k)) if isinstance(k, int) else counts.withColumns({f"pass_at_{x}": at(x) for x in k})
 
 
 def length_band(length: Column, edges: Sequence[int] = (4000, 8000)) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from evalloom.plans.ranking import global_rank
 
+# Fixed value: pattern of one option in a text of lettered options.
+OPTIONS = r"[abcd] \) .*?, |e \) .*?$"
+
 
 def filter_category(docs: DataFrame, column: str, value: object) -> DataFrame:
     return docs.where(F.col(column) == value)
@@ -64,7 +67,7 @@ def binary_label_from_value(column: str, zero: str) -> Column:
 
 def parse_options(column: str) -> Column:
     """Texts of lettered options "a ) x , b ) y , ... e ) z": label and trailing commas and spaces cut off."""
-    found = F.regexp_extract_all(F.col(column), F.lit(r"[abcd] \) .*?, |e \) .*?$"), F.lit(0))
+    found = F.regexp_extract_all(F.col(column), F.lit(OPTIONS), F.lit(0))
     return F.transform(found, lambda option: F.rtrim(F.substring(option, F.lit(5), F.length(option)), F.lit(" ,")))
 
 

@@ -13,23 +13,41 @@ from pyspark.sql import functions as F
 from evalloom.plans.staging import staged
 
 
-def expand_groups(edges: DataFrame, max_depth: int = 16) -> DataFrame:
+def expand_groups(edges: DataFrame) -> DataFrame:
     """parent, child, depth: every node that a group reaches, with the shortest way; edges (parent, child) may repeat or form cycles.
 
-    One join a level; a pair that was reached before is not followed again, so cycles end. Memberships and each level are staged, since later
-    levels read them again.
+    Ways of up to d steps are joined with each other to ways of up to 2d, until nothing changes: a few rounds however deep the groups are, and
+    cycles end. Each round is staged, since the next reads it twice.
     """
-    direct = staged(edges.select("parent", "child").distinct(), "memberships")
-    reached, frontier = direct.withColumn("depth", F.lit(1)), direct
-    for depth in range(2, max_depth + 1):
-        step = frontier.alias("a").join(direct.alias("b"), F.col("a.child") == F.col("b.parent")).select(F.col("a.parent").alias("parent"), F.col("b.child").alias("child")).distinct()
-        frontier = staged(step.join(reached, ["parent", "child"], "left_anti"), "reached")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    reached = staged(edges.select("parent", "child").distinct().withColumn("depth", F.lit(1)), "reached")
+    size = None
+    while size != (size := reached.agg(F.count("*"), F.sum("depth")).first()):
+        longer = reached.alias("a").join(reached.alias("b"), F.col("a.child") == F.col("b.parent")).select(F.col("a.parent").alias("parent"), F.col("b.child").alias("child"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        reached = staged(reached.unionByName(longer).groupBy("parent", "child").agg(F.min("depth").alias("depth")), "reached")
     return reached
 
 
+def heights(pairs: list[tuple[str, str]]) -> dict[str, int]:
+    """Height of each group over its lowest member: one more than the highest group in it. Groups on a cycle, or above one, have none."""
+    groups = {parent for parent, _ in pairs}
+    within: dict[str, set[str]] = {g: set() for g in groups}
+    above: dict[str, set[str]] = {g: set() for g in groups}
+    for parent, child in pairs:
+        if child in groups:
+            within[parent].add(child)
+            above[child].add(parent)
+    out = {g: 1 for g in groups if not within[g]}
+    todo = list(out)
+    while todo:
+        child = todo.pop()
+        for parent in above[child]:
+            within[parent].discard(child)
+            out[parent] = max(out.get(parent, 0), out[child] + 1)
+            if not within[parent]:
+                todo.append(parent)
+    return {g: h for g, h in out.items() if not within[g]}
+
+
 def leaves(edges: DataFrame) -> DataFrame:
     """parent, child: the tasks under each group, those that are no groups themselves."""
     return expand_groups(edges).join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_anti").select("parent", "child")
@@ -41,38 +59,41 @@ def _members(results: DataFrame, edges: DataFrame) -> DataFrame:
     return once.join(results, once["child"] == results["task"], "left")
 
 
-def group_mean_weighted(results: DataFrame, edges: DataFrame, keys: Sequence[str] = ("model", "metric")) -> DataFrame:
+def group_mean_weighted(results: DataFrame, edges: DataFrame, keys: Sequence[str] = ("model", "filter", "metric")) -> DataFrame:
     """group, keys, value, n: members' values weighted by their sizes n; members without a value are left out."""
     rows = _members(results, edges).where(F.col("value").isNotNull())
     return rows.groupBy(F.col("parent").alias("group"), *keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
 
 
-def group_mean_unweighted(results: DataFrame, edges: DataFrame, keys: Sequence[str] = ("model", "metric"), use_leaves: bool = False) -> DataFrame:
+def group_mean_unweighted(results: DataFrame, edges: DataFrame, keys: Sequence[str] = ("model", "filter", "metric"), use_leaves: bool = False) -> DataFrame:
     """group, keys, value, n: the plain mean over listed members, or over all tasks below with ``use_leaves``."""
     rows = _members(results, leaves(edges) if use_leaves else edges).where(F.col("value").isNotNull())
     return rows.groupBy(F.col("parent").alias("group"), *keys).agg(F.avg("value").alias("value"), F.sum("n").alias("n"))
 
 
-def roll_up(results: DataFrame, edges: DataFrame, spec: DataFrame, max_depth: int = 8) -> DataFrame:
+def roll_up(results: DataFrame, edges: DataFrame, spec: DataFrame) -> DataFrame:
     """Group results from the bottom up by ``spec`` (group, metric, weight_by_size or null, filters or null).
 
     A group has a value for each metric and filter its spec names (null filters: all; null weight: by size); a listed member may be a
-    group with a value of its own. Groups without a spec have none. Each member counts once.
+    group with a value of its own, at any depth. Groups without a spec have none, nor have groups on a cycle or above one. Each member counts once.
+
+    Memberships describe tasks and go to the driver, which orders the groups; results stay on the cluster, a level at a time. A level is staged
+    if a later one may read it.
     """
     columns = ["model", "task", "filter", "metric", "value", "n"]
+    pairs = [(r.parent, r.child) for r in edges.select("parent", "child").distinct().collect()]
+    level_of = heights(pairs)
     wanted = spec.select(F.col("group").alias("parent"), F.col("metric").alias("m"), F.coalesce("weight_by_size", F.lit(True)).alias("weighted"), "filters")
-    once = staged(edges.select("parent", "child").dropDuplicates(["parent", "child"]), "memberships")
-    wanted = staged(wanted, "group-spec")
-    height = once.select(F.col("parent").alias("node")).distinct().withColumn("h", F.lit(1))
-    nested = expand_groups(once, max_depth).join(height.select(F.col("node").alias("child")), "child").groupBy(F.col("parent").alias("node")).agg((F.max("depth") + 1).alias("h"))
-    height = staged(height.join(nested.withColumnRenamed("h", "deeper"), "node", "left").select("node", F.coalesce("deeper", "h").alias("h")), "heights")
-    levels = height.agg(F.max("h")).first()[0] or 0
-    done, out = staged(results.select(*columns), "results"), None
-    for level in range(1, min(levels, max_depth) + 1):
-        now = once.join(height.where(F.col("h") == level).select(F.col("node").alias("parent")), "parent").join(wanted, "parent")
+    done, out = results.select(*columns), None
+    levels = sorted(set(level_of.values()))
+    if len(levels) > 1:
+        done = staged(done, "results")
+    for level in levels:
+        now = edges.sparkSession.createDataFrame([p for p in pairs if level_of.get(p[0]) == level], "parent string, child string").join(wanted, "parent")
         rows = now.join(done, (F.col("child") == F.col("task")) & (F.col("m") == F.col("metric"))).where(F.col("value").isNotNull() & (F.col("filters").isNull() | F.array_contains("filters", F.col("filter"))))
         value = F.when(F.first("weighted"), F.sum(F.col("value") * F.col("n")) / F.sum("n")).otherwise(F.avg("value"))
-        made = staged(rows.groupBy("model", "parent", "filter", "metric").agg(value.alias("value"), F.sum("n").alias("n")).withColumnRenamed("parent", "task").select(*columns), "group-results")
+        made = rows.groupBy("model", "parent", "filter", "metric").agg(value.alias("value"), F.sum("n").alias("n")).withColumnRenamed("parent", "task").select(*columns)
+        made = staged(made, "group-results") if level != levels[-1] else made
         done, out = done.unionByName(made), made if out is None else out.unionByName(made)
     return (out if out is not None else done.where(F.lit(False))).withColumnRenamed("task", "group")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,17 +58,29 @@ def per_character(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: ~c.rlike(r"(?U)^\s*$"))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Common tokens of two arrays, counted as often as both have them.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Both are sorted and numbered within equal tokens; equal (token, number) pairs are what both have. The sorted array is bound
-    to a variable of its own, so it is made once a row.
-    """
 
-    def numbered(tokens: Column) -> Column:
-        number = lambda ordered: F.transform(ordered, lambda w, i: F.concat_ws("\x01", w, (i - F.array_position(ordered, w)).cast("string")))
-        return F.get(F.transform(F.array(F.array_sort(tokens)), number), F.lit(0))
+def numbered(tokens: Column) -> Column:
+    """Each token with its number among equal ones, in time linear after sorting: equal tokens are runs of the sorted array."""
+
+    def of(ordered: Column) -> Column:
+        start = F.transform(ordered, lambda w, i: F.when((i == 0) | (F.get(ordered, i - 1) != w), i))
+        starts = F.filter(start, lambda i: i.isNotNull())
+
+        def spread(starts: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(ordered))
+            return F.flatten(F.transform(starts, lambda i, j: F.transform(F.sequence(F.lit(0), end(j) - i - 1), lambda k: F.concat_ws("\x01", F.get(ordered, i), k.cast("string")))))
 
+        return _once(starts, spread)
+
+    return _once(F.sort_array(tokens), of)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Common tokens of two arrays, counted as often as both have them: (token, number) pairs that both have."""
     return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
@@ -77,15 +89,15 @@ def f1_of(common: Column, n_pred: Column, n_ref: Column) -> Column:
     return F.when((n_pred == 0) & (n_ref == 0), 1.0).when(common == 0, 0.0).otherwise(2.0 * common / (n_pred + n_ref))
 
 
-def token_f1(pred: Column, ref: Column) -> Column:
-    """Bag-of-tokens F1 of two texts (normalise them first)."""
-    a, b = bag(pred), bag(ref)
+def token_f1(pred: Column, ref: Column, tokens: Callable[[Column], Column] = bag) -> Column:
+    """Bag-of-tokens F1 of two texts (normalise them first); ``per_character`` suits scripts without spaces."""
+    a, b = tokens(pred), tokens(ref)
     return f1_of(overlap(a, b), F.size(a), F.size(b))
 
 
-def token_f1_any(pred: Column, refs: Column) -> Column:
+def token_f1_any(pred: Column, refs: Column, tokens: Callable[[Column], Column] = bag) -> Column:
     """The largest ``token_f1`` over an array of references."""
-    return F.array_max(F.transform(refs, lambda r: token_f1(pred, r)))
+    return F.array_max(F.transform(refs, lambda r: token_f1(pred, r, tokens)))
 
 
 def set_f1(pred: Column, gold: Column) -> tuple[Column, Column, Column]:

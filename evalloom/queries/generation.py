@@ -29,9 +29,9 @@ def e2(spark, sf):
     return table(spark, sf, "documents").select("doc_id", e.strict_match(text, r"answer is \(([A-M])\)").alias("answer"))
 
 
-@query("e3_extract_choice_letter", "SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN substring('ABCD', (doc_id % 6)::INTEGER + 1, 1) END AS letter FROM documents")
+@query("e3_extract_choice_letter", r"SELECT doc_id, nullif(regexp_extract('Well. ANSWER: ' || upper(substring(text, 1, 1)) || '. ' || text, '(?i:answer)\s*:?\s*\(?([ABCD])\b', 1), '') AS letter FROM documents")
 def e3(spark, sf):
-    text = F.concat(F.lit("Well. ANSWER: "), F.substring(F.lit("ABCDEF"), (F.col("doc_id") % 6).cast("int") + 1, F.lit(1)), F.lit(". "), F.substring("text", 1, 9))
+    text = F.concat(F.lit("Well. ANSWER: "), F.upper(F.substring("text", 1, 1)), F.lit(". "), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", e.extract_choice_letter(text).alias("letter"))
 
 
@@ -40,24 +40,22 @@ def e4(spark, sf):
     return e.take_first(table(spark, sf, "conversations").withColumn("repeat", F.col("turn")), ["conv_id", "role"])
 
 
-@query("e5_normalize_answer", f"SELECT doc_id, {NORM.format('substring(text, 1, 200)')} AS answer FROM documents WHERE lang = 'en'")
+@query("e5_normalize_answer", f"SELECT doc_id, {NORM.format('text')} AS answer FROM documents")
 def e5(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", e.normalize_answer(F.substring("text", 1, 200)).alias("answer"))
+    return table(spark, sf, "documents").select("doc_id", e.normalize_answer(F.col("text")).alias("answer"))
 
 
 @query(
     "f4_exact_match",
-    r"""SELECT doc_id, (substring(text, 1, 3) = substring(text, 4, 3))::INTEGER::DOUBLE AS strict, (lower(substring(text, 1, 1)) = substring(text, 3, 1))::INTEGER::DOUBLE AS any_case,
-        (regexp_replace(substring(text, 1, 40), '[\p{P}\p{S}]', '', 'g') = replace(substring(text, 1, 40), '.', ''))::INTEGER::DOUBLE AS bare FROM documents""",
+    r"""WITH t AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, 'a', 'A') ELSE replace(text, '.', '!') END AS target FROM documents)
+        SELECT doc_id, (text = target)::INTEGER::DOUBLE AS strict, (lower(text) = lower(target))::INTEGER::DOUBLE AS any_case,
+        (regexp_replace(text, '[\p{P}\p{S}]', '', 'g') = regexp_replace(target, '[\p{P}\p{S}]', '', 'g'))::INTEGER::DOUBLE AS bare FROM t""",
 )
 def f4(spark, sf):
-    part = lambda a, n: F.substring("text", a, n)
-    docs = table(spark, sf, "documents")
-    return docs.select(
-        "doc_id", scores.exact_match(part(1, 3), part(4, 3)).alias("strict"), scores.exact_match(part(1, 1), F.lower(part(1, 1))).alias("_c"),
-        F.when(F.lower(part(1, 1)) == part(3, 1), 1.0).otherwise(0.0).alias("any_case"), scores.exact_match(part(1, 40), F.replace(part(1, 40), F.lit("."), F.lit("")), ignore_punctuation=True).alias("_b"),
-        F.when(F.regexp_replace(part(1, 40), r"[\p{P}\p{S}]", "") == F.replace(part(1, 40), F.lit("."), F.lit("")), 1.0).otherwise(0.0).alias("bare"),
-    ).drop("_c", "_b")
+    text = F.col("text")
+    target = F.when(F.col("doc_id") % 3 == 0, text).when(F.col("doc_id") % 3 == 1, F.replace(text, F.lit("a"), F.lit("A"))).otherwise(F.replace(text, F.lit("."), F.lit("!")))
+    forms = {"strict": {}, "any_case": {"ignore_case": True}, "bare": {"ignore_punctuation": True}}
+    return table(spark, sf, "documents").select("doc_id", *[scores.exact_match(text, target, **options).alias(name) for name, options in forms.items()])
 
 
 @query("f5_token_f1", f"WITH {GEN_SQL}, two AS (SELECT doc_id, {BAG.format(NORM.format('pred'))} AS a, {BAG.format(NORM.format('ref'))} AS b FROM gen), {COMMON_SQL} SELECT doc_id, round({F1_SQL}, 6) AS f1 FROM two LEFT JOIN com USING (doc_id)")
@@ -67,19 +65,18 @@ def f5(spark, sf):
 
 @query(
     "f5_token_f1_any",
-    f"""WITH {GEN_SQL}, both AS (SELECT doc_id * 2 AS doc_id, pred, ref FROM gen UNION ALL SELECT doc_id * 2 + 1, pred, left(pred, 50) FROM gen), two AS (SELECT doc_id, {BAG.format('pred')} AS a, {BAG.format('ref')} AS b FROM both), {COMMON_SQL}
+    f"""WITH {GEN_SQL}, both AS (SELECT doc_id * 2 AS doc_id, pred, ref FROM gen UNION ALL SELECT doc_id * 2 + 1, pred, replace(pred, ' the ', ' a ') FROM gen), two AS (SELECT doc_id, {BAG.format('pred')} AS a, {BAG.format('ref')} AS b FROM both), {COMMON_SQL}
         SELECT doc_id // 2 AS doc_id, round(max({F1_SQL}), 6) AS f1 FROM two LEFT JOIN com USING (doc_id) GROUP BY 1""".replace("both AS", "sides AS").replace("FROM both", "FROM sides"),
 )
 def f5_any(spark, sf):
-    return generations(spark, sf).select("doc_id", round6(scores.token_f1_any(F.col("pred"), F.array("ref", F.substring("pred", 1, 50)))).alias("f1"))
+    return generations(spark, sf).select("doc_id", round6(scores.token_f1_any(F.col("pred"), F.array("ref", F.replace("pred", F.lit(" the "), F.lit(" a "))))).alias("f1"))
 
 
 
-
-@query("f7_contains", f"WITH r AS (SELECT doc_id, lower(substring(text, 1, 200)) AS pred, list_transform([substring(text, 10, 6), substring(text, 500, 6), 'THE '], lambda x: lower(x)) AS refs FROM documents) SELECT doc_id, (len(list_filter(refs, lambda x: contains(pred, x))) > 0)::INTEGER::DOUBLE AS any_ref, round(len(list_filter(refs, lambda x: contains(pred, x)))::DOUBLE / 3, 6) AS fraction FROM r")
+@query("f7_contains", f"WITH r AS (SELECT doc_id, lower(text) AS pred, list_transform([substring(text, 10, 6), substring(text, 500, 6), 'THE '], lambda x: lower(x)) AS refs FROM documents) SELECT doc_id, (len(list_filter(refs, lambda x: contains(pred, x))) > 0)::INTEGER::DOUBLE AS any_ref, round(len(list_filter(refs, lambda x: contains(pred, x)))::DOUBLE / 3, 6) AS fraction FROM r")
 def f7(spark, sf):
     refs = F.array(F.substring("text", 10, 6), F.substring("text", 500, 6), F.lit("THE "))
-    pred = F.substring("text", 1, 200)
+    pred = F.col("text")
     return table(spark, sf, "documents").select("doc_id", scores.contains_any(pred, refs).alias("any_ref"), round6(scores.contains_fraction(pred, refs)).alias("fraction"))
 
 
@@ -88,14 +85,27 @@ def f8(spark, sf):
     return generations(spark, sf).select("doc_id", round6(scores.rouge1(F.col("pred"), F.col("ref"))).alias("rouge1"))
 
 
+def altered(text):
+    """A text with words changed and left out, as a reference."""
+    return F.replace(F.replace(text, F.lit(" the "), F.lit(" a ")), F.lit(" of "), F.lit(" "))
+
+
 def bleu_rows(spark, sf):
-    """Predictions against themselves with every fifth text cut, so that n-grams of all orders match."""
-    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("task"), F.substring("text", 1, 200).alias("pred"), F.substring("text", 21, 260).alias("ref"))
+    """Whole texts against altered ones."""
+    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("task"), F.col("text").alias("pred"), altered(F.col("text")).alias("ref"))
+
+
+def line_rows(spark, sf):
+    """Every line of every text against an altered one: translation edits are counted sentence by sentence."""
+    lines = table(spark, sf, "documents").select(F.col("lang").alias("task"), F.explode(F.split("text", "\n")).alias("pred"))
+    return lines.withColumn("ref", altered(F.col("pred")))
 
 
-BLEU_SQL = f"""gen AS (SELECT doc_id, lang AS task, {BAG.format('substring(text, 1, 200)')} AS p, {BAG.format('substring(text, 21, 260)')} AS r FROM documents),
-  g AS (SELECT doc_id, n, 0 AS side, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], chr(2)))) AS w FROM gen, (SELECT unnest([1, 2, 3, 4]) AS n)
-        UNION ALL SELECT doc_id, n, 1, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], chr(2)))) FROM gen, (SELECT unnest([1, 2, 3, 4]) AS n)),
+BLEU_SQL = f"""gen AS (SELECT doc_id, lang AS task, {BAG.format('text')} AS p, {BAG.format("replace(replace(text, ' the ', ' a '), ' of ', ' ')")} AS r FROM documents),
+  tk AS (SELECT doc_id, 0 AS side, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM gen UNION ALL SELECT doc_id, 1, unnest(r), generate_subscripts(r, 1) FROM gen),
+  ld AS (SELECT doc_id, side, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM tk WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+  g AS (SELECT doc_id, side, 1 AS n, w FROM ld UNION ALL SELECT doc_id, side, 2, w || chr(2) || w2 FROM ld WHERE w2 IS NOT NULL
+        UNION ALL SELECT doc_id, side, 3, w || chr(2) || w2 || chr(2) || w3 FROM ld WHERE w3 IS NOT NULL UNION ALL SELECT doc_id, side, 4, w || chr(2) || w2 || chr(2) || w3 || chr(2) || w4 FROM ld WHERE w4 IS NOT NULL),
   c AS (SELECT doc_id, n, w, sum(1 - side) AS a, sum(side) AS b FROM g GROUP BY ALL),
   m AS (SELECT doc_id, n, sum(least(a, b)) AS hit FROM c GROUP BY ALL),
   s AS (SELECT task, gen.doc_id, n.n, coalesce(hit, 0) AS hit, greatest(len(p) - n.n + 1, 0) AS total, len(p) AS pl, len(r) AS rl FROM gen JOIN (SELECT unnest([1, 2, 3, 4]) AS n) n ON true LEFT JOIN m ON m.doc_id = gen.doc_id AND m.n = n.n)"""
@@ -118,4 +128,4 @@ def g10(spark, sf):
 
 @query("g11_ter")
 def g11(spark, sf):
-    return x.ter(bleu_rows(spark, sf), "pred", "ref", ["task"]).withColumn("ter", round6(F.col("ter")))
+    return x.ter(line_rows(spark, sf), "pred", "ref", ["task"]).withColumn("ter", round6(F.col("ter")))

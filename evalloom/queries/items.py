@@ -9,14 +9,14 @@ from evalloom.functions import template as t
 from evalloom.operators import prepare as p
 from evalloom.operators import requests as r
 from evalloom.plans.staging import fresh_path
-from evalloom.queries.registry import query, table
+from evalloom.queries.registry import QUARTER_SQL, quarter, query, table
 from evalloom.sources import tables as s
 
-CHOICES_SQL = "list_transform([0, 1, 2, 3], lambda i: substring(text, 1 + 10 * i, 5 + 3 * i))"
+CHOICES_SQL = f"list_transform([0, 1, 2, 3], lambda i: {QUARTER_SQL})"
 
 
 def four_choices() -> list:
-    return [F.substring("text", 1 + 10 * i, 5 + 3 * i) for i in range(4)]
+    return [quarter(F.lit(i)) for i in range(4)]
 
 
 def split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ OPTIONS = " , ".join(f"{c} ) {{w{i}}}" for i, c in enumerate("abcde"))
     "b11_parse_options",
     r"""WITH o AS (SELECT doc_id, 'a ) ' || w[1] || ' , b ) ' || w[2] || ' , c ) ' || w[3] || ' , d ) ' || w[4] || ' , e ) ' || w[5] AS options
           FROM (SELECT doc_id, list_transform([1, 2, 3, 4, 5], lambda i: coalesce(string_split_regex(text, '[^a-zA-Z]+')[i], '')) AS w FROM documents))
-        SELECT doc_id, array_to_string(list_transform(regexp_extract_all(options, '[abcd] \) .*?, |e \) .*?$'), lambda x: rtrim(substring(x, 5), ' ,')), '|') AS options FROM o""",
+        SELECT doc_id, array_to_string(list_transform(regexp_extract_all(options, '{0}'), lambda x: rtrim(substring(x, 5), ' ,')), '|') AS options FROM o""".replace("{0}", p.OPTIONS),
 )
 def b11(spark, sf):
     words = F.split("text", "[^a-zA-Z]+")
@@ -144,11 +144,11 @@ def b12(spark, sf):
 
 PAIRS_SQL = """pairs AS (SELECT a.item_id, a.lang AS src, b.lang AS tgt, a.t AS source_text, b.t AS target_text
   FROM wide a JOIN wide b ON a.item_id = b.item_id AND a.lang <> b.lang)"""
-WIDE_SQL = "wide AS (SELECT item_id, 'en' AS lang, text AS t FROM benchmark UNION ALL SELECT item_id, 'rev', reverse(text) FROM benchmark UNION ALL SELECT item_id, 'cut', left(text, 40) FROM benchmark)"
+WIDE_SQL = "wide AS (SELECT item_id, 'en' AS lang, text AS t FROM benchmark UNION ALL SELECT item_id, 'rev', reverse(text) FROM benchmark UNION ALL SELECT item_id, 'cut', replace(text, ' ', '_') FROM benchmark)"
 
 
 def parallel(spark, sf):
-    wide = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t_en"), F.reverse("text").alias("t_rev"), F.substring("text", 1, 40).alias("t_cut"))
+    wide = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t_en"), F.reverse("text").alias("t_rev"), F.replace("text", F.lit(" "), F.lit("_")).alias("t_cut"))
     return p.parallel_pairs(wide, "item_id", {"en": "t_en", "rev": "t_rev", "cut": "t_cut"})
 
 
@@ -164,7 +164,7 @@ def b14(spark, sf):
 
 @query(
     "b15_permute_choices",
-    f"""WITH o AS (SELECT doc_id, doc_id % 4 AS gold, list_sort(list_transform([0, 1, 2, 3], lambda i: {{'k': sha256('7|' || doc_id || '|' || i), 'i': i, 'c': substring(text, 1 + 10 * i, 5 + 3 * i)}})) AS o FROM documents)
+    f"""WITH o AS (SELECT doc_id, doc_id % 4 AS gold, list_sort(list_transform([0, 1, 2, 3], lambda i: {{'k': sha256('7|' || doc_id || '|' || i), 'i': i, 'c': {QUARTER_SQL}}})) AS o FROM documents)
         SELECT doc_id, array_to_string(list_transform(o, lambda x: x.c), '|') AS choices, (list_position(list_transform(o, lambda x: x.i), gold) - 1)::INTEGER AS gold FROM o""",
 )
 def b15(spark, sf):
@@ -190,11 +190,11 @@ def b17(spark, sf):
 
 @query(
     "b18_length_limits",
-    r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(left(text, 60), '\s+'), lambda x: x <> '')) AS a, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS b FROM documents)
+    r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(string_split(text, chr(10))[1], '\s+'), lambda x: x <> '')) AS a, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS b FROM documents)
         SELECT doc_id FROM w WHERE a <= 10 AND b <= 300""",
 )
 def b18(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("prompt"), "text")
+    docs = table(spark, sf, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("prompt"), "text")
     return p.length_limits(docs, "prompt", "text", 10, 300).select("doc_id")
 
 
@@ -214,9 +214,9 @@ def c1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.render("Language: {lang}\nFrom {source} ({doc_id})").alias("prompt"))
 
 
-@query("c2_strip", r"SELECT doc_id, regexp_replace(substring(text, 5, 12), '^\s+|\s+$', '', 'g') AS bare FROM documents")
+@query("c2_strip", r"SELECT doc_id, regexp_replace(' ' || chr(9) || text || chr(10) || ' ', '^\s+|\s+$', '', 'g') AS bare FROM documents")
 def c2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.strip(F.substring("text", 5, 12)).alias("bare"))
+    return table(spark, sf, "documents").select("doc_id", t.strip(F.concat(F.lit(" \t"), F.col("text"), F.lit("\n "))).alias("bare"))
 
 
 @query("c3_index", "SELECT doc_id, string_split(text, ' ')[3] AS word, string_split(text, ' ')[100000] AS far FROM documents")
@@ -231,7 +231,7 @@ def c4(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.slice_text(F.col("text"), start, start + 9).alias("part"))
 
 
-@query("c5_lettered_options", "SELECT doc_id, array_to_string(list_transform([0, 1, 2, 3], lambda i: substring('ABCD', i + 1, 1) || '. ' || substring(text, 1 + 10 * i, 5 + 3 * i)), chr(10)) AS options FROM documents")
+@query("c5_lettered_options", f"SELECT doc_id, array_to_string(list_transform([0, 1, 2, 3], lambda i: substring('ABCD', i + 1, 1) || '. ' || {QUARTER_SQL}), chr(10)) AS options FROM documents")
 def c5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.lettered_options(F.array(*four_choices())).alias("options"))
 
@@ -242,9 +242,9 @@ def c6(spark, sf):
     return turns.select("conv_id", "turn", t.first_defined(turns, "absent", "prompt", "text").alias("prompt"))
 
 
-@query("c7_choice_sentences", "SELECT item_id, array_to_string(list_transform(['Yes', 'No'], lambda x: left(text, 20) || '? ' || x || ', ' || substring(text, 21, 20)), '|') AS choices FROM benchmark")
+@query("c7_choice_sentences", "SELECT item_id, array_to_string(list_transform(['Yes', 'No'], lambda x: text || '? ' || x || ', ' || reverse(text)), '|') AS choices FROM benchmark")
 def c7(spark, sf):
-    made = t.choice_sentences(F.substring("text", 1, 20), ["? Yes, ", "? No, "], F.substring("text", 21, 20))
+    made = t.choice_sentences(F.col("text"), ["? Yes, ", "? No, "], F.reverse("text"))
     return table(spark, sf, "benchmark").select("item_id", F.array_join(made, "|").alias("choices"))
 
 
@@ -253,9 +253,9 @@ def c8(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.join_contexts(F.split("text", r"\. ")).alias("context"))
 
 
-@query("c9_ensure_period", r"WITH b AS (SELECT doc_id, regexp_replace(left(text, 30), '^\s+|\s+$', '', 'g') AS x FROM documents) SELECT doc_id, CASE WHEN x LIKE '%.' THEN x ELSE x || '.' END AS sentence FROM b")
+@query("c9_ensure_period", r"WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents) SELECT doc_id, CASE WHEN x LIKE '%.' THEN x ELSE x || '.' END AS sentence FROM b")
 def c9(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.ensure_period(F.substring("text", 1, 30)).alias("sentence"))
+    return table(spark, sf, "documents").select("doc_id", t.ensure_period(F.col("text")).alias("sentence"))
 
 
 @query(
@@ -273,9 +273,9 @@ def c11(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", t.with_description("Answer the question.\n", F.col("text")).alias("prompt"))
 
 
-@query("c12_with_target_delimiter", "SELECT item_id, left(text, 20) || ' ' || substring(text, 21) AS spaced, left(text, 20) || chr(10) || substring(text, 21) AS lined FROM benchmark")
+@query("c12_with_target_delimiter", "SELECT item_id, text || ' ' || reverse(text) AS spaced, text || chr(10) || reverse(text) AS lined FROM benchmark")
 def c12(spark, sf):
-    a, b = F.substring("text", 1, 20), F.substring("text", 21, 1 << 30)
+    a, b = F.col("text"), F.reverse("text")
     return table(spark, sf, "benchmark").select("item_id", t.with_target_delimiter(a, b).alias("spaced"), t.with_target_delimiter(a, b, "\n").alias("lined"))
 
 
@@ -284,11 +284,11 @@ def c13(spark, sf):
     return t.prompt_variants(table(spark, sf, "benchmark").select("item_id", "text"), ["Q: {text}", "{text} A:", "{text}"]).drop("text")
 
 
-ITEMS_SQL = f"items AS (SELECT lang AS task, doc_id, left(text, 30) AS prompt, {CHOICES_SQL} AS choices, substring(text, 31, 15) AS target FROM documents)"
+ITEMS_SQL = f"items AS (SELECT lang AS task, doc_id, text AS prompt, {CHOICES_SQL} AS choices, reverse(text) AS target FROM documents)"
 
 
 def mc_items(spark, sf):
-    return table(spark, sf, "documents").select(F.col("lang").alias("task"), "doc_id", F.substring("text", 1, 30).alias("prompt"), F.array(*four_choices()).alias("choices"), F.substring("text", 31, 15).alias("target"))
+    return table(spark, sf, "documents").select(F.col("lang").alias("task"), "doc_id", F.col("text").alias("prompt"), F.array(*four_choices()).alias("choices"), F.reverse("text").alias("target"))
 
 
 @query("d1_mc_requests", f"WITH {ITEMS_SQL} SELECT task, doc_id, i AS idx, prompt AS context, ' ' || choices[i + 1] AS continuation, 'loglikelihood' AS output_type FROM items, (SELECT unnest([0, 1, 2, 3]) AS i)")
@@ -311,11 +311,11 @@ def d4(spark, sf):
     return r.repeat_requests(table(spark, sf, "benchmark").select("item_id"), 3)
 
 
-POOL_SQL = "pool AS (SELECT lang AS task, doc_id, left(text, 40) AS example, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE doc_id % 2 = 0)"
+POOL_SQL = "pool AS (SELECT lang AS task, doc_id, text AS example, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents)"
 
 
 def pool(spark, sf):
-    return table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("lang").alias("task"), "doc_id", F.substring("text", 1, 40).alias("example"))
+    return table(spark, sf, "documents").select(F.col("lang").alias("task"), "doc_id", F.col("text").alias("example"))
 
 
 @query(
@@ -360,3 +360,17 @@ def d8(spark, sf):
 @query("d9_target_requests", f"WITH {ITEMS_SQL} SELECT task, doc_id, prompt AS context, ' ' || target AS continuation, 'loglikelihood' AS output_type FROM items")
 def d9(spark, sf):
     return r.target_requests(mc_items(spark, sf))
+
+
+@query(
+    "d8_equal_request_sets",
+    f"""WITH {ITEMS_SQL}, twin AS (SELECT 'copy_' || task AS task, prompt, choices FROM items WHERE task <> 'fr' UNION ALL SELECT task, prompt, choices FROM items),
+        req AS (SELECT task, sha256(concat_ws(chr(31), prompt, ' ' || choices[i + 1], 'loglikelihood')) AS h FROM twin, (SELECT unnest([0, 1, 2, 3]) AS i)),
+        part AS (SELECT task, count(*) AS n, sum(('0x' || substring(h, 1, 15))::BIGINT) AS a, sum(('0x' || substring(h, 16, 15))::BIGINT) AS b, sum(('0x' || substring(h, 31, 15))::BIGINT) AS c FROM req GROUP BY task)
+        SELECT sha256(concat_ws(',', n, a, b, c)) AS fingerprint, string_agg(task, ',' ORDER BY task) AS tasks FROM part GROUP BY 1 HAVING count(*) > 1""",
+)
+def d8_equal(spark, sf):
+    """Every task but French stands twice, under two names."""
+    items = mc_items(spark, sf)
+    twin = items.unionByName(items.where("task <> 'fr'").withColumn("task", F.concat(F.lit("copy_"), "task")))
+    return r.equal_request_sets(r.request_fingerprint(r.mc_requests(twin))).select("fingerprint", F.array_join("tasks", ",").alias("tasks"))

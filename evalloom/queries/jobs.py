@@ -9,7 +9,7 @@ from evalloom.operators import corpus as c
 from evalloom.operators import prepare
 from evalloom.operators import text_metrics as x
 from evalloom.operators.postfilter import stop_at
-from evalloom.queries.generation import BLEU_SQL
+from evalloom.queries.generation import BLEU_SQL, altered
 from evalloom.queries.registry import query, round6, table
 from evalloom.queries.scoring import PPL_SQL, perplexity_rows
 
@@ -90,7 +90,7 @@ def i5_frequent(spark, sf):
     return c.frequent_words_dataset(table(spark, sf, "documents"), "lang").withColumn("answers", F.array_join("answers", ","))
 
 
-@query("i6_distractor_qa_dataset", """WITH pl AS (SELECT doc_id, left(text, 200) AS passage, md5(doc_id::VARCHAR) AS m, doc_id % 64 AS b FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 64 ORDER BY md5(doc_id::VARCHAR), doc_id) <= 5),
+@query("i6_distractor_qa_dataset", """WITH pl AS (SELECT doc_id, text AS passage, md5(doc_id::VARCHAR) AS m, doc_id % 64 AS b FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 64 ORDER BY md5(doc_id::VARCHAR), doc_id) <= 5),
     nr AS (SELECT i.item_id, i.text AS gold, m, passage FROM benchmark i JOIN pl ON b = i.item_id % 64 AND doc_id <> i.item_id QUALIFY row_number() OVER (PARTITION BY i.item_id ORDER BY m, passage) <= 4),
     al AS (SELECT item_id, gold, m, passage FROM nr UNION ALL SELECT DISTINCT item_id, gold, md5('gold' || item_id), gold FROM nr),
     li AS (SELECT item_id, gold, list(passage ORDER BY m, passage) AS ps FROM al GROUP BY ALL)
@@ -145,5 +145,5 @@ def j2(spark, sf):
 def w2(spark, sf):
     """Generations cut at a stop string and scored as a corpus per language."""
     docs = table(spark, sf, "documents")
-    rows = docs.select(F.col("lang").alias("task"), stop_at(F.concat(F.substring("text", 1, 200), F.lit("</s> more")), ["</s>"]).alias("pred"), F.substring("text", 21, 260).alias("ref"))
+    rows = docs.select(F.col("lang").alias("task"), stop_at(F.concat("text", F.lit("</s> more")), ["</s>"]).alias("pred"), altered(F.col("text")).alias("ref"))
     return x.bleu(rows, "pred", "ref", ["task"]).withColumn("bleu", round6(F.col("bleu")))

@@ -60,19 +60,19 @@ def h1(spark, sf):
     return u.expand_groups(edges(spark, sf)).select("parent", "child")
 
 
-@query("h2_group_mean_weighted", f"WITH {RESULTS_SQL}, {EDGES_SQL} SELECT parent AS \"group\", model, metric, round(sum(value * n) / sum(n), 6) AS value, sum(n)::BIGINT AS n FROM (SELECT DISTINCT * FROM edges) e JOIN results r ON r.task = e.child WHERE filter = 'none' AND metric = 'acc' GROUP BY ALL")
+@query("h2_group_mean_weighted", f"WITH {RESULTS_SQL}, {EDGES_SQL} SELECT parent AS \"group\", model, filter, metric, round(sum(value * n) / sum(n), 6) AS value, sum(n)::BIGINT AS n FROM (SELECT DISTINCT * FROM edges) e JOIN results r ON r.task = e.child GROUP BY ALL")
 def h2(spark, sf):
-    return u.group_mean_weighted(plain(spark, sf), edges(spark, sf)).withColumn("value", round6(F.col("value")))
+    return u.group_mean_weighted(results(spark, sf), edges(spark, sf)).withColumn("value", round6(F.col("value")))
 
 
-@query("h3_group_mean_unweighted", f"WITH {RESULTS_SQL}, {EDGES_SQL} SELECT parent AS \"group\", model, metric, round(avg(value), 6) AS value, sum(n)::BIGINT AS n FROM (SELECT DISTINCT * FROM edges) e JOIN results r ON r.task = e.child WHERE filter = 'none' AND metric = 'acc' GROUP BY ALL")
+@query("h3_group_mean_unweighted", f"WITH {RESULTS_SQL}, {EDGES_SQL} SELECT parent AS \"group\", model, filter, metric, round(avg(value), 6) AS value, sum(n)::BIGINT AS n FROM (SELECT DISTINCT * FROM edges) e JOIN results r ON r.task = e.child GROUP BY ALL")
 def h3(spark, sf):
-    return u.group_mean_unweighted(plain(spark, sf), edges(spark, sf)).withColumn("value", round6(F.col("value")))
+    return u.group_mean_unweighted(results(spark, sf), edges(spark, sf)).withColumn("value", round6(F.col("value")))
 
 
-@query("h3_group_mean_over_leaves", f"WITH RECURSIVE {RESULTS_SQL}, {EDGES_SQL}, {REACH_SQL} SELECT parent AS \"group\", model, metric, round(avg(value), 6) AS value, sum(n)::BIGINT AS n FROM (SELECT DISTINCT parent, child FROM reach) e JOIN results r ON r.task = e.child WHERE filter = 'none' AND metric = 'acc' GROUP BY ALL")
+@query("h3_group_mean_over_leaves", f"WITH RECURSIVE {RESULTS_SQL}, {EDGES_SQL}, {REACH_SQL} SELECT parent AS \"group\", model, filter, metric, round(avg(value), 6) AS value, sum(n)::BIGINT AS n FROM (SELECT DISTINCT parent, child FROM reach) e JOIN results r ON r.task = e.child GROUP BY ALL")
 def h3_leaves(spark, sf):
-    return u.group_mean_unweighted(plain(spark, sf), edges(spark, sf), use_leaves=True).withColumn("value", round6(F.col("value")))
+    return u.group_mean_unweighted(results(spark, sf), edges(spark, sf), use_leaves=True).withColumn("value", round6(F.col("value")))
 
 
 SPEC_SQL = """spec AS (SELECT DISTINCT parent AS g, 'acc' AS metric, parent <> 'all' AS weighted, CASE WHEN parent LIKE 'family%' THEN 'strict_match' END AS f FROM edges WHERE parent <> 'lang_de'

@@ -155,8 +155,7 @@ def g12(spark, sf):
 @query("g13_pass_at_k", "WITH p AS (SELECT user_id, count(*) AS n, sum((event_type = 'purchase')::INTEGER)::BIGINT AS c FROM events GROUP BY user_id) SELECT user_id, n, c, CASE WHEN n >= 2 THEN round(1 - (greatest(n - c, 0)::DOUBLE / n) * (greatest(n - c - 1, 0)::DOUBLE / (n - 1)), 6) END AS pass_at_2, round(1 - greatest(n - c, 0)::DOUBLE / n, 6) AS pass_at_1 FROM p")
 def g13(spark, sf):
     attempts = table(spark, sf, "events").select("user_id", (F.col("event_type") == "purchase").alias("passed"))
-    one, two = (m.pass_at_k(attempts, k, "user_id", "passed").withColumn(f"pass_at_{k}", round6(F.col("pass_at_k"))).drop("pass_at_k") for k in (1, 2))
-    return two.join(one.drop("n", "c"), "user_id")
+    return m.pass_at_k(attempts, (1, 2), "user_id", "passed").select("user_id", "n", "c", *[round6(F.col(f"pass_at_{k}")).alias(f"pass_at_{k}") for k in (1, 2)])
 
 
 @query("g14_score_by_band", "SELECT source, CASE WHEN n_chars < 1000 THEN '0-1000' WHEN n_chars < 4000 THEN '1000-4000' ELSE '4000+' END AS band, round(avg(doc_id % 10), 6) AS score, count(*) AS n FROM documents GROUP BY ALL")

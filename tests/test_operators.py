@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,10 +167,45 @@ def test_groups(spark):
     results = spark.createDataFrame([("m", "a", "none", "acc", 1.0, 1), ("m", "b", "none", "acc", 0.0, 3)], "model string, task string, filter string, metric string, value double, n long")
     assert {r.group: r.value for r in rollup.group_mean_weighted(results, edges).collect()} == {"g": 0.25, "top": 1.0}
     assert {r.group: r.value for r in rollup.group_mean_unweighted(results, edges, use_leaves=True).collect()} == {"g": 0.5, "top": 0.5}
+    filters = results.unionByName(results.withColumn("filter", F.lit("strict")).withColumn("value", F.lit(0.5)))
+    assert {(r.group, r.filter): r.value for r in rollup.group_mean_weighted(filters, edges).collect()} == {("g", "none"): 0.25, ("top", "none"): 1.0, ("g", "strict"): 0.5, ("top", "strict"): 0.5}
     ranks = rollup.leaderboard(spark.createDataFrame([("g", "ppl", "a", 2.0), ("g", "ppl", "b", 1.0), ("g", "ppl", "c", None)], "group string, metric string, model string, value double"), ["ppl"])
     assert {r.model: r.rank for r in ranks.collect()} == {"b": 1, "a": 2, "c": 3}
 
 
+def test_deep_groups_and_cycles(spark):
+    chain = [(f"g{i}", f"g{i + 1}") for i in range(40)] + [("g40", "a"), ("x", "y"), ("y", "x"), ("y", "a"), ("over", "x")]
+    edges = spark.createDataFrame([*chain, ("short", "g40"), ("short", "b"), ("long", "g40"), ("long", "short")], "parent string, child string")
+    reach = {(r.parent, r.child): r.depth for r in rollup.expand_groups(edges).collect()}
+    assert reach["g0", "a"] == 41 and reach["x", "x"] == 2 and reach["over", "a"] == 3 and reach["long", "g40"] == 1
+    results = spark.createDataFrame([("m", "a", "none", "acc", 1.0, 1), ("m", "b", "none", "acc", 0.0, 1)], "model string, task string, filter string, metric string, value double, n long")
+    spec = edges.select(F.col("parent").alias("group"), F.lit("acc").alias("metric"), F.lit(False).alias("weight_by_size"), F.lit(None).cast("array<string>").alias("filters")).distinct()
+    got = {r.group: r.value for r in rollup.roll_up(results, edges, spec).collect()}
+    assert got == {**{f"g{i}": 1.0 for i in range(41)}, "short": 0.5, "long": 0.75}  # cycles and what stands on them have no value
+    assert rollup.roll_up(results, edges.limit(0), spec).collect() == []
+
+
+def test_overlap_matches_counters(spark):
+    random.seed(8)
+    rows = [(random.choices("abcde", k=random.randrange(12)), random.choices("abcdf", k=random.randrange(12))) for _ in range(60)] + [([], []), (["x"] * 3000 + list(map(str, range(3000))), ["x"] * 5000)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", scores.overlap(F.col("a"), F.col("b")).alias("n"))
+    assert all(r.n == (Counter(r.a) & Counter(r.b)).total() for r in df.collect())
+
+
+def test_bootstrap_weights_are_poisson():
+    w = metrics.poisson_weights(np.arange(4000, dtype=np.uint64), 500, 7)
+    assert w.mean() == pytest.approx(1, abs=5e-3) and w.var() == pytest.approx(1, abs=1e-2)
+    assert [(w == k).mean() for k in range(4)] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=2e-3)
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+def test_haystacks_pass_on_a_bounded_number_of_rows(spark):
+    docs = spark.createDataFrame([(i, "ab" if i else "") for i in range(50)], "doc_id long, text string")
+    made = corpus.haystacks(docs, F.lit(0), 7)
+    assert made.first().haystack == " ab ab"
+    assert "WindowGroupLimit" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_global_rank_is_gapless_and_spread(spark):
     df = spark.range(1000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.col("id"))
     rows = global_rank(df.repartition(7), ["id"], ["g"], name="k", total="n").collect()

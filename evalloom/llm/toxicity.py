@@ -1,20 +1,22 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
-Folding undoes disguises: lower case, look-alike letters of other scripts, digits and signs that stand for
-letters, zero-width characters. A lexicon entry is a word or a word beginning with a weight; exception phrases
+Folding undoes disguises: lower case, accents and letters of other shapes (compatibility forms), look-alike letters of other
+scripts, digits and signs that stand for letters, zero-width characters, words spelt out letter by letter. A lexicon entry is a word or a word beginning with a weight; exception phrases
 cancel the hits inside them. The sum of weights, divided by the logarithm of the text's length in words, goes
 through a fitted logistic curve to a score from 0 to 1.
 
 Entries and weights are learned from labelled rows: beginnings of 4 to 8 letters and whole words that stand in
-toxic texts far more often than in clean ones (likelihood-ratio test over document counts).
+toxic texts far more often than in clean ones (likelihood-ratio test over document counts). Exceptions are learned too: an entry's word with
+its neighbour, where the two stand far more often in clean texts. Part of the labelled rows is kept from the lexicon, and the curve is fitted on it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -42,11 +44,16 @@ EXCEPTIONS = ("trash can", "trash bag", "circus clown", "clown fish", "loser bra
 
 _TABLE = str.maketrans(HOMOGLYPHS | SUBSTITUTES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys("​‌‍⁠﻿­", ""))
 _GAPS = re.compile(r"[\W_]+")
+_MARKS = re.compile(r"[\u0300-\u036f]+")
+_SPELT = re.compile(r"(?<= )(?:\w ){3,}")
 
 
 def fold_text(text: str) -> str:
-    """Folded words with a space before, between and after them."""
-    return f" {_GAPS.sub(' ', text.lower().translate(_TABLE)).strip()} "
+    """Folded words with a space before, between and after them; three or more single letters in a row become a word."""
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    folded = f" {_GAPS.sub(' ', text.lower().translate(_TABLE)).strip()} "
+    return _SPELT.sub(lambda m: m[0].replace(" ", "") + " ", folded)
 
 
 @dataclass(frozen=True)
@@ -68,12 +75,11 @@ class ToxicityModel:
         automaton.make_automaton()
         return automaton
 
-    def strength(self, automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int]:
-        """Weights of the words hit (each word once, by its heaviest entry) over log2 of the length; the hits."""
-        folded = fold_text(text or "")
-        if not len(automaton):
-            return 0.0, 0
+    def hits(self, automaton: ahocorasick.Automaton, folded: str) -> dict[int, float]:
+        """Place of each word hit (the space before it) and the weight of its heaviest entry; those in exception phrases are left out."""
         hits: dict[int, float] = {}
+        if not len(automaton):
+            return hits
         spared: list[tuple[int, int]] = []
         for end, (length, weight) in automaton.iter(folded):
             start = end - length + 1
@@ -84,6 +90,12 @@ class ToxicityModel:
         for a, b in spared:
             for start in [s for s in hits if a <= s < b]:
                 del hits[start]
+        return hits
+
+    def strength(self, automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int]:
+        """Weights of the words hit over log2 of the length; how many were hit."""
+        folded = fold_text(text or "")
+        hits = self.hits(automaton, folded)
         return sum(hits.values()) / math.log2(folded.count(" ") + 1), len(hits)
 
     def score(self, strength: float) -> float:
@@ -91,23 +103,47 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Texts of the rows that ``labelled_ids`` picks, staged."""
+    """text and y of the rows that ``labelled_ids`` picks, staged; a text that several of them have counts once, with its largest label."""
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("text"))
-    return staged(rows.join(F.broadcast(labelled_ids(labels, label, max_per_class)), "_id"), f"{label}-sample")  # 2 x max_per_class ids
+    picked = rows.join(F.broadcast(labelled_ids(labels, label, max_per_class)), "_id")  # 2 x max_per_class ids
+    return staged(picked.groupBy("text").agg(F.max("y").alias("y")), f"{label}-sample")
+
+
+def patterns_in(folded: str) -> set[str]:
+    """Every word, and every word beginning of 4 to 8 letters."""
+    found = set()
+    for word in set(folded.split()):
+        found.add(f" {word} ")
+        found.update(f" {word[:n]}" for n in range(4, min(8, len(word)) + 1))
+    return found
+
 
+def neighbours(model: ToxicityModel, automaton: ahocorasick.Automaton, folded: str) -> set[str]:
+    """Every word hit with the word before it and with the word after it."""
+    found = set()
+    for start in model.hits(automaton, folded):
+        end = folded.index(" ", start + 1)
+        if start > 0:
+            found.add(folded[folded.rindex(" ", 0, start) : end + 1])
+        if end < len(folded) - 1:
+            found.add(folded[start : folded.index(" ", end + 1) + 1])
+    return found
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of every word and word beginning, by class."""
-    for batch in batches:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            found = set()
-            for word in set(fold_text(text).split()):
-                found.add(f" {word[:40]} ")
-                found.update(f" {word[:n]}" for n in range(4, min(8, len(word)) + 1))
-            seen[y].update(found)
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["pattern", "toxic", "clean"])
+
+def _counted(sample: DataFrame, find: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
+    """pattern, toxic, clean: in how many texts of each class ``find()`` finds a pattern."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = find()
+        for batch in batches:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                seen[y].update(patterns(fold_text(text)))
+            names = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["pattern", "toxic", "clean"])
+
+    found = sample.select("text", "y").mapInArrow(count, "pattern string, toxic long, clean long")
+    return found.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def likelihood_ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
@@ -135,42 +171,46 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return max(0.0, float(w[0])), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8000, max_entries: int = 4000, min_texts: int = 5, min_g2: float = 22.0, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicityModel:
-    """Learns lexicon and curve from at most ``max_per_class`` labelled rows a class.
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8000, min_texts: int = 5, min_share: float = 0.01, min_g2: float = 22.0, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicityModel:
+    """Learns lexicon, exceptions and curve from at most ``max_per_class`` labelled rows a class.
 
+    A fifth of their different texts, by hash, fits the curve; the others make the lexicon. All entries in ``min_texts`` toxic texts and ``min_share`` of
+    them whose test value reaches ``min_g2`` are kept, so words that only a group of near copies has are not; the bounded sample bounds the lexicon.
     Without labels of both classes the seed lexicon and a default curve stand. Only texts and labels are read.
     """
-    sample = labelled_sample(docs, labels, "toxic", max_per_class)
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample = labelled_sample(docs, labels, "toxic", max_per_class).withColumn("aside", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
+    sizes = {(r.aside, r.y): r.n for r in sample.groupBy("aside", "y").agg(F.count("*").alias("n")).collect()}
     seeds = {f" {w} ": weight for w, weight in SEED_LEXICON.items()}
-    if len(sizes) < 2:
+    if len({y for _, y in sizes}) < 2:
         return ToxicityModel(seeds, tuple(exceptions))
-    n_toxic, n_clean = sizes[1], sizes[0]
-    counts = sample.select("text", "y").mapInArrow(_counts, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    lexical = sample.where("NOT aside") if (False, 0) in sizes and (False, 1) in sizes else sample
+    curve = sample.where("aside") if (True, 0) in sizes and (True, 1) in sizes else sample
+    n_toxic, n_clean = (sum(n for (aside, y), n in sizes.items() if y == label and (lexical is sample or not aside)) for label in (1, 0))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    found = (
-        counts.where(F.col("toxic") >= min_texts)
-        .select("pattern", weight.alias("weight"), likelihood_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean).alias("g2"))
-        .where(F.col("weight") > 1.5)
-        .where(F.col("g2") >= min_g2)
-        .orderBy(F.desc("g2"), F.length("pattern"), "pattern")
-        .limit(max_entries)
-        .collect()
-    )
+    judged = lambda df: df.select("pattern", "toxic", "clean", weight.alias("weight"), likelihood_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean).alias("g2"))
+    found = judged(_counted(lexical, lambda: patterns_in).where((F.col("toxic") >= min_texts) & (F.col("toxic") >= min_share * n_toxic))).where(F.col("weight") > 1.5).where(F.col("g2") >= min_g2)
     lexicon = dict(seeds)
-    for row in found:  # an entry adds nothing where a shorter one, as heavy, already matches
+    for row in found.orderBy(F.desc("g2"), F.length("pattern"), "pattern").collect():  # an entry adds nothing where a shorter one, as heavy, already matches
         if not any(row.pattern.startswith(p) and lexicon.get(p, 0) >= row.weight - 0.7 for p in (row.pattern[:n] for n in range(5, len(row.pattern)))):
             lexicon[row.pattern] = row.weight
     model = ToxicityModel(lexicon, tuple(exceptions))
 
+    def pairs() -> Callable[[str], set[str]]:
+        automaton = model.matcher()
+        return lambda folded: neighbours(model, automaton, folded)
+
+    harmless = judged(_counted(lexical, pairs).where((F.col("clean") >= min_texts) & (F.col("clean") >= min_share * n_clean))).where(F.col("weight") < -1.5).where(F.col("g2") >= min_g2)
+    model = ToxicityModel(lexicon, (*exceptions, *sorted(r.pattern.strip() for r in harmless.collect())))
+
     def strengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = model.matcher()
         for batch in batches:
             yield pd.DataFrame({"x": [model.strength(automaton, t)[0] for t in batch["text"]], "y": batch["y"]})
 
-    points = sample.select("text", "y").mapInPandas(strengths, "x double, y int").toPandas()  # two numbers a sampled row
+    points = curve.select("text", "y").mapInPandas(strengths, "x double, y int").toPandas()  # two numbers a sampled row
     slope, intercept = fit_curve(points["x"].to_numpy(float), points["y"].to_numpy(float))
-    return ToxicityModel(lexicon, tuple(exceptions), slope, intercept, {"toxic": n_toxic, "clean": n_clean, "entries": len(lexicon)})
+    report = {"toxic": n_toxic, "clean": n_clean, "entries": len(lexicon), "exceptions": len(model.exceptions)}
+    return ToxicityModel(lexicon, model.exceptions, slope, intercept, report)
 
 
 def scores(model: ToxicityModel, text: Column) -> Column:
@@ -196,5 +236,9 @@ def classify(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_c
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is under ``threshold``.
+
+    Null and empty texts are scored as texts without hits; equal texts stay or go together, repeated rows as often as they occur. An empty table stays
+    empty; other columns are not read and may have any names.
+    """
     return docs.where(scores(model, F.col(text_column)) < threshold)

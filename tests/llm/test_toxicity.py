@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 
-from evalloom.llm import toxicity
-from evalloom.llm.common import fold_of
+from evalloom.llm import queries, toxicity
+from evalloom.llm.common import fold, fold_of
 from evalloom.llm.toxicity import ToxicityModel, classify, drop_toxic, fold_text, train
 
 SCHEMA = "doc_id long, text string, score string, y long"
@@ -13,6 +14,8 @@ def test_folding_undoes_disguises():
     assert fold_text("1D10T, ТRАSH! sс​um") == " idiot trash scum "
     assert fold_text("") == "  "
     assert fold_text("ｉｄｉｏｔ") == " idiot "
+    assert fold_text("ídiot 𝗂𝖽𝗂𝗈𝗍 I.D.I.O.T. a b") == " idiot idiot idiotab "  # single letters in a row are one word
+    assert fold_text("an i d i o t, a b c-d is") == " an idiotabcd is " and fold_text("a b is") == " a b is "
 
 
 def test_exceptions_and_length():
@@ -56,6 +59,61 @@ def test_held_out_accuracy(corpus):
     assert kept.columns == docs.columns and kept.where("doc_id = 9000").count() == 2
 
 
+def test_long_words_and_learned_exceptions(spark):
+    random.seed(6)
+    words = [f"w{random.randrange(16**4):04x}q" for _ in range(300)]
+    long = "x" * 39 + "insult"
+    rows, labels = [], []
+    for i in range(900):
+        text = random.choices(words, k=60)
+        toxic = i % 3 == 0
+        if toxic:
+            text[random.randrange(60)] = random.choice([long, "gorbak"])
+        elif i % 3 == 1:
+            text[20:22] = ["gorbak", "tree"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    model = train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    matcher = model.matcher()
+    hits = lambda text: model.strength(matcher, text)[1]
+    assert hits(f"a {long} b") == 1 and "gorbak tree" in model.exceptions or hits("a gorbak") == 0
+    assert hits("the gorbak tree is") == 0
+
+
+def plain_score(model, text):
+    """The score by substring search alone, a pattern at a time."""
+    folded = toxicity.fold_text(text or "")
+    best = {}
+    for pattern, weight in model.lexicon.items():
+        at = folded.find(pattern)
+        while at >= 0:
+            best[at] = max(best.get(at, 0.0), weight)
+            at = folded.find(pattern, at + 1)
+    for phrase in map(toxicity.fold_text, model.exceptions):
+        at = folded.find(phrase)
+        while at >= 0:
+            best = {s: w for s, w in best.items() if not at <= s < at + len(phrase) - 1}
+            at = folded.find(phrase, at + 1)
+    return model.score(sum(best.values()) / math.log2(folded.count(" ") + 1))
+
+
+def test_query_matches_brute_force(spark, tmp_path, corpus):
+    docs, labels = corpus
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    made = []
+    original = toxicity.classify
+    toxicity.classify = lambda d, model, **k: (made.append(model), original(d, model, **k))[1]
+    try:
+        got = {r.doc_id: r for r in queries.op1_toxicity(spark, str(tmp_path)).collect()}
+    finally:
+        toxicity.classify = original
+    for r in docs.collect():
+        want = plain_score(made[0], r.text)
+        assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].predicted == int(want >= 0.7)
+        assert got[r.doc_id].held_out == (r.doc_id is not None and fold(r.doc_id, 3) == 1)
+
+
 def test_without_labels_and_without_rows(corpus, spark):
     docs, labels = corpus
     model = train(docs, labels.limit(0))

@@ -343,17 +343,19 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     Documents link when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Fingerprints of ``lanes`` x 64 bits
     over distinct shingles find the candidates, with a radius that misses a pair at the threshold about once in a billion; the
     sets of each candidate component are then compared exactly. Of a group the row with the smallest doc_id stays; documents without
-    words are one group. Rows that repeat a kept identifier collapse to one.
+    words are one group, null and empty texts among them. Rows that repeat a kept identifier and its text collapse to one; a null identifier counts as
+    larger than any other. An empty table stays empty. Columns may have any names.
     """
     names = [f"lane_{i}" for i in range(lanes)]
     far = F.lit((1 << 63) - 1)
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_column).cast("long"), far)).withColumn("_hash", F.xxhash64(text_of(text_column)))
-    prints = fingerprints(keyed, id_column, text_column, width, lanes, distinct=True, keep=("_key", "_hash"))
+    own = F.col(id_column).cast("long")
+    keyed = docs.select(F.struct("*").alias("held"), own.alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(own, far).alias("_key"), F.xxhash64(text_of(text_column)).alias("_hash"))
+    prints = fingerprints(keyed, "doc_id", "text", width, lanes, distinct=True, keep=("_key", "_hash"))
     sets = prints.groupBy(*names, "n", "shingles").agg(F.min(F.struct("_key", "_hash")).alias("first"))
     entries = staged(sets.withColumn("node", F.monotonically_increasing_id()), "entries")
     near = components(links(entries, lanes, candidate_radius(similarity, 64 * lanes), 1, tile_rows, similarity))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     members = staged(entries.join(near, "node").select("first.*", "node", "root", "n"), "members")
-    roots = components(exact_links(keyed, members, width, similarity, text_column))
+    roots = components(exact_links(keyed, members, width, similarity, "text"))
     kept = entries.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("k")).select("k.*")
-    return keyed.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    return keyed.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select("held.*")

@@ -97,7 +97,7 @@ def test_pipeline_form_keeps_one_of_each_group(spark):
             rows.append((len(rows), " ".join(text), 0, "x", g))
             group[len(rows) - 1] = g
     rows += [(500, None, 0, "x", 1), (501, "", 0, "x", 1), (0, rows[0][1], 0, "x", 0), (502, " ".join(bases[0][:150]), 0, "x", 1)]
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA + ", _key int, _hash int, held int")
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([3 * g for g in range(30)] + [500, 502])

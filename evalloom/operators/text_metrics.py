@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -9,23 +10,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.operators.scores import bag, overlap
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined; none for fewer tokens."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\x02"))
+# Fixed value: white space of Python that is none in Unicode.
+_WORD = re.compile(r"(?:\S|[\x1c-\x1f])+")
 
 
-def bleu_statistics(rows: DataFrame, pred: str, ref: str, order: int = 4) -> DataFrame:
-    """Adds match_1.., total_1.. (clipped and all n-grams of the prediction), pred_len, ref_len."""
-    rows = rows.withColumn("_p", bag(F.col(pred))).withColumn("_r", bag(F.col(ref)))
-    stats = {}
+def bleu_counts(pred: str, ref: str, order: int = 4) -> list[float]:
+    """For each order: n-grams of the prediction that the reference has too, as often as both have them, and all; then both lengths."""
+    p, r = _WORD.findall(pred), _WORD.findall(ref)
+    out: list[float] = []
     for n in range(1, order + 1):
-        stats[f"match_{n}"] = overlap(ngrams(F.col("_p"), n), ngrams(F.col("_r"), n)).cast("long")
-        stats[f"total_{n}"] = F.greatest(F.size("_p") - n + 1, F.lit(0)).cast("long")
-    return rows.withColumns({**stats, "pred_len": F.size("_p").cast("long"), "ref_len": F.size("_r").cast("long")}).drop("_p", "_r")
+        a, b = (Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (p, r))
+        out += [(a & b).total(), max(0, len(p) - n + 1)]
+    return [float(x) for x in (*out, len(p), len(r))]
+
+
+def measured(statistics: Callable[[str, str], list[float]], pred: Column, ref: Column) -> Column:
+    """Statistics of each pair of texts, worked out in Arrow batches; null texts are empty."""
+
+    @F.pandas_udf("array<double>")
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for preds, refs in batches:
+            yield pd.Series([statistics(p or "", r or "") for p, r in zip(preds, refs, strict=True)])
+
+    return measure(pred, ref)
+
+
+def bleu_names(order: int) -> list[str]:
+    return [f"{k}_{n}" for n in range(1, order + 1) for k in ("match", "total")] + ["pred_len", "ref_len"]
+
+
+def bleu_statistics(rows: DataFrame, pred: str, ref: str, order: int = 4) -> DataFrame:
+    """Adds match_1, total_1 .. (clipped and all n-grams of the prediction), pred_len, ref_len. Counting is linear in the texts."""
+    counted = rows.withColumn("_v", measured(lambda p, r: bleu_counts(p, r, order), F.col(pred), F.col(ref)))
+    return counted.withColumns({x: F.get("_v", F.lit(i)).cast("long") for i, x in enumerate(bleu_names(order))}).drop("_v")
 
 
 def bleu_of(order: int = 4, add: int = 0, total: Callable[[str], Column] = F.col) -> Column:
@@ -43,8 +62,7 @@ def bleu_of(order: int = 4, add: int = 0, total: Callable[[str], Column] = F.col
 def bleu(rows: DataFrame, pred: str, ref: str, by: Sequence[str], order: int = 4) -> DataFrame:
     """by, bleu (0 to 1) of the whole corpus: counts and lengths are summed, then combined."""
     stats = bleu_statistics(rows, pred, ref, order)
-    names = [f"{k}_{n}" for n in range(1, order + 1) for k in ("match", "total")] + ["pred_len", "ref_len"]
-    return stats.groupBy(*by).agg(*[F.sum(x).alias(x) for x in names]).select(*by, bleu_of(order).alias("bleu"))
+    return stats.groupBy(*by).agg(*[F.sum(x).alias(x) for x in bleu_names(order)]).select(*by, bleu_of(order).alias("bleu"))
 
 
 def smoothed_bleu_4(rows: DataFrame, pred: str, ref: str, by: Sequence[str]) -> DataFrame:
@@ -73,14 +91,8 @@ def chrf_of(sums: Sequence[float], beta: float = 2.0) -> float:
 
 
 def _added(rows: DataFrame, pred: str, ref: str, by: Sequence[str], width: int, statistics: Callable[[str, str], list[float]]) -> DataFrame:
-    """by, s0.. : sums of each pair's statistics, computed in Arrow batches; null texts are empty."""
-
-    @F.pandas_udf("array<double>")
-    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for preds, refs in batches:
-            yield pd.Series([statistics(p or "", r or "") for p, r in zip(preds, refs, strict=True)])
-
-    return rows.select(*by, measure(F.col(pred), F.col(ref)).alias("_v")).groupBy(*by).agg(*[F.sum(F.get("_v", F.lit(i))).alias(f"s{i}") for i in range(width)])
+    """by, s0.. : sums of each pair's statistics."""
+    return rows.select(*by, measured(statistics, F.col(pred), F.col(ref)).alias("_v")).groupBy(*by).agg(*[F.sum(F.get("_v", F.lit(i))).alias(f"s{i}") for i in range(width)])
 
 
 def chrf(rows: DataFrame, pred: str, ref: str, by: Sequence[str], order: int = 6, beta: float = 2.0) -> DataFrame:

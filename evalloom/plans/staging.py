@@ -59,6 +59,12 @@ def release(spark: SparkSession) -> None:
     _released = time.monotonic()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out again in turn if it has fewer partitions than the cluster has cores; for work that costs much more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back from there; earlier passes' shuffle files are released."""
     release(df.sparkSession)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.operators import postfilter as e
 from evalloom.operators import scores
 from evalloom.operators import text_metrics as x
+from evalloom.plans.staging import spread
 from evalloom.queries.registry import GEN_SQL, generations, query, round6, table
 
 BAG = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
@@ -92,12 +93,12 @@ def altered(text):
 
 def bleu_rows(spark, sf):
     """Whole texts against altered ones."""
-    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("task"), F.col("text").alias("pred"), altered(F.col("text")).alias("ref"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.col("lang").alias("task"), F.col("text").alias("pred"), altered(F.col("text")).alias("ref"))
 
 
 def line_rows(spark, sf):
     """Every line of every text against an altered one: translation edits are counted sentence by sentence."""
-    lines = table(spark, sf, "documents").select(F.col("lang").alias("task"), F.explode(F.split("text", "\n")).alias("pred"))
+    lines = spread(table(spark, sf, "documents")).select(F.col("lang").alias("task"), F.explode(F.split("text", "\n")).alias("pred"))
     return lines.withColumn("ref", altered(F.col("pred")))
 
 

@@ -9,6 +9,7 @@ from evalloom.operators import corpus as c
 from evalloom.operators import prepare
 from evalloom.operators import text_metrics as x
 from evalloom.operators.postfilter import stop_at
+from evalloom.plans.staging import spread
 from evalloom.queries.generation import BLEU_SQL, altered
 from evalloom.queries.registry import query, round6, table
 from evalloom.queries.scoring import PPL_SQL, perplexity_rows
@@ -21,7 +22,7 @@ HITS_SQL = f"""dw AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)
 
 
 def hits(spark, sf):
-    return c.contamination_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return c.contamination_hits(spread(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
 
 
 @query("i1_contamination_hits", f"WITH {HITS_SQL} SELECT doc_id, item_id, count(*) AS places FROM hits GROUP BY ALL")
@@ -144,6 +145,6 @@ def j2(spark, sf):
 @query("w2_generation", f"WITH {BLEU_SQL}, t AS (SELECT task, n, sum(hit) AS hit, sum(total) AS total, sum(pl) AS pl, sum(rl) AS rl FROM s GROUP BY ALL) SELECT task, round(CASE WHEN min(hit) = 0 THEN 0.0 ELSE exp(sum(ln(greatest(hit, 1)::DOUBLE / total)) / 4 + least(0.0, 1 - max(rl)::DOUBLE / max(pl))) END, 6) AS bleu FROM t GROUP BY task")
 def w2(spark, sf):
     """Generations cut at a stop string and scored as a corpus per language."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     rows = docs.select(F.col("lang").alias("task"), stop_at(F.concat("text", F.lit("</s> more")), ["</s>"]).alias("pred"), altered(F.col("text")).alias("ref"))
     return x.bleu(rows, "pred", "ref", ["task"]).withColumn("bleu", round6(F.col("bleu")))

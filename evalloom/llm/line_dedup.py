@@ -123,7 +123,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Colum
     return staged(joined.where(same * (100 + percent) >= percent * (F.size("codes") + F.size("other"))).select("c").distinct(), "similar")
 
 
-def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, centers: int = 8, tried: int = 3, passes: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, centers: int = 8, tried: int = 3, passes: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every line of every row: row, doc_id, text_hash, pos, n, removed.
 
     ``percent`` is the least Jaccard similarity, from 1 to 100. Postings are joined in ``passes`` parts, by hash of the word, so that the disk holds the shuffle of one
@@ -158,7 +158,7 @@ def line_decisions(docs: DataFrame, percent: int = 80, star_words: int = 3, cent
     nearest = star.join(center, (F.col("word") == F.col("word_d")) & fits).groupBy("c").agg(F.slice(F.sort_array(met_centers), 1, tried).alias("y"))
     near = verified(nearest.select("c", F.explode("y.d").alias("d")), classes, rows, ranks, percent)
 
-    unsettled = staged(classes.where(F.size("prefix") > 0).join(near, "c", "left_anti"), "unsettled-lines")
+    unsettled = staged(classes.where(F.size("prefix") > 0).select(*held, "prefix").join(near, "c", "left_anti"), "unsettled-lines")
     room = F.least(n - F.col("i"), n_d - F.col("i_d")) >= least  # of the shared words the first is the one they meet in
     met = []
     for k in range(passes):

@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, toxicity, warc
 from evalloom.llm.common import fold_of, table
+from evalloom.plans.staging import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a table of fewer partitions than cores is dealt out over them."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labels of folds 0 and 2 of 3 and scores every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 3) != 1)
     return toxicity.classify(docs, toxicity.train(docs, labels)).withColumn("held_out", fold_of("doc_id", 3) == 1)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), percent=80)
+    return line_dedup.line_dedup(documents(spark, sf_dir), percent=80)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +35,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return simhash.simhash_components(documents(spark, sf_dir), width=3, radius=2)
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from folds other than 2 of 7 and scores every document."""
     held_out = fold_of("doc_id", 7) == 2
-    return ppm.score_texts(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+    return ppm.score_texts(documents(spark, sf_dir), ~held_out).withColumn("held_out", held_out)
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +54,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from folds 0 and 2 of 3 (labelled and unlabelled rows) and scores every document."""
-    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 3) == 1
+    docs, held_out = documents(spark, sf_dir), fold_of("doc_id", 3) == 1
     model = quality.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     return quality.classify(docs, model).withColumn("held_out", held_out)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), buckets=8, token_budget=16_384)
+    return packing.pack(documents(spark, sf_dir), buckets=8, token_budget=16_384)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {

@@ -19,7 +19,7 @@ from evalloom.plans.staging import staged
 
 def quantised_name(column: Column, bits: int) -> Column:
     """Cell of a string: equal values share a cell; null is cell 0."""
-    return F.coalesce(F.pmod(F.xxhash64(column), F.lit(1 << bits)), F.lit(0)).cast("int")
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits))).cast("int")  # a null has a hash too
 
 
 def quantised_size(column: Column, bits: int, per_octave: int = 2) -> Column:
@@ -117,8 +117,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5, id_column:
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_column: str = "doc_id") -> None:
-    """Writes ``docs`` in one folder per shard, each in slot order; identifiers must be unique."""
-    plan = assigned.select(F.col("doc_id").alias(id_column), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    joined = docs.join(plan, id_column).repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    joined.drop("_slot").withColumnRenamed("_shard", "shard_folder").write.partitionBy("shard_folder").parquet(path)
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_column: str = "doc_id", folder_column: str = "shard_folder") -> None:
+    """Writes ``docs``, all columns, in one folder per shard, each in slot order.
+
+    Identifiers must be unique and are matched as they are, null with null. ``folder_column`` must be no column of ``docs``; other names are free. An empty
+    table writes no shard.
+    """
+    rows = docs.select(F.struct("*").alias("held"), F.col(id_column).alias("own_id"))
+    joined = rows.join(assigned.select("doc_id", "shard", "slot"), F.col("own_id").eqNullSafe(F.col("doc_id")))
+    ordered = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select("held.*", F.col("shard").alias(folder_column)).write.partitionBy(folder_column).parquet(path)

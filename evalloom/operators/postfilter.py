@@ -15,7 +15,10 @@ ARTICLES: Mapping[str, tuple[str, ...]] = {
     "es": ("un", "una", "unos", "unas", "el", "la", "los", "las"),
     "de": ("ein", "eine", "einen", "einem", "eines", "einer", "der", "die", "das", "den", "dem", "des"),
     "fr": ("le", "la", "les", "un", "une", "des", "du"),
+    "vi": ("của", "là", "cái", "chiếc", "những"),
 }
+# Articles that are the beginning of a word, by language.
+JOINED_ARTICLES: Mapping[str, str] = {"ar": "ال"}
 
 
 def stop_at(text: Column, stops: Sequence[str]) -> Column:
@@ -45,9 +48,11 @@ def take_first(responses: DataFrame, keys: Sequence[str]) -> DataFrame:
 def normalize_answer(text: Column, lang: str = "en") -> Column:
     """Lower case without punctuation, articles of the language, and surplus white space.
 
-    Punctuation is all of Unicode's; articles go where they stand as words. Languages not in ARTICLES lose none.
+    Punctuation is all of Unicode's; articles go where they stand as words, joined ones where they begin a longer word. Languages in neither table lose none.
     """
     bare = F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]", "")
     if ARTICLES.get(lang):
         bare = F.regexp_replace(bare, rf"(?U)\b({'|'.join(ARTICLES[lang])})\b", " ")
+    if lang in JOINED_ARTICLES:
+        bare = F.regexp_replace(bare, rf"(?U)\b{JOINED_ARTICLES[lang]}(?=\w)", "")
     return strip(F.regexp_replace(bare, r"(?U)\s+", " "))

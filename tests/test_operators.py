@@ -87,6 +87,8 @@ def test_text_scores(spark):
     assert one(spark, postfilter.stop_at(F.lit("ab\ncd.e"), [".", "\n"])) == "ab" and one(spark, postfilter.stop_at(F.lit("ab"), [])) == "ab"
     assert one(spark, postfilter.normalize_answer(F.lit("The  “Cat”, a dog!"))) == "cat dog"
     assert one(spark, postfilter.normalize_answer(F.lit("L'été la mer"), "fr")) == "lété mer"
+    assert one(spark, postfilter.normalize_answer(F.lit("الكتاب، ال"), "ar")) == "كتاب ال" and one(spark, postfilter.normalize_answer(F.lit("những con mèo"), "vi")) == "con mèo"
+    assert one(spark, scores.token_f1(F.lit("你好"), F.lit("你们"), scores.per_character)) == 0.5
     assert one(spark, postfilter.extract_choice_letter(F.lit("Answer: (C)."))) == "C" and one(spark, postfilter.extract_choice_letter(F.lit("none"))) is None
     p, r, f = scores.set_f1(F.col("a"), F.col("b"))
     df = spark.createDataFrame([([1, 1, 2], [2, 3]), ([], []), ([], [1])], "a array<int>, b array<int>").select(p.alias("p"), r.alias("r"), f.alias("f"))

@@ -128,6 +128,29 @@ def test_corpus_text_metrics(spark):
     assert 0 < x.smoothed_bleu_4(rows.where("task = 's'"), "pred", "ref", ["task"]).first().bleu <= 1
 
 
+def test_chrf_and_bleu_match_plain_counts(spark):
+    """Whole corpora, by list counts and the published formulas."""
+    random.seed(9)
+    rows = [(random.choice("tu"), " ".join(random.choices(["ab", "abc", "b", "é", "zz\t"], k=random.randrange(12))), " ".join(random.choices(["ab", "abc", "c", "é"], k=random.randrange(12)))) for _ in range(40)]
+    df = spark.createDataFrame([*rows, ("t", None, "ab")], "task string, pred string, ref string")
+    chrf = {r.task: r.chrf for r in x.chrf(df, "pred", "ref", ["task"]).collect()}
+    bleu = {r.task: r.bleu for r in x.bleu(df, "pred", "ref", ["task"]).collect()}
+    grams = lambda s, n: [tuple(s[i : i + n]) for i in range(len(s) - n + 1)]
+    for task in "tu":
+        own = [(p or "", r) for t, p, r in [*rows, ("t", None, "ab")] if t == task]
+        sums = {}
+        for unit in ("char", "word"):
+            for n in range(1, 7):
+                pairs = [[grams("".join(s.split()) if unit == "char" else s.split(), n) for s in pair] for pair in own]
+                sums[unit, n] = (sum(min(a.count(g), b.count(g)) for a, b in pairs for g in set(a)), sum(len(a) for a, _ in pairs), sum(len(b) for _, b in pairs))
+        used = [v for (unit, _), v in sums.items() if unit == "char" and v[1] and v[2]]
+        precision, recall = sum(m / a for m, a, _ in used) / len(used), sum(m / b for m, _, b in used) / len(used)
+        assert chrf[task] == pytest.approx(5 * precision * recall / (4 * precision + recall))
+        words = [sums["word", n] for n in range(1, 5)]
+        penalty = min(0.0, 1 - words[0][2] / words[0][1])
+        assert bleu[task] == pytest.approx(math.exp(sum(math.log(m / a) for m, a, _ in words) / 4 + penalty) if all(w[0] for w in words) else 0.0)
+
+
 def test_edit_distance_matches_the_table():
     random.seed(1)
     for _ in range(300):

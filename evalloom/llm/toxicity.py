@@ -43,6 +43,8 @@ SEED_LEXICON = {w: 3.0 for w in ("clown", "disgusting", "idiot", "loser", "moron
 EXCEPTIONS = ("trash can", "trash bag", "circus clown", "clown fish", "loser bracket")
 
 _TABLE = str.maketrans(HOMOGLYPHS | SUBSTITUTES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys("​‌‍⁠﻿­", ""))
+#: Texts whose patterns a task counts at once.
+TEXTS_AT_ONCE = 200
 _GAPS = re.compile(r"[\W_]+")
 _MARKS = re.compile(r"[\u0300-\u036f]+")
 _SPELT = re.compile(r"(?<= )(?:\w ){3,}")
@@ -136,11 +138,13 @@ def _counted(sample: DataFrame, find: Callable[[], Callable[[str], set[str]]]) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = find()
         for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                seen[y].update(patterns(fold_text(text)))
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["pattern", "toxic", "clean"])
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(i, TEXTS_AT_ONCE)
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    seen[y].update(patterns(fold_text(text)))
+                names = list(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["pattern", "toxic", "clean"])
 
     found = sample.select("text", "y").mapInArrow(count, "pattern string, toxic long, clean long")
     return found.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

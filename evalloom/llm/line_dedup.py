@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import text_of
 from evalloom.plans.staging import staged
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 BITS = 1 << 23
 #: White space besides space and line feed; it separates words too.
 BLANKS = "\t\x0b\f\r"
@@ -41,10 +41,11 @@ def rarity(docs: DataFrame) -> Column:
     """A literal array: a rarity class (0 rarest, 127 at most) for each of BUCKETS hash buckets of words, from counts over all of them."""
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("id"))
     counts = words.groupBy("id").agg(F.least(F.lit(127), F.floor(3 * F.log2(F.count("*") + 1))).cast("int").alias("class"))
-    classes = ["0"] * BUCKETS
-    for row in counts.collect():  # BUCKETS rows at most
-        classes[row["id"]] = str(row["class"])
-    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left")
+    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("class", F.lit(0)).alias("class"))))
+    texts = every.groupBy(F.floor(F.col("id") / 4096).alias("part")).agg(F.array_join(F.transform(listed, lambda s: s["class"].cast("string")), ",").alias("classes"))
+    table = ",".join(r["classes"] for r in sorted(texts.collect(), key=lambda r: r["part"]))  # BUCKETS / 4096 rows
+    return F.split(F.lit(table), ",").cast("array<tinyint>")
 
 
 def codes(line: Column, classes: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, toxicity, warc
+from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, toxicity, vector_codes, warc
 from evalloom.llm.common import fold_of, table
 from evalloom.plans.staging import spread
 
@@ -67,6 +67,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spread(table(spark, sf_dir, "embeddings")), parts=8, entries=16, rounds=6)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, toxicity, vector_codes, warc
+from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, token_alignment, toxicity, vector_codes, warc
 from evalloom.llm.common import fold_of, table
 from evalloom.plans.staging import spread
 
@@ -71,6 +71,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(spread(table(spark, sf_dir, "embeddings")), parts=8, entries=16, rounds=6)
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.cross_tokens(documents(spark, sf_dir), folder="/opt/tokenizers", a_file="byte_bpe_50k.json", b_file="piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_cross_tokens": op12_cross_tokens,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evalloom.llm import decontamination, exact_dedup, line_dedup, packing, ppm, quality, sharding, simhash, token_alignment, toxicity, vector_codes, warc
+from evalloom.llm import decontamination, exact_dedup, language_id, line_dedup, packing, ppm, quality, sharding, simhash, token_alignment, toxicity, vector_codes, warc
 from evalloom.llm.common import fold_of, table
 from evalloom.plans.staging import spread
 
@@ -75,6 +75,11 @@ def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.cross_tokens(documents(spark, sf_dir), folder="/opt/tokenizers", a_file="byte_bpe_50k.json", b_file="piece_bpe_32k.model")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from folds other than 0 of 5 and identifies every document."""
+    return language_id.language_id(documents(spark, sf_dir), fold_of("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -88,10 +93,34 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
     "op12_cross_tokens": op12_cross_tokens,
+    "op13_language_id": op13_language_id,
     "pipeline": corpus_pipeline.run,
 }
 
+def lloyd_sql(rounds: int) -> str:
+    """Codes and codebooks of ``op11`` in SQL: two common table expressions a round, all in integers."""
+    apart = "list_sum(list_transform(list_zip(m.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = f"SELECT m.rid, m.p, min({apart} * 16 + c.e) AS v FROM member m JOIN book{{0}} c USING (p) GROUP BY m.rid, m.p"
+    update = """SELECT b.p, b.e, coalesce(u.x, b.x) AS x FROM book{0} b LEFT JOIN (
+        SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+          SELECT p, v % 16 AS e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (
+            SELECT a.p, a.v, unnest(m.x) AS y, generate_subscripts(m.x, 1) AS i FROM near{0} a JOIN member m USING (rid, p)) GROUP BY ALL) GROUP BY p, e) u USING (p, e)"""
+    steps = [f"near{r} AS MATERIALIZED ({assign.format(r)}), book{r + 1} AS MATERIALIZED ({update.format(r)})" for r in range(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda y: floor(4096 * y::DOUBLE)::BIGINT) AS q
+              FROM embeddings WHERE len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+     member AS MATERIALIZED (SELECT rid, p, q[p * len(q) // 8 + 1 : (p + 1) * len(q) // 8] AS x FROM kept, (SELECT unnest(range(8)) AS p)),
+     book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM member WHERE rid <= 16),
+     {", ".join(steps)},
+     near{rounds} AS MATERIALIZED ({assign.format(rounds)}),
+     coded AS (SELECT rid, string_agg(printf('%02x', (v % 16)::INT), '' ORDER BY p) AS code, sum(v // 16)::BIGINT AS error FROM near{rounds} GROUP BY rid),
+     sha AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM book{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (rid), sha
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_vector_codes": lloyd_sql(6),
     "op2_line_dedup": r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
      line AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM split),

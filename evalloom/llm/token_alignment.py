@@ -18,10 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 from operator import itemgetter
 from pathlib import Path
 
@@ -40,11 +40,11 @@ from evalloom.plans.staging import staged
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text tokenized at once; different pieces a worker remembers, and the longest of them.
-PIECE, REMEMBERED, LONGEST = 1 << 20, 400_000, 64
+PIECE, REMEMBERED, LONGEST = 1 << 20, 200_000, 64
 #: Links merged or looked at together, and the A tokens between two places of one document in the state vector.
-STRIP, LANE = 1 << 21, 512
+STRIP, LANE = 1 << 20, 512
 #: Links counted in a task before counts are handed on.
-HELD = 1 << 21
+HELD = 1 << 20
 _SPACE_BEFORE, _BORDER = re.compile(r"\s "), re.compile(r"(?<=\S) ")
 
 
@@ -114,18 +114,19 @@ def stretches(text: str) -> Iterator[str]:
 
 
 class Memory:
-    """Token ids of pieces, found once for each different piece; None for pieces whose tokens are not their bytes."""
+    """Token ids of pieces (four bytes each), found once for each different piece; None for pieces whose tokens are not their bytes."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
-        self.a, self.b, self.known = a, b, {}
+        self.a, self.b = a, b
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def find(self, pieces: set[str]) -> dict[str, tuple[list[int], list[int]] | None]:
+    def find(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
         new = [p for p in pieces if p not in self.known]
         found = {}
         for p, x, y in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
             want = b" " + p.encode("utf-8", "surrogatepass")
             same = b"".join(map(self.a.bytes.__getitem__, x)) == want and b"".join(map(self.b.bytes.__getitem__, y)) == want
-            found[p] = (x, y) if same else None
+            found[p] = (array("i", x).tobytes(), array("i", y).tobytes()) if same else None
         if len(self.known) + len(found) > REMEMBERED:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
         self.known.update(found)
@@ -147,7 +148,7 @@ def tokens(texts: list[str | None], memory: Memory) -> list[tuple[np.ndarray, np
         known = memory.find({p for _, pieces in held for p in pieces})
         for i, pieces in held:
             found = [known[p] for p in pieces]
-            parts[i].append(None if None in found else tuple(np.fromiter(chain.from_iterable(map(itemgetter(k), found)), np.int32) for k in (0, 1)))
+            parts[i].append(None if None in found else tuple(np.frombuffer(b"".join(map(itemgetter(k), found)), np.int32) for k in (0, 1)))
         memory.forget_long()
         held.clear()
 

@@ -4,7 +4,9 @@ Benchmark items and documents become sequences of words in which numbers, names
 (neighbours of one type in a sentence are one placeholder), so a question asked with other values has the same template. Every window of ``window``
 template words of an item is hash-joined with the windows of all documents. For each (document, item) the hits are then checked
 for consistency: they must lie at about the same distance from the item's places (within ``drift`` words), and there a value of the item
-must always stand for the same value of the document. An item is found in a document when enough of its windows are hit so.
+must always stand for the same value of the document. Where sentences of an item are alike, a window also meets the others' places in the document; then each
+place of the item is given one place of the document on the longest line-up in order, first among hits with the item's own values, and then among
+all, and the values are checked on that line-up alone. An item is found in a document when enough of its windows are hit so.
 
 Capitals do not tell names for certain, so texts are read in three ways: capitalised words are names except at the beginning of a
 sentence; there too; nowhere (which finds items retyped in other case). A window needs ``min_words`` words that are not placeholders, so
@@ -41,8 +43,8 @@ BEFORE, AFTER = "$€£", "%°"
 PLAIN, NUMBER, NAME, UNIT = range(4)
 #: Readings of a text: names inside sentences, names at their beginnings too, no names, no placeholders at all.
 INSIDE, EVERYWHERE, NOWHERE, LITERAL = range(1, 5)
-#: Code points worked on at once, and the words that two pieces of one long text share.
-PIECE, SHARED = 1 << 18, 64
+#: Code points worked on at once; a longer text is cut into pieces that share whole windows.
+PIECE = 1 << 18
 #: Literal items of fewer words are looked for as whole texts only.
 LEAST_LITERAL = 4
 _LETTER, _DIGIT, _APOSTROPHE, _JOINER, _END, _SIGN, _UPPER = 1, 2, 4, 8, 16, 32, 64
@@ -157,6 +159,7 @@ class Windows:
     usable: np.ndarray  #: has words enough that are not placeholders
     first: np.ndarray  #: number of its first template word
     size: int
+    begins: np.ndarray  #: words at which all template words begin
     kinds: np.ndarray  #: of all template words
     values: np.ndarray  #: of all template words
 
@@ -172,7 +175,7 @@ def windows(words: Words, reading: int, size: int, min_words: int) -> Windows:
     begin[1:] = (kind[1:] == PLAIN) | (kind[1:] != kind[:-1]) | words.fresh[1:]
     at = np.flatnonzero(begin)
     kinds, text, place = kind[at], words.text[at], words.place[at]
-    values = words.low[at] if len(at) == len(kind) else _summed(words.low, at)
+    values = _summed(words.low, at)
     shown = np.where(kinds == PLAIN, words.low[at], _mixed(kinds.astype(np.uint64) + _OTHER))
     n = max(0, len(at) - size + 1)
     whole = text[:n] == text[size - 1 :] if n else np.zeros(0, bool)
@@ -183,7 +186,7 @@ def windows(words: Words, reading: int, size: int, min_words: int) -> Windows:
         check = (check + part) * _OTHER
         plain += kinds[k : k + n] == PLAIN
     first = np.flatnonzero(whole)
-    return Windows(text[first], place[first], h[first].view(np.int64), check[first].view(np.int64), plain[first] >= min_words, first, size, kinds, values.view(np.int64))
+    return Windows(text[first], place[first], h[first].view(np.int64), check[first].view(np.int64), plain[first] >= min_words, first, size, at, kinds, values.view(np.int64))
 
 
 def _rows(w: Windows, chosen: np.ndarray) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
@@ -242,41 +245,108 @@ class _Filter:
 def document_windows(texts: list[str], shapes: list[tuple[int, int]], min_words: int, wanted: _Filter | None) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
     """text, place, hash, check, reading, values, words (of the text) of all windows that may be wanted."""
 
-    def found(words: Words, base: int, owner: int | None, total: np.ndarray) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
-        for reading, size in shapes:
-            w = windows(words, reading, size, 0 if reading == LITERAL else min_words)
-            chosen = np.flatnonzero(w.usable) if wanted is None else wanted.places(w.hash)
-            chosen = chosen[w.usable[chosen]]
-            for i, p, h, c, _, v in _rows(w, chosen):
-                yield (i if owner is None else owner), p + base, h, c, reading, v, int(total[i])
+    def cut(words: Words) -> list[Windows]:
+        return [windows(words, reading, size, 0 if reading == LITERAL else min_words) for reading, size in shapes]
+
+    def chosen_rows(w: Windows, reading: int, base: int, owner: int | None, total: np.ndarray, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
+        chosen = np.flatnonzero(w.usable) if wanted is None else wanted.places(w.hash)
+        chosen = chosen[w.usable[chosen] & (w.place[chosen] >= low) & (w.place[chosen] < (len(w.values) + w.place[-1] + 1 if high is None and len(w.place) else high or 0))]
+        for i, p, h, c, _, v in _rows(w, chosen):
+            yield (i if owner is None else owner), p + base, h, c, reading, v, int(total[i])
+
+    def of_long(text: str, owner: int) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
+        """Pieces follow each other at a word ``back``. In each reading, the template word that holds it is the last to begin windows of the piece before, which
+        holds these windows whole and two template words more; the next template word is the first of the piece that follows."""
+        base, a, low = 0, 0, [0] * len(shapes)
+        more = max((size for _, size in shapes), default=0) + 2
+        while a < len(text):
+            span, back = PIECE, 0
+            while True:
+                b = min(len(text), a + span)
+                if b < len(text):  # between two words, if there is a gap
+                    b = max(text.rfind(" ", a + span // 2, b), text.rfind("\n", a + span // 2, b)) + 1 or b
+                words = read([text[a:b]])
+                parts = cut(words)
+                if b == len(text):
+                    break
+                back = min((int(w.begins[-more]) if len(w.begins) > more else 0 for w in parts), default=max(0, len(words.start) - 1))
+                if back > max(low, default=0):
+                    break
+                span *= 2  # too few template words, as in long runs of values
+            total = np.array([len(words.low) + (PIECE if base or b < len(text) else 0)])
+            last = [None if b == len(text) else int(np.searchsorted(w.begins, back, "right")) - 1 for w in parts]
+            for (reading, _), w, least, k in zip(shapes, parts, low, last, strict=True):
+                yield from chosen_rows(w, reading, base, owner, total, least, None if k is None else int(w.begins[k]) + 1)
+            if b == len(text):
+                return
+            low = [int(w.begins[k + 1]) - back for w, k in zip(parts, last, strict=True)]
+            base, a = base + back, a + int(words.start[back])
 
     held: list[str] = []
     first, size = 0, 0
     for i, text in enumerate([*texts, None]):
         if held and (text is None or size + len(text) > PIECE):
             words = read(held)
-            for x in found(words, 0, None, np.bincount(words.text, minlength=len(held))):
-                yield (x[0] + first, *x[1:])
+            total = np.bincount(words.text, minlength=len(held))
+            for (reading, _), w in zip(shapes, cut(words), strict=True):
+                for x in chosen_rows(w, reading, 0, None, total):
+                    yield (x[0] + first, *x[1:])
             held, size = [], 0
         if text is None:
             return
-        if len(text) <= PIECE:
-            first = first if held else i
-            held.append(text)
-            size += len(text) + 1
+        if len(text) > PIECE:
+            yield from of_long(text, i)
             continue
-        base, a = 0, 0
-        while a < len(text):
-            b = min(len(text), a + PIECE)
-            if b < len(text):  # between two words, if there is a gap
-                b = max(text.rfind(" ", a + PIECE // 2, b), text.rfind("\n", a + PIECE // 2, b)) + 1 or b
-            words = read([text[a:b]])
-            yield from found(words, base, i, np.array([len(words.low) + PIECE]))
-            if b == len(text):
-                break
-            back = max(0, len(words.start) - SHARED)
-            step = int(words.start[back]) if 0 < back else b - a
-            base, a = base + (back if 0 < back else len(words.start)), a + step
+        first = first if held else i
+        held.append(text)
+        size += len(text) + 1
+
+
+def line_up(hits: set[tuple[int, int]], drift: int) -> list[tuple[int, int]]:
+    """The longest line-up of hits (place in the item, distance of the document's place): each has one document place, places ascend on both sides.
+
+    Of equally long ones, that whose distances change least. Distances lie within twice the ``drift``, so the work is linear in the item's places.
+    """
+    if not hits:
+        return []
+    least = min(d for _, d in hits)
+    width, size = max(d for _, d in hits) - least + 1, max(p for p, _ in hits) + 1
+    cost = 1.0 / (8 * size * max(drift, 1))  # all changes together cost less than one hit
+    top, who = np.zeros((width, size + 1)), np.full((width, size + 1), -1)  # best among the places before
+    lines, order = np.arange(width), sorted(hits)
+    before, value, at = [-1] * len(order), [0.0] * len(order), 0
+    for p in range(size):
+        top[:, p + 1], who[:, p + 1] = top[:, p], who[:, p]
+        while at < len(order) and order[at][0] == p:
+            d = order[at][1] - least
+            upto = np.maximum(p - np.maximum(lines - d, 0), 0)
+            reach = np.where(who[lines, upto] >= 0, top[lines, upto] - cost * np.abs(lines - d), 0.0)
+            best = int(reach.argmax())
+            if reach[best] > 0:
+                before[at] = int(who[best, upto[best]])
+            value[at] = 1 + max(0.0, float(reach[best]))
+            if value[at] > top[d, p + 1]:
+                top[d, p + 1], who[d, p + 1] = value[at], at
+            at += 1
+    i, out = int(np.argmax(value)), []
+    while i >= 0:
+        out.append(order[i])
+        i = before[i]
+    return out[::-1]
+
+
+def lined_up(hits: list[dict], needed: int, drift: int) -> int:
+    """Hits of the line-up by which an item is found, or 0: at least ``needed`` on one with the item's own values, or on one where no value stands for two."""
+    slots: dict[tuple[int, int], list[list[dict]]] = {}
+    for h in hits:
+        slots.setdefault((h["place"], h["apart"]), []).append(h["slots"])
+    own = {k for k, found in slots.items() if any(all(s["ours"] == s["theirs"] for s in x) for x in found)}
+    same = len(line_up(own, drift))
+    if same >= needed:
+        return same
+    line = line_up(set(slots), drift)
+    pairs = {(s["kinds"], s["ours"], s["theirs"]) for k in line for x in slots[k] for s in x}
+    return len(line) if len(line) >= needed and len({(k, o) for k, o, _ in pairs}) == len(pairs) else 0
 
 
 def find_items(
@@ -317,8 +387,8 @@ def find_items(
     hits = hits.join(F.broadcast(most), "item") if few else hits.join(most, "item")
     judged = F.array(F.struct("reading", "windows"), F.struct(F.lit(0).cast("long").alias("reading"), F.col("most").alias("windows")))
     slots = F.filter(F.arrays_zip("kinds", "ours", "theirs"), lambda s: s["kinds"] > 0)
-    lines = hits.select("row", "item", "place", slots.alias("slots"), F.explode(F.array(line, line + 1)).alias("band"), judged.alias("judged"))
-    lines = lines.select("row", "item", "place", "slots", "band", F.explode("judged").alias("j")).select("row", "item", "place", "slots", "band", "j.*")
+    lines = hits.select("row", "item", "place", (F.col("at") - F.col("place")).alias("apart"), slots.alias("slots"), F.explode(F.array(line, line + 1)).alias("band"), judged.alias("judged"))
+    lines = lines.select("row", "item", "place", "apart", "slots", "band", F.explode("judged").alias("j")).select("row", "item", "place", "apart", "slots", "band", "j.*")
     key = ["row", "item", "band", "reading"]
     found = lines.groupBy(*key, "windows").agg(F.countDistinct("place").alias("hits")).where(F.col("hits") >= F.ceil(F.col("windows") * F.lit(coverage)))
     clash = (  # a value of the item that stands for two values of the document on one line-up
@@ -330,7 +400,18 @@ def find_items(
         .select(*key)
         .distinct()
     )
-    return documents, found.join(clash, key, "left_anti").groupBy("row", "item").agg(F.max("hits").alias("hits"), F.max("windows").alias("windows"))
+    # Where a value clashes, a line-up is looked for: a band has at most twice the drift document places for each item place and reading, so a group is bounded by its item.
+    open_ = lines.join(clash, key, "left_semi").groupBy(*key, "windows").agg(F.collect_list(F.struct("place", "apart", "slots")).alias("held"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("windows").to_pylist()
+            least = [-(-n * coverage // 1) for n in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item"), pa.array([lined_up(h, n, drift) for h, n in zip(batch.column("held").to_pylist(), least, strict=True)], pa.int64()), batch.column("windows")], ["row", "item", "hits", "windows"])
+
+    settled = open_.select("row", "item", "windows", "held").mapInArrow(settle, "row long, item long, hits long, windows long").where("hits > 0")
+    plain = found.join(clash, key, "left_anti").select("row", "item", "hits", "windows")
+    return documents, plain.unionByName(settled).groupBy("row", "item").agg(F.max("hits").alias("hits"), F.max("windows").alias("windows"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: float) -> DataFrame:

@@ -77,8 +77,15 @@ def brute(text, items, window=8, min_words=5, coverage=0.5, drift=8):
             for band in {b + e for _, _, b, _ in hits for e in (0, 1)}:
                 own = [h for h in hits if reading in (0, h[0]) and band in (h[2], h[2] + 1)]
                 pairs = {(a, b) for h in own for (a, b) in h[3] if a[0] != d.PLAIN}
-                if n and len({h[1] for h in own}) >= -(-n * coverage // 1) and len({a for a, _ in pairs}) == len(pairs):
+                least = -(-n * coverage // 1)
+                if n and len({h[1] for h in own}) >= least and len({a for a, _ in pairs}) == len(pairs):
                     found.append(item)
+    if text:  # the aim itself: an item's words in a row are found, whatever else is there
+        words = [v for _, _, v in template(text, d.LITERAL)[0]]
+        for item, body in items:
+            mine = [v for _, _, v in template(body or "", d.LITERAL)[0]]
+            if item is not None and len(mine) >= d.LEAST_LITERAL and any(words[i : i + len(mine)] == mine for i in range(len(words) - len(mine) + 1)):
+                found.append(item)
     return sorted(set(found))
 
 
@@ -131,17 +138,65 @@ def test_matches_brute_force(spark, docs, max_filter):
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if not want[r.text])
 
 
-def test_a_long_text_is_cut_into_pieces_that_share_words(monkeypatch):
+@pytest.mark.parametrize("words", [["alpha", "Beta", "12", "km", "gamma.", "délta"], ["12", "$", "3.5", "Ann", "x"]])
+def test_pieces_of_a_long_text_have_its_windows(monkeypatch, words):
     random.seed(3)
-    text = " ".join(random.choices(["alpha", "Beta", "12", "km", "gamma.", "délta"], k=3000))
-    shapes = [(1, 8), (2, 8), (3, 8)]
-    whole = {(r, p, h, c) for _, p, h, c, r, _, _ in d.document_windows([text], shapes, 5, None)}
-    monkeypatch.setattr(d, "PIECE", 2000)
-    parts = {(r, p, h, c) for _, p, h, c, r, _, _ in d.document_windows(["x", text, "y"], shapes, 5, None)}
-    assert whole <= parts and len(parts - whole) < 0.02 * len(whole)
+    run = " ".join(str(random.randrange(10**6)) for _ in range(600))
+    text = " ".join(random.choices(words, k=3000)) + f" so {run} " + " ".join(random.choices(words, k=1500))
+    shapes = [(1, 8), (2, 8), (3, 8), (4, 5)]
+    rows = lambda texts: [(r, p, h, c, tuple(v)) for i, p, h, c, r, v, _ in d.document_windows(texts, shapes, 3, None) if len(texts) == 1 or i == 1]
+    whole = rows([text])
+    for piece in (300, 2000, 7001):
+        monkeypatch.setattr(d, "PIECE", piece)
+        assert sorted(rows(["x", text, "y"])) == sorted(whole)
     assert list(d.document_windows(["a" * 9000, ""], shapes, 5, None)) == []
 
 
+REPEATED = "Tom has 3 red apples in the box. Tom has 5 red apples in the box. Tom has 7 red apples in the box. Tom has 9 red apples in the box. How many red apples does Tom have in all the boxes today?"
+
+
+def test_items_with_sentences_alike(spark):
+    asked = REPEATED.replace("Tom", "Ann").replace("3", "4").replace("9", "11")
+    clash = asked.replace("does Ann have", "does Bob have")
+    other = "Tom has 3 red apples in the box. " * 2
+    texts = [REPEATED, f"Well. {REPEATED} And so on.", asked, clash, REPEATED.replace("Tom has 7", "And then Tom has 7"), REPEATED.replace("How many", "So how many"), other, REPEATED + " " + REPEATED, REPEATED.upper()]
+    items = spark.createDataFrame([(1, REPEATED)], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, *MORE) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.contaminated for r in d.decontaminate(df, items).collect()}
+    assert [got[i] for i in range(9)] == [True, True, True, False, True, True, False, True, True]
+
+
+def longest(hits, drift):
+    """Longest line-up by trying all predecessors."""
+    order, best = sorted(hits), {}
+    for p, a in order:
+        best[p, a] = 1 + max((n for (q, b), n in best.items() if q < p and q + b < p + a), default=0)
+    return max(best.values(), default=0)
+
+
+def test_line_ups():
+    rng = random.Random(6)
+    assert d.line_up(set(), 8) == []
+    for _ in range(200):
+        hits = {(rng.randrange(12), rng.randrange(-8, 8)) for _ in range(rng.randrange(1, 40))}
+        line = d.line_up(hits, 8)
+        assert set(line) <= hits and all(p < q and p + a < q + b for (p, a), (q, b) in zip(line, line[1:], strict=False))
+        assert len(line) == longest(hits, 8)
+    straight = {(p, 0) for p in range(10)} | {(p, p % 5 - 2) for p in range(10)}
+    assert d.line_up(straight, 8) == [(p, 0) for p in range(10)]
+
+
+def test_copies_between_random_texts(spark):
+    rng = random.Random(8)
+    pattern = ["Ann pays {} dollars for the small lamp.", "Then {} people in {} see it.", "There are {} of them in the {} boxes there.", "It is near Rome."]
+    make = lambda: " ".join(rng.choice(pattern).format(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(3, 9)))
+    items = [(i, make()) for i in range(30)]
+    docs = [(i, f"{make() if i % 3 else ''} {items[i % 30][1]} {make() if i % 2 else ''}", *MORE) for i in range(60)]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: set(r.item_ids) for r in d.decontaminate(spark.createDataFrame(docs, SCHEMA), df).collect()}
+    assert all(i % 30 in found[i] for i in range(60))
+
+
 def test_empty_tables(spark, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     df = spark.createDataFrame(docs, SCHEMA)

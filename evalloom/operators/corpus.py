@@ -8,33 +8,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.operators.metrics import perplexities
+from evalloom.plans.ranking import prefix_sums
 from evalloom.plans.staging import staged
 
 
+#: A word: letters, digits and underscores.
+WORD = r"[\p{L}\p{N}_]+"
+
+
 def normal_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def run_hashes(words: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words. Runs of twice the length are made of two runs, so a run costs as many hashes as n has binary digits (and ones among them), not n."""
+    powers = {1: F.transform(words, lambda w: F.xxhash64(F.lower(w)))}
+    beside = lambda a, at, b, size: F.zip_with(F.slice(a, 1, F.greatest(F.size(words) - (size - 1), F.lit(0))), F.slice(b, at + 1, F.greatest(F.size(words) - (size - 1), F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    while max(powers) * 2 <= n:
+        k = max(powers)
+        powers[2 * k] = beside(powers[k], k, powers[k], 2 * k)
+    size = max(powers)
+    out = powers[size]
+    for k in sorted(powers, reverse=True)[1:]:
+        if size + k <= n:
+            out, size = beside(out, size, powers[k], size + k), size + k
+    return out
 
 
 def gram_rows(rows: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """id, pos, h, check (two hashes): every run of ``n`` words. Shorter texts have none.
+    """id, text_hash, pos, h: every run of ``n`` words, in lower case. Shorter texts have none; words and text are not carried along."""
+    text = F.col(text_column)
+    words = rows.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") >= n)
+    return words.select("id", "text_hash", F.posexplode(run_hashes(F.col("w"), n)).alias("pos", "h"))
 
-    Words are hashed once each and runs are hashes of word hashes, so no string is built for a run, and the words are not carried along.
-    """
-    words = rows.select(F.col(id_column).alias("id"), F.transform(normal_words(F.col(text_column)), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n)
-    run = lambda i: F.slice("w", i + 1, F.lit(n))
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), F.hash(run(i)).alias("check")))
-    return words.select("id", F.posexplode(runs).alias("pos", "g")).select("id", "pos", "g.*")
+
+def worded(grams: DataFrame, rows: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
+    """``grams`` (id, text_hash, pos, h) with ``gram``, the words themselves; each text that has any is read and cut into words once."""
+    places = grams.groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "h")).alias("places"))  # no more than the text has words
+    texts = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")).withColumn("text_hash", F.xxhash64("t")).join(places.select("id", "text_hash"), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+    words = F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), F.lower)
+    held = texts.join(places, ["id", "text_hash"]).select("id", words.alias("w"), "places")
+    told = F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), p["h"].alias("h"), F.array_join(F.slice("w", p["pos"] + 1, F.lit(n)), " ").alias("gram")))
+    return held.select("id", F.explode(told).alias("g")).select("id", "g.*")
 
 
-def contamination_hits(corpus: DataFrame, items: DataFrame, n: int = 13, max_broadcast: int = 2_000_000, doc_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+def contamination_hits(
+    corpus: DataFrame, items: DataFrame, n: int = 13, max_broadcast: int = 2_000_000, doc_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text", places: int = 4096, sharers: int = 32
+) -> DataFrame:
     """doc_id, item_id, pos: places in documents of word n-grams that items have too.
 
-    Items' n-grams are counted first; up to ``max_broadcast`` of them go to all tasks, so the corpus is filtered before any
-    shuffle (a row is 24 bytes). With more, both sides are shuffled on the hash. A 64-bit and a 32-bit hash of the words must be equal.
+    The items' different n-grams are counted first; up to ``max_broadcast`` of them go to all tasks (8 bytes each), so the corpus is filtered before any
+    shuffle; with more, both sides are shuffled on the hash. Hashes find candidates, a row for each place whatever the number of items, and the
+    words themselves decide. An n-gram that stands in many places (boilerplate) or in many items is joined in parts: its places are dealt over one
+    salt for each ``places`` of them, its items over one for each ``sharers``, and every part meets every other, so that no task
+    holds more of one n-gram and nothing is left out. Rows that repeat an identifier and its text count once.
     """
-    ours = staged(gram_rows(items, item_column, text_column, n).select(F.col("id").alias("item_id"), "h", "check").distinct(), "item-grams")
-    side = F.broadcast(ours) if ours.count() <= max_broadcast else ours
-    return gram_rows(corpus, doc_column, text_column, n).join(side, ["h", "check"]).select(F.col("id").alias("doc_id"), "item_id", "pos")
+    ours = staged(worded(gram_rows(items, item_column, text_column, n), items, item_column, text_column, n).select(F.col("id").alias("item_id"), "h", "gram").distinct(), "item-grams")
+    keys = ours.select("h").distinct()
+    side = F.broadcast(keys) if keys.count() <= max_broadcast else keys
+    found = staged(gram_rows(corpus, doc_column, text_column, n).join(side, "h"), "gram-places")
+    theirs = worded(found, corpus, doc_column, text_column, n)
+    parts = found.groupBy("h").agg(F.count("*").alias("held")).join(ours.groupBy("h").agg(F.count("*").alias("items")), "h")
+    parts = staged(parts.select("h", F.ceil(F.col("held") / places).cast("int").alias("a"), F.ceil(F.col("items") / sharers).cast("int").alias("b")), "gram-parts")
+    side = F.broadcast(parts) if parts.count() <= max_broadcast else parts
+    dealt = lambda rows, own, key, other: rows.join(side, "h").withColumn(f"_{own}", F.pmod(F.xxhash64(*key), F.col(own))).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), (F.col(other) - 1).cast("long")))).drop("a", "b")
+    joined = dealt(theirs, "a", ("id", "pos"), "b").join(dealt(ours, "b", ("item_id",), "a"), ["h", "gram", "_a", "_b"])
+    return joined.select(F.col("id").alias("doc_id"), "item_id", "pos")
 
 
 def contaminated_items(hits: DataFrame, items: DataFrame, item_column: str = "item_id") -> DataFrame:
@@ -53,34 +92,61 @@ def clean_subset_scores(scores: DataFrame, flags: DataFrame, keys: Sequence[str]
     return joined.groupBy(*keys).agg(*out)
 
 
-def mask_corpus(corpus: DataFrame, hits: DataFrame, mode: str = "drop", n: int = 13, doc_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The corpus without contaminated documents (``drop``), or with the words of shared n-grams cut out (``cut``).
+def word_spans(hits: DataFrame, n: int) -> DataFrame:
+    """doc_id, first, last: runs of words that hits of ``n`` words cover; hits that overlap or touch make one run."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    places = hits.select("doc_id", F.col("pos").cast("long").alias("pos")).distinct()
+    begins = places.withColumn("new", F.coalesce(F.col("pos") > F.lag("pos").over(order) + n, F.lit(True)).cast("int"))
+    runs = begins.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("first"), (F.max("pos") + n - 1).alias("last")).drop("run")
+
+
+def without_spans(text: Column, spans: Column, mark: str = "") -> Column:
+    """The text without its words ``first`` to ``last`` of every span (ascending, apart) and what is between them; ``mark`` stands in their place.
+
+    The text is cut once into words and the gaps around them, and the parts that stay are joined as they are.
+    """
+    gaps, words = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    pairs = F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))  # a gap and the word after it; the last gap has none
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["last"] + 1))
+    ends = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(gaps).cast("long")))
+    kept = F.transform(
+        F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.concat(F.array_join(F.slice(pairs, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), ""), F.coalesce(F.get(gaps, p["b"].cast("int")), F.lit("")))
+    )
+    return F.array_join(kept, mark)
+
+
+def mask_corpus(corpus: DataFrame, hits: DataFrame, mode: str = "drop", n: int = 13, doc_column: str = "doc_id", text_column: str = "text", mark: str = "") -> DataFrame:
+    """The corpus without contaminated documents (``drop``), or with shared n-grams cut out of their texts (``cut``).
 
-    A cut document is its remaining normalised words; documents without hits keep their text. Identifiers must be unique.
-    The hits are staged, since both the documents and the places to cut are read from them.
+    Cutting takes out the words that hits cover, and what stands between two such words; all other characters stay as they are. ``mark`` is put in the place of each
+    run of words that goes. Documents without hits keep their text. Identifiers must be unique. The hits are staged, since both the documents and
+    the places to cut are read from them.
     """
     hits = staged(hits.select("doc_id", "pos"), "hits")
-    docs = hits.select(F.col("doc_id").alias(doc_column)).distinct()
     if mode == "drop":
-        return corpus.join(docs, doc_column, "left_anti")
-    covered = hits.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + n - 1)).alias("pos")).distinct()
-    words = corpus.join(docs, doc_column, "left_semi").select(F.col(doc_column).alias("doc_id"), F.posexplode(normal_words(F.col(text_column))).alias("pos", "word"))
-    left = words.join(covered, ["doc_id", "pos"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    cut = docs.select(F.col(doc_column).alias("_id")).join(left.withColumnRenamed("doc_id", "_id"), "_id", "left").select("_id", F.coalesce(F.array_join(F.transform("w", lambda s: s["word"]), " "), F.lit("")).alias("_cut"))
-    joined = corpus.join(cut, corpus[doc_column] == cut["_id"], "left")
-    return joined.withColumn(text_column, F.coalesce("_cut", text_column)).select(*corpus.columns)
+        return corpus.join(hits.select(F.col("doc_id").alias(doc_column)).distinct(), doc_column, "left_anti")
+    spans = word_spans(hits, n).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"))  # apart, so fewer than the text's words
+    whole = F.struct(*[F.col(f"`{c}`") for c in corpus.columns]).alias("_row")
+    joined = corpus.select(F.col(doc_column).alias("_key"), F.col(text_column).alias("_text"), whole).join(spans, F.col("_key") == F.col("_id"), "left")
+    cut = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(without_spans(F.col("_text"), F.col("_spans"), mark))
+    return joined.withColumn("_text", cut).select(*[F.col("_text").alias(c) if c == text_column else F.col(f"_row.`{c}`") for c in corpus.columns])
 
 
-def haystacks(docs: DataFrame, bucket: Column, length: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """bucket, haystack: in each bucket the first documents by id, joined by spaces and cut at ``length`` characters.
+def haystacks(docs: DataFrame, bucket: Column, length: int, id_column: str = "doc_id", text_column: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:
+    """bucket, haystack: in each bucket the texts by id, joined by spaces and cut at ``length`` characters.
 
-    Each document adds a character at least, so the first ``length`` of a bucket are enough; each task passes on no more than these.
+    Where a text begins is a prefix sum of lengths over (bucket, id), which no task works out for a whole bucket; only documents that begin before
+    ``length`` then have their texts read, cut to what is needed. So a bucket's task holds about ``length`` characters, and at most as many
+    texts. Null texts are empty. Identifiers must be unique in their bucket.
     """
-    rows = docs.select(bucket.alias("bucket"), F.col(id_column).alias("id"), F.substring(text_column, 1, length).alias("text"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("place") <= length)
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    used = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < length)
-    joined = used.groupBy("bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]), " ").alias("h"))
+    rows = docs.select(bucket.alias("bucket"), F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    sizes = rows.select("bucket", "id", (F.length("text") + 1).cast("long").alias("size"))
+    used = staged(prefix_sums(sizes, "size", ["id"], ["bucket"], name="before").where(F.col("before") < length).select("bucket", "id", "before"), "stack-places")
+    used = used.select(F.col("bucket").alias("_b"), F.col("id").alias("_i"), "before")
+    side = F.broadcast(used) if used.count() <= max_broadcast else used
+    near = rows.join(side, F.col("bucket").eqNullSafe(F.col("_b")) & F.col("id").eqNullSafe(F.col("_i"))).select("bucket", "before", F.substring("text", F.lit(1), (length - F.col("before")).cast("int")).alias("text"))
+    joined = near.groupBy("bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("before", "text"))), lambda s: s["text"]), " ").alias("h"))
     return joined.select("bucket", F.substring("h", 1, length).alias("haystack"))
 
 

@@ -1,4 +1,4 @@
-"""Gapless global row numbers without a single-partition window."""
+"""Gapless global row numbers and prefix sums without a window over a whole group."""
 
 from __future__ import annotations
 
@@ -29,3 +29,20 @@ def global_rank(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     ranked = ranged.join(F.broadcast(offsets), ["_pid", *group]).withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
     ranked = ranked.withColumn(total, F.col("_total")) if total else ranked
     return ranked.drop("_pid", "_offset", "_total")
+
+
+def prefix_sums(df: DataFrame, value: str, order: Sequence[str], group: Sequence[str], name: str = "before") -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before each row by ``order`` in its ``group`` (0 for the first).
+
+    Rows are range-partitioned by (group, order), so a large group spreads over many partitions; each adds up its own part, and the sums of the parts before
+    it (partitions x groups rows, broadcast) are put on top. Pass narrow rows: they are staged. Null groups are a group.
+    """
+    ranged = staged(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.sum(value).over(Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(F.broadcast(offsets), same).withColumn(name, F.col("_offset") + F.coalesce(inside, F.lit(0))).select(*df.columns, name)

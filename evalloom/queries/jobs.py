@@ -15,7 +15,8 @@ from evalloom.queries.registry import query, round6, table
 from evalloom.queries.scoring import PPL_SQL, perplexity_rows
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
-HITS_SQL = f"""dw AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), iw AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark),
+CASED = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x))"
+HITS_SQL = f"""dw AS (SELECT doc_id, {CASED} AS w FROM documents), iw AS (SELECT item_id, {CASED} AS w FROM benchmark),
   dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 13], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS p FROM dw)),
   ig AS (SELECT DISTINCT item_id, array_to_string(w[p + 1:p + 13], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 12)) AS p FROM iw)),
   hits AS (SELECT doc_id, item_id, p FROM dg JOIN ig USING (g))"""
@@ -49,10 +50,12 @@ def i3(spark, sf):
     return c.mask_corpus(table(spark, sf, "documents"), hits(spark, sf)).select("doc_id", "lang")
 
 
-@query("i3_mask_corpus_cut", f"""WITH {HITS_SQL}, cov AS (SELECT DISTINCT doc_id, p + k AS p FROM hits, (SELECT unnest(range(0, 13)) AS k)), bad AS (SELECT DISTINCT doc_id FROM hits),
-    tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM dw WHERE doc_id IN (SELECT doc_id FROM bad)),
-    cut AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM tok ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
-    SELECT d.doc_id, md5(CASE WHEN b.doc_id IS NULL THEN d.text ELSE coalesce(t, '') END) AS digest FROM documents d LEFT JOIN bad b ON b.doc_id = d.doc_id LEFT JOIN cut ON cut.doc_id = d.doc_id""")
+@query("i3_mask_corpus_cut", rf"""WITH {HITS_SQL}, cov AS (SELECT DISTINCT doc_id, p + k AS p FROM hits, (SELECT unnest(range(0, 13)) AS k)), bad AS (SELECT DISTINCT doc_id FROM hits),
+    part AS (SELECT doc_id, string_split_regex(text, '[\p{{L}}\p{{N}}_]+') AS gap, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS word FROM documents WHERE doc_id IN (SELECT doc_id FROM bad)),
+    tok AS (SELECT doc_id, unnest(gap) AS gap, generate_subscripts(gap, 1) - 1 AS p, word FROM part),
+    told AS (SELECT tok.doc_id, tok.p, gap, coalesce(word[tok.p + 1], '') AS word, cov.p IS NOT NULL AS here, lag(cov.p IS NOT NULL, 1, false) OVER (PARTITION BY tok.doc_id ORDER BY tok.p) AS before FROM tok LEFT JOIN cov ON cov.doc_id = tok.doc_id AND cov.p = tok.p),
+    cut AS (SELECT doc_id, string_agg(CASE WHEN here AND before THEN '' WHEN here THEN gap ELSE gap || word END, '' ORDER BY p) AS t FROM told GROUP BY doc_id)
+    SELECT d.doc_id, md5(coalesce(t, d.text)) AS digest FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id""")
 def i3_cut(spark, sf):
     return c.mask_corpus(table(spark, sf, "documents"), hits(spark, sf), "cut").select("doc_id", F.md5("text").alias("digest"))
 

@@ -6,13 +6,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from evalloom.functions import hooks
 from evalloom.functions import template as t
 from evalloom.operators import corpus, metrics, postfilter, prepare, requests, rollup, scores
 from evalloom.operators import text_metrics as x
-from evalloom.plans.ranking import global_rank
+from evalloom.plans.ranking import global_rank, prefix_sums
 from evalloom.sources import tables
 
 
@@ -224,11 +225,42 @@ def test_bootstrap_weights_are_poisson():
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
 
 
-def test_haystacks_pass_on_a_bounded_number_of_rows(spark):
-    docs = spark.createDataFrame([(i, "ab" if i else "") for i in range(50)], "doc_id long, text string")
-    made = corpus.haystacks(docs, F.lit(0), 7)
-    assert made.first().haystack == " ab ab"
-    assert "WindowGroupLimit" in made._jdf.queryExecution().executedPlan().toString()
+def haystacks_of(docs, bucket, length):
+    """By loops: texts of a bucket in order of their ids, as long as one begins before the end."""
+    out = {}
+    for i, t in sorted(docs):
+        held = out.setdefault(bucket(i), [])
+        if sum(len(x) + 1 for x in held) < length:
+            held.append(t or "")
+    return {k: " ".join(v)[:length] for k, v in out.items()}
+
+
+@pytest.mark.parametrize("length", [1, 7, 1500, 4000])
+def test_haystacks_match_loops_and_no_window_spans_a_bucket(spark, length):
+    rng = random.Random(length)
+    docs = [(i, None if i % 17 == 3 else "ab" * rng.randrange(0, 4 + i % 90)) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    made = corpus.haystacks(df, F.col("doc_id") % 3, length)
+    assert {r.bucket: r.haystack for r in made.collect()} == haystacks_of(docs, lambda i: i % 3, length)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
+    shuffled = corpus.haystacks(df, F.col("doc_id") % 3, length, max_broadcast=0)
+    assert {r.bucket: r.haystack for r in shuffled.collect()} == haystacks_of(docs, lambda i: i % 3, length)
+
+
+def test_prefix_sums_of_one_large_group_are_made_in_parts(spark):
+    df = spark.range(20_000).selectExpr("IF(id % 10 = 0, NULL, 1) AS g", "id", "id % 7 AS v").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = prefix_sums(df, "v", ["id"], ["g"])
+        rows = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums = Counter()
+    for r in sorted(rows, key=lambda r: r.id):
+        assert r.before == sums[r.g]
+        sums[r.g] += r.v
+    assert len(rows) == 20_000 and made.columns == ["g", "id", "v", "before"]
 
 
 def test_global_rank_is_gapless_and_spread(spark):
@@ -255,5 +287,74 @@ def test_contamination_with_and_without_broadcast(spark):
         assert sorted(map(tuple, hits.collect())) == [(1, 7, p) for p in range(1, 9)]
         assert "CartesianProduct" not in hits._jdf.queryExecution().toString()
     assert sorted(r.doc_id for r in corpus.mask_corpus(docs, hits).collect()) == [2, 3]
-    assert {r.doc_id: r.text for r in corpus.mask_corpus(docs, hits, "cut").collect()}[1] == "intro tail"
+    assert {r.doc_id: r.text for r in corpus.mask_corpus(docs, hits, "cut").collect()} == {1: "Intro  tail", 2: " ".join(words[:12]), 3: None}
     assert {r.item_id: (r.contaminated, r.docs) for r in corpus.contaminated_items(hits, items).collect()} == {7: (True, 1), 8: (False, 0)}
+
+
+def cut_by_loops(text, places, n, mark=""):
+    """Characters of the covered words, and between two covered neighbours, taken out one by one."""
+    found = [m.span() for m in regex.finditer(r"[\p{L}\p{N}_]+", text)]
+    covered = sorted({p + k for p in places for k in range(n)})
+    out, at = "", 0
+    for first in [c for c in covered if c - 1 not in covered]:
+        last = first
+        while last + 1 in covered:
+            last += 1
+        out, at = out + text[at : found[first][0]] + mark, found[last][1]
+    return out + text[at:]
+
+
+def test_cutting_keeps_every_other_character(spark):
+    rng = random.Random(5)
+    pieces = ["Hello", ", ", "World! ", "İstanbul", "—", "don't ", "_x_", "\n\n", "Good-bye: ", "ünï", "\u0301", " 12.5% ", "End", "."]
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choices(pieces, k=rng.randrange(0, 40)))
+        size = len(regex.findall(r"[\p{L}\p{N}_]+", text))
+        rows.append((i, text, "x", sorted({rng.randrange(size - 2) for _ in range(rng.randrange(0, 5))}) if size > 2 else []))
+    docs = spark.createDataFrame([(i, t, x, "c") for i, t, x, _ in rows], "doc_id long, text string, pos string, _spans string")
+    hits = spark.createDataFrame([(i, 9, p) for i, _, _, places in rows for p in places + places[:1]], "doc_id long, item_id long, pos int")
+    for mark in ("", "[CUT]"):
+        got = corpus.mask_corpus(docs, hits, "cut", n=3, mark=mark)
+        assert got.columns == docs.columns
+        assert {r.doc_id: r.text for r in got.collect()} == {i: cut_by_loops(t, places, 3, mark) for i, t, _, places in rows}
+
+
+def test_word_spans_join_overlaps_and_neighbours(spark):
+    hits = spark.createDataFrame([(1, 0), (1, 2), (1, 5), (1, 9), (1, 9), (2, 4)], "doc_id long, pos int")
+    assert sorted((r.doc_id, r.first, r.last) for r in corpus.word_spans(hits, 3).collect()) == [(1, 0, 7), (1, 9, 11), (2, 4, 6)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8, 13])
+def test_run_hashes_are_of_the_words_in_order(spark, n):
+    rng = random.Random(n)
+    texts = [[rng.choice("abcAB") for _ in range(size)] for size in (0, 1, n - 1, n, 40, 200)]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(texts)], "i int, w array<string>").select("i", corpus.run_hashes(F.col("w"), n).alias("h")).collect()
+    found = [(tuple(x.lower() for x in texts[r.i][p : p + n]), h) for r in rows for p, h in enumerate(r.h)]
+    assert all(len(r.h) == max(0, len(texts[r.i]) - n + 1) for r in rows)
+    assert len(set(found)) == len({g for g, _ in found}) == len({h for _, h in found})
+
+
+@pytest.mark.parametrize("limit", [0, 2_000_000])
+def test_hot_ngrams_are_joined_in_parts(spark, limit):
+    boiler = " ".join(f"b{i}" for i in range(13))
+    docs = [(i, f"own{i} {boiler.upper()} x{i} y" if i % 2 else " ".join(f"z{i}q{k}" for k in range(20))) for i in range(400)] + [(1, f"own1 {boiler.upper()} x1 y")]
+    items = [(i, f"{boiler}, item{i}") for i in range(300)] + [(999, docs[2][1])]
+    hits = corpus.contamination_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_broadcast=limit, places=50, sharers=40)
+    want = Counter((i, j, 1) for i in range(1, 400, 2) for j in range(300)) + Counter((2, 999, p) for p in range(8))
+    assert Counter(map(tuple, hits.collect())) == want
+    assert "CartesianProduct" not in hits._jdf.queryExecution().toString()
+    if not limit:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            parts = hits.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(parts) == 4 and max(r["count"] for r in parts) < 0.7 * want.total()  # one n-gram has nearly all rows
+
+
+def test_candidates_are_verified_on_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    grams = corpus.gram_rows(docs, "doc_id", "text", 3)
+    made = corpus.worded(grams.withColumn("h", F.lit(7).cast("long")), docs, "doc_id", "text", 3)
+    assert sorted((r.pos, r.gram) for r in made.collect()) == [(0, "a b c"), (1, "b c d")]

@@ -9,7 +9,7 @@ from evalloom.functions import template as t
 from evalloom.operators import prepare as p
 from evalloom.operators import requests as r
 from evalloom.plans.staging import fresh_path
-from evalloom.queries.registry import QUARTER_SQL, quarter, query, table
+from evalloom.queries.registry import QUARTER_SQL, mc_responses, quarter, query, table
 from evalloom.sources import tables as s
 
 CHOICES_SQL = f"list_transform([0, 1, 2, 3], lambda i: {QUARTER_SQL})"
@@ -374,3 +374,46 @@ def d8_equal(spark, sf):
     items = mc_items(spark, sf)
     twin = items.unionByName(items.where("task <> 'fr'").withColumn("task", F.concat(F.lit("copy_"), "task")))
     return r.equal_request_sets(r.request_fingerprint(r.mc_requests(twin))).select("fingerprint", F.array_join("tasks", ",").alias("tasks"))
+
+
+@query(
+    "d1_stored_requests",
+    f"""WITH {ITEMS_SQL} SELECT task, doc_id, i AS idx, md5(prompt || ' ' || choices[i + 1]) AS request, (0 - (doc_id * 7919 + i * 104729) % 1000)::DOUBLE / 100.0 AS loglik FROM items, (SELECT unnest([0, 1, 2, 3]) AS i)""",
+)
+def d1_stored(spark, sf):
+    """Requests stored with each prompt once, joined bucket by bucket with stand-in responses of model 0."""
+    buckets = spark.sparkContext.defaultParallelism
+    stored = r.store_mc_requests(mc_items(spark, sf), buckets)
+    answers = r.store_responses(mc_responses(spark, sf).where("model = 0").select("task", "doc_id", "idx", (F.col("loglik") + 0.0).alias("loglik")), buckets)
+    return stored.with_responses(spark, answers).select("task", "doc_id", "idx", F.md5(F.concat("context", "continuation")).alias("request"), "loglik")
+
+
+VERSIONS_SQL = """req AS (SELECT task, doc_id, i AS idx, prompt, ' ' || choices[i + 1] AS c FROM items, (SELECT unnest([0, 1, 2, 3]) AS i)),
+        newer AS (SELECT task, doc_id, idx, CASE WHEN doc_id % 50 = 7 AND idx = 2 THEN prompt || '!' ELSE prompt END AS prompt, c FROM req WHERE doc_id % 97 <> 5)"""
+
+
+def newer(requests):
+    """A second version: some prompts changed, some items gone."""
+    changed = F.when((F.col("doc_id") % 50 == 7) & (F.col("idx") == 2), F.concat("context", F.lit("!"))).otherwise(F.col("context"))
+    return requests.where(F.col("doc_id") % 97 != 5).withColumn("context", changed)
+
+
+@query(
+    "d8_request_tree",
+    f"""WITH {ITEMS_SQL}, req AS (SELECT task, sha256(concat_ws(chr(31), prompt, ' ' || choices[i + 1], 'loglikelihood')) AS h FROM items, (SELECT unnest([0, 1, 2, 3]) AS i)),
+        held AS (SELECT task, h, count(*) AS n FROM req GROUP BY ALL), nodes AS (SELECT task, left(h, 2) AS node, sum(n)::BIGINT AS requests, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS hash FROM held GROUP BY ALL)
+        FROM nodes UNION ALL SELECT task, '', sum(requests)::BIGINT, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) FROM nodes GROUP BY task""",
+)
+def d8_tree(spark, sf):
+    return r.request_tree(r.mc_requests(mc_items(spark, sf)), digits=2)
+
+
+@query(
+    "d8_request_changes",
+    f"""WITH {ITEMS_SQL}, {VERSIONS_SQL}, o AS (SELECT task, doc_id, idx, prompt, c, count(*) AS n FROM req GROUP BY ALL), w AS (SELECT task, doc_id, idx, prompt, c, count(*) AS n FROM newer GROUP BY ALL)
+        SELECT task, doc_id, idx, CASE WHEN coalesce(w.n, 0) < coalesce(o.n, 0) THEN 'removed' ELSE 'added' END AS change, abs(coalesce(w.n, 0) - coalesce(o.n, 0)) AS copies
+        FROM o FULL JOIN w USING (task, doc_id, idx, prompt, c) WHERE coalesce(w.n, 0) <> coalesce(o.n, 0)""",
+)
+def d8_changes(spark, sf):
+    requests = r.mc_requests(mc_items(spark, sf))
+    return r.request_changes(requests, newer(requests))

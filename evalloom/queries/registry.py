@@ -67,7 +67,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in generations: doc_id, task, pred (the text), ref (a benchmark item; items take turns)."""
     items = table(spark, sf_dir, "benchmark")
     refs = items.select("item_id", F.col("text").alias("ref"))
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("task"), F.col("text").alias("pred"), (F.col("doc_id") % items.count()).alias("item_id"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("task"), F.col("text").alias("pred"), (F.col("doc_id") % items.agg(F.count("*")).scalar()).alias("item_id"))
     return docs.join(refs, "item_id").drop("item_id")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -31,34 +33,74 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(upto, (z >> np.uint64(11)) / 2.0**53, "right").astype(float)
 
 
-def bootstrap_stderr(scores: DataFrame, by: Sequence[str], value: str = "value", key: str = "doc_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """by, stderr, n: standard error of the mean by a Poisson bootstrap.
+#: Numbers of group sums that a task holds at most before it passes them on.
+HELD = 1 << 24
+
 
-    Every row draws its own Poisson(1) weights for all replicates from a hash of (seed, its key, the replicate), so the result does not depend on the
-    partitioning; weights of many rows are drawn as one matrix. Tasks add
-    up weights and weighted values per group and replicate; only these sums are shuffled. Null values are left out; the spread of
-    the replicates' means is their population standard deviation.
+def bootstrap_replicates(rows: DataFrame, by: Sequence[str], state: Mapping[str, Column], key: str = "doc_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """by, replicate, and the weighted sum of every column of ``state`` in that replicate of a Poisson bootstrap.
+
+    Any metric that is a formula over sums can be resampled so: means, cells of a confusion table, n-gram counts. Every row draws its own Poisson(1) weights for all
+    replicates from a hash of (seed, its key, the replicate), so the result does not depend on the partitioning. Tasks draw the weights of some rows as a matrix,
+    multiply it with their states and add that up for each group; only these sums are shuffled. Nulls in a state count as 0.
     """
-    names = list(by)
+    names, columns = list(by), list(state)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for group, held in sums.items():
+                named = {k: pd.Series([g if g == g else None] * replicates, dtype=object) for k, g in zip(names, group, strict=True)}  # pandas has NaN for null
+                yield pd.DataFrame({**named, "replicate": np.arange(replicates), **{f"s{i}": held[i] for i in range(len(columns))}})
+            sums.clear()
+
         for batch in batches:
-            for group, rows in batch.groupby(names, dropna=False, sort=False):
-                held = sums.setdefault(group, np.zeros((2, replicates)))
-                keys, x, step = rows["_key"].to_numpy().astype(np.uint64), rows["_x"].to_numpy(), max(1, (1 << 20) // replicates)
+            for group, own in batch.groupby(names, dropna=False, sort=False) if names else [((), batch)]:
+                if group not in sums and (len(sums) + 1) * len(columns) * replicates > HELD:
+                    yield from frames()
+                held = sums.setdefault(group, np.zeros((len(columns), replicates)))
+                keys, step = own["_key"].to_numpy().astype(np.uint64), max(1, (1 << 20) // replicates)
+                values = own[[f"s{i}" for i in range(len(columns))]].to_numpy(float)
                 for i in range(0, len(keys), step):
-                    weights = poisson_weights(keys[i : i + step], replicates, seed)
-                    held[0] += weights.sum(0)
-                    held[1] += x[i : i + step] @ weights
-        for group, held in sums.items():
-            yield pd.DataFrame({**dict(zip(names, group, strict=True)), "replicate": np.arange(replicates), "w": held[0], "wx": held[1]})
-
-    rows = scores.where(F.col(value).isNotNull()).select(*names, F.xxhash64(key).alias("_key"), F.col(value).cast("double").alias("_x"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.select(*names).dtypes)
-    drawn = rows.mapInPandas(draw, f"{fields}, replicate int, w double, wx double").groupBy(*names, "replicate").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
-    spread = drawn.groupBy(*names).agg(F.stddev_pop("m").alias("stderr"))
-    return spread.join(rows.groupBy(*names).agg(F.count("*").alias("n")), names)
+                    held += values[i : i + step].T @ poisson_weights(keys[i : i + step], replicates, seed)
+        yield from frames()
+
+    given = rows.select(*names, F.xxhash64(key).alias("_key"), *[F.coalesce(state[c].cast("double"), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(columns)])
+    fields = ", ".join([f"`{n}` {t}" for n, t in given.select(*names).dtypes] + ["replicate int"] + [f"s{i} double" for i in range(len(columns))])
+    return given.mapInPandas(draw, fields).groupBy(*names, "replicate").agg(*[F.sum(f"s{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def bootstrap(rows: DataFrame, by: Sequence[str], state: Mapping[str, Column], metric: Column, key: str = "doc_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """by, stderr, n: the population standard deviation of ``metric``, a formula over the sums of ``state``, over the replicates; n counts rows."""
+    drawn = bootstrap_replicates(rows, by, state | {"_rows": F.lit(1)}, key, replicates, seed)
+    spread = drawn.select(*by, metric.alias("_m")).groupBy(*by).agg(F.stddev_pop("_m").alias("stderr"))
+    counts = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    return spread.join(counts, reduce(and_, same)).select(*by, "stderr", "n") if by else spread.withColumn("n", F.lit(rows.count()))
+
+
+def bootstrap_stderr(scores: DataFrame, by: Sequence[str], value: str = "value", key: str = "doc_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """by, stderr, n: standard error of the mean by a Poisson bootstrap. Null values are left out."""
+    sums = {"_w": F.lit(1), "_wx": F.col(value)}
+    return bootstrap(scores.where(F.col(value).isNotNull()), by, sums, F.col("_wx") / F.nullif(F.col("_w"), F.lit(0.0)), key, replicates, seed)
+
+
+def bootstrap_macro_f1(rows: DataFrame, by: Sequence[str], gold: str = "gold", pred: str = "pred", key: str = "doc_id", replicates: int = 1000, seed: int = 42, max_classes: int = 1000) -> DataFrame:
+    """by, stderr, n: standard error of macro F1, with a replicate's true positives, golds and predictions of each class as state.
+
+    Rows without a gold or predicted class are left out. The classes are read first; more than ``max_classes`` are an error.
+    """
+    known = rows.where(F.col(gold).isNotNull() & F.col(pred).isNotNull())
+    classes = [r.k for r in known.select(F.explode(F.array(gold, pred)).alias("k")).distinct().limit(max_classes + 1).collect()]
+    if len(classes) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    state, f1, there = {}, F.lit(0.0), F.lit(0)
+    for i, k in enumerate(classes):
+        is_gold, is_pred = F.col(gold) == F.lit(k), F.col(pred) == F.lit(k)
+        state |= {f"_tp{i}": (is_gold & is_pred).cast("int"), f"_sides{i}": is_gold.cast("int") + is_pred.cast("int")}
+        f1, there = f1 + ratio(2 * F.col(f"_tp{i}"), F.col(f"_sides{i}")), there + (F.col(f"_sides{i}") > 0).cast("int")
+    return bootstrap(known, by, state, f1 / F.nullif(there, F.lit(0)), key, replicates, seed)
 
 
 def ratio(a: Column, b: Column) -> Column:

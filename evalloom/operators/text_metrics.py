@@ -1,40 +1,121 @@
-"""Corpus metrics of generated text: sums of statistics first, one formula over the sums last."""
+"""Corpus metrics of generated text: sums of statistics first, one formula over the sums last.
+
+A prediction may have several references. N-grams are counted for many rows at once: each is a number (a rolling hash of its words or characters under its
+row), and one sort of all numbers gives every count, without a dictionary for each row.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
+from evalloom.operators.metrics import bootstrap
+from evalloom.plans.staging import staged
 
 # Fixed value: white space of Python that is none in Unicode.
 _WORD = re.compile(r"(?:\S|[\x1c-\x1f])+")
-
-
-def bleu_counts(pred: str, ref: str, order: int = 4) -> list[float]:
-    """For each order: n-grams of the prediction that the reference has too, as often as both have them, and all; then both lengths."""
-    p, r = _WORD.findall(pred), _WORD.findall(ref)
-    out: list[float] = []
+#: Rows, and words or characters, that are counted at once; a longer text is counted alone.
+ROWS, UNITS = 256, 1 << 20
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Statistics of rows: predictions and the references of each to an array (rows, numbers).
+Statistics = Callable[[list[str], list[list[str]]], np.ndarray]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+def clipped(row: np.ndarray, side: np.ndarray, gram: np.ndarray, rows: int) -> np.ndarray:
+    """For each row, how many n-grams of side 0 one other side has too: each counts as often as side 0 and the side with most of it have it."""
+    if not len(row):
+        return np.zeros(rows, np.int64)
+    side_bits, row_bits = np.uint64(int(side.max()).bit_length() or 1), np.uint64(max(1, (rows - 1).bit_length()))
+    kept = np.uint64(64) - side_bits - row_bits
+    keys = np.sort((((row.astype(np.uint64) << kept) | (gram >> (np.uint64(64) - kept))) << side_bits) | side.astype(np.uint64))
+    cells = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count, of = np.diff(np.append(cells, len(keys))), keys[cells] & ((np.uint64(1) << side_bits) - np.uint64(1))
+    grams = keys[cells] >> side_bits
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    ours, theirs = np.add.reduceat(np.where(of == 0, count, 0), first), np.maximum.reduceat(np.where(of > 0, count, 0), first)
+    return np.bincount((grams[first] >> kept).astype(np.int64), np.minimum(ours, theirs), rows).astype(np.int64)
+
+
+def gram_hits(texts: list[np.ndarray], row: list[int], side: list[int], rows: int, order: int) -> np.ndarray:
+    """(rows, order): clipped n-grams of every length. ``texts`` are sequences of 64-bit numbers, each of a row and a side (0 the prediction)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    units = np.concatenate([np.zeros(0, np.uint64), *texts])
+    own = np.repeat(np.arange(len(texts)), sizes)
+    of_row, of_side, h = np.array(row, np.int64), np.array(side, np.int64), np.zeros(len(units), np.uint64)
+    out = np.zeros((rows, order), np.int64)
     for n in range(1, order + 1):
-        a, b = (Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (p, r))
-        out += [(a & b).total(), max(0, len(p) - n + 1)]
-    return [float(x) for x in (*out, len(p), len(r))]
-
-
-def measured(statistics: Callable[[str, str], list[float]], pred: Column, ref: Column) -> Column:
-    """Statistics of each pair of texts, worked out in Arrow batches; null texts are empty."""
+        left = max(0, len(units) - n + 1)
+        h = mixed(h[:left] * _STEP + units[n - 1 :] + np.uint64(n))
+        inside = own[:left] == own[n - 1 :]
+        out[:, n - 1] = clipped(of_row[own[:left][inside]], of_side[own[:left][inside]], h[inside], rows)
+    return out
+
+
+def word_numbers(texts: list[str]) -> list[np.ndarray]:
+    """Words of each text as numbers, equal for equal words."""
+    known: dict[str, int] = {}
+    return [np.fromiter((known.setdefault(w, len(known)) for w in _WORD.findall(t)), np.uint64) for t in texts]
+
+
+def characters(texts: list[str]) -> list[np.ndarray]:
+    """Code points of each text, without white space."""
+    return [np.frombuffer("".join(t.split()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts]
+
+
+def bleu_counts(preds: list[str], refs: list[list[str]], order: int = 4) -> np.ndarray:
+    """For each order: n-grams of the prediction that one reference has too, and all; then the prediction's length and that of the reference next in length
+    (the shorter one of two; 0 without references)."""
+    flat = [*preds, *(r for own in refs for r in own)]
+    row = [*range(len(preds)), *(i for i, own in enumerate(refs) for _ in own)]
+    side = [0] * len(preds) + [k for own in refs for k in range(1, len(own) + 1)]
+    texts = word_numbers(flat)
+    hits, sizes = gram_hits(texts, row, side, len(preds), order), np.array([len(t) for t in texts], np.int64)
+    near, ours = np.zeros(len(preds), np.int64), sizes[: len(preds)]
+    for i, size in sorted(zip(row[len(preds) :], sizes[len(preds) :].tolist(), strict=True), key=lambda x: (x[0], -x[1])):
+        if not near[i] or abs(size - ours[i]) <= abs(near[i] - ours[i]):
+            near[i] = size
+    out = np.empty((len(preds), 2 * order + 2))
+    for n in range(order):
+        out[:, 2 * n], out[:, 2 * n + 1] = hits[:, n], np.maximum(0, ours - n)
+    out[:, -2], out[:, -1] = ours, near
+    return out
+
+
+def measured(statistics: Statistics, pred: Column, refs: Column) -> Column:
+    """Statistics of each prediction and its references (an array), worked out in Arrow batches; null texts are empty, a null array has no references."""
 
     @F.pandas_udf("array<double>")
     def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for preds, refs in batches:
-            yield pd.Series([statistics(p or "", r or "") for p, r in zip(preds, refs, strict=True)])
+            ours, theirs = [p or "" for p in preds], [[r or "" for r in own] if own is not None else [] for own in refs]
+            out: list[np.ndarray] = []
+            i = 0
+            while i < len(ours):
+                j, size = i, 0
+                while j < len(ours) and j - i < ROWS and (j == i or size < UNITS):
+                    size += len(ours[j]) + sum(map(len, theirs[j]))
+                    j += 1
+                out += list(statistics(ours[i:j], theirs[i:j]))
+                i = j
+            yield pd.Series(out)
+
+    return measure(pred, refs)
+
 
-    return measure(pred, ref)
+def references(rows: DataFrame, ref: str) -> Column:
+    """The references as an array; a text column is one reference."""
+    return F.col(ref) if isinstance(rows.schema[ref].dataType, T.ArrayType) else F.array(ref)
 
 
 def bleu_names(order: int) -> list[str]:
@@ -42,8 +123,8 @@ def bleu_names(order: int) -> list[str]:
 
 
 def bleu_statistics(rows: DataFrame, pred: str, ref: str, order: int = 4) -> DataFrame:
-    """Adds match_1, total_1 .. (clipped and all n-grams of the prediction), pred_len, ref_len. Counting is linear in the texts."""
-    counted = rows.withColumn("_v", measured(lambda p, r: bleu_counts(p, r, order), F.col(pred), F.col(ref)))
+    """Adds match_1, total_1 .. (clipped and all n-grams of the prediction), pred_len, ref_len. ``ref`` is a text or an array of texts."""
+    counted = rows.withColumn("_v", measured(lambda p, r: bleu_counts(p, r, order), F.col(pred), references(rows, ref)))
     return counted.withColumns({x: F.get("_v", F.lit(i)).cast("long") for i, x in enumerate(bleu_names(order))}).drop("_v")
 
 
@@ -65,39 +146,56 @@ def bleu(rows: DataFrame, pred: str, ref: str, by: Sequence[str], order: int = 4
     return stats.groupBy(*by).agg(*[F.sum(x).alias(x) for x in bleu_names(order)]).select(*by, bleu_of(order).alias("bleu"))
 
 
+def bootstrap_bleu(rows: DataFrame, pred: str, ref: str, by: Sequence[str], key: str = "doc_id", order: int = 4, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """by, stderr, n: standard error of the corpus BLEU. Counts of each row are worked out once and weighed in all replicates."""
+    stats = staged(bleu_statistics(rows, pred, ref, order).select(*by, key, *bleu_names(order)), "bleu-counts")
+    return bootstrap(stats, by, {x: F.col(x) for x in bleu_names(order)}, bleu_of(order), key, replicates, seed)
+
+
 def smoothed_bleu_4(rows: DataFrame, pred: str, ref: str, by: Sequence[str]) -> DataFrame:
     """by, bleu: the mean of sentence scores with one added to counts above unigrams."""
     return bleu_statistics(rows, pred, ref).withColumn("_s", bleu_of(add=1)).groupBy(*by).agg(F.avg("_s").alias("bleu"))
 
 
-def chrf_counts(pred: str, ref: str, order: int = 6) -> list[float]:
-    """For each order: matches, n-grams of the prediction, n-grams of the reference; white space is left out."""
-    p, r = "".join(pred.split()), "".join(ref.split())
-    out: list[float] = []
-    for n in range(1, order + 1):
-        a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (p, r))
-        out += [(a & b).total(), max(0, len(p) - n + 1), max(0, len(r) - n + 1)]
-    return [float(x) for x in out]
-
-
-def chrf_of(sums: Sequence[float], beta: float = 2.0) -> float:
-    """F score (0 to 1) of mean precision and mean recall over the orders that occur on both sides."""
-    orders = [(m / p, m / r) for m, p, r in zip(sums[::3], sums[1::3], sums[2::3], strict=True) if p and r]
-    if not orders:
-        return 0.0
-    precision, recall = (sum(x) / len(orders) for x in zip(*orders, strict=True))
+def chrf_scores(counts: np.ndarray, beta: float = 2.0) -> np.ndarray:
+    """F score (0 to 1) of each row of counts (matches, n-grams of prediction and reference, order by order): mean precision and mean recall
+    over the orders that occur on both sides."""
+    match, ours, theirs = counts[:, ::3], counts[:, 1::3], counts[:, 2::3]
+    there = (ours > 0) & (theirs > 0)
+    used = np.maximum(there.sum(1), 1)
+    precision, recall = ((np.where(there, match / np.maximum(side, 1), 0)).sum(1) / used for side in (ours, theirs))
     weight = beta * beta
-    return 0.0 if precision + recall == 0 else (1 + weight) * precision * recall / (weight * precision + recall)
+    return (1 + weight) * precision * recall / np.where(precision + recall > 0, weight * precision + recall, 1)
 
 
-def _added(rows: DataFrame, pred: str, ref: str, by: Sequence[str], width: int, statistics: Callable[[str, str], list[float]]) -> DataFrame:
-    """by, s0.. : sums of each pair's statistics."""
-    return rows.select(*by, measured(statistics, F.col(pred), F.col(ref)).alias("_v")).groupBy(*by).agg(*[F.sum(F.get("_v", F.lit(i))).alias(f"s{i}") for i in range(width)])
+def chrf_counts(preds: list[str], refs: list[list[str]], order: int = 6, beta: float = 2.0) -> np.ndarray:
+    """For each order: matches, n-grams of the prediction, n-grams of the reference; white space is left out.
+
+    Of several references that with the best score of its own counts (ties: the first one); without references the prediction's n-grams alone.
+    """
+    pairs = [(i, r) for i, own in enumerate(refs) for r in own]
+    ours, theirs = characters(preds), characters([r for _, r in pairs])
+    texts = [ours[i] for i, _ in pairs] + theirs
+    hits = gram_hits(texts, [*range(len(pairs))] * 2, [0] * len(pairs) + [1] * len(pairs), len(pairs), order)
+    size = lambda parts: np.maximum(0, np.array([len(t) for t in parts], np.int64)[:, None] - np.arange(order)).reshape(-1, order)
+    table = np.stack([hits, size([ours[i] for i, _ in pairs]), size(theirs)], 2).reshape(-1, 3 * order).astype(float)
+    out = np.stack([np.zeros((len(preds), order)), size(ours), np.zeros((len(preds), order))], 2).reshape(-1, 3 * order)
+    best = np.full(len(preds), -1.0)
+    for (i, _), score, row in zip(pairs, chrf_scores(table, beta).tolist(), table, strict=True):
+        if score > best[i]:
+            best[i], out[i] = score, row
+    return out
+
+
+def _added(rows: DataFrame, pred: str, ref: str, by: Sequence[str], width: int, statistics: Statistics) -> DataFrame:
+    """by, s0.. : sums of each row's statistics."""
+    values = rows.select(*by, measured(statistics, F.col(pred), references(rows, ref)).alias("_v"))
+    return values.groupBy(*by).agg(*[F.sum(F.get("_v", F.lit(i))).alias(f"s{i}") for i in range(width)])
 
 
 def chrf(rows: DataFrame, pred: str, ref: str, by: Sequence[str], order: int = 6, beta: float = 2.0) -> DataFrame:
     """by, chrf (0 to 1) of the whole corpus."""
-    sums = _added(rows, pred, ref, by, 3 * order, lambda p, r: chrf_counts(p, r, order))
+    sums = _added(rows, pred, ref, by, 3 * order, lambda p, r: chrf_counts(p, r, order, beta))
     part = [tuple(F.col(f"s{3 * i + k}") for k in range(3)) for i in range(order)]
     there = [(p > 0) & (r > 0) for _, p, r in part]
     used = sum((F.when(t, 1).otherwise(0) for t in there[1:]), F.when(there[0], 1).otherwise(0))
@@ -184,8 +282,15 @@ def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50)
     return [float(moves + cost), float(len(target))]
 
 
-def ter(rows: DataFrame, pred: str, ref: str, by: Sequence[str]) -> DataFrame:
-    """by, ter: edits over words of the references, in the whole corpus; null without reference words."""
-    return _added(rows, pred, ref, by, 2, ter_counts).select(*by, (F.col("s0") / F.nullif(F.col("s1"), F.lit(0.0))).alias("ter"))
+def ter_statistics(preds: list[str], refs: list[list[str]]) -> np.ndarray:
+    """Edits to the reference that needs fewest, and the mean words of a row's references; without references all words are edits."""
+    out = []
+    for p, own in zip(preds, refs, strict=True):
+        counts = [ter_counts(p, r) for r in own] or [[float(len(p.split())), 0.0]]
+        out.append([min(c[0] for c in counts), sum(c[1] for c in counts) / len(counts)])
+    return np.array(out).reshape(-1, 2)
 
 
+def ter(rows: DataFrame, pred: str, ref: str, by: Sequence[str]) -> DataFrame:
+    """by, ter: edits over words of the references, in the whole corpus; null without reference words."""
+    return _added(rows, pred, ref, by, 2, ter_statistics).select(*by, (F.col("s0") / F.nullif(F.col("s1"), F.lit(0.0))).alias("ter"))

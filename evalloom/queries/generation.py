@@ -127,6 +127,31 @@ def g8(spark, sf):
     return x.bleu(bleu_rows(spark, sf), "pred", "ref", ["task"]).withColumn("bleu", round6(F.col("bleu")))
 
 
+@query("g3_bootstrap_bleu")
+def g3_bleu(spark, sf):
+    return x.bootstrap_bleu(bleu_rows(spark, sf), "pred", "ref", ["task"], replicates=1000)
+
+
+#: n-grams of a text (side 0) and of two references, with the most that one reference has.
+REFS_SQL = f"""gen AS (SELECT doc_id, lang AS task, {BAG.format('text')} AS p, {BAG.format("replace(replace(text, ' the ', ' a '), ' of ', ' ')")} AS r, {BAG.format("replace(text, 'e ', 'a ')")} AS q FROM documents),
+  tk AS (SELECT doc_id, 0 AS side, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM gen UNION ALL SELECT doc_id, 1, unnest(r), generate_subscripts(r, 1) FROM gen UNION ALL SELECT doc_id, 2, unnest(q), generate_subscripts(q, 1) FROM gen),
+  ld AS (SELECT doc_id, side, w, lead(w, 1) OVER o AS w2 FROM tk WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+  g AS (SELECT doc_id, side, 1 AS n, w FROM ld UNION ALL SELECT doc_id, side, 2, w || chr(2) || w2 FROM ld WHERE w2 IS NOT NULL),
+  c AS (SELECT doc_id, n, w, count(*) FILTER (side = 0) AS a, greatest(count(*) FILTER (side = 1), count(*) FILTER (side = 2)) AS b FROM g GROUP BY ALL),
+  m AS (SELECT doc_id, n, sum(least(a, b)) AS hit FROM c GROUP BY ALL),
+  s AS (SELECT task, gen.doc_id, n.n, coalesce(hit, 0) AS hit, greatest(len(p) - n.n + 1, 0) AS total, len(p) AS pl,
+          CASE WHEN abs(len(r) - len(p)) < abs(len(q) - len(p)) THEN len(r) WHEN abs(len(r) - len(p)) > abs(len(q) - len(p)) THEN len(q) ELSE least(len(r), len(q)) END AS rl
+        FROM gen JOIN (SELECT unnest([1, 2]) AS n) n ON true LEFT JOIN m ON m.doc_id = gen.doc_id AND m.n = n.n)"""
+
+
+@query("g8_bleu_references", f"WITH {REFS_SQL}, t AS (SELECT task, n, sum(hit) AS hit, sum(total) AS total, sum(pl) AS pl, sum(rl) AS rl FROM s GROUP BY ALL) SELECT task, round(CASE WHEN min(hit) = 0 THEN 0.0 ELSE exp(sum(ln(greatest(hit, 1)::DOUBLE / total)) / 2 + least(0.0, 1 - max(rl)::DOUBLE / max(pl))) END, 6) AS bleu FROM t GROUP BY task")
+def g8_references(spark, sf):
+    """Two references for each text."""
+    docs = spread(table(spark, sf, "documents"))
+    rows = docs.select(F.col("lang").alias("task"), F.col("text").alias("pred"), F.array(altered(F.col("text")), F.replace("text", F.lit("e "), F.lit("a "))).alias("ref"))
+    return x.bleu(rows, "pred", "ref", ["task"], order=2).withColumn("bleu", round6(F.col("bleu")))
+
+
 @query("g9_smoothed_bleu_4", f"WITH {BLEU_SQL}, d AS (SELECT task, doc_id, CASE WHEN max(pl) = 0 OR min(hit) FILTER (n = 1) = 0 THEN 0.0 ELSE exp(sum(ln(greatest((hit + (n > 1)::INTEGER), 1)::DOUBLE / (total + (n > 1)::INTEGER))) / 4 + least(0.0, 1 - max(rl)::DOUBLE / max(pl))) END AS v FROM s GROUP BY ALL) SELECT task, round(avg(v), 6) AS bleu FROM d GROUP BY task")
 def g9(spark, sf):
     return x.smoothed_bleu_4(bleu_rows(spark, sf), "pred", "ref", ["task"]).withColumn("bleu", round6(F.col("bleu")))

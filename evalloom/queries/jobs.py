@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evalloom.functions import hooks
@@ -139,6 +140,34 @@ def j1(spark, sf):
     return hooks.evaluate(table(spark, sf, "documents"), ["letter_e", "most_lines"], ["lang"])
 
 
+class MedianOfMeans:
+    """Median of the means of 16 blocks of rows: a state of 16 sums and counts."""
+
+    columns = ("block", "value")
+
+    @staticmethod
+    def update(state, rows):
+        known = rows.dropna()
+        np.add.at(state, (0, known["block"].to_numpy(int)), known["value"].to_numpy(float))
+        np.add.at(state, (1, known["block"].to_numpy(int)), 1)
+        return state
+
+    @staticmethod
+    def finish(state):
+        held = state[1] > 0
+        return float(np.median(state[0][held] / state[1][held])) if held.any() else None
+
+
+@query("j1_mergeable_aggregate", "WITH b AS (SELECT CASE WHEN lang <> 'es' THEN lang END AS lang, doc_id % 16 AS block, avg(n_chars) AS m, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, round(median(m), 6) AS middle, sum(n)::BIGINT AS docs FROM b GROUP BY lang")
+def j1_mergeable(spark, sf):
+    """Median of means by language, where one language is null."""
+    rows = table(spark, sf, "documents").select(F.when(F.col("lang") != "es", F.col("lang")).alias("lang"), (F.col("doc_id") % 16).alias("block"), F.col("n_chars").alias("value"))
+    hooks.register_aggregate("middle", hooks.Aggregate(MedianOfMeans.columns, lambda: np.zeros((2, 16)), MedianOfMeans.update, lambda a, b: a + b, MedianOfMeans.finish))
+    hooks.register_metric("docs", lambda df: F.lit(1), F.count)
+    out = hooks.evaluate(rows, ["middle", "docs"], ["lang"])
+    return out.withColumn("middle", round6(F.col("middle")))
+
+
 @query("j2_task_hook", "SELECT doc_id, upper(lang) AS task FROM documents WHERE length(text) >= 500")
 def j2(spark, sf):
     docs = hooks.task_hook(table(spark, sf, "documents"), lambda d: prepare.filter_length(d, "text", 500, 1 << 30), lambda d: d.withColumn("task", F.upper("lang")))

@@ -99,6 +99,11 @@ def g3(spark, sf):
     return m.bootstrap_stderr(scores.acc(mc_responses(spark, sf)), ["model", "task"], replicates=1000)
 
 
+@query("g3_bootstrap_macro_f1")
+def g3_macro_f1(spark, sf):
+    return m.bootstrap_macro_f1(multi(spark, sf, "doc_id"), ["task"], replicates=1000)
+
+
 BINARY_SQL = "b AS (SELECT d.lang AS task, l.quality AS gold, (d.n_chars > 1000)::INTEGER AS pred FROM documents d JOIN labels l USING (doc_id))"
 MULTI_SQL = "b AS (SELECT source AS task, lang AS gold, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'en' END AS pred FROM documents)"
 F1_SQL = """c AS (SELECT task, gold AS k FROM b UNION SELECT task, pred FROM b),
@@ -111,8 +116,8 @@ def binary(spark, sf):
     return docs.join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("gold")), "doc_id")
 
 
-def multi(spark, sf):
-    return table(spark, sf, "documents").select(F.col("source").alias("task"), F.col("lang").alias("gold"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).otherwise("en").alias("pred"))
+def multi(spark, sf, *more):
+    return table(spark, sf, "documents").select(*more, F.col("source").alias("task"), F.col("lang").alias("gold"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).otherwise("en").alias("pred"))
 
 
 @query("g4_f1_binary", f"WITH {BINARY_SQL}, t AS (SELECT task, sum((gold = 1 AND pred = 1)::INTEGER) AS tp, sum((gold = 1)::INTEGER) + sum((pred = 1)::INTEGER) AS sides FROM b GROUP BY task) SELECT task, round(CASE WHEN sides = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / sides END, 6) AS f1 FROM t")

@@ -35,11 +35,12 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
 
 
 def lettered_options(choices: Column, letters: str = "ABCD", pattern: str = "{letter}. {choice}", separator: str = "\n") -> Column:
-    """Choices as one text, each with its letter; choices beyond the letters are left out."""
+    """Choices as one text, each with its letter. More choices than letters are an error: give as many letters as an item can have choices."""
     before, after = pattern.split("{letter}")
     middle, tail = after.split("{choice}")
     line = lambda c, i: F.concat(F.lit(before), F.substring(F.lit(letters), i + 1, F.lit(1)), F.lit(middle), c, F.lit(tail))
-    return F.array_join(F.transform(F.slice(choices, 1, len(letters)), line), separator)
+    many = F.raise_error(F.concat(F.lit(f"only {len(letters)} letters for choices: "), F.size(choices).cast("string")))
+    return F.when(F.size(choices) > len(letters), many).otherwise(F.array_join(F.transform(choices, line), separator))
 
 
 def first_defined(df: DataFrame, *names: str) -> Column:

@@ -77,25 +77,23 @@ def roll_up(results: DataFrame, edges: DataFrame, spec: DataFrame) -> DataFrame:
     A group has a value for each metric and filter its spec names (null filters: all; null weight: by size); a listed member may be a
     group with a value of its own, at any depth. Groups without a spec have none, nor have groups on a cycle or above one. Each member counts once.
 
-    Memberships describe tasks and go to the driver, which orders the groups; results stay on the cluster, a level at a time. A level is staged
-    if a later one may read it.
+    Memberships describe tasks and go to the driver, which orders the groups; results stay on the cluster. They are staged once, and levels are steps of one plan with
+    broadcast memberships; of deeper groups every third level is staged, so that plans stay short.
     """
     columns = ["model", "task", "filter", "metric", "value", "n"]
     pairs = [(r.parent, r.child) for r in edges.select("parent", "child").distinct().collect()]
     level_of = heights(pairs)
-    wanted = spec.select(F.col("group").alias("parent"), F.col("metric").alias("m"), F.coalesce("weight_by_size", F.lit(True)).alias("weighted"), "filters")
-    done, out = results.select(*columns), None
+    wanted = staged(spec.select(F.col("group").alias("parent"), F.col("metric").alias("m"), F.coalesce("weight_by_size", F.lit(True)).alias("weighted"), "filters"), "group-specs")  # as small as the group table
     levels = sorted(set(level_of.values()))
-    if len(levels) > 1:
-        done = staged(done, "results")
-    for level in levels:
-        now = edges.sparkSession.createDataFrame([p for p in pairs if level_of.get(p[0]) == level], "parent string, child string").join(wanted, "parent")
+    done = staged(results.select(*columns), "results").withColumn("_group", F.lit(False))
+    for i, level in enumerate(levels):
+        now = edges.sparkSession.createDataFrame([p for p in pairs if level_of.get(p[0]) == level], "parent string, child string").join(F.broadcast(wanted), "parent")
         rows = now.join(done, (F.col("child") == F.col("task")) & (F.col("m") == F.col("metric"))).where(F.col("value").isNotNull() & (F.col("filters").isNull() | F.array_contains("filters", F.col("filter"))))
         value = F.when(F.first("weighted"), F.sum(F.col("value") * F.col("n")) / F.sum("n")).otherwise(F.avg("value"))
         made = rows.groupBy("model", "parent", "filter", "metric").agg(value.alias("value"), F.sum("n").alias("n")).withColumnRenamed("parent", "task").select(*columns)
-        made = staged(made, "group-results") if level != levels[-1] else made
-        done, out = done.unionByName(made), made if out is None else out.unionByName(made)
-    return (out if out is not None else done.where(F.lit(False))).withColumnRenamed("task", "group")
+        done = done.unionByName(made.withColumn("_group", F.lit(True)))
+        done = staged(done, "group-results") if i % 3 == 2 and level != levels[-1] else done  # what stands below is then read, not worked out again
+    return done.where("_group").drop("_group").withColumnRenamed("task", "group")
 
 
 def delta(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("model",), item: str = "doc_id") -> DataFrame:

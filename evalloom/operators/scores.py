@@ -30,13 +30,16 @@ def acc_norm(responses: DataFrame, unit: str = "char", keys: Sequence[str] = ITE
 
 
 def mc2(responses: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
-    """keys, value: probability of the true choices (column is_true) among all, from log-likelihoods.
+    """keys, value: probability of the true choices (column is_true) among all, from log-likelihoods; choices without one are left out.
 
-    The largest log-likelihood is taken out before exponentiating, in an aggregate joined back on the keys' own partitioning.
+    An item's choices meet once, as an array, and the largest log-likelihood is taken out before exponentiating.
     """
-    top = responses.groupBy(*keys).agg(F.max("loglik").alias("top"))
-    mass = F.exp(F.col("loglik") - F.col("top"))
-    return responses.join(top, list(keys)).groupBy(*keys).agg((F.sum(F.when(F.col("is_true"), mass).otherwise(0.0)) / F.sum(mass)).alias("value"))
+    choice = F.when(F.col("loglik").isNotNull(), F.struct("loglik", F.coalesce("is_true", F.lit(False)).alias("is_true")))
+    held = responses.groupBy(*keys).agg(F.sort_array(F.collect_list(choice)).alias("c"))  # as many as an item has choices
+    mass = lambda c: F.exp(c["loglik"] - F.element_at("c", -1)["loglik"])
+    total = lambda chosen: F.aggregate("c", F.lit(0.0), lambda s, c: s + chosen(c))
+    value = F.when(F.size("c") > 0, total(lambda c: F.when(c["is_true"], mass(c)).otherwise(0.0)) / total(mass))
+    return held.select(*keys, value.alias("value"))
 
 
 def exact_match(pred: Column, target: Column, ignore_case: bool = False, ignore_punctuation: bool = False) -> Column:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from math import isqrt
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -204,81 +207,173 @@ def chrf(rows: DataFrame, pred: str, ref: str, by: Sequence[str], order: int = 6
     return sums.select(*by, F.when((used == 0) | (precision + recall == 0), 0.0).otherwise((1 + weight) * precision * recall / (weight * precision + recall)).alias("chrf"))
 
 
-def edits(a: Sequence[str], b: Sequence[str]) -> int:
-    """Least insertions, deletions and substitutions that turn ``a`` into ``b``.
+@dataclass
+class Table:
+    """Edit distances between beginnings of word lists, a column at a time in bits (Myers 1999).
 
-    Bit-parallel (Myers 1999): a column of the table is two integers of len(b) bits, so a word costs a few integer operations.
+    A state stands for all distances of one beginning of ``a`` to every beginning of ``b``: two integers of len(b) bits say where they rise and fall by one. A word more
+    costs a few integer operations; every ``EVERY``-th state is kept, so n words against m take about n * m / (4 * EVERY) bytes.
     """
-    if not b:
-        return len(a)
-    places: dict[str, int] = {}
-    for j, w in enumerate(b):
+
+    EVERY: ClassVar[int] = 32
+    a: list[int]
+    b: list[int]
+
+    def __post_init__(self) -> None:
+        self.places: dict[int, int] = {}
+        for j, w in enumerate(self.b):
+            self.places[w] = self.places.get(w, 0) | 1 << j
+        self.full = (1 << len(self.b)) - 1
+        self.kept = [(self.full, 0)]
+        self.change(self.a, 0)
+
+    def change(self, a: list[int], same: int) -> None:
+        """Other words for ``a``, of which the first ``same`` are as before."""
+        self.a, self.kept = a, self.kept[: same // self.EVERY + 1]
+        for i in range((len(self.kept) - 1) * self.EVERY, len(a), self.EVERY):
+            self.kept.append(self.after(self.kept[-1], a[i : i + self.EVERY]))
+
+    def after(self, state: tuple[int, int], words: Sequence[int]) -> tuple[int, int]:
+        up, down = state
+        full, places = self.full, self.places
+        for w in words:
+            eq = places.get(w, 0)
+            same = eq | down
+            carry = (((eq & up) + up) ^ up) | eq
+            rise, fall = ((down | ~(carry | up) & full) << 1 | 1) & full, (up & carry) << 1 & full
+            up, down = fall | ~(same | rise) & full, rise & same
+        return up, down
+
+    def at(self, i: int) -> tuple[int, int]:
+        """The state after ``i`` words."""
+        k = i // self.EVERY
+        return self.after(self.kept[k], self.a[k * self.EVERY : i])
+
+    def distances(self, state: tuple[int, int], i: int) -> np.ndarray:
+        """Distances of a beginning of ``i`` words to the beginnings of ``b`` of 0, 1 .. words."""
+        bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(len(self.b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(self.b)].astype(np.int32)
+        return i + np.concatenate([[0], np.cumsum(bits(state[0]) - bits(state[1]))])
+
+
+def edits(a: Sequence[int], b: Sequence[int]) -> int:
+    """Least insertions, deletions and substitutions that turn ``a`` into ``b``."""
+    table = Table(list(a), list(b))
+    return int(table.distances(table.at(len(table.a)), len(table.a))[-1])
+
+
+def aligned(a: Sequence[int], b: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of each side a longest common subsequence leaves unmatched: words match where they can, else ``a`` goes on if that costs nothing.
+
+    The lengths of common subsequences of the ends of both lists are kept in bits (a row adds one where a bit is 0). Rows are worked out from the end, every
+    root-of-n-th is kept, and those between two of them are worked out again on the way back: n words against m take about sqrt(n) * m / 4 bytes.
+    """
+    places: dict[int, int] = {}
+    for j, w in enumerate(reversed(b)):
         places[w] = places.get(w, 0) | 1 << j
-    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    up, down, cost = full, 0, len(b)
-    for w in a:
-        eq = places.get(w, 0)
-        same = eq | down
-        carry = (((eq & up) + up) ^ up) | eq
-        rise, fall = down | ~(carry | up) & full, up & carry
-        if rise & top:
-            cost += 1
-        elif fall & top:
-            cost -= 1
-        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
-        up, down = fall | ~(same | rise) & full, rise & same
-    return cost
-
-
-def aligned(a: Sequence[str], b: Sequence[str]) -> tuple[list[bool], list[bool]]:
-    """Which words of each side a longest common subsequence leaves unmatched."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    full, step = (1 << len(b)) - 1, max(1, isqrt(len(a)))
+
+    def before(row: int, w: int) -> int:
+        both = row & places.get(w, 0)
+        return ((row + both) | (row - both)) & full
+
+    kept = {len(a): full}
+    row = full
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out_a, out_b, i, j = [True] * len(a), [True] * len(b), 0, 0
+        row = before(row, a[i])
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+    length = lambda i, j: (len(b) - j) - (rows[i] & ((1 << (len(b) - j)) - 1)).bit_count()
+    loose_a, loose_b, i, j = np.ones(len(a), bool), np.ones(len(b), bool), 0, 0
     while i < len(a) and j < len(b):
+        if i + 1 not in rows:
+            top = min(len(a), i - i % step + step)
+            rows = {top: kept[top]}
+            for k in range(top - 1, i - 1, -1):
+                rows[k] = before(rows[k + 1], a[k])
         if a[i] == b[j]:
-            out_a[i] = out_b[j] = False
+            loose_a[i] = loose_b[j] = False
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif length(i + 1, j) == length(i, j):
             i += 1
         else:
             j += 1
-    return out_a, out_b
-
-
-def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50) -> list[float]:
+    return loose_a, loose_b
+
+
+class Runs:
+    """Places of all runs of up to ``most`` words in a list, as sorted (run, place) pairs for each length."""
+
+    def __init__(self, words: np.ndarray, most: int):
+        self.size, self.keys = len(words), []
+        for names in self.named(words, most):
+            runs, code = np.unique(names, return_inverse=True)
+            self.keys.append((runs, np.sort(code * np.int64(self.size + 1) + np.arange(len(names)))))
+
+    @staticmethod
+    def named(words: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        h = np.zeros(len(words), np.uint64)
+        for n in range(1, min(most, len(words)) + 1):
+            h = mixed(h[: len(words) - n + 1] * _STEP + words[n - 1 :].astype(np.uint64) + np.uint64(n))
+            yield h
+
+    def near(self, words: np.ndarray, most: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """n, i, at: runs of n words at i of ``words`` that stand at ``at`` in the list, at most ``reach`` apart; longest runs first, then in order."""
+        for n, names in reversed([*enumerate(self.named(words, min(most, len(self.keys))), 1)]):
+            runs, keys = self.keys[n - 1]
+            i = np.flatnonzero(np.isin(names, runs))
+            base = np.searchsorted(runs, names[i]) * np.int64(self.size + 1)
+            low, high = np.searchsorted(keys, base + np.maximum(i - reach, 0)), np.searchsorted(keys, base + np.minimum(i + reach, self.size), "right")
+            many = high - low
+            at = keys[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())] - np.repeat(base, many)
+            yield n, np.repeat(i, many), at
+
+
+def shifted(words: list[int], i: int, n: int, at: int) -> tuple[int, list[int], int]:
+    """What changes when the run of ``n`` words at ``i`` goes to ``at`` of the others: where it begins, the words there now, and where the rest goes on."""
+    run = words[i : i + n]
+    if at < i:
+        return at, run + words[at:i], i + n
+    return i, words[i + n : at + n] + run, min(at + n, len(words))
+
+
+def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50, max_tries: int = 20_000) -> list[float]:
     """Edits with shifts of word runs, and words of the reference.
 
     Greedy: while a shift of a run saves edits, the best one is made (longest run first on ties). A run is tried only where the reference has it too and
-    where both the run and that place hold a word that is unmatched so far.
+    where both the run and that place hold a word that is unmatched so far. What a shift saves is worked out from the states of the two edit tables, from the front and
+    from the back, where the shifted part begins and ends, so it costs the words in between and not the whole lists. A pair has ``max_tries`` tries in all
+    (a parameter of the metric, as in its published form); of more, those whose runs have most unmatched words are made.
     """
-    words, target = pred.split(), ref.split()
-    places: dict[tuple[str, ...], list[int]] = {}
-    for n in range(1, max_shift + 1):
-        for i in range(len(target) - n + 1):
-            places.setdefault(tuple(target[i : i + n]), []).append(i)
-    moves, cost = 0, edits(words, target)
-    while cost > 1:
+    known: dict[str, int] = {}
+    words, target = ([known.setdefault(w, len(known)) for w in text.split()] for text in (pred, ref))
+    runs = Runs(np.array(target, np.int64), max_shift)
+    front, back = Table(words, target), Table(words[::-1], target[::-1])
+    moves, cost, tries = 0, int(front.distances(front.at(len(words)), len(words))[-1]), 0
+    while cost > 1 and tries < max_tries and target and words:
+        loose, open_ = (np.concatenate([[0], np.cumsum(x)]) for x in aligned(words, target))
+        found = []
+        for n, i, at in runs.near(np.array(words, np.int64), max_shift, max_distance):
+            fits = (at != i) & (loose[i + n] > loose[i]) & (open_[at + n] > open_[at])
+            found.append(np.stack([np.full(fits.sum(), n), i[fits], at[fits], (loose[i + n] - loose[i])[fits]], 1))
+        table = np.concatenate(found)
+        order = np.arange(len(table))
+        if len(table) > max_tries - tries:
+            order = np.sort(np.argsort(-table[:, 3], kind="stable")[: max_tries - tries])
+        tries += len(order)
         best = None
-        loose, open_places = aligned(words, target)
-        for n in range(min(max_shift, len(words)), 0, -1):
-            for i in range(len(words) - n + 1):
-                if not any(loose[i : i + n]):
-                    continue
-                run = words[i : i + n]
-                for at in places.get(tuple(run), ()):
-                    if at == i or abs(at - i) > max_distance or not any(open_places[at : at + n]):
-                        continue
-                    rest = words[:i] + words[i + n :]
-                    moved = rest[:at] + run + rest[at:]
-                    saved = cost - edits(moved, target)
-                    if saved > 1 and (best is None or saved > best[0]):
-                        best = (saved, moved)
+        for k in order[np.argsort(np.minimum(table[order, 1], table[order, 2]), kind="stable")].tolist():
+            begin, middle, end = shifted(words, *(int(x) for x in table[k, [1, 0, 2]]))
+            state = front.after(front.at(begin), middle)
+            rest = len(words) - end
+            now = int((front.distances(state, begin + len(middle)) + back.distances(back.at(rest), rest)[::-1]).min())
+            if cost - now > 1 and (best is None or (now, k) < best[:2]):
+                best = (now, k, words[:begin] + middle + words[end:], begin, rest)
         if best is None:
             break
-        moves, cost, words = moves + 1, cost - best[0], best[1]
+        moves, cost, words = moves + 1, best[0], best[2]
+        front.change(words, best[3])
+        back.change(words[::-1], best[4])
     return [float(moves + cost), float(len(target))]
 
 

@@ -27,6 +27,9 @@ def test_templates(spark):
     assert one(spark, t.strip(F.lit("   a b\n\t"))) == "a b"
     assert one(spark, t.slice_text(F.lit("abcdef"), F.lit(1), F.lit(4))) == "bcd"
     assert one(spark, t.lettered_options(F.array(*map(F.lit, "xyz")))) == "A. x\nB. y\nC. z"
+    with pytest.raises(Exception, match="only 4 letters for choices: 5"):
+        one(spark, t.lettered_options(F.array(*map(F.lit, "vwxyz"))))
+    assert one(spark, t.lettered_options(F.array(*map(F.lit, "vwxyz")), "ABCDE")).endswith("E. z")
     assert one(spark, t.ensure_period(F.lit(" a. "))) == "a." and one(spark, t.ensure_period(F.lit("a"))) == "a."
     tokens = F.array(F.lit("a\nb"), F.lit(" c"))
     assert one(spark, t.squash_tokens(tokens)) == "a b c" and one(spark, t.squash_tokens(tokens, "")) == "ab c"
@@ -152,18 +155,6 @@ def test_chrf_and_bleu_match_plain_counts(spark):
         assert bleu[task] == pytest.approx(math.exp(sum(math.log(m / a) for m, a, _ in words) / 4 + penalty) if all(w[0] for w in words) else 0.0)
 
 
-def test_edit_distance_matches_the_table():
-    random.seed(1)
-    for _ in range(300):
-        a, b = (random.choices("abc", k=random.randrange(9)) for _ in "ab")
-        row = list(range(len(b) + 1))
-        for i, w in enumerate(a, 1):
-            left, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (w != y))
-        assert x.edits(a, b) == row[-1]
-
-
 def test_pass_at_k_and_advantage(spark):
     attempts = spark.createDataFrame([(1, True), (1, False), (1, False), (2, False)], "p long, ok boolean")
     assert {r.p: r.pass_at_k for r in metrics.pass_at_k(attempts, 2, "p", "ok").collect()} == {1: pytest.approx(1 - 1 / 3), 2: None}

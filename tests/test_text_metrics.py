@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -174,3 +175,102 @@ def test_aggregates_beside_metrics(spark):
     assert out.columns == ["task", "middle_value", "most"] and {r.task: (r.middle_value, r.most) for r in out.collect()} == {"a": (3.0, 4.0), None: (7.0, 7.0)}
     assert hooks.evaluate(rows, ["most", "middle_value"], []).first().asDict() == {"most": 7.0, "middle_value": pytest.approx(np.median([4.5, 4.0]))}
     assert hooks.evaluate(rows.limit(0), ["middle_value"], ["task"]).collect() == []
+
+
+def distance(a, b):
+    """Edit distance by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, w in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (w != y))
+    return row[-1]
+
+
+def test_edit_tables():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(80))] for _ in "ab")
+        table = x.Table(a, b)
+        for i in {0, len(a), rng.randrange(len(a) + 1)}:
+            assert table.distances(table.at(i), i).tolist() == [distance(a[:i], b[:j]) for j in range(len(b) + 1)]
+        assert x.edits(a, b) == distance(a, b)
+        same = rng.randrange(len(a) + 1)
+        other = a[:same] + [rng.randrange(3) for _ in range(rng.randrange(40))]
+        table.change(other, same)
+        assert table.kept == x.Table(other, b).kept
+
+
+def loose(a, b):
+    """Words that a longest common subsequence leaves, by the whole table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out_a, out_b, i, j = [True] * len(a), [True] * len(b), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out_a[i] = out_b[j] = False
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out_a, out_b
+
+
+def plain_ter(words, target, reach=50):
+    """Greedy shifts, each tried with a whole edit table."""
+    moves, cost = 0, distance(words, target)
+    while cost > 1:
+        best, (out_a, out_b) = None, loose(words, target)
+        for n in range(min(10, len(words)), 0, -1):
+            for i in range(len(words) - n + 1):
+                for at in range(len(target) - n + 1):
+                    if at != i and abs(at - i) <= reach and target[at : at + n] == words[i : i + n] and any(out_a[i : i + n]) and any(out_b[at : at + n]):
+                        rest = words[:i] + words[i + n :]
+                        moved = rest[:at] + words[i : i + n] + rest[at:]
+                        saved = cost - distance(moved, target)
+                        if saved > 1 and (best is None or saved > best[0]):
+                            best = (saved, moved)
+        if best is None:
+            break
+        moves, cost, words = moves + 1, cost - best[0], best[1]
+    return [float(moves + cost), float(len(target))]
+
+
+def moved(rng, b, times, reach):
+    a = list(b)
+    for _ in range(times):
+        if len(a) > 4:
+            i, n = rng.randrange(len(a) - 3), rng.randrange(1, 4)
+            run = a[i : i + n]
+            del a[i : i + n]
+            at = min(len(a), max(0, i + rng.randrange(-reach, reach + 1)))
+            a[at:at] = run
+    return a
+
+
+def test_shifts_equal_whole_tables():
+    rng = random.Random(2)
+    for _ in range(250):
+        b = [rng.choice("abcdefgh"[: rng.choice([2, 4, 8])]) for _ in range(rng.randrange(16))]
+        a = moved(rng, b, rng.randrange(4), 12)
+        for _ in range(rng.randrange(3) if a else 0):
+            a[rng.randrange(len(a))] = rng.choice("abz")
+        out = x.aligned(a, b)
+        assert tuple(map(list, out)) == loose(a, b)
+        assert x.ter_counts(" ".join(a), " ".join(b)) == plain_ter(a, b)
+
+
+def test_long_pairs_and_limited_tries():
+    rng = random.Random(3)
+    b = [f"w{rng.randrange(2000)}" for _ in range(6000)]
+    a = moved(rng, b, 8, 40)
+    began = time.monotonic()
+    cost = x.ter_counts(" ".join(a), " ".join(b))[0]
+    assert 0 < cost <= 16 and time.monotonic() - began < 60
+    assert x.ter_counts(" ".join(a), " ".join(b), max_tries=0)[0] >= cost
+    same = "a " * 3000
+    assert x.ter_counts(same, same + "b") == [1.0, 3001.0] and x.ter_counts("", "a b") == [2.0, 2.0] and x.ter_counts("a", "") == [1.0, 0.0]
+    assert x.ter_counts("b " + same, same + "b", max_tries=50)[0] <= 2

@@ -49,7 +49,7 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return warc.archive_pages(spark, spread(table(spark, sf_dir, "pages")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

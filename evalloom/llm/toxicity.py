@@ -37,7 +37,7 @@ HOMOGLYPHS = {
 }
 # Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-# Plain insults with a weight, used where the labels say nothing about them.
+# Plain insults with a weight, which holds for a word that no labelled text has; others get the weight that the labels give them.
 SEED_LEXICON = {w: 3.0 for w in ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")}
 # Harmless phrases that hold a seed word.
 EXCEPTIONS = ("trash can", "trash bag", "circus clown", "clown fish", "loser bracket")
@@ -89,10 +89,18 @@ class ToxicityModel:
                 spared.append((start, end))
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
-        for a, b in spared:
-            for start in [s for s in hits if a <= s < b]:
-                del hits[start]
-        return hits
+        if not spared or not hits:
+            return hits
+        spared.sort()
+        upto, out = 0, {}  # end of the phrases that begin at or before a hit; a hit is spared if it stands before that end
+        i = 0
+        for start in sorted(hits):
+            while i < len(spared) and spared[i][0] <= start:
+                upto = max(upto, spared[i][1])
+                i += 1
+            if start >= upto:
+                out[start] = hits[start]
+        return out
 
     def strength(self, automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int]:
         """Weights of the words hit over log2 of the length; how many were hit."""
@@ -180,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8000, min_tex
 
     A fifth of their different texts, by hash, fits the curve; the others make the lexicon. All entries in ``min_texts`` toxic texts and ``min_share`` of
     them whose test value reaches ``min_g2`` are kept, so words that only a group of near copies has are not; the bounded sample bounds the lexicon.
-    Without labels of both classes the seed lexicon and a default curve stand. Only texts and labels are read.
+    A seed word that occurs in the sample has the weight measured there, and none if it is not above 1.5. Without labels of both classes the seed lexicon and a default
+    curve stand. Only texts and labels are read.
     """
     sample = labelled_sample(docs, labels, "toxic", max_per_class).withColumn("aside", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
     sizes = {(r.aside, r.y): r.n for r in sample.groupBy("aside", "y").agg(F.count("*").alias("n")).collect()}
@@ -192,10 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8000, min_tex
     n_toxic, n_clean = (sum(n for (aside, y), n in sizes.items() if y == label and (lexical is sample or not aside)) for label in (1, 0))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     judged = lambda df: df.select("pattern", "toxic", "clean", weight.alias("weight"), likelihood_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean).alias("g2"))
-    found = judged(_counted(lexical, lambda: patterns_in).where((F.col("toxic") >= min_texts) & (F.col("toxic") >= min_share * n_toxic))).where(F.col("weight") > 1.5).where(F.col("g2") >= min_g2)
-    lexicon = dict(seeds)
-    for row in found.orderBy(F.desc("g2"), F.length("pattern"), "pattern").collect():  # an entry adds nothing where a shorter one, as heavy, already matches
-        if not any(row.pattern.startswith(p) and lexicon.get(p, 0) >= row.weight - 0.7 for p in (row.pattern[:n] for n in range(5, len(row.pattern)))):
+    frequent, seed = (F.col("toxic") >= min_texts) & (F.col("toxic") >= min_share * n_toxic), F.col("pattern").isin(list(seeds))
+    found = judged(_counted(lexical, lambda: patterns_in).where(frequent | seed)).where(seed | ((F.col("weight") > 1.5) & (F.col("g2") >= min_g2)))
+    rows = found.orderBy(F.desc("g2"), F.length("pattern"), "pattern").collect()
+    lexicon = seeds | {r.pattern: r.weight for r in rows if r.pattern in seeds}
+    lexicon = {p: w for p, w in lexicon.items() if w > 1.5}
+    for row in rows:  # an entry adds nothing where a shorter one, as heavy, already matches
+        if row.pattern not in seeds and not any(row.pattern.startswith(p) and lexicon.get(p, 0) >= row.weight - 0.7 for p in (row.pattern[:n] for n in range(5, len(row.pattern)))):
             lexicon[row.pattern] = row.weight
     model = ToxicityModel(lexicon, tuple(exceptions))
 

@@ -32,9 +32,26 @@ INDEX_SCHEMA = "path string, offset long, length long, record_no long"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, verified boolean"
 
 
+#: Schemes of Spark's connectors and those of ``pyarrow.fs`` for the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def store_uri(uri: str) -> str:
+    scheme, mark, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}"
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a bare path is local (``archive_pages`` puts Spark's default file system before it)."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    return pafs.FileSystem.from_uri(store_uri(uri)) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host of Hadoop's default file system (core-site.xml and spark.hadoop settings) where it has none of its own."""
+    if ":" in folder.split("/")[0]:
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return f"{default.rstrip('/')}{folder}" if "://" in default.rstrip("/") else f"{default.rstrip('/')}//{folder}"
 
 
 def digest_of(payload: bytes) -> str:
@@ -222,13 +239,19 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.repartitionByRange(n, "path", "record_no").sortWithinPartitions("path", "record_no").mapInArrow(read, RECORD_SCHEMA)
 
 
-def plan_records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Rows for ``write_archives``: of equal payloads of ``min_bytes`` at least, all but the largest id are revisits."""
+def plan_records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_bytes: int = 0, max_broadcast: int = 1_000_000) -> DataFrame:
+    """Rows for ``write_archives``: of equal payloads of ``min_bytes`` at least, all but the largest id are revisits.
+
+    Payloads that stand once need no partner. Only digests, sizes and identifiers are shuffled to find those that stand more often; their largest identifiers are
+    broadcast while there are at most ``max_broadcast``, so that payloads stay where they are read, and joined otherwise.
+    """
     body = text_of(html_column).cast("binary")
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), body.alias("payload"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("size"))
-    kept = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("first_id"))
-    same = F.col("page_id").eqNullSafe(F.col("first_id")) | F.col("page_id").isNull() | (F.col("size") < min_bytes)
-    return rows.join(kept, ["sha1", "size"]).select("page_id", "url", "payload", F.when(~same, F.col("first_id")).alias("refers_to"), (~same).alias("revisit"))
+    groups = rows.select("sha1", "size", "page_id").where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+    kept = staged(groups.where("n > 1").drop("n"), "payload-groups")
+    kept = F.broadcast(kept) if kept.limit(max_broadcast + 1).count() <= max_broadcast else kept
+    same = F.col("first_id").isNull() | F.col("page_id").isNull() | (F.col("page_id") == F.col("first_id"))
+    return rows.join(kept, ["sha1", "size"], "left").select("page_id", "url", "payload", F.when(~same, F.col("first_id")).alias("refers_to"), (~same).alias("revisit"))
 
 
 def delete_archives(files: DataFrame) -> None:
@@ -253,9 +276,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = No
     that repeats the largest id of its payload. A null url is left out of the record. An empty table writes
     no file and gives an empty result. The monolithic files are deleted once their rewrite is whole.
     """
-    folder = folder or fresh_path(spark, "warc")
-    if ":" not in folder.split("/")[0]:
-        folder = spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + folder
+    folder = qualified(spark, folder or fresh_path(spark, "warc"))
     files = write_archives(plan_records(pages, min_bytes=min_bytes), f"{folder}/mono", roll_bytes)
     index = normalise(files, f"{folder}/members")
     delete_archives(files)

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 
@@ -76,8 +77,45 @@ def test_long_words_and_learned_exceptions(spark):
     model = train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     matcher = model.matcher()
     hits = lambda text: model.strength(matcher, text)[1]
-    assert hits(f"a {long} b") == 1 and "gorbak tree" in model.exceptions or hits("a gorbak") == 0
+    assert hits(f"a {long} b") == 1
     assert hits("the gorbak tree is") == 0
+    if " gorbak " in model.lexicon or hits("a gorbak"):  # it is learned with its harmless neighbour, or not at all
+        assert "gorbak tree" in model.exceptions
+
+
+def test_exceptions_take_linear_time():
+    model = toxicity.ToxicityModel(dict(toxicity.SEED_LEXICON and {f" {w} ": v for w, v in toxicity.SEED_LEXICON.items()}))
+    text = "trash can idiot " * 80_000
+    began = time.process_time()
+    hits = model.hits(model.matcher(), toxicity.fold_text(text))
+    assert len(hits) == 80_000 and time.process_time() - began < 10
+    again = "trash bag of a circus clown fish, loser bracket loser"
+    assert len(model.hits(model.matcher(), toxicity.fold_text(again))) == 1
+
+
+def test_spared_hits_are_those_inside_a_phrase():
+    rng = random.Random(3)
+    words = ["aa", "bb", "cc"]
+    for _ in range(200):
+        phrases = tuple(" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(3))
+        model = toxicity.ToxicityModel({" aa ": 1.0, " bb": 2.0}, phrases)
+        text = toxicity.fold_text(" ".join(rng.choices(words, k=rng.randrange(12))))
+        spans = [(i, i + len(f)) for f in map(toxicity.fold_text, phrases) for i in range(len(text)) if text.startswith(f, i)]
+        want = {i for i in range(len(text)) if text.startswith((" aa ", " bb"), i) and not any(a <= i < b - 1 for a, b in spans)}
+        assert set(model.hits(model.matcher(), text)) == want
+
+
+def test_a_seed_has_the_weight_that_the_labels_give_it(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(16**4):04x}q" for _ in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        text = rng.choices(words, k=40)
+        text[5:6] = ["trash"] if i % 2 else ["idiot"] if i % 4 == 0 else ["plain"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0 or i % 8 == 1)))
+    model = train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " trash " not in model.lexicon and model.lexicon[" idiot "] > 3 and model.lexicon[" moron "] == 3.0
 
 
 def plain_score(model, text):

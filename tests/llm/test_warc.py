@@ -68,3 +68,28 @@ def test_archives_roll_and_each_has_a_task(spark, tmp_path, monkeypatch):
     assert sorted(r.page_id for r in got.collect()) == list(range(60)) and all(r.verified for r in got.collect())
     archives = len(list((tmp_path / "w" / "members").glob("*.warc.gz")))
     assert archives > 5 and dict(made)["warc-index"] == archives
+
+
+def test_folders_without_a_scheme_go_to_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        for default, want in (("hdfs://name:8020", "hdfs://name:8020/a/b"), ("hdfs://name:8020/", "hdfs://name:8020/a/b"), ("file:///", "file:///a/b")):
+            conf.set("fs.defaultFS", default)
+            assert warc.qualified(spark, "/a/b") == want
+        assert warc.qualified(spark, "s3a://bucket/x") == "s3a://bucket/x" and warc.qualified(spark, "file:/x") == "file:/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert warc.store_uri("s3a://bucket/x") == "s3://bucket/x" and warc.store_uri("hdfs://n:1/x") == "hdfs://n:1/x" and warc.store_uri("file:///x") == "file:///x"
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_payloads_are_not_shuffled_to_find_equal_ones(spark, most):
+    rows = spark.createDataFrame([(i, f"u{i}", f"{i % 7}" * 50 if i % 2 else None, "p", 1) for i in range(90)] + [(None, "u", "1" * 50, "p", 1)], SCHEMA)
+    made = warc.plan_records(rows, max_broadcast=most)
+    got = {r.page_id: (r.refers_to, r.revisit) for r in made.collect()}
+    last = {k: max(i for i in range(90) if (i % 7 if i % 2 else None) == k) for k in [None, *range(7)]}
+    want = {i: (None, False) if last[i % 7 if i % 2 else None] == i else (last[i % 7 if i % 2 else None], True) for i in range(90)}
+    assert got == want | {None: (None, False)}
+    if most:
+        assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()

@@ -150,10 +150,28 @@ def haystacks(docs: DataFrame, bucket: Column, length: int, id_column: str = "do
     return joined.select("bucket", F.substring("h", 1, length).alias("haystack"))
 
 
+#: Kinds of needle tasks: how many needles there are, whether they share a key, and which are asked for.
+NEEDLE_VARIANTS = ("single", "multikey", "multivalue", "multiquery")
+
+
+def needles(pool: DataFrame, variant: str, k: int = 4) -> DataFrame:
+    """bucket, key, value, asked for ``needle_dataset``, from the first needles by key and value of each bucket's ``pool`` (bucket, key, value).
+
+    ``single``: one needle. ``multikey``: k needles of which the first is asked for, the others distract. ``multivalue``: k values of one key, all asked for.
+    ``multiquery``: k keys, all asked for. A bucket with fewer has fewer.
+    """
+    if variant not in NEEDLE_VARIANTS:
+        raise ValueError(f"variant must be one of {', '.join(NEEDLE_VARIANTS)}")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "value"))
+    first = pool.select("bucket", "key", "value", place.alias("place")).where(F.col("place") <= (1 if variant == "single" else k))
+    key = F.min("key").over(Window.partitionBy("bucket")) if variant == "multivalue" else F.col("key")
+    return first.select("bucket", key.alias("key"), "value", (F.col("place") == 1 if variant == "multikey" else F.lit(True)).alias("asked"))
+
+
 def needle_dataset(stacks: DataFrame, needles: DataFrame) -> DataFrame:
     """bucket, prompt, question, answers: key-value needles put into long texts.
 
-    ``needles`` has bucket, key, value and asked. A bucket's k needles, ordered by key and value, stand at depths 1/(k+1) .. k/(k+1). One needle is the
+    ``needles`` has bucket, key, value and asked (see the function of that name). A bucket's k needles, ordered by key and value, stand at depths 1/(k+1) .. k/(k+1). One needle is the
     plain task; several keys of which one is asked, several values of one key, or several asked keys are its variants. The answers
     are the values of asked keys in order.
     """

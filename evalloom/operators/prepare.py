@@ -108,8 +108,8 @@ def turn_limits(turns: DataFrame, max_user: int, max_assistant: int) -> DataFram
     """Turns of a conversation up to the last one before a role exceeds its number of turns; other roles are free."""
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     count = lambda role: F.count(F.when(F.col("role") == role, 1)).over(so_far)
-    marked = turns.withColumn("_user", count("user")).withColumn("_assistant", count("assistant"))
-    return marked.where((F.col("_user") <= max_user) & (F.col("_assistant") <= max_assistant)).drop("_user", "_assistant")
+    marked = turns.select(F.struct("*").alias("turn"), count("user").alias("user"), count("assistant").alias("assistant"))  # columns of any names are kept
+    return marked.where((F.col("user") <= max_user) & (F.col("assistant") <= max_assistant)).select("turn.*")
 
 
 def length_limits(pairs: DataFrame, prompt: str, response: str, max_prompt: int, max_response: int) -> DataFrame:

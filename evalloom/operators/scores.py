@@ -130,6 +130,11 @@ def rouge1(pred: Column, ref: Column) -> Column:
     return f1_of(overlap(a, b), F.size(a), F.size(b))
 
 
+def rouge1_any(pred: Column, refs: Column) -> Column:
+    """The largest ``rouge1`` over an array of references; null without references."""
+    return F.array_max(F.transform(refs, lambda r: rouge1(pred, r)))
+
+
 def rolling_likelihood(responses: DataFrame) -> DataFrame:
     """Adds words and bytes of the text, beside its loglik."""
     return responses.withColumn("words", F.size(bag(F.col("text"))).cast("long")).withColumn("bytes", F.octet_length("text").cast("long"))

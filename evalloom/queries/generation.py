@@ -34,9 +34,11 @@ def e1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", e.stop_at(F.col("text"), ["\n", ". "]).alias("cut"))
 
 
-@query("e2_strict_match", r"SELECT doc_id, nullif(regexp_extract('so the answer is (' || substring(text, 1, 1) || ')', 'answer is \(([A-M])\)', 1), '') AS answer FROM documents")
+@query("e2_strict_match", r"SELECT doc_id, nullif(regexp_extract(replace(text, 'The ', 'the answer is (T) or ') || ' so the answer is (' || upper(right(text, 1)) || '), or the answer is (' || substring(text, 1, 1) || ')', 'answer is \(([A-M])\)', 1), '') AS answer FROM documents")
 def e2(spark, sf):
-    text = F.concat(F.lit("so the answer is ("), F.substring("text", 1, 1), F.lit(")"))
+    """Whole texts, in which answers outside the pattern's letters stand before the one that is looked for."""
+    told = F.replace("text", F.lit("The "), F.lit("the answer is (T) or "))
+    text = F.concat(told, F.lit(" so the answer is ("), F.upper(F.substring("text", -1, 1)), F.lit("), or the answer is ("), F.substring("text", 1, 1), F.lit(")"))
     return table(spark, sf, "documents").select("doc_id", e.strict_match(text, r"answer is \(([A-M])\)").alias("answer"))
 
 
@@ -96,6 +98,22 @@ def f8(spark, sf):
     return generations(spark, sf).select("doc_id", round6(scores.rouge1(F.col("pred"), F.col("ref"))).alias("rouge1"))
 
 
+@query(
+    "f8_rouge1_any",
+    r"""WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, unnest([replace(text, ' the ', ' a '), replace(replace(text, 'e', 'i'), ' of ', ' ')]) AS ref, unnest([0, 1]) AS k FROM documents),
+      two AS MATERIALIZED (SELECT doc_id, k, a, regexp_extract_all(lower(ref), '[\p{L}\p{N}]+') AS b FROM t),
+      tok AS (SELECT doc_id, k, 0 AS side, unnest(a) AS w FROM two UNION ALL SELECT doc_id, k, 1, unnest(b) FROM two),
+      cnt AS (SELECT doc_id, k, w, sum(1 - side) AS na, sum(side) AS nb FROM tok GROUP BY ALL), com AS (SELECT doc_id, k, sum(least(na, nb)) AS common FROM cnt GROUP BY ALL)
+      SELECT doc_id, round(max("""
+    + F1_SQL
+    + """), 6) AS rouge1 FROM two LEFT JOIN com USING (doc_id, k) GROUP BY doc_id""",
+)
+def f8_any(spark, sf):
+    """Two references for each text."""
+    refs = F.array(F.replace("text", F.lit(" the "), F.lit(" a ")), F.replace(F.replace("text", F.lit("e"), F.lit("i")), F.lit(" of "), F.lit(" ")))
+    return spread(table(spark, sf, "documents")).select("doc_id", round6(scores.rouge1_any(F.col("text"), refs)).alias("rouge1"))
+
+
 def altered(text):
     """A text with words changed and left out, as a reference."""
     return F.replace(F.replace(text, F.lit(" the "), F.lit(" a ")), F.lit(" of "), F.lit(" "))
@@ -157,7 +175,19 @@ def g9(spark, sf):
     return x.smoothed_bleu_4(bleu_rows(spark, sf), "pred", "ref", ["task"]).withColumn("bleu", round6(F.col("bleu")))
 
 
-@query("g10_chrf")
+#: Characters of both texts, n-grams of 1 to 6 of them, and F2 of mean precision and recall.
+CHRF_SQL = r"""WITH t AS MATERIALIZED (SELECT doc_id, lang AS task, string_split(regexp_replace(text, '\s', '', 'g'), '') AS p, string_split(regexp_replace(replace(replace(text, ' the ', ' a '), ' of ', ' '), '\s', '', 'g'), '') AS r FROM documents),
+  c AS (SELECT doc_id, 0 AS side, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM t UNION ALL SELECT doc_id, 1, unnest(r), generate_subscripts(r, 1) FROM t),
+  l AS MATERIALIZED (SELECT doc_id, side, w, w || lead(w, 1) OVER o AS w2, w || lead(w, 1) OVER o || lead(w, 2) OVER o AS w3, w || lead(w, 1) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o AS w4,
+      w || lead(w, 1) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o || lead(w, 4) OVER o AS w5, w || lead(w, 1) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o || lead(w, 4) OVER o || lead(w, 5) OVER o AS w6 FROM c WHERE w <> '' WINDOW o AS (PARTITION BY doc_id, side ORDER BY i)),
+  g AS (SELECT doc_id, side, 1 AS n, w FROM l UNION ALL SELECT doc_id, side, 2, w2 FROM l UNION ALL SELECT doc_id, side, 3, w3 FROM l UNION ALL SELECT doc_id, side, 4, w4 FROM l UNION ALL SELECT doc_id, side, 5, w5 FROM l UNION ALL SELECT doc_id, side, 6, w6 FROM l),
+  k AS (SELECT doc_id, n, w, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM g WHERE w IS NOT NULL GROUP BY ALL),
+  m AS (SELECT task, n, sum(least(a, b))::DOUBLE AS hit, sum(a)::DOUBLE AS p, sum(b)::DOUBLE AS r FROM k JOIN t USING (doc_id) GROUP BY ALL),
+  f AS (SELECT task, avg(hit / p) AS pr, avg(hit / r) AS re FROM m WHERE p > 0 AND r > 0 GROUP BY task)
+SELECT task, round(CASE WHEN pr + re = 0 THEN 0.0 ELSE 5 * pr * re / (4 * pr + re) END, 6) AS chrf FROM f"""
+
+
+@query("g10_chrf", CHRF_SQL)
 def g10(spark, sf):
     return x.chrf(bleu_rows(spark, sf), "pred", "ref", ["task"]).withColumn("chrf", round6(F.col("chrf")))
 

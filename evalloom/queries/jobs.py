@@ -66,12 +66,14 @@ STACK_SQL = """st AS (SELECT doc_id % 20 AS bucket, doc_id, left(text, 4000) AS
   hs AS (SELECT bucket, left(string_agg(text, ' ' ORDER BY doc_id), 4000) AS h FROM us WHERE before < 4000 GROUP BY bucket)"""
 
 
-@query("i4_needle_dataset", f"""WITH {STACK_SQL}, nd AS (SELECT item_id % 20 AS bucket, list_sort(list({{'key': 'key-' || (item_id // 40), 'value': left(md5(text), 8), 'asked': item_id % 40 < 20}})) AS nd FROM benchmark GROUP BY 1),
-    j AS (SELECT bucket, h, nd, len(nd) AS k, length(h) AS n FROM hs JOIN nd USING (bucket))
+NEEDLE_SQL = """j AS (SELECT bucket, h, nd, len(nd) AS k, length(h) AS n FROM hs JOIN nd USING (bucket))
     SELECT bucket, array_to_string(list_transform(range(1, k + 2), lambda i: substring(h, (n * (i - 1) // (k + 1)) + 1, (n * i // (k + 1)) - (n * (i - 1) // (k + 1)))
       || coalesce(' The special number for ' || nd[i].key || ' is ' || nd[i].value || '. ', '')), '') AS prompt,
     'What are all the special numbers for ' || array_to_string(list_sort(list_distinct(list_transform(list_filter(nd, lambda s: s.asked), lambda s: s.key))), ', ') || '?' AS question,
-    array_to_string(list_transform(list_filter(nd, lambda s: s.asked), lambda s: s.value), ',') AS answers FROM j""")
+    array_to_string(list_transform(list_filter(nd, lambda s: s.asked), lambda s: s.value), ',') AS answers FROM j"""
+
+
+@query("i4_needle_dataset", f"WITH {STACK_SQL}, nd AS (SELECT item_id % 20 AS bucket, list_sort(list({{'key': 'key-' || (item_id // 40), 'value': left(md5(text), 8), 'asked': item_id % 40 < 20}})) AS nd FROM benchmark GROUP BY 1), {NEEDLE_SQL}")
 def i4(spark, sf):
     needles = table(spark, sf, "benchmark").select(
         (F.col("item_id") % 20).alias("bucket"), F.concat(F.lit("key-"), F.floor(F.col("item_id") / 40).cast("string")).alias("key"), F.substring(F.md5("text"), 1, 8).alias("value"), (F.col("item_id") % 40 < 20).alias("asked")
@@ -80,6 +82,26 @@ def i4(spark, sf):
     return made.withColumn("answers", F.array_join("answers", ","))
 
 
+def variant_sql(variant):
+    key = "min(key) OVER (PARTITION BY bucket)" if variant == "multivalue" else "key"
+    return f"""WITH {STACK_SQL}, pool AS (SELECT item_id % 20 AS bucket, 'key-' || item_id AS key, left(md5(text), 8) AS value FROM benchmark),
+    pk AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key, value) AS p FROM pool), few AS (SELECT bucket, {key} AS key, value, {"p = 1" if variant == "multikey" else "true"} AS asked FROM pk WHERE p <= {1 if variant == "single" else 4}),
+    nd AS (SELECT bucket, list_sort(list({{'key': key, 'value': value, 'asked': asked}})) AS nd FROM few GROUP BY 1), {NEEDLE_SQL}"""
+
+
+def variant_query(variant):
+    def run(spark, sf):
+        pool = table(spark, sf, "benchmark").select((F.col("item_id") % 20).alias("bucket"), F.concat(F.lit("key-"), F.col("item_id").cast("string")).alias("key"), F.substring(F.md5("text"), 1, 8).alias("value"))
+        made = c.needle_dataset(c.haystacks(table(spark, sf, "documents"), F.col("doc_id") % 20, 4000), c.needles(pool, variant))
+        return made.withColumn("answers", F.array_join("answers", ","))
+
+    return run
+
+
+for _variant in c.NEEDLE_VARIANTS:
+    query(f"i4_needle_{_variant}", variant_sql(_variant))(variant_query(_variant))
+
+
 TOP_SQL = f"""wc AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest({WORDS.format('text')}) AS w FROM documents) GROUP BY ALL),
   top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS p FROM wc QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 60)"""
 LIST_SQL = "SELECT lang, string_agg(w, ' ' ORDER BY md5(w || '#' || c), w) AS prompt, (SELECT string_agg(t.w, ',' ORDER BY t.p) FROM top t WHERE t.lang = r.lang AND t.p <= {0}) AS answers FROM r GROUP BY lang"

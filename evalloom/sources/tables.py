@@ -25,9 +25,10 @@ def eval_split(docs: DataFrame, test: str | None = "test", validation: str | Non
     """For each task its test rows, or its validation rows if it has no test rows; None names no split."""
     if test is None or validation is None:
         return docs.where(F.col("split") == (test or validation)) if test or validation else docs.where(F.lit(False))
-    has = docs.groupBy(by).agg(F.max(F.col("split") == test).alias("_has_test"))
-    chosen = F.when(F.col("_has_test"), F.lit(test)).otherwise(F.lit(validation))
-    return docs.join(has, by).where(F.col("split") == chosen).drop("_has_test")
+    has = docs.groupBy(F.col(by).alias("by")).agg(F.max(F.col("split") == test).alias("has_test"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(by).alias("own"))  # columns of any names are kept
+    chosen = F.when(F.col("has_test"), F.lit(test)).otherwise(F.lit(validation))
+    return rows.join(has, F.col("own") == F.col("by")).where(F.col("doc.split") == chosen).select("doc.*")
 
 
 def fewshot_split(docs: DataFrame, split: str | None = "train") -> DataFrame:
@@ -42,4 +43,4 @@ def write_results(df: DataFrame, path: str, by: str = "task") -> None:
 def limit_docs(docs: DataFrame, n: int, by: str = "task", order: str = "doc_id") -> DataFrame:
     """The first ``n`` rows of each task."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return docs.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return docs.select(F.struct("*").alias("doc"), place.alias("place")).where(F.col("place") <= n).select("doc.*")  # columns of any names are kept

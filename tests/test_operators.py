@@ -349,3 +349,30 @@ def test_candidates_are_verified_on_words(spark):
     grams = corpus.gram_rows(docs, "doc_id", "text", 3)
     made = corpus.worded(grams.withColumn("h", F.lit(7).cast("long")), docs, "doc_id", "text", 3)
     assert sorted((r.pos, r.gram) for r in made.collect()) == [(0, "a b c"), (1, "b c d")]
+
+
+def test_columns_of_any_names_survive(spark):
+    docs = spark.createDataFrame([("a", "test", 1, "p", "h", "u"), ("a", "test", 2, "q", "h", "u")], "task string, split string, doc_id long, _place string, _has_test string, by string")
+    for made in (tables.limit_docs(docs, 1), tables.eval_split(docs).where("doc_id = 1")):
+        assert made.columns == docs.columns and tuple(made.first()) == ("a", "test", 1, "p", "h", "u")
+    turns = spark.createDataFrame([(1, 0, "user", "x", "y"), (1, 1, "user", "x", "y")], "conv_id long, turn long, role string, _user string, _assistant string")
+    assert list(map(tuple, prepare.turn_limits(turns, 1, 1).collect())) == [(1, 0, "user", "x", "y")]
+
+
+def test_needle_variants(spark):
+    pool = spark.createDataFrame([(b, f"k{i}", f"v{b}{i}") for b in (0, 1) for i in range(6 - 4 * b)], "bucket long, key string, value string")
+    made = lambda kind: sorted(map(tuple, corpus.needles(pool, kind, 3).collect()))
+    assert made("single") == [(0, "k0", "v00", True), (1, "k0", "v10", True)]
+    assert made("multikey") == [(0, "k0", "v00", True), (0, "k1", "v01", False), (0, "k2", "v02", False), (1, "k0", "v10", True), (1, "k1", "v11", False)]
+    assert made("multivalue") == [(0, "k0", "v00", True), (0, "k0", "v01", True), (0, "k0", "v02", True), (1, "k0", "v10", True), (1, "k0", "v11", True)]
+    assert [r[3] for r in made("multiquery")] == [True] * 5
+    with pytest.raises(ValueError, match="variant"):
+        corpus.needles(pool, "other")
+    stacks = spark.createDataFrame([(0, "x" * 40)], "bucket long, haystack string")
+    row = corpus.needle_dataset(stacks, corpus.needles(pool, "multivalue", 3)).first()
+    assert row.answers == ["v00", "v01", "v02"] and row.question.endswith("for k0?") and row.prompt.count("x") == 40
+
+
+def test_rouge_over_references(spark):
+    assert one(spark, scores.rouge1_any(F.lit("a b c"), F.array(F.lit("x"), F.lit("A b"), F.lit(None).cast("string")))) == pytest.approx(0.8)
+    assert one(spark, scores.rouge1_any(F.lit("a"), F.array().cast("array<string>"))) is None

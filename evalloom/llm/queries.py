@@ -138,6 +138,13 @@ WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FR
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT removed) AS n_kept, count(*) FILTER (removed) AS n_removed,
        coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (removed), '') AS removed_lines
 FROM judged GROUP BY doc_id
+""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+     d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substring(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to, url, true AS verified
+FROM d
 """,
     "op3_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

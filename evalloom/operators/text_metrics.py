@@ -324,7 +324,7 @@ class Runs:
             i = np.flatnonzero(np.isin(names, runs))
             base = np.searchsorted(runs, names[i]) * np.int64(self.size + 1)
             low, high = np.searchsorted(keys, base + np.maximum(i - reach, 0)), np.searchsorted(keys, base + np.minimum(i + reach, self.size), "right")
-            many = high - low
+            many = np.maximum(high - low, 0)  # places beyond the list's end have none
             at = keys[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())] - np.repeat(base, many)
             yield n, np.repeat(i, many), at
 
@@ -347,9 +347,12 @@ def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50,
     """
     known: dict[str, int] = {}
     words, target = ([known.setdefault(w, len(known)) for w in text.split()] for text in (pred, ref))
-    runs = Runs(np.array(target, np.int64), max_shift)
-    front, back = Table(words, target), Table(words[::-1], target[::-1])
+    if words == target:
+        return [0.0, float(len(target))]
+    front = Table(words, target)
     moves, cost, tries = 0, int(front.distances(front.at(len(words)), len(words))[-1]), 0
+    if cost > 1 and target and words:
+        runs, back = Runs(np.array(target, np.int64), max_shift), Table(words[::-1], target[::-1])
     while cost > 1 and tries < max_tries and target and words:
         loose, open_ = (np.concatenate([[0], np.cumsum(x)]) for x in aligned(words, target))
         found = []

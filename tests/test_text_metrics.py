@@ -271,6 +271,8 @@ def test_long_pairs_and_limited_tries():
     cost = x.ter_counts(" ".join(a), " ".join(b))[0]
     assert 0 < cost <= 16 and time.monotonic() - began < 60
     assert x.ter_counts(" ".join(a), " ".join(b), max_tries=0)[0] >= cost
+    words = [f"u{i}" for i in range(200)]
+    assert x.ter_counts(" ".join([*words, "b", "a"]), "a b")[1] == 2.0 and x.ter_counts("a b", " ".join([*words, "b", "a"])) == [201.0, 202.0]
     same = "a " * 3000
     assert x.ter_counts(same, same + "b") == [1.0, 3001.0] and x.ter_counts("", "a b") == [2.0, 2.0] and x.ter_counts("a", "") == [1.0, 0.0]
     assert x.ter_counts("b " + same, same + "b", max_tries=50)[0] <= 2

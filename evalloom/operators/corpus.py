@@ -22,17 +22,23 @@ def normal_words(text: Column) -> Column:
 
 def run_hashes(words: Column, n: int) -> Column:
     """Hashes of all runs of ``n`` words. Runs of twice the length are made of two runs, so a run costs as many hashes as n has binary digits (and ones among them), not n."""
-    powers = {1: F.transform(words, lambda w: F.xxhash64(F.lower(w)))}
-    beside = lambda a, at, b, size: F.zip_with(F.slice(a, 1, F.greatest(F.size(words) - (size - 1), F.lit(0))), F.slice(b, at + 1, F.greatest(F.size(words) - (size - 1), F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    while max(powers) * 2 <= n:
-        k = max(powers)
-        powers[2 * k] = beside(powers[k], k, powers[k], 2 * k)
-    size = max(powers)
-    out = powers[size]
-    for k in sorted(powers, reverse=True)[1:]:
-        if size + k <= n:
-            out, size = beside(out, size, powers[k], size + k), size + k
-    return out
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  what is used twice is worked out once
+
+    def grow(made: dict[int, Column]) -> Column:
+        def beside(a: Column, at: int, b: Column, size: int) -> Column:
+            left = F.greatest(F.size(made[1]) - (size - 1), F.lit(0))
+            return F.zip_with(F.slice(a, F.lit(1), left), F.slice(b, F.lit(at + 1), left), lambda x, y: F.xxhash64(x, y))
+
+        size = max(made)
+        if 2 * size <= n:
+            return once(beside(made[size], size, made[size], 2 * size), lambda twice: grow(made | {2 * size: twice}))
+        out = made[size]
+        for k in sorted(made, reverse=True)[1:]:
+            if size + k <= n:
+                out, size = beside(out, size, made[k], size + k), size + k
+        return out
+
+    return once(F.transform(words, lambda w: F.xxhash64(F.lower(w))), lambda single: grow({1: single}))
 
 
 def gram_rows(rows: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:

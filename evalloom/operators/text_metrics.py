@@ -321,8 +321,11 @@ class Runs:
         """n, i, at: runs of n words at i of ``words`` that stand at ``at`` in the list, at most ``reach`` apart; longest runs first, then in order."""
         for n, names in reversed([*enumerate(self.named(words, min(most, len(self.keys))), 1)]):
             runs, keys = self.keys[n - 1]
-            i = np.flatnonzero(np.isin(names, runs))
-            base = np.searchsorted(runs, names[i]) * np.int64(self.size + 1)
+            place = np.minimum(np.searchsorted(runs, names), len(runs) - 1)
+            i = np.flatnonzero(runs[place] == names)
+            if not len(i):
+                continue
+            base = place[i] * np.int64(self.size + 1)
             low, high = np.searchsorted(keys, base + np.maximum(i - reach, 0)), np.searchsorted(keys, base + np.minimum(i + reach, self.size), "right")
             many = np.maximum(high - low, 0)  # places beyond the list's end have none
             at = keys[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())] - np.repeat(base, many)
@@ -358,8 +361,10 @@ def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50,
         found = []
         for n, i, at in runs.near(np.array(words, np.int64), max_shift, max_distance):
             fits = (at != i) & (loose[i + n] > loose[i]) & (open_[at + n] > open_[at])
+            if not fits.any():
+                continue
             found.append(np.stack([np.full(fits.sum(), n), i[fits], at[fits], (loose[i + n] - loose[i])[fits]], 1))
-        table = np.concatenate(found)
+        table = np.concatenate([np.zeros((0, 4), np.int64), *found])
         order = np.arange(len(table))
         if len(table) > max_tries - tries:
             order = np.sort(np.argsort(-table[:, 3], kind="stable")[: max_tries - tries])

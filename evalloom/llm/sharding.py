@@ -17,9 +17,25 @@ from evalloom.plans.ranking import global_rank
 from evalloom.plans.staging import staged
 
 
-def quantised_name(column: Column, bits: int) -> Column:
-    """Cell of a string: equal values share a cell; null is cell 0."""
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits))).cast("int")  # a null has a hash too
+def name_bounds(names: DataFrame, bits: int) -> list[list[tuple[str, int]]]:
+    """For each string column of ``names``, the first value of every cell in use from 1 to 2**bits - 1, in order, and that cell.
+
+    Different non-null values are ranked in order and the ranks spread evenly over the cells, so a cell holds neighbouring values only.
+    What reaches the driver is a value a cell, whatever the table's size.
+    """
+    cells, bounds = (1 << bits) - 1, []
+    for c in names.columns:
+        ranked = global_rank(names.select(F.col(c).alias("value")).where("value IS NOT NULL").distinct(), ["value"], name="place", total="values")
+        cell = lambda place: F.floor(place * cells / F.col("values"))
+        first = ranked.where((F.col("place") == 0) | (cell(F.col("place")) != cell(F.col("place") - 1))).select("value", (cell(F.col("place")) + 1).cast("int").alias("cell"))
+        bounds.append([(r.value, r.cell) for r in first.sort("cell").collect()])  # at most 2**bits - 1 rows
+    return bounds
+
+
+def quantised_name(column: Column, bounds: list[tuple[str, int]]) -> Column:
+    """Cell of a string: the last one whose first value it reaches. Larger values never have smaller cells, equal ones share theirs; null is cell 0."""
+    before = [0, *(cell for _, cell in bounds)]
+    return sum((F.when(column >= F.lit(value), cell - last).otherwise(0) for (value, cell), last in zip(bounds, before)), F.lit(0))
 
 
 def quantised_size(column: Column, bits: int, per_octave: int = 2) -> Column:
@@ -88,7 +104,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5, id_column:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, the cells and the curve index.
 
     The law is ``rows``: shards differ by one row at most, the first ones being larger. Dimensions are the
-    columns in ``names`` and the text's size. Equal texts stand side by side: a group takes the smallest
+    columns in ``names``, in their own order so that a file's smallest and largest name are close, and the text's size. Equal texts stand side by side: a group takes the smallest
     non-null value of each name in it, and ties on the curve are ordered by text hash, then by identifier.
     A null text has size 1 and the checksum of the empty text; null names share cell 0; null identifiers come
     first. Rows equal in everything take neighbouring slots in any order. ``grown_shard`` is null under this
@@ -102,8 +118,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5, id_column:
     key = ["text_hash", "size", "text_crc32"]
     groups = staged(rows.groupBy(*key).agg(*[F.min(f"name_{i}").alias(f"group_{i}") for i in range(len(names))]), "text-groups")  # so that the join can split a hot text's rows
     cells = [f"{c}_cell" for c in names] + ["size_cell"]
+    bounds = name_bounds(groups.select(*[f"group_{i}" for i in range(len(names))]), bits)
     placed = rows.join(groups, key).select(
-        "doc_id", *key, *[quantised_name(F.col(f"group_{i}"), bits).alias(c) for i, c in enumerate(cells[:-1])], quantised_size(F.col("size"), bits).alias(cells[-1])
+        "doc_id", *key, *[quantised_name(F.col(f"group_{i}"), b).alias(c) for i, (c, b) in enumerate(zip(cells, bounds))], quantised_size(F.col("size"), bits).alias(cells[-1])
     )
     ranked = global_rank(curve(placed, cells, bits), ["curve", "text_hash", "text_crc32", "doc_id"], name="place", total="rows")
     least, more = F.floor(F.col("rows") / shards), F.col("rows") % shards

@@ -7,16 +7,15 @@ no pass depends on blocks kept by one machine.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds between two requests to release shuffle files, and when the last one was made.
-RELEASE_EVERY = 1.0
-_released = float("-inf")
+#: Spark's own setting for deleting a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Temporary folders of applications in one process that name no shared folder.
 _LOCAL: dict[str, str] = {}
 
@@ -43,20 +42,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the executors delete the shuffle files of plans that nothing refers to any more.
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside have their shuffle files deleted as soon as they end.
 
-    Spark does so when the driver collects its garbage, which a driver with a large heap seldom does; until then the files of every finished
-    pass fill the executors' disks. Calls within a few seconds of the last one do nothing: short passes leave little behind.
+    Otherwise the files of every finished pass fill the executors' disks until the driver happens to collect its garbage. Only
+    queries that are run once belong inside; the session's own value is put back.
     """
-    global _released
-    if time.monotonic() - _released < RELEASE_EVERY:
-        return
-    gc.collect()
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
-    _released = time.monotonic()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -65,9 +66,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back from there; earlier passes' shuffle files are released."""
-    release(df.sparkSession)
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back from there; the shuffle files of the write are gone then. ``options`` are of the writer."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with releasing(df.sparkSession):
+        df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

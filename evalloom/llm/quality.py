@@ -5,7 +5,8 @@ Each view has a logistic classifier. In every round each classifier labels the u
 corpus, and hands them to the other one; then both take a Newton step over the labelled rows and what they were handed. The tasks
 add up the gradients and Hessians of their rows, so the exchange has no bound in rows, and a tree of sums brings them together. Rows
 handed over weigh in sum at most HANDED_WEIGHT times the labelled rows of their class.
-On labelled rows set aside, each view's margin is calibrated and the two are combined by a logistic curve, which scores all documents.
+On labelled rows set aside, a logistic curve a view turns its margin into calibrated log-odds; one more, with weights kept near one, combines them and scores
+all documents.
 
 Labelled rows are a bounded sample (``max_per_class`` a class); every other row is unlabelled.
 """
@@ -75,15 +76,22 @@ def chance(m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m, -40, 40)))
 
 
+def calibrated(margins: list[np.ndarray], curves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log-odds of each view, a column a view: its margin through its own curve (slope, intercept)."""
+    return np.stack([margin(m[:, None], curve) for m, curve in zip(margins, curves, strict=True)], 1)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     text: np.ndarray
     meta: np.ndarray
+    curves: tuple[np.ndarray, np.ndarray]
     combine: np.ndarray
     exchanged: tuple[int, int] = (0, 0)
 
     def probability(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return chance(margin(np.stack([margin(text, self.text), margin(meta, self.meta)], 1), self.combine))
+        margins = [margin(text, self.text), margin(meta, self.meta)]
+        return chance(margin(calibrated(margins, self.curves), self.combine))
 
 
 Weights = list[np.ndarray]
@@ -147,8 +155,9 @@ def cotrain(views: Views, y: np.ndarray, gather: Callable[[Weights], np.ndarray]
         exchanged = (int(sum(n for n, _, _ in handed[1])), int(sum(n for n, _, _ in handed[0])))
         weights = [newton_step(w, v[~aside], y[~aside], h, ridge) for w, v, h in zip(weights, views, handed, strict=True)]
     held = aside if aside.any() else ~aside
-    margins = np.stack([margin(v[held], w) for v, w in zip(views, weights, strict=True)], 1)
-    return QualityModel(weights[0], weights[1], fit_logistic(margins, y[held], 1.0, center=1.0), exchanged)
+    margins = [margin(v[held], w) for v, w in zip(views, weights, strict=True)]
+    curves = tuple(fit_logistic(m[:, None], y[held], 1.0, center=1.0) for m in margins)
+    return QualityModel(weights[0], weights[1], curves, fit_logistic(calibrated(margins, curves), y[held], 1.0, center=1.0), exchanged)
 
 
 def views_of(batch: pa.RecordBatch, step: int = 1024) -> Iterator[Views]:

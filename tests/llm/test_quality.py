@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from evalloom.llm import quality
+from evalloom.llm import quality, queries
+from evalloom.llm.common import fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, y string, kept int"
 
@@ -78,6 +79,37 @@ def test_held_out_accuracy(spark, rows):
         assert np.allclose(quality.gathered(some, w, 0.9), want)
     assert not quality.gathered(some.limit(0), w, 0.9).any()
     model, again = quality.train(docs, labels), quality.train(docs.repartition(5), labels)
-    assert np.allclose(model.text, again.text) and model.exchanged == again.exchanged and min(model.exchanged) >= 0
+    assert np.allclose(model.text, again.text) and model.exchanged == again.exchanged and max(model.exchanged) > 0
     assert quality.classify(docs.limit(0), None).collect() == []
     assert {r.score for r in quality.classify(docs, None).collect()} == {0.5}
+
+
+def test_each_view_is_calibrated():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 4000)
+    views = rng.normal(size=(4000, 6)), rng.normal(size=(4000, 3))
+    views[0][:, 0] += 1.5 * y
+    views[1][:, 0] += 0.5 * y
+    model = quality.cotrain(tuple(v[:3000] for v in views), y[:3000], lambda w: quality.handed_over((views[0][:0], views[1][:0]), w, 0.97))
+    odds = quality.calibrated([quality.margin(v[3000:], w) for v, w in zip(views, (model.text, model.meta), strict=True)], model.curves)
+    for p in (*quality.chance(odds).T, model.probability(views[0][3000:], views[1][3000:])):
+        for low in (0.2, 0.4, 0.6):
+            inside = (p >= low) & (p < low + 0.2)
+            assert inside.sum() < 50 or abs(p[inside].mean() - y[3000:][inside].mean()) < 0.12
+
+
+def test_whole_query_matches_one_process(spark, rows, tmp_path):
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = {r[0]: quality.text_view(r[1]).astype(np.float32) for r in rows}
+    meta = {r[0]: quality.meta_view(*r[2:5]).astype(np.float32) for r in rows}
+    learn = [r[0] for r in rows if fold(r[0], 3) != 1]
+    views = lambda ids: (np.array([text[i] for i in ids], float), np.array([meta[i] for i in ids], float))
+    known = [i for i in learn if i < 240]
+    known.sort(key=lambda i: (quality.xxhash.xxh32_intdigest(text[i].tobytes()), text[i].tobytes(), meta[i].tobytes(), int(i % 4 != 0)))
+    pool = views([i for i in learn if i >= 240])
+    model = quality.cotrain(views(known), np.array([int(i % 4 != 0) for i in known]), lambda w: quality.handed_over(pool, w, 0.97))
+    want = model.probability(*views([r[0] for r in rows]))
+    got = {r.doc_id: r for r in queries.op8_quality(spark, str(tmp_path)).collect()}
+    assert np.allclose([got[r[0]].score for r in rows], want, atol=1e-4)
+    assert [got[r[0]].held_out for r in rows] == [fold(r[0], 3) == 1 for r in rows]

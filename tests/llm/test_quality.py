@@ -84,20 +84,6 @@ def test_held_out_accuracy(spark, rows):
     assert {r.score for r in quality.classify(docs, None).collect()} == {0.5}
 
 
-def test_each_view_is_calibrated():
-    rng = np.random.default_rng(4)
-    y = rng.integers(0, 2, 4000)
-    views = rng.normal(size=(4000, 6)), rng.normal(size=(4000, 3))
-    views[0][:, 0] += 1.5 * y
-    views[1][:, 0] += 0.5 * y
-    model = quality.cotrain(tuple(v[:3000] for v in views), y[:3000], lambda w: quality.handed_over((views[0][:0], views[1][:0]), w, 0.97))
-    odds = quality.calibrated([quality.margin(v[3000:], w) for v, w in zip(views, (model.text, model.meta), strict=True)], model.curves)
-    for p in (*quality.chance(odds).T, model.probability(views[0][3000:], views[1][3000:])):
-        for low in (0.2, 0.4, 0.6):
-            inside = (p >= low) & (p < low + 0.2)
-            assert inside.sum() < 50 or abs(p[inside].mean() - y[3000:][inside].mean()) < 0.12
-
-
 def test_whole_query_matches_one_process(spark, rows, tmp_path):
     spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

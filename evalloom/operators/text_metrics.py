@@ -7,7 +7,8 @@ row), and one sort of all numbers gives every count, without a dictionary for ea
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from dataclasses import dataclass
 from math import isqrt
 from typing import ClassVar
@@ -216,24 +217,24 @@ class Table:
     """
 
     EVERY: ClassVar[int] = 32
-    a: list[int]
-    b: list[int]
+    a: list[Hashable]
+    b: list[Hashable]
 
     def __post_init__(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places: dict[Hashable, int] = {}
         for j, w in enumerate(self.b):
             self.places[w] = self.places.get(w, 0) | 1 << j
         self.full = (1 << len(self.b)) - 1
         self.kept = [(self.full, 0)]
         self.change(self.a, 0)
 
-    def change(self, a: list[int], same: int) -> None:
+    def change(self, a: list[Hashable], same: int) -> None:
         """Other words for ``a``, of which the first ``same`` are as before."""
         self.a, self.kept = a, self.kept[: same // self.EVERY + 1]
         for i in range((len(self.kept) - 1) * self.EVERY, len(a), self.EVERY):
             self.kept.append(self.after(self.kept[-1], a[i : i + self.EVERY]))
 
-    def after(self, state: tuple[int, int], words: Sequence[int]) -> tuple[int, int]:
+    def after(self, state: tuple[int, int], words: Sequence[Hashable]) -> tuple[int, int]:
         up, down = state
         full, places = self.full, self.places
         for w in words:
@@ -255,7 +256,7 @@ class Table:
         return i + np.concatenate([[0], np.cumsum(bits(state[0]) - bits(state[1]))])
 
 
-def edits(a: Sequence[int], b: Sequence[int]) -> int:
+def edits(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     """Least insertions, deletions and substitutions that turn ``a`` into ``b``."""
     table = Table(list(a), list(b))
     return int(table.distances(table.at(len(table.a)), len(table.a))[-1])
@@ -346,17 +347,26 @@ def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50,
     Greedy: while a shift of a run saves edits, the best one is made (longest run first on ties). A run is tried only where the reference has it too and
     where both the run and that place hold a word that is unmatched so far. What a shift saves is worked out from the states of the two edit tables, from the front and
     from the back, where the shifted part begins and ends, so it costs the words in between and not the whole lists. A pair has ``max_tries`` tries in all
-    (a parameter of the metric, as in its published form); of more, those whose runs have most unmatched words are made.
+    (a parameter of the metric, as in its published form); of more, those whose runs have most unmatched words are made. Shifts keep the words and their
+    numbers, so no shift brings the edits below the longer side's words less the common ones; where one edit at most is left above that, none is tried.
     """
-    known: dict[str, int] = {}
-    words, target = ([known.setdefault(w, len(known)) for w in text.split()] for text in (pred, ref))
-    if words == target:
-        return [0.0, float(len(target))]
-    front = Table(words, target)
-    moves, cost, tries = 0, int(front.distances(front.at(len(words)), len(words))[-1]), 0
-    if cost > 1 and target and words:
-        runs, back = Runs(np.array(target, np.int64), max_shift), Table(words[::-1], target[::-1])
-    while cost > 1 and tries < max_tries and target and words:
+    first, second = pred.split(), ref.split()
+    if first == second:
+        return [0.0, float(len(second))]
+    same, most = 0, min(len(first), len(second))
+    while same < most and first[same] == second[same]:
+        same += 1
+    last = 0
+    while last < most - same and first[-1 - last] == second[-1 - last]:
+        last += 1
+    inner, outer = first[same : len(first) - last], second[same : len(second) - last]
+    cost, moves, tries = edits(inner, outer), 0, 0
+    least = max(len(inner), len(outer)) - (Counter(inner) & Counter(outer)).total()
+    if cost - least > 1:
+        known: dict[str, int] = {}
+        words, target = ([known.setdefault(w, len(known)) for w in side] for side in (first, second))
+        front, back, runs = Table(words, target), Table(words[::-1], target[::-1]), Runs(np.array(target, np.int64), max_shift)
+    while cost - least > 1 and tries < max_tries:
         loose, open_ = (np.concatenate([[0], np.cumsum(x)]) for x in aligned(words, target))
         found = []
         for n, i, at in runs.near(np.array(words, np.int64), max_shift, max_distance):
@@ -382,7 +392,7 @@ def ter_counts(pred: str, ref: str, max_shift: int = 10, max_distance: int = 50,
         moves, cost, words = moves + 1, best[0], best[2]
         front.change(words, best[3])
         back.change(words[::-1], best[4])
-    return [float(moves + cost), float(len(target))]
+    return [float(moves + cost), float(len(second))]
 
 
 def ter_statistics(preds: list[str], refs: list[list[str]]) -> np.ndarray:

@@ -276,3 +276,11 @@ def test_long_pairs_and_limited_tries():
     same = "a " * 3000
     assert x.ter_counts(same, same + "b") == [1.0, 3001.0] and x.ter_counts("", "a b") == [2.0, 2.0] and x.ter_counts("a", "") == [1.0, 0.0]
     assert x.ter_counts("b " + same, same + "b", max_tries=50)[0] <= 2
+
+
+def test_no_shift_is_tried_that_cannot_save_edits(monkeypatch):
+    monkeypatch.setattr(x, "aligned", lambda a, b: pytest.fail("a shift was looked for"))
+    a = [f"w{i % 7}" if i % 5 else "the" for i in range(400)]
+    b = ["a" if w == "the" and i % 2 else w for i, w in enumerate(a)]
+    assert x.ter_counts(" ".join(a), " ".join(b)) == [40.0, 400.0]
+    assert x.ter_counts(" ".join(a), " ".join(w for w in b if w != "the")) == [80.0, 360.0]

@@ -14,7 +14,8 @@ from math import isqrt
 from typing import ClassVar
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ from evalloom.plans.staging import staged
 
 # Fixed value: white space of Python that is none in Unicode.
 _WORD = re.compile(r"(?:\S|[\x1c-\x1f])+")
-#: Rows, and words or characters, that are counted at once; a longer text is counted alone.
-ROWS, UNITS = 256, 1 << 20
+#: Rows, and characters, that are counted at once (their numbers fit a core's cache); a longer text is counted alone.
+ROWS, UNITS = 256, 1 << 15
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Statistics of rows: predictions and the references of each to an array (rows, numbers).
 Statistics = Callable[[list[str], list[list[str]]], np.ndarray]
@@ -36,33 +37,50 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def clipped(row: np.ndarray, side: np.ndarray, gram: np.ndarray, rows: int) -> np.ndarray:
-    """For each row, how many n-grams of side 0 one other side has too: each counts as often as side 0 and the side with most of it have it."""
-    if not len(row):
+def key_bits(rows: int, sides: int) -> tuple[np.uint64, np.uint64]:
+    """How many bits of a key of (row, n-gram, side) belong to the n-gram and to the side."""
+    side_bits = (max(sides, 2) - 1).bit_length()
+    return np.uint64(64 - side_bits - max(1, (rows - 1).bit_length())), np.uint64(side_bits)
+
+
+def hits(keys: np.ndarray, rows: int, kept: np.uint64, side_bits: np.uint64) -> np.ndarray:
+    """For each row, how many n-grams of side 0 one other side has too, from keys of (row, n-gram, side) in any order."""
+    if not len(keys):
         return np.zeros(rows, np.int64)
-    side_bits, row_bits = np.uint64(int(side.max()).bit_length() or 1), np.uint64(max(1, (rows - 1).bit_length()))
-    kept = np.uint64(64) - side_bits - row_bits
-    keys = np.sort((((row.astype(np.uint64) << kept) | (gram >> (np.uint64(64) - kept))) << side_bits) | side.astype(np.uint64))
+    keys = np.sort(keys)
+    grams = keys >> side_bits
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    if side_bits == 1:  # two sides: what is not of one is of the other
+        theirs = np.add.reduceat((keys & np.uint64(1)).astype(np.int64), first)
+        ours = np.diff(np.append(first, len(keys))) - theirs
+        return np.bincount((grams[first] >> kept).astype(np.int64), np.minimum(ours, theirs), rows).astype(np.int64)
     cells = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count, of = np.diff(np.append(cells, len(keys))), keys[cells] & ((np.uint64(1) << side_bits) - np.uint64(1))
-    grams = keys[cells] >> side_bits
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    ours, theirs = np.add.reduceat(np.where(of == 0, count, 0), first), np.maximum.reduceat(np.where(of > 0, count, 0), first)
+    begin = np.searchsorted(cells, first)
+    ours, theirs = np.add.reduceat(np.where(of == 0, count, 0), begin), np.maximum.reduceat(np.where(of > 0, count, 0), begin)
     return np.bincount((grams[first] >> kept).astype(np.int64), np.minimum(ours, theirs), rows).astype(np.int64)
 
 
+def clipped(row: np.ndarray, side: np.ndarray, gram: np.ndarray, rows: int) -> np.ndarray:
+    """For each row, how many n-grams of side 0 one other side has too: each counts as often as side 0 and the side with most of it have it."""
+    kept, side_bits = key_bits(rows, int(side.max()) + 1 if len(side) else 1)
+    keys = (((row.astype(np.uint64) << kept) | (gram >> (np.uint64(64) - kept))) << side_bits) | side.astype(np.uint64)
+    return hits(keys, rows, kept, side_bits)
+
+
 def gram_hits(texts: list[np.ndarray], row: list[int], side: list[int], rows: int, order: int) -> np.ndarray:
     """(rows, order): clipped n-grams of every length. ``texts`` are sequences of 64-bit numbers, each of a row and a side (0 the prediction)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     units = np.concatenate([np.zeros(0, np.uint64), *texts])
-    own = np.repeat(np.arange(len(texts)), sizes)
-    of_row, of_side, h = np.array(row, np.int64), np.array(side, np.int64), np.zeros(len(units), np.uint64)
-    out = np.zeros((rows, order), np.int64)
+    kept, side_bits = key_bits(rows, max(side, default=0) + 1)
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    place = np.repeat((np.array(row, np.uint64) << (kept + side_bits)) | np.array(side, np.uint64), sizes)
+    out, h = np.zeros((rows, order), np.int64), np.zeros(len(units), np.uint64)
     for n in range(1, order + 1):
         left = max(0, len(units) - n + 1)
         h = mixed(h[:left] * _STEP + units[n - 1 :] + np.uint64(n))
-        inside = own[:left] == own[n - 1 :]
-        out[:, n - 1] = clipped(of_row[own[:left][inside]], of_side[own[:left][inside]], h[inside], rows)
+        keys = place[:left] | (h >> (np.uint64(64) - kept) << side_bits)
+        out[:, n - 1] = hits(keys[own[:left] == own[n - 1 :]], rows, kept, side_bits)
     return out
 
 
@@ -99,20 +117,20 @@ def bleu_counts(preds: list[str], refs: list[list[str]], order: int = 4) -> np.n
 def measured(statistics: Statistics, pred: Column, refs: Column) -> Column:
     """Statistics of each prediction and its references (an array), worked out in Arrow batches; null texts are empty, a null array has no references."""
 
-    @F.pandas_udf("array<double>")
-    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def measure(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for preds, refs in batches:
-            ours, theirs = [p or "" for p in preds], [[r or "" for r in own] if own is not None else [] for own in refs]
+            held = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(refs), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            upto, theirs = (np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(x), 0).to_numpy(zero_copy_only=False))]).astype(np.int64) for x in (preds, refs.flatten()))
+            upto += theirs[held]
             out: list[np.ndarray] = []
             i = 0
-            while i < len(ours):
-                j, size = i, 0
-                while j < len(ours) and j - i < ROWS and (j == i or size < UNITS):
-                    size += len(ours[j]) + sum(map(len, theirs[j]))
-                    j += 1
-                out += list(statistics(ours[i:j], theirs[i:j]))
+            while i < len(preds):  # only these rows' texts are Python's at a time
+                j = max(i + 1, min(i + ROWS, int(np.searchsorted(upto, upto[i] + UNITS, "right")) - 1))
+                out.append(statistics([p or "" for p in preds[i:j].to_pylist()], [[r or "" for r in own or []] for own in refs[i:j].to_pylist()]))
                 i = j
-            yield pd.Series(out)
+            values = np.concatenate(out) if out else np.zeros((0, 1))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel(), pa.float64()))
 
     return measure(pred, refs)
 
@@ -179,10 +197,11 @@ def chrf_counts(preds: list[str], refs: list[list[str]], order: int = 6, beta: f
     """
     pairs = [(i, r) for i, own in enumerate(refs) for r in own]
     ours, theirs = characters(preds), characters([r for _, r in pairs])
-    texts = [ours[i] for i, _ in pairs] + theirs
-    hits = gram_hits(texts, [*range(len(pairs))] * 2, [0] * len(pairs) + [1] * len(pairs), len(pairs), order)
     size = lambda parts: np.maximum(0, np.array([len(t) for t in parts], np.int64)[:, None] - np.arange(order)).reshape(-1, order)
-    table = np.stack([hits, size([ours[i] for i, _ in pairs]), size(theirs)], 2).reshape(-1, 3 * order).astype(float)
+    found, other = size(theirs), [k for k, (i, r) in enumerate(pairs) if preds[i] != r]  # equal texts have all n-grams in common
+    texts = [ours[pairs[k][0]] for k in other] + [theirs[k] for k in other]
+    found[other] = gram_hits(texts, [*range(len(other))] * 2, [0] * len(other) + [1] * len(other), len(other), order)
+    table = np.stack([found, size([ours[i] for i, _ in pairs]), size(theirs)], 2).reshape(-1, 3 * order).astype(float)
     out = np.stack([np.zeros((len(preds), order)), size(ours), np.zeros((len(preds), order))], 2).reshape(-1, 3 * order)
     best = np.full(len(preds), -1.0)
     for (i, _), score, row in zip(pairs, chrf_scores(table, beta).tolist(), table, strict=True):

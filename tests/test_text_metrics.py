@@ -284,3 +284,24 @@ def test_no_shift_is_tried_that_cannot_save_edits(monkeypatch):
     b = ["a" if w == "the" and i % 2 else w for i, w in enumerate(a)]
     assert x.ter_counts(" ".join(a), " ".join(b)) == [40.0, 400.0]
     assert x.ter_counts(" ".join(a), " ".join(w for w in b if w != "the")) == [80.0, 360.0]
+
+
+def test_measured_rows_are_cut_by_rows_and_characters(spark, monkeypatch):
+    rows = [(0, None, ["a"]), (1, "a b", None), (2, "x" * 90, ["y" * 90, None]), (3, "", []), *[(i, "é" * (i % 9), ["b"] * (i % 3)) for i in range(4, 300)]]
+    df = spark.createDataFrame(rows, "i int, p string, r array<string>").coalesce(1)
+    told = lambda p, r: np.array([[len(p), sum(map(len, p)) + sum(len(t) for own in r for t in own), len(a), len(own)] for a, own in zip(p, r, strict=True)], float)
+    got = {r.i: r.v for r in df.select("i", x.measured(told, F.col("p"), F.col("r")).alias("v")).collect()}
+    assert [v[2:] for _, v in sorted(got.items())] == [[len(p or ""), len(r or [])] for _, p, r in rows]
+    assert max(v[0] for v in got.values()) == x.ROWS
+    long = df.where("i < 2").select("i", F.lit("z" * x.UNITS).alias("p"), "r")
+    assert [r.v[0] for r in long.select(x.measured(told, F.col("p"), F.col("r")).alias("v")).collect()] == [1, 1]
+    assert df.where("i < 0").select(x.measured(told, F.col("p"), F.col("r")).alias("v")).collect() == []
+
+
+def test_equal_texts_and_units_stay_in_a_cache():
+    rng = random.Random(9)
+    preds, refs = texts(rng, 60), [texts(rng, 2) for _ in range(60)]
+    refs = [[p, *own] if i % 3 else [*own, p] for i, (p, own) in enumerate(zip(preds, refs, strict=True))]
+    got = x.chrf_counts(preds, refs)
+    want = [["".join(p.split()), *(len("".join(p.split())) - n for n in range(6))] for p in preds]
+    assert [[max(0, c) for c in w[1:]] for w in want] == got[:, ::3].tolist() == got[:, 1::3].tolist() and x.UNITS <= 1 << 16

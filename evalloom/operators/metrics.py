@@ -33,8 +33,8 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(upto, (z >> np.uint64(11)) / 2.0**53, "right").astype(float)
 
 
-#: Numbers of group sums that a task holds at most before it passes them on.
-HELD = 1 << 24
+#: Numbers of group sums that a task holds at most before it passes them on, and weights that it draws at once.
+HELD, DRAWN = 1 << 24, 1 << 17
 
 
 def bootstrap_replicates(rows: DataFrame, by: Sequence[str], state: Mapping[str, Column], key: str = "doc_id", replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -60,7 +60,7 @@ def bootstrap_replicates(rows: DataFrame, by: Sequence[str], state: Mapping[str,
                 if group not in sums and (len(sums) + 1) * len(columns) * replicates > HELD:
                     yield from frames()
                 held = sums.setdefault(group, np.zeros((len(columns), replicates)))
-                keys, step = own["_key"].to_numpy().astype(np.uint64), max(1, (1 << 20) // replicates)
+                keys, step = own["_key"].to_numpy().astype(np.uint64), max(1, DRAWN // replicates)
                 values = own[[f"s{i}" for i in range(len(columns))]].to_numpy(float)
                 for i in range(0, len(keys), step):
                     held += values[i : i + step].T @ poisson_weights(keys[i : i + step], replicates, seed)

@@ -113,6 +113,10 @@ def smallest(rows: DataFrame, group: str, order: str, most: int | Mapping[object
     return kept.withColumn("_place", place).where(F.col("_place") <= limit).select(F.col("g").alias(group), F.col("o").alias(order))
 
 
+#: Parts of a task's items that read its shots apart where shots are too large to broadcast.
+SALTS = 64
+
+
 def _first(pool: DataFrame, most: int | Mapping[object, int], max_broadcast: int = 100_000) -> DataFrame:
     """task and shots: the first rows of each task's pool as an ordered array (doc_id, example).
 
@@ -126,9 +130,19 @@ def _first(pool: DataFrame, most: int | Mapping[object, int], max_broadcast: int
     return held.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("doc_id", "example"))).alias("shots"))
 
 
-def _before(items: DataFrame, shots: DataFrame, taken: Column, separator: str) -> DataFrame:
-    """Puts the examples in front of each prompt; the pool is one row a task by now."""
-    joined = items.join(shots, "task", "left")
+def _before(items: DataFrame, shots: DataFrame, taken: Column, separator: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """Puts the examples in front of each prompt; the pool is one row a task by now.
+
+    Shots of ``max_bytes`` at most are broadcast, so no item moves. Of more, a task's shots are read by ``SALTS`` parts of its items, so
+    that no task of the cluster reads all items of a frequent one.
+    """
+    shots = staged(shots, "task-shots")
+    size = shots.agg(F.sum(F.octet_length("task") + F.aggregate("shots", F.lit(0).cast("long"), lambda n, s: n + 32 + F.coalesce(F.octet_length(s["example"].cast("string")), F.lit(0))))).first()[0]
+    if (size or 0) <= max_bytes:
+        joined = items.join(F.broadcast(shots), "task", "left")
+    else:
+        parts = shots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, ["task", "_salt"], "left").drop("_salt")
     text = F.array_join(F.transform(taken, lambda s: s["example"]), separator)
     return joined.withColumn("prompt", F.when(F.size(taken) > 0, F.concat(text, F.lit(separator), "prompt")).otherwise(F.col("prompt"))).drop("shots")
 

@@ -111,3 +111,20 @@ def test_sums_that_agree_still_differ_in_the_tree(spark):
     rows = spark.createDataFrame([("t", 1, "a", "x"), ("t", 2, "b", "x")], "task string, doc_id long, context string, output_type string")
     one, two = (r.request_tree(rows.where(c), digits=1, fields=("context",)).where("node = ''").first().hash for c in ("doc_id = 1", "doc_id = 2"))
     assert one != two
+
+
+def test_items_of_a_frequent_task_stay_apart(spark):
+    items = spark.range(400).selectExpr("IF(id % 50 = 0, 'few', 'many') AS task", "id AS doc_id", "concat('p', id) AS prompt")
+    pool = items.selectExpr("task", "doc_id", "concat('e', doc_id) AS example")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = r.fewshot_first_n(items, pool, 2)
+        assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()  # only shots are moved
+        apart = r._before(items, r._first(pool, 2), F.col("shots"), "\n\n", max_bytes=0)
+        plan = apart._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "_salt" in plan
+        want = {x.doc_id: ("e0\n\ne50\n\n" if x.doc_id % 50 == 0 else "e1\n\ne2\n\n") + x.prompt for x in items.collect()}
+        assert {x.doc_id: x.prompt for x in near.collect()} == want == {x.doc_id: x.prompt for x in apart.collect()}
+        assert near.columns == apart.columns == ["task", "doc_id", "prompt"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

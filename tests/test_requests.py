@@ -128,3 +128,15 @@ def test_items_of_a_frequent_task_stay_apart(spark):
         assert near.columns == apart.columns == ["task", "doc_id", "prompt"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("shots", [lambda i, p: r.fewshot_exclude_self(i, p, 2)], ids=["exclude_self"])
+def test_other_few_shot_forms_move_no_items(spark, shots):
+    items = spark.range(100).selectExpr("'t' AS task", "id AS doc_id", "concat('p', id) AS prompt", "concat('e', id) AS example")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = shots(items.drop("example"), items.drop("prompt"))
+        assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {x.prompt for x in near.where("doc_id = 1").collect()} == {"e0\n\ne2\n\np1"}

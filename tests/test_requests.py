@@ -130,7 +130,7 @@ def test_items_of_a_frequent_task_stay_apart(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("shots", [lambda i, p: r.fewshot_exclude_self(i, p, 2)], ids=["exclude_self"])
+@pytest.mark.parametrize("shots", [lambda i, p: r.fewshot_exclude_self(i, p, 2), lambda i, p: r.num_fewshot(i.where("doc_id <> 0"), p.where("doc_id not in (1)"), {"t": 2})], ids=["exclude_self", "num"])
 def test_other_few_shot_forms_move_no_items(spark, shots):
     items = spark.range(100).selectExpr("'t' AS task", "id AS doc_id", "concat('p', id) AS prompt", "concat('e', id) AS example")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import evalloom.llm.line_dedup as line_module
-from evalloom.llm.line_dedup import drop_similar_lines, line_dedup
+from evalloom.llm.line_dedup import drop_similar_lines, line_dedup, parity
 
 SCHEMA = "doc_id long, text string, pos string, row int, line string, _gone int, gone int, held int"
 
@@ -94,3 +94,17 @@ def test_work_in_a_hot_group_is_linear(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a", "p", 1, "l", 2, 3, 4)], SCHEMA).where(F.lit(False))
     assert line_dedup(docs).collect() == [] and drop_similar_lines(docs).collect() == []
+
+
+def test_parity_looks_its_bits_up(spark):
+    """Each word flips one of 128 bits, read from an array instead of shifted for every word; sets differ in as many words at least as in bits."""
+    random.seed(3)
+    sets = [[], [0], [63], [64], [127], [-1], [5, 5 + 128], *([random.randrange(-(1 << 63), 1 << 63) for _ in range(random.randrange(1, 60))] for _ in range(20))]
+    df = spark.createDataFrame([(x,) for x in sets], "codes array<long>").select("codes", *[c.alias(n) for c, n in zip(parity(F.col("codes")), ("even", "odd"), strict=True)])
+    for r in df.collect():
+        want = [0, 0]
+        for c in r.codes:
+            want[c >> 6 & 1] ^= 1 << (c & 63)
+        assert (r.even % (1 << 64), r.odd % (1 << 64)) == (want[1], want[0])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "shift" not in plan.lower()

@@ -108,3 +108,15 @@ def test_parity_looks_its_bits_up(spark):
         assert (r.even % (1 << 64), r.odd % (1 << 64)) == (want[1], want[0])
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "shift" not in plan.lower()
+
+
+def test_words_of_equal_lines_are_split_once(spark, monkeypatch):
+    """Equal lines become one class before their words are split, no text is split a second time for a filter, and equal sets in other lines are found."""
+    plans, original = {}, line_module.staged
+    monkeypatch.setattr(line_module, "staged", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), original(df, name))[1])
+    docs = spark.createDataFrame([(i, f"the same line\nalone{i} x{i}") for i in range(30)] + [(30, "line  THE same same\n \nalone")], "doc_id long, text string")
+    got = {r.doc_id: r.removed_lines for r in line_dedup(docs).collect()}
+    assert got == {0: ""} | {i: "0" for i in range(1, 31)}
+    assert all("size(split(" not in plan for plan in plans.values())
+    tables = [plan for plan in plans.values() if "lower(line" in plan and "Generate" in plan]
+    assert tables and all(0 <= plan.find("lower(line") < plan.find("Aggregate") for plan in tables)
